@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("decisions", "cases", "reviews", "texts", "parsers", "risks", "checks")
+AREAS = ("decisions",)
 
 
 def load_all() -> None:
