@@ -63,40 +63,27 @@ DEFS["facts"] = """
 SELECT l_orderkey AS request_id, l_linenumber AS ordinal,
        CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
          || '-' || CAST(l_suppkey AS STRING) AS evidence_id,
-       'course' AS kind_hint,
-       CASE WHEN (l_partkey + l_linenumber) % 13 = 11 THEN 'term_taken' ELSE 'course' END AS fact_type,
-       CASE (l_partkey + l_linenumber) % 13 WHEN 0 THEN 'credits' WHEN 1 THEN ' Credit_Hours '
-            WHEN 2 THEN 'topics' WHEN 3 THEN 'course_topics' WHEN 4 THEN 'outcomes' WHEN 5 THEN 'learning_outcomes'
-            WHEN 6 THEN 'lab_component' WHEN 7 THEN 'contact_hours_lecture' WHEN 8 THEN 'lab_hours'
-            WHEN 9 THEN 'assessments' WHEN 10 THEN 'grade' WHEN 11 THEN NULL ELSE 'notes' END AS fact_key,
-       CASE WHEN l_linestatus = 'F' AND l_suppkey % 5 = 0 THEN NULL
-            ELSE CASE (l_partkey + l_linenumber) % 13
-              WHEN 0 THEN CAST(CAST(l_quantity AS INT) % 5 + 1 AS STRING)
-              WHEN 1 THEN CASE WHEN l_suppkey % 9 = 0 THEN '3.0' ELSE CAST(l_partkey % 5 + 1 AS STRING) END
-              WHEN 6 THEN CASE l_suppkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN ' No ' WHEN 2 THEN 'Yes'
-                     WHEN 3 THEN 'false' ELSE 'maybe' END
-              WHEN 7 THEN CASE WHEN l_suppkey % 11 = 0 THEN 'three' ELSE '45' END
-              WHEN 8 THEN CAST(CAST(l_quantity AS INT) AS STRING)
-              WHEN 10 THEN CASE l_suppkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'b +' WHEN 2 THEN 'C' WHEN 3 THEN 'C-'
-                     WHEN 4 THEN 'D+' WHEN 5 THEN 'F' WHEN 6 THEN 'Pass' ELSE ' B-' END
-              WHEN 11 THEN CASE l_suppkey % 4 WHEN 0 THEN 'Fall ' || CAST(2010 + l_partkey % 15 AS STRING)
-                     WHEN 1 THEN CAST(2010 + l_partkey % 15 AS STRING) || '-S' WHEN 2 THEN 'last year'
-                     ELSE 'Spring ' || CAST(2010 + l_partkey % 15 AS STRING) END
-              WHEN 12 THEN 'see attached'
-              ELSE NULL END
-       END AS fact_value,
-       CASE WHEN l_linestatus = 'F' AND l_suppkey % 5 = 0 THEN NULL
-            ELSE CASE (l_partkey + l_linenumber) % 13
-              WHEN 2 THEN p_name || '|' || lower(p_type) || ' part'
-              WHEN 3 THEN p_name || '| |' || split_part(p_name, ' ', 1) || ' goods'
-              WHEN 4 THEN 'Apply ' || p_name || '|Design ' || lower(p_type) || ' goods'
-              WHEN 5 THEN 'Use the ' || split_part(p_name, ' ', 2) || ' in practice'
-              WHEN 9 THEN 'Midterm|Final'
-              ELSE NULL END
-       END AS items_text,
-       l_linestatus = 'F' AND l_suppkey % 5 = 0 AS is_unknown,
-       l_shipdate AS created_at
-FROM @lineitem JOIN @part ON l_partkey = p_partkey
+       CASE WHEN k = 11 THEN 'term_taken' ELSE 'course' END AS fact_type,
+       nullif(split_part('credits| Credit_Hours |topics|course_topics|outcomes|learning_outcomes|lab_component|contact_hours_lecture|lab_hours|assessments|grade||notes', '|', k + 1), '') AS fact_key,
+       CASE WHEN unseen THEN NULL
+            WHEN k = 0 THEN CAST(CAST(l_quantity AS INT) % 5 + 1 AS STRING)
+            WHEN k = 1 THEN split_part('1|2|3|4|5|3.0', '|', CASE WHEN l_suppkey % 9 = 0 THEN 6 ELSE CAST(l_partkey % 5 + 1 AS INT) END)
+            WHEN k = 6 THEN split_part('true| No |Yes|false|maybe', '|', CAST(1 + l_suppkey % 5 AS INT))
+            WHEN k = 7 THEN CASE WHEN l_suppkey % 11 = 0 THEN 'three' ELSE '45' END
+            WHEN k = 8 THEN CAST(CAST(l_quantity AS INT) AS STRING)
+            WHEN k = 10 THEN split_part('A|b +|C|C-|D+|F|Pass| B-', '|', CAST(1 + l_suppkey % 8 AS INT))
+            WHEN k = 11 THEN split_part('Fall |Year |last year|Spring ', '|', CAST(1 + l_suppkey % 4 AS INT))
+                   || CASE WHEN l_suppkey % 4 = 2 THEN '' ELSE CAST(2010 + l_partkey % 15 AS STRING) END
+            WHEN k = 12 THEN 'see attached' END AS fact_value,
+       CASE WHEN unseen THEN NULL
+            WHEN k = 2 THEN p_name || '|' || lower(p_type) || ' part'
+            WHEN k = 3 THEN p_name || '| |' || split_part(p_name, ' ', 1) || ' goods'
+            WHEN k = 4 THEN 'Apply ' || p_name || '|Design ' || lower(p_type) || ' goods'
+            WHEN k = 5 THEN 'Use the ' || split_part(p_name, ' ', 2) || ' in practice'
+            WHEN k = 9 THEN 'Midterm|Final' END AS items_text,
+       unseen AS is_unknown, l_shipdate AS created_at
+FROM (SELECT *, CAST((l_partkey + l_linenumber) % 13 AS INT) AS k, l_linestatus = 'F' AND l_suppkey % 5 = 0 AS unseen
+      FROM @lineitem) li JOIN @part ON l_partkey = p_partkey
 """
 
 DEFS["extraction_runs"] = """
