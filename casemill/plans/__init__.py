@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("decisions",)
+AREAS = ("decisions", "cases", "reviews", "checks")
 
 
 def load_all() -> None:
