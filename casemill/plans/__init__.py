@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("decisions", "cases", "reviews", "checks")
+AREAS = ("decisions", "cases", "reviews", "checks", "risks")
 
 
 def load_all() -> None:
