@@ -23,37 +23,33 @@ def newest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], oldest:
 def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
-    segments: Sequence[Column],
+    segment: Column,
     order: Sequence[str],
     value: str,
     out: str,
     include_current: bool = True,
+    levels: int = 2,
 ) -> DataFrame:
     """Last non-null ``value`` before (or at) each row in ``order`` within ``keys``.
 
-    ``segments`` cut a key's ordered rows into runs, finest first; each must grow with ``order``.
-    Rows are windowed only inside a run. What a run inherits comes from run summaries, themselves cut the same
-    way, so that one huge key is spread over many tasks.
+    ``segment`` is a whole number that grows with ``order`` and cuts a key's rows into runs. Rows are windowed only
+    inside a run. What a run inherits comes from one summary row per run; with ``levels`` > 1 the summaries are
+    themselves cut into runs of 1024, so that one huge key is spread over many tasks.
     """
-    if not segments:
-        span = Window.partitionBy(*keys).orderBy(*order)
-        frame = span.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
-    seg, inherited, last = f"_{out}_seg", f"_{out}_inherited", f"_{out}_last"
-    cut = df.withColumn(seg, segments[0])
+    seg, inherited, last = f"_{out}_seg{levels}", f"_{out}_inherited{levels}", f"_{out}_last{levels}"
+    cut = df.withColumn(seg, segment)
     span = Window.partitionBy(*keys, seg).orderBy(*order)
     frame = span.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     local = cut.withColumn(out, F.last(value, ignorenulls=True).over(frame))
     runs = cut.groupBy(*keys, seg).agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(last))
-    coarser = []
-    for k in range(1, len(segments)):
-        runs = runs.withColumn(f"_{out}_c{k}", F.floor(F.col(seg) / (1024 ** k)))
-        coarser.append(F.col(f"_{out}_c{k}"))
-    carried = carry_forward(runs, keys, coarser, [seg], last, inherited, include_current=False)
-    carried = carried.select(*keys, seg, inherited)
+    if levels > 1:
+        carried = carry_forward(runs, keys, F.floor(F.col(seg) / 1024), [seg], last, inherited, False, levels - 1)
+    else:
+        before = Window.partitionBy(*keys).orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)
+        carried = runs.withColumn(inherited, F.last(last, ignorenulls=True).over(before))
     return (
-        local.join(carried, [*keys, seg], "left")
+        local.join(carried.select(*keys, seg, inherited), [*keys, seg], "left")
         .withColumn(out, F.coalesce(out, inherited))
         .drop(seg, inherited)
     )

@@ -145,7 +145,7 @@ def link_actions_to_runs(actions: DataFrame, runs: DataFrame) -> DataFrame:
                                         F.lit(None).cast("long").alias("review_action_id"),
                                         F.col("decision_run_id").alias("run")))
     days = F.datediff(F.to_date("at"), F.lit("1970-01-01").cast("date"))
-    carried = carry_forward(line, ["request_id"], [days], ["at", "side", "run"], "run", "decision_run_id")
+    carried = carry_forward(line, ["request_id"], days, ["at", "side", "run"], "run", "decision_run_id")
     return carried.filter("side = 1").select("request_id", "review_action_id", "decision_run_id")
 
 

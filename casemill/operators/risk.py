@@ -157,7 +157,7 @@ def sentences(pages: DataFrame) -> DataFrame:
     outer = cut.select("doc_id", "page_num", F.explode(F.when(n > 1, F.array(first, last)).otherwise(F.array(first))).alias("e"))
     outer = outer.select("doc_id", "page_num", "e.i", "e.piece").withColumn(
         "start", F.when(F.col("i") > 0, F.struct("page_num", "i")))
-    keyed = carry_forward(outer, ["doc_id"], [F.floor(F.col("page_num") / 64)], ["page_num", "i"], "start", "began")
+    keyed = carry_forward(outer, ["doc_id"], F.floor(F.col("page_num") / 64), ["page_num", "i"], "start", "began")
     whole = keyed.groupBy("doc_id", "began").agg(in_order(["page_num", "i"], "piece", " ").alias("piece"))
     return inner.unionByName(whole.select("doc_id", "piece"))
 

@@ -198,6 +198,70 @@ SELECT p_partkey, 2, CAST(floor(p_partkey / 3) AS BIGINT),
 FROM @part
 """
 
+# One course or page of front matter per page: contents table, headers in three forms, mid-line headers, body pages.
+DEFS["catalog_pages"] = """
+SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, CAST(p_partkey % 40 + 1 AS INT) AS page_num,
+       CASE WHEN p_partkey % 40 = 0 AND p_partkey % 80 = 0 THEN 'Table of Contents' || chr(10) || 'Biology ..... 44' || chr(10) || 'Chemistry 12' || chr(10)
+              || 'Mathematics and Statistics … 20' || chr(10) || 'Biology ... 10' || chr(10) || 'Art 3'
+            WHEN p_partkey % 7 = 0 THEN 'MED ' || CAST(1000 + p_partkey AS STRING) || '. ' || p_name || '. 4 Credit Hours.' || chr(10)
+              || 'Body about ' || p_name || '. Expected background: algebra' || chr(10) || 'more body'
+            WHEN p_partkey % 7 = 1 THEN 'BIOL' || CAST(100 + p_partkey % 900 AS STRING) || 'L. ' || p_name || '.' || chr(10) || 'Expected: none'
+              || chr(10) || repeat('long line ', 40) || chr(10) || 'Expected: second'
+            WHEN p_partkey % 7 = 2 THEN '10.' || CAST(100 + p_partkey % 900 AS STRING) || ' Chemical Work, with labs' || chr(10) || p_name
+            WHEN p_partkey % 7 = 3 THEN 'closing words MED ' || CAST(5000 + p_partkey AS STRING) || '. Second ' || p_name || '. 3 Credit Hours'
+              || chr(10) || 'body' || chr(10) || 'See PHYS 1030. Optics. and 8.03 Waves'
+            WHEN p_partkey % 7 = 4 THEN CAST(p_partkey % 40 + 4 AS STRING) || ' The Division of ' || p_type
+            WHEN p_partkey % 7 = 5 THEN ''
+            ELSE 'A B C index of MED and PHYS ' || repeat(p_name || ' ', 30) END AS text
+FROM @part
+"""
+
+DEFS["catalog_targets"] = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MED ' || CAST(1000 + doc_id * 40 + 7 - (doc_id * 40) % 7 AS STRING) WHEN 1 THEN 'BIOL 9999'
+       WHEN 2 THEN 'PHYS  1030' ELSE 'XYZ 1' END AS target_code,
+       CASE WHEN doc_id % 3 = 0 THEN ' chemical   WORK ' ELSE 'Nothing' END AS target_title
+FROM (SELECT DISTINCT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id FROM @part) d
+"""
+
+# Four pages per transcript in three layouts; seasons and years also stand on lines of their own and over page ends.
+DEFS["transcript_pages"] = """
+SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS request_id, CAST(o_orderkey % 4 + 1 AS INT) AS page_num,
+       CASE WHEN floor(o_orderkey / 4) % 3 = 0 THEN
+         CASE o_orderkey % 4
+           WHEN 0 THEN 'Course Code | Course Title | Credits | Grade | Term' || chr(10) || 'BIOL' || CAST(1000 + o_custkey AS STRING)
+                || ' | General Biology I | 4 | B+ | Fall 2023' || chr(10) || 'Spring' || chr(10) || 'CHEM' || CAST(1000 + o_custkey AS STRING)
+                || ' | Chemistry | 3 | A-' || chr(10) || '2024' || chr(10) || 'notes' || chr(10) || 'Brown Summer'
+           WHEN 1 THEN '' || chr(10) || '5.111 | Principles | 12 | CR' || chr(10) || 'Joint University 2025' || chr(10) || 'PHYS 101 | Optics | 4 | P'
+           WHEN 2 THEN 'MATH ' || CAST(1000 + o_custkey AS STRING) || ' Calculus without mark' || chr(10) || 'Winter' || chr(10) || 'the college line'
+                || chr(10) || 'Lab of ECON 200 Micro 3 W' || chr(10) || 'Institute 2019'
+           ELSE 'ART 100 Drawing 2 b' || chr(10) || 'ART 101 Painting 2 D+ SP21' || chr(10) || 'last words' END
+       WHEN floor(o_orderkey / 4) % 3 = 1 THEN
+         CASE o_orderkey % 4
+           WHEN 0 THEN 'Fall 2022' || chr(10) || 'CPSC ' || CAST(1000 + o_custkey AS STRING) || ' - Intro 3 cr A-' || chr(10) || 'FA23' || chr(10) || 'MATH 1530 Algebra 4 hours'
+                || chr(10) || 'B' || chr(10) || 'Spring 2023'
+           WHEN 1 THEN 'HIST 210 Rome 3 credits C' || chr(10) || 'MUS 110 Choir AU 202310' || chr(10) || 'Summer' || chr(10) || 'x 2020 Fall y'
+           ELSE 'ENG 300 Poems NC Winter' || chr(10) || '2021 year' || chr(10) || '18.01 Single Variable P' END
+       ELSE 'This long line names the term Fall 2018 in passing, as a note to the reader of it.' || chr(10) || 'BIO 100 One A CHE 101' || chr(10)
+            || 'PHY 102 Two' || chr(10) || 'B- 3 units' || chr(10) || 'GEO ' || CAST(100 + o_custkey % 800 AS STRING) || ' Maps and Ways F' || chr(10) || chr(10) || 'SOC 105' END AS text
+FROM @orders
+"""
+
+# Bulk course pages: page furniture, header, credits in several forms, description with labelled parts, spill-over pages.
+DEFS["bulk_pages"] = """
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS doc_id, CAST(p_partkey % 50 + 1 AS INT) AS page_num,
+       '2025-2026 Undergraduate Catalog' || chr(10) || '  ' || chr(10)
+       || CASE WHEN p_partkey % 4 = 3 THEN 'carried over ' || p_name || '. General Education Category: Science' || chr(10)
+          ELSE split_part('ESC,MATH,PSY,NURS', ',', CAST(p_partkey % 4 + 1 AS INT)) || ' ' || CAST(1000 + p_partkey AS STRING)
+               || split_part('L,,R', ',', CAST(p_partkey % 3 + 1 AS INT)) || ' - ' || p_name || CASE WHEN p_partkey % 5 = 0 THEN ' (NS)' ELSE '' END || chr(10)
+               || split_part('(3) Credit Hours;Credit Hours: 1 - 4;Credits: three;3 credit hours each;4 (2);3-0-3;no such line;(1.5-2) Credit Hours', ';', CAST(p_partkey % 8 + 1 AS INT)) || chr(10)
+               || 'Work on ' || p_name || '. Prerequisites: ' || p_type || ' 1010  or permission. ' || chr(10)
+               || split_part('Corequisites: MATH 1;Pre or Corequisites: ART 2;Only open to majors', ';', CAST(p_partkey % 3 + 1 AS INT)) || '. '
+               || split_part('Fall semester.;Every semester.;On demand.;', ';', CAST(p_partkey % 4 + 1 AS INT))
+               || CASE WHEN p_partkey % 6 = 0 THEN ' Laboratory/studio course fee will be assessed. Satisfactory/No Credit' ELSE '' END || chr(10) END
+       || 'Page: ' || CAST(p_partkey % 50 AS STRING) || ' | next' AS text
+FROM @part
+"""
+
 DEFS["log_lines"] = """
 SELECT event_id AS line_no, event_type || '.log' AS file_name, ts,
        CASE event_id % 7
