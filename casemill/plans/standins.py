@@ -217,8 +217,8 @@ FROM @part
 """
 
 DEFS["catalog_targets"] = """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MED ' || CAST(1000 + doc_id * 40 + 7 - (doc_id * 40) % 7 AS STRING) WHEN 1 THEN 'BIOL 9999'
-       WHEN 2 THEN 'PHYS  1030' ELSE 'XYZ 1' END AS target_code,
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MED ' || CAST(1000 + doc_id * 40 + 7 - (doc_id * 40) % 7 AS STRING) WHEN 1 THEN 'PHYS  1030'
+       WHEN 2 THEN 'BIOL 9999' ELSE 'XYZ 1' END AS target_code,
        CASE WHEN doc_id % 3 = 0 THEN ' chemical   WORK ' ELSE 'Nothing' END AS target_title
 FROM (SELECT DISTINCT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id FROM @part) d
 """

@@ -122,7 +122,7 @@ def distinct_items(t):
 
 @query("decision_prompts", "T17", """WITH links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % 2000 = p_partkey WHERE ordinal % 3 <> 0),
 b AS (SELECT f.request_id, f.ordinal, f.evidence_id, '- Fact: ' || coalesce(fact_key, 'None') || ' = ' || CASE WHEN trim(fact_value) <> '' THEN fact_value WHEN items_text IS NOT NULL
-    THEN to_json({'items': string_split(items_text, '|')}) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
+    THEN CAST(to_json({'items': string_split(items_text, '|')}) AS VARCHAR) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
     || coalesce('    [chunk_id: ' || chunk_uuid || ', page: ' || p_size || ']' || chr(10) || '    "' || p_name || '"', '    (no citation chunks linked)') || chr(10) AS block
   FROM @facts f LEFT JOIN links l ON l.evidence_id = f.evidence_id)
 SELECT request_id, md5(string_agg(block, chr(10) ORDER BY ordinal, evidence_id)) AS digest FROM b GROUP BY request_id""")
