@@ -217,14 +217,25 @@ def next_id(ids: DataFrame, column: str, prefix: str = "CASE-", width: int = 3)
 
 
 def case_detail(requests: DataFrame, documents: DataFrame, evidence: DataFrame, decision: DataFrame, audit: DataFrame) -> DataFrame:
-    """One nested row per case: documents, evidence, latest decision, audit log."""
-    def nested(df: DataFrame, order: list[str], name: str) -> DataFrame:
-        rest = [c for c in df.columns if c != "request_id" and c not in order]
-        return df.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+    """All parts of every case: documents, evidence, latest decision, audit log.
 
-    return (
-        requests.join(nested(documents, ["created_at", "doc_id"], "documents"), "request_id", "left")
-        .join(nested(evidence, ["ordinal", "evidence_id"], "evidence"), "request_id", "left")
-        .join(nested(audit, ["at", "kind", "ref_id"], "audit_log"), "request_id", "left")
-        .join(decision.select("request_id", "decision", "equivalency_score"), "request_id", "left")
-    )
+    One row per part with its section, sort key and JSON body instead of one nested row per case, so a case with very
+    many rows is never gathered into one task. Rows of one case stand together when sorted by
+    (request_id, section, sort_key).
+    """
+    def section(df: DataFrame, name: str, order: list[str], ref: str) -> DataFrame:
+        body = F.to_json(F.struct(*[c for c in df.columns if c != "request_id"]))
+        return df.select("request_id", F.lit(name).alias("section"), F.to_json(F.struct(*order)).alias("sort_key"),
+                         F.col(ref).cast("string").alias("ref_id"), body.alias("body"))
+
+    parts = [
+        section(requests, "case", ["status"], "request_id"),
+        section(documents, "document", ["created_at", "doc_id"], "doc_id"),
+        section(evidence, "evidence", ["ordinal", "evidence_id"], "evidence_id"),
+        section(decision, "decision", ["decision_run_id"], "decision_run_id"),
+        section(audit, "audit", ["at", "kind", "ref_id"], "ref_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.join(requests.select("request_id"), "request_id", "left_semi")

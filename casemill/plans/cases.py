@@ -315,23 +315,19 @@ def case_code_union(t):
     return own.unionByName(found).distinct()
 
 
-@query("case_details", "J20", """WITH d AS (SELECT request_id, count(*) AS n_docs, string_agg(filename, ',' ORDER BY created_at, doc_id) AS docs FROM @case_documents GROUP BY 1),
-e AS (SELECT request_id, count(*) AS n_evidence FROM @facts GROUP BY 1),
-x AS (SELECT request_id, decision, equivalency_score FROM @decision_runs JOIN @decision_results USING (decision_run_id) WHERE status = 'completed'
-  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY @decision_runs.created_at DESC, decision_run_id DESC) = 1),
-a AS (SELECT request_id, count(*) AS n FROM (SELECT request_id FROM @extraction_runs UNION ALL SELECT request_id FROM @decision_runs
-  UNION ALL SELECT request_id FROM @review_actions WHERE action_api <> 'ESCALATE' UNION ALL SELECT request_id FROM @votes) GROUP BY 1)
-SELECT r.request_id, coalesce(n_docs, 0) AS n_docs, coalesce(docs, '') AS docs, coalesce(n_evidence, 0) AS n_evidence,
-  coalesce(a.n, 0) AS n_audit, x.decision, x.equivalency_score
-FROM @requests r LEFT JOIN d ON d.request_id = r.request_id LEFT JOIN e ON e.request_id = r.request_id
-LEFT JOIN x ON x.request_id = r.request_id LEFT JOIN a ON a.request_id = r.request_id""")
+@query("case_details", "J20", f"""WITH {ACTIONS_SQL}, x AS (SELECT d.request_id, 'decision' AS section, d.decision_run_id AS ref_id, r.decision AS main FROM @decision_runs d JOIN @decision_results r
+    ON r.decision_run_id = d.decision_run_id WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY d.request_id ORDER BY d.created_at DESC, d.decision_run_id DESC) = 1),
+p AS (SELECT request_id, 'case' AS section, CAST(request_id AS VARCHAR) AS ref_id, status AS main FROM @requests UNION ALL SELECT request_id, 'document', CAST(doc_id AS VARCHAR), filename FROM @case_documents
+  UNION ALL SELECT request_id, 'evidence', evidence_id, fact_key FROM @facts UNION ALL SELECT request_id, section, CAST(ref_id AS VARCHAR), main FROM x
+  UNION ALL SELECT request_id, 'audit', CAST(extraction_run_id AS VARCHAR), 'EXTRACTION' FROM @extraction_runs UNION ALL SELECT request_id, 'audit', CAST(decision_run_id AS VARCHAR), 'DECISION' FROM @decision_runs
+  UNION ALL SELECT request_id, 'audit', CAST(review_action_id AS VARCHAR), upper(action) FROM acts UNION ALL SELECT request_id, 'audit', CAST(vote_id AS VARCHAR), 'VOTE' FROM @votes)
+SELECT * FROM p WHERE request_id IN (SELECT request_id FROM @requests)""")
 def case_details(t):
     audit = R.audit_timeline(t.extraction_runs, t.decision_runs, t.decision_results, actions(t), t.votes)
-    nested = C.case_detail(t.requests.select("request_id", "status"),
-                           t.case_documents.select("request_id", "created_at", "doc_id", "filename"),
-                           t.facts.select("request_id", "ordinal", "evidence_id", "fact_key", "fact_value"),
-                           C.latest_completed(t.decision_runs, t.decision_results), audit)
-    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    names = F.coalesce(F.array_join(F.transform("documents", lambda d: d["filename"]), ","), F.lit(""))
-    return nested.select("request_id", size("documents").alias("n_docs"), names.alias("docs"), size("evidence").alias("n_evidence"),
-                         size("audit_log").alias("n_audit"), "decision", "equivalency_score")
+    rows = C.case_detail(t.requests.select("request_id", "status"),
+                         t.case_documents.select("request_id", "created_at", "doc_id", "filename"),
+                         t.facts.select("request_id", "ordinal", "evidence_id", "fact_key", "fact_value"),
+                         C.latest_completed(t.decision_runs, t.decision_results).select("request_id", "decision_run_id", "decision"),
+                         audit.drop("decision"))
+    main = F.coalesce(*[F.get_json_object("body", f"$.{k}") for k in ("status", "filename", "fact_key", "decision", "kind")])
+    return rows.select("request_id", "section", "ref_id", main.alias("main"))

@@ -314,6 +314,19 @@ def oracle_text(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + bound
 
 
+# Tables whose rows get costly work (parsing, scanning, pivoting) right after the scan.
+SPREAD = ("documents", "lineitem", "orders", "part")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores.
+
+    Only a small input has so few splits; a large one is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 class Tables:
     """Attribute access to driver tables and stand-ins as DataFrames of one data folder."""
 
@@ -332,7 +345,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df) if name in SPREAD else df
         return self.sql(DEFS[name])
 
     def sql(self, text: str) -> DataFrame:
