@@ -128,45 +128,45 @@ ALLOWED_TYPES = {
 # ----------------------------------------------------------------------------
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
+_HIDDEN = dict.fromkeys(int(h, 16) for h in ZERO_WIDTH[1:-1].split("\\u")[1:])
+_LOOKALIKE = str.maketrans(HOMOGLYPHS)
 
-@F.pandas_udf(ArrayType(StringType()))
-def nfkc_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: None if ts is None else [unicodedata.normalize("NFKC", t) for t in ts])
 
-
-def _other_than_ascii(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]")
+def _plain(text: str | None) -> str | None:
+    if text is None:
+        return None
+    return unicodedata.normalize("NFKC", text.translate(_HIDDEN)).translate(_LOOKALIKE)
 
 
-def compatible(c: Column) -> Column:
-    """NFKC form; Spark has no such function, so rows with other than ASCII letters go to Arrow."""
-    odd = _other_than_ascii(c)
-    return F.when(odd, nfkc(F.when(odd, c))).otherwise(c)
+@F.pandas_udf(StringType())
+def plain_letters(texts: pd.Series) -> pd.Series:
+    """No hidden characters, NFKC form, look-alike letters made Latin."""
+    return texts.map(_plain)
 
 
-def visible(c: Column) -> Column:
-    return F.regexp_replace(c, ZERO_WIDTH, "")
+@F.pandas_udf(ArrayType(StringType()))
+def plain_letters_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [_plain(t) for t in ts])
 
 
-def plain_letters(c: Column) -> Column:
-    return F.translate(c, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
+def _other_than_ascii(c: Column) -> Column:
+    return c.rlike(r"[^\x00-\x7F]")
 
 
 def _settle(c: Column) -> Column:
-    single = F.regexp_replace(plain_letters(c), rf"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
+    single = F.regexp_replace(c, rf"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
     return F.regexp_replace(single, r"(.)\1{3,}", "$1")
 
 
 def scan_form(c: Column, window: int | None = None) -> Column:
     """Text for scanning: nothing hidden, plain letters, single blanks, long runs cut to one character.
 
-    The whole text is scanned; ``window`` restores a leading-characters limit.
+    Spark has no NFKC, so rows with other than ASCII letters go to Arrow; all others stay as they are. The whole text
+    is scanned; ``window`` restores a leading-characters limit.
     """
-    t = _settle(compatible(visible(F.coalesce(c, F.lit("")))))
+    text = F.coalesce(c, F.lit(""))
+    odd = _other_than_ascii(text)
+    t = _settle(F.when(odd, plain_letters(F.when(odd, text))).otherwise(text))
     return t if window is None else F.substring(t, 1, window)
 
 
@@ -247,9 +247,8 @@ def decoded_runs(raw: Column) -> Column:
 
 
 def scan_form_each(texts: Column) -> Column:
-    seen = F.transform(texts, visible)
-    odd = F.exists(seen, _other_than_ascii)
-    return F.transform(F.when(odd, nfkc_each(F.when(odd, seen))).otherwise(seen), _settle)
+    odd = F.exists(texts, _other_than_ascii)
+    return F.transform(F.when(odd, plain_letters_each(F.when(odd, texts))).otherwise(texts), _settle)
 
 
 def speaks_to_us(t: Column) -> Column:

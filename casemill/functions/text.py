@@ -23,6 +23,8 @@ TERM_FORMS = (
     r"(?i)\b(\d{4})\s+(Fall|Spring|Summer|Winter)\b",
     r"\b(20\d{2})(0[1-9]|1[0-2])\b",
 )
+# Cheap test that any of the forms may occur.
+ANY_TERM = r"(?i)(?:fall|spring|summer|winter|fa|sp|su|wi)\s*\d{2}|\d{4}\s+(?:fall|spring|summer|winter)|20\d{4}"
 TERM_OFFERED = (
     r"(Every semester\.|Fall semester\.|Spring semester\.|Fall and Spring semesters\.|"
     r"Fall or Spring semester\.|Every other Fall semester\.|On demand\.)"
@@ -95,18 +97,15 @@ def clip(c: Column, limit: int, mark: str = "") -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct content words: lower case, no stop words, plain plurals made singular."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    """Distinct content words: lower case, no stop words, plain plurals made singular.
 
-    def singular(w: Column) -> Column:
-        keep = F.lit(False)
-        for end in PLURAL_KEEP:
-            keep = keep | w.endswith(end)
-        return F.when((F.length(w) > 3) & w.endswith("s") & ~keep,
-                      F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-
-    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.array_contains(stop, w)), singular))
+    Words are changed by patterns on the whole text, which stays in generated code, and only then split.
+    """
+    words = F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    kept = F.regexp_replace(words, rf"(?<![^ ])(?:{'|'.join(STOPWORDS)})(?![^ ])", "")
+    # At least four letters, ending in a plain s: the letter before it is none of those that PLURAL_KEEP ends in.
+    singular = F.regexp_replace(kept, r"(?<![^ ])([a-z0-9]{2,}[a-hj-rtv-z0-9])s(?![^ ])", "$1")
+    return F.array_distinct(F.array_remove(F.split(singular, " +"), ""))
 
 
 def truth(c: Column) -> Column:
@@ -167,7 +166,16 @@ def term(c: Column) -> Column:
 
 def term_in_text(c: Column) -> Column:
     """First written term in a line, normalized; null where there is none."""
-    return F.coalesce(*[term(found(c, p, 0)) for p in TERM_FORMS])
+    named, short, swapped, numbered = TERM_FORMS
+    get = lambda p, i: F.regexp_extract(c, p, i)
+    season_of = F.create_map(*[F.lit(x) for kv in SEASONS.items() for x in kv])
+    month = get(numbered, 2)
+    by_month = F.when(month.isin("01", "02"), "Spring").when(month.isin("05", "06", "07"), "Summer").otherwise("Fall")
+    return F.when(c.rlike(ANY_TERM), (
+        F.when(c.rlike(named), F.initcap(F.lower(get(named, 0))))
+        .when(c.rlike(short), F.concat(F.element_at(season_of, F.upper(get(short, 1))), F.lit(" 20"), get(short, 2)))
+        .when(c.rlike(swapped), F.concat(F.initcap(F.lower(get(swapped, 2))), F.lit(" "), get(swapped, 1)))
+        .when(c.rlike(numbered), F.concat(by_month, F.lit(" "), get(numbered, 1)))))
 
 
 def term_year(c: Column) -> Column:

@@ -64,6 +64,9 @@ def with_target(cases: DataFrame, profiles: DataFrame) -> DataFrame:
     to the optimizer: it broadcasts when its measured size allows and else is joined by shuffle.
     """
     none = F.array().cast("array<string>")
+    # Tokens of the required items are made once per profile rather than once per case.
+    profiles = profiles.withColumns({"_req_topics": _keyed(F.col("required_topics")),
+                                     "_req_outcomes": _keyed(F.col("required_outcomes"))})
     return (
         cases.withColumn("code", X.target_code(F.col("course_requested")))
         .join(profiles, "code", "left")
@@ -72,6 +75,8 @@ def with_target(cases: DataFrame, profiles: DataFrame) -> DataFrame:
             "target_lab_required": F.coalesce("target_lab_required", F.lit(False)),
             "required_topics": F.coalesce("required_topics", none),
             "required_outcomes": F.coalesce("required_outcomes", none),
+            "_req_topics": F.coalesce("_req_topics", _keyed(none)),
+            "_req_outcomes": F.coalesce("_req_outcomes", _keyed(none)),
         })
     )
 
@@ -142,8 +147,8 @@ def decide(cases: DataFrame, policy: Policy, current_year: int) -> DataFrame:
         "_credits": X.strict_int(F.col("credits")),
         "_found_topics": _keyed(X.norm_list(F.col("topics"))),
         "_found_outcomes": _keyed(X.norm_list(F.col("outcomes"))),
-        "_req_topics": _keyed(F.col("required_topics")),
-        "_req_outcomes": _keyed(F.col("required_outcomes")),
+        **{n: _keyed(F.col(c)) for n, c in (("_req_topics", "required_topics"), ("_req_outcomes", "required_outcomes"))
+           if n not in cases.columns},
     })
     df = df.withColumns({
         "_topic_hits": split_matches(F.col("_req_topics"), F.col("_found_topics")),

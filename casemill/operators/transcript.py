@@ -40,19 +40,22 @@ def layout(pages: DataFrame) -> DataFrame:
                         .otherwise("unknown").alias("layout"))
 
 
-def _with_code(lines: DataFrame) -> DataFrame:
-    """Add course_code (lettered before dotted, anywhere in the line) and the rest of the line after it."""
-    line = F.col("line")
-    lettered, dotted = line.rlike(CODE), line.rlike(DOTTED_CODE)
-    cut = lambda p: F.regexp_replace(line, rf"^[\s\S]*?{p}", "")
-    pair = lambda p, sep: X.transcript_code(F.concat(F.regexp_extract(line, p, 1), F.lit(sep), F.regexp_extract(line, p, 2)))
-    # A dotted code at the line start goes before a lettered one further in.
-    head_dotted = line.rlike("^" + DOTTED_CODE) & ~line.rlike("^" + CODE) & F.col("_tabular")
-    use_dotted = head_dotted | (~lettered & dotted)
-    return lines.withColumns({
-        "course_code": F.when(use_dotted, pair(DOTTED_CODE, ".")).when(lettered, pair(CODE, " ")),
-        "_rest": F.when(use_dotted, cut(DOTTED_CODE)).when(lettered, cut(CODE)),
-    })
+def _with_code(lines: DataFrame, table: bool) -> DataFrame:
+    """Add course_code (lettered before dotted, anywhere in the line) and the rest of the line after it.
+
+    In tables a dotted code at the line start goes before a lettered one further in.
+    """
+    line, hit = F.col("line"), F.col("_hit")
+    pattern = F.when(line.rlike(CODE), F.lit(CODE)).when(line.rlike(DOTTED_CODE), F.lit(DOTTED_CODE))
+    if table:
+        pattern = F.when(line.rlike("^" + DOTTED_CODE) & ~line.rlike("^" + CODE), F.lit(DOTTED_CODE)).otherwise(pattern)
+    found = lines.withColumn("_pattern", pattern).withColumn("_hit", F.regexp_substr(line, F.col("_pattern")))
+    start = F.regexp_instr(line, F.col("_pattern"))
+    lettered = F.concat(F.regexp_extract(hit, "^[A-Z]+", 0), F.lit(" "), F.regexp_extract(hit, r"\d+[A-Z]?$", 0))
+    return found.withColumns({
+        "course_code": F.when(hit.contains("."), hit).when(hit.isNotNull(), lettered),
+        "_rest": F.substring(line, start + F.length(hit), F.length(line)),
+    }).drop("_pattern", "_hit")
 
 
 def _before(text: Column, pattern: str) -> Column:
@@ -64,23 +67,34 @@ def _title(text: Column) -> Column:
     return F.when((F.length(text) > 3) & (F.length(text) < 100), text)
 
 
+def _table_lines(pages: DataFrame) -> DataFrame:
+    """Lines of table-like pages with their course code, and what each does to the pending season."""
+    lines = _with_code(page_lines(pages.select("doc_id", "page_num", "text")), table=True)
+    line = F.col("line")
+    ends = line.rlike(SEASON_END) & ~line.rlike("^" + CODE)
+    season = F.when(ends, F.initcap(F.lower(F.regexp_extract(line, SEASON_END, 1))))
+    neutral = (line == "") | line.rlike(YEAR_LINE) | line.rlike(PLACE_YEAR_LINE)
+    lines = lines.withColumns({"_season": season, "_neutral": neutral})
+    event = (F.when(F.col("_season").isNotNull(), F.col("_season")).when(F.col("_neutral"), None)
+             .when(F.col("course_code").isNotNull(), "").when(line.rlike(PLACE), None).otherwise(""))
+    return lines.withColumns({"_event": event, "_is_course": F.col("_season").isNull() & ~F.col("_neutral") & F.col("course_code").isNotNull()})
+
+
+def has_table_rows(pages: DataFrame) -> DataFrame:
+    """Documents in which the table reading finds at least one course row."""
+    rows = _table_lines(pages).filter(F.col("_is_course") & F.col("_rest").rlike(GRADE))
+    return rows.select("doc_id").distinct()
+
+
 def tabular_courses(pages: DataFrame) -> DataFrame:
     """Course rows of table-like pages, where a season may stand on an earlier line and its year on the next.
 
     Every line either sets the pending season, clears it ('') or leaves it (null); what a course line sees is the last
     such event before it, over page ends too.
     """
-    lines = page_lines(pages.select("doc_id", "page_num", "text")).withColumn("_tabular", F.lit(True))
     line = F.col("line")
-    lines = _with_code(lines)
-    season = F.when((line != "") & (line.rlike(SEASON_LINE) | (line.rlike(SEASON_END) & ~line.rlike("^" + CODE))),
-                    F.initcap(F.lower(F.regexp_extract(line, SEASON_END, 1))))
-    neutral = (line == "") | line.rlike(YEAR_LINE) | line.rlike(PLACE_YEAR_LINE)
-    event = (F.when(season.isNotNull(), season).when(neutral, None)
-             .when(F.col("course_code").isNotNull(), "").when(line.rlike(PLACE), None).otherwise(""))
-    lines = lines.withColumns({"_event": event, "_is_course": season.isNull() & ~neutral & F.col("course_code").isNotNull()})
-    seen = carry_forward(lines, ["doc_id"], F.floor(F.col("page_num") / PAGE_RUN), ["page_num", "line_no"], "_event",
-                         "_pending", include_current=False)
+    seen = carry_forward(_table_lines(pages), ["doc_id"], F.floor(F.col("page_num") / PAGE_RUN), ["page_num", "line_no"],
+                         "_event", "_pending", include_current=False)
     nxt = F.coalesce("next_line", F.lit(""))
     grade = X.found(F.col("_rest"), GRADE)
     pending = F.nullif("_pending", F.lit(""))
@@ -102,9 +116,9 @@ def tabular_courses(pages: DataFrame) -> DataFrame:
 
 def free_courses(pages: DataFrame) -> DataFrame:
     """Course rows of pages grouped by term or in running lines."""
-    lines = page_lines(pages.select("doc_id", "page_num", "text"), keep_blank=False).withColumn("_tabular", F.lit(False))
+    lines = page_lines(pages.select("doc_id", "page_num", "text"), keep_blank=False)
     line, nxt = F.col("line"), F.coalesce("next_line", F.lit(""))
-    lines = _with_code(lines).withColumn("_term", X.term_in_text(line))
+    lines = _with_code(lines, table=False).withColumn("_term", X.term_in_text(line))
     header = F.col("_term").isNotNull() & ((F.length("line") < 50) | F.lower(line).startswith("term") | F.lower(line).startswith("semester"))
     lines = lines.withColumn("_head", F.when(header, F.col("_term")))
     before = Window.partitionBy("doc_id", "page_num").orderBy("line_no").rowsBetween(-LOOK_BACK, -1)
@@ -132,9 +146,8 @@ def transcript_courses(pages: DataFrame) -> DataFrame:
     """Course rows by layout; a table-like document that gives none is read as free text."""
     kinds = layout(pages)
     tab = pages.join(kinds.filter("layout = 'tabular'").select("doc_id"), "doc_id", "left_semi")
-    rows = tabular_courses(tab)
-    free = pages.join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-    return rows.unionByName(free_courses(free))
+    free = pages.join(has_table_rows(tab), "doc_id", "left_anti")
+    return tabular_courses(tab).unionByName(free_courses(free))
 
 
 def matched(courses: DataFrame, codes: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ SELECT request_id, CAST(n_ht AS INTEGER) AS topics_matched, CAST(n_ho AS INTEGER
 def required_item_matches(t):
     df = cases(t)
     for kind in ("topics", "outcomes"):
-        df = df.withColumn(f"_{kind}", D.split_matches(D._keyed(F.col(f"required_{kind}")),
+        df = df.withColumn(f"_{kind}", D.split_matches(F.col(f"_req_{kind}"),
                                                        D._keyed(X.norm_list(F.col(kind)))))
     return df.select("request_id", *[c for k in ("topics", "outcomes") for c in (
         F.size(D._items(F.col(f"_{k}"), True)).alias(f"{k}_matched"),
