@@ -1,6 +1,6 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR names the data folder, BENCH_CPUS the number of local cores; BENCH_ALL=1 times every registered query.
+BENCH_SF_DIR names the data folder, BENCH_CPUS the number of local cores; BENCH_ALL=1 times every registered query, BENCH_ONLY="a b" the named ones.
 Each query is run once to warm up and once to be timed, every row computed and none kept.
 """
 
@@ -28,6 +28,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     every = os.environ.get("BENCH_ALL") == "1"
+    wanted = os.environ.get("BENCH_ONLY", "").split()
     spark = build_session(
         f"local[{cpus}]", "bench",
         **{"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "16g",
@@ -35,7 +36,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     load_all()
     times: dict[str, float] = {}
-    for name in QUERIES if every else HEADLINE:
+    for name in wanted or (QUERIES if every else HEADLINE):
         for attempt in range(1 if every else 2):
             start = time.perf_counter()
             QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()

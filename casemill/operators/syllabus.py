@@ -37,46 +37,47 @@ def _on_first_page(value: Column) -> Column:
     return F.max(F.when(F.col("page_num") == 1, value))
 
 
-def _opens(heads: str) -> str:
-    """A heading with text after it."""
-    return rf"(?i)(?:{heads})\s*\S"
-
-
 def _sections(pages: DataFrame) -> DataFrame:
     """Text of each section from its first heading to the next heading line, also over page ends.
 
-    Pages before the heading and after a sure end are dropped before any text is gathered, so the gathered text is
-    no longer than the section with the rest of its last page.
+    Where a section begins and surely ends is settled on narrow page flags. Only then are the pages between gathered,
+    so the gathered text is no longer than the section with the rest of its last page.
     """
     names = list(SECTIONS)
-    p = F.col("page_num")
+    p, text = F.col("page_num"), F.col("text")
+    flags = pages.select(
+        "doc_id", "page_num", text.rlike(NEXT_HEADING).alias("_stop"),
+        *[text.rlike(f"(?i)(?:{SECTIONS[n]})").alias(f"_head_{n}") for n in names],
+        *[text.rlike(rf"(?i:{SECTIONS[n]})\s*\S[\s\S]*?{NEXT_HEADING}").alias(f"_in_{n}") for n in names])
+    opened = flags.groupBy("doc_id").agg(
+        *[F.min(F.when(F.col(f"_head_{n}"), p)).alias(f"{n}_from") for n in names], F.max(p).alias("_last"))
 
-    def has_head(n: str) -> Column:
-        return F.col("text").rlike(f"(?i)(?:{SECTIONS[n]})")
+    def ends(n: str) -> Column:
+        begin = F.col(f"{n}_from")
+        return F.min(F.when(((p == begin) & F.col(f"_in_{n}")) | ((p > begin) & F.col("_stop")), p)).alias(f"{n}_to")
 
-    opened = pages.groupBy("doc_id").agg(
-        *[F.min(F.when(has_head(n), p)).alias(f"{n}_from") for n in names], F.max(p).alias("_last"))
-    later = pages.join(opened, "doc_id")
+    closed = flags.join(opened, "doc_id").groupBy("doc_id").agg(*[ends(n) for n in names])
+    spans = opened.join(closed, "doc_id")
 
-    def ends(n: str) -> Column:
-        inside = (p == F.col(f"{n}_from")) & F.col("text").rlike(rf"(?i:{SECTIONS[n]})\s*\S[\s\S]*?{NEXT_HEADING}")
-        return inside | ((p > F.col(f"{n}_from")) & F.col("text").rlike(NEXT_HEADING))
+    def within(n: str) -> Column:
+        return (p >= F.col(f"{n}_from")) & (p <= F.coalesce(f"{n}_to", "_last"))
 
-    closed = later.groupBy("doc_id").agg(*[F.min(F.when(ends(n), p)).alias(f"{n}_to") for n in names])
-    near = later.join(closed, "doc_id")
+    wanted = within(names[0])
+    for n in names[1:]:
+        wanted = F.coalesce(wanted, F.lit(False)) | F.coalesce(within(n), F.lit(False))
+    near = pages.join(spans, "doc_id").filter(wanted)
 
     def gathered(n: str) -> Column:
-        within = (p >= F.col(f"{n}_from")) & (p <= F.coalesce(f"{n}_to", "_last"))
-        rows = F.array_sort(F.collect_list(F.when(within, F.struct("page_num", "text"))))
+        rows = F.array_sort(F.collect_list(F.when(within(n), F.struct("page_num", "text"))))
         return F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias(f"_{n}")
 
-    text = near.groupBy("doc_id").agg(*[gathered(n) for n in names])
+    found = near.groupBy("doc_id").agg(*[gathered(n) for n in names])
     out = [F.col("doc_id")]
     for n in names:
         pattern = rf"(?i)(?:{SECTIONS[n]})\s*([\s\S]+)"
         tail = X.found(F.col(f"_{n}"), pattern, 1)
         out.append(X.strip(F.get(F.split(tail, NEXT_HEADING, 2), F.lit(0))).alias(n))
-    return text.select(*out)
+    return found.select(*out)
 
 
 def _first_matches(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -109,7 +110,7 @@ def syllabus_facts(pages: DataFrame) -> DataFrame:
     firsts = pages.groupBy("doc_id").agg(_on_first_page(title).alias("title"), _on_first_page(second).alias("_second"))
     heads = firsts.join(_first_matches(pages, {"_l": CODE, "_dotted": DOTTED_CODE,
                                                **{f"_c{i}": c for i, c in enumerate(CREDIT_FORMS)}}), "doc_id")
-    facts = heads.join(_sections(pages), "doc_id")
+    facts = heads.join(_sections(pages), "doc_id", "left")
     return facts.select(
         "doc_id", F.coalesce(F.concat(F.regexp_extract("_l", CODE, 1), F.lit(" "), F.regexp_extract("_l", CODE, 2)),
                              "_dotted").alias("course_code"), "title",
