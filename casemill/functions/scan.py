@@ -113,6 +113,7 @@ HOMOGLYPHS = {
 ZERO_WIDTH = r"[\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad\u034f\u2060\u2061\u2062\u2063]"
 # Every kind of white space, as one class.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"(?U)(\w+)"
 BASE64_RUN = r"[A-Za-z0-9+/]{20,}={0,2}"
 MAX_TRIGGERS = 10
 POINTS = {"high": 5, "medium": 3, "typoglycemia": 2, "trigger_word": 1, "base64_decode": 6, "bonus": 2}
@@ -175,16 +176,21 @@ def _regex(pattern: str) -> str:
     return ("(?iU)" if unicode_words else "(?i)") + pattern
 
 
-def matches(name: str, pattern: str, scan: Column, low: Column) -> Column:
-    """Whether a pattern occurs in a scan form; ``low`` is its lower-case form."""
-    near = F.lit(False)
-    for anchor in ANCHORS[name]:
-        near = near | low.contains(anchor)
-    return near & scan.rlike(_regex(pattern))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _occurs(name: str, pattern: str, scan: str, low: str) -> str:
+    """SQL text: whether a pattern occurs in a scan form; ``low`` is its lower-case form.
+
+    The pattern tables are written out as one SQL text, parsed once, rather than as some thousand column calls.
+    """
+    near = " OR ".join(f"contains({low}, {_quoted(a)})" for a in ANCHORS[name])
+    return f"(({near}) AND {scan} RLIKE {_quoted(_regex(pattern))})"
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(1))
 
 
 def finding(rank: int, detector: str, severity: Column | str, points: Column | int, match: Column) -> Column:
@@ -193,11 +199,12 @@ def finding(rank: int, detector: str, severity: Column | str, points: Column | i
                     as_col(points).cast("int").alias("points"), match.alias("match"))
 
 
-def regex_findings(scan: Column, low: Column) -> Column:
-    """Pattern findings, one per pattern, in pattern order."""
-    hits = [F.when(matches(name, p, scan, low), finding(0, "regex", sev, POINTS[sev], F.lit(name)))
+def regex_findings(scan: str, low: str) -> Column:
+    """Pattern findings of a scan-form column, one per pattern, in pattern order."""
+    hits = [f"CASE WHEN {_occurs(name, p, scan, low)} THEN named_struct('rank', 0, 'detector', 'regex', 'severity', '{sev}', "
+            f"'points', {POINTS[sev]}, 'match', '{name}') END"
             for sev, table in (("high", HIGH_PATTERNS), ("medium", MEDIUM_PATTERNS)) for name, p in table]
-    return F.array_compact(F.array(*hits))
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
 def trigger_words(tokens: Column) -> Column:
@@ -251,12 +258,12 @@ def scan_form_each(texts: Column) -> Column:
     return F.transform(F.when(odd, plain_letters_each(F.when(odd, texts))).otherwise(texts), _settle)
 
 
-def speaks_to_us(t: Column) -> Column:
-    """Whether a decoded text hits a pattern or a trigger word."""
-    hit = F.size(trigger_words(words(t))) > 0
-    for name, p in (*HIGH_PATTERNS, *MEDIUM_PATTERNS):
-        hit = hit | matches(name, p, t, F.lower(t))
-    return hit
+def speaking(texts: str) -> Column:
+    """Decoded texts of an array column that hit a pattern or a trigger word."""
+    told = " OR ".join(_occurs(name, p, "t", "lower(t)") for name, p in (*HIGH_PATTERNS, *MEDIUM_PATTERNS))
+    listed = ", ".join(_quoted(w) for w in TRIGGER_WORDS)
+    spoken = f"arrays_overlap(regexp_extract_all(lower(t), {_quoted(WORD)}, 1), array({listed}))"
+    return F.expr(f"filter({texts}, t -> {spoken} OR {told})")
 
 
 def file_type(head: Column) -> Column:

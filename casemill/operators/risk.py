@@ -52,9 +52,9 @@ def findings(pages: DataFrame, text: str = "text", window: int | None = None) ->
                            lambda w: S.finding(1, "trigger_word", "low", S.POINTS["trigger_word"], w))
     typos = F.transform(S.misspelled(F.col("_words")),
                         lambda m: S.finding(2, "typoglycemia", "low", S.POINTS["typoglycemia"], m))
-    coded = F.transform(F.filter("_coded", S.speaks_to_us),
+    coded = F.transform(S.speaking("_coded"),
                         lambda _: S.finding(3, "base64_decode", "high", S.POINTS["base64_decode"], F.lit("base64_encoded_injection")))
-    out = prepared.withColumn("_signals", F.concat(S.regex_findings(F.col("_scan"), F.col("_low")), triggers, typos, coded))
+    out = prepared.withColumn("_signals", F.concat(S.regex_findings("_scan", "_low"), triggers, typos, coded))
     bonus = F.when(F.size("_signals") >= 2, F.array(
         S.finding(4, "bonus", "medium", S.POINTS["bonus"], F.lit("multi_signal_bonus"))))
     out = out.withColumn("findings", F.when(F.size("_signals") >= 2, F.concat("_signals", bonus)).otherwise(F.col("_signals")))

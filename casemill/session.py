@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "casemill", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call sites of every column call cost more than the calls themselves in plans as wide as these.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
