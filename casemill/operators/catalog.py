@@ -264,7 +264,7 @@ def select_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
 # ---- fixed values ----------------------------------------------------------
 NOISE = (
     r"^2025-2026 Undergraduate Catalog",
-    r"https://catalog\.utc\.edu",
+    r"https://catalog\.[a-z]+\.edu",
     r"(?i)^\d{1,2}/\d{1,2}/\d{2},\s+\d{1,2}:\d{2}\s+(AM|PM)\s+Course Descriptions",
     r"^Contract All Courses",
     r"(?i)^Page:\s+\d+\s+\|",

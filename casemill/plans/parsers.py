@@ -78,10 +78,10 @@ def catalog_candidates(t):
 
 
 MATCH_SQL = CANDIDATE_SQL + """,
-mt AS (SELECT t.doc_id, t.target_code, t.target_title, c.b, c.course_code, c.title, CASE WHEN c.course_code = trim(regexp_replace(t.target_code, '\\s+', ' ', 'g')) THEN 0 ELSE 1 END AS prio
+mt AS (SELECT t.doc_id, t.target_code, t.target_title, c.b, c.course_code, c.title, c.source_pages, CASE WHEN c.course_code = trim(regexp_replace(t.target_code, '\\s+', ' ', 'g')) THEN 0 ELSE 1 END AS prio
   FROM @catalog_targets t JOIN cand c ON c.doc_id = t.doc_id AND (c.course_code = trim(regexp_replace(t.target_code, '\\s+', ' ', 'g'))
     OR lower(trim(c.title)) = lower(trim(regexp_replace(t.target_title, '\\s+', ' ', 'g')))) QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.target_code ORDER BY prio, c.b) = 1),
-mx AS (SELECT t.doc_id, t.target_code, t.target_title, m.course_code, m.title, CASE m.prio WHEN 0 THEN 'matched_by_course_code' WHEN 1 THEN 'matched_by_title' ELSE 'no_match' END AS reason
+mx AS (SELECT t.doc_id, t.target_code, t.target_title, m.course_code, m.title, m.source_pages, CASE m.prio WHEN 0 THEN 'matched_by_course_code' WHEN 1 THEN 'matched_by_title' ELSE 'no_match' END AS reason
   FROM @catalog_targets t LEFT JOIN mt m ON m.doc_id = t.doc_id AND m.target_code = t.target_code)"""
 
 
@@ -100,7 +100,10 @@ def catalog_match_evidence(t):
     return C.match_evidence(C.match_target(found, t.catalog_targets), found).drop("source_pages")
 
 
-@query("catalog_match_citations", "T7")
+@query("catalog_match_citations", "T7", f"""WITH {MATCH_SQL}, ev AS (SELECT doc_id, 'match::' || coalesce(course_code, target_code, 'unknown') AS fact_key, string_split(source_pages, ',') AS sp FROM mx),
+ck AS (SELECT doc_id, page_num, md5(text) AS chunk_id FROM @catalog_pages WHERE text <> ''), own AS (SELECT ev.doc_id, fact_key, chunk_id FROM ev JOIN ck ON ck.doc_id = ev.doc_id AND list_contains(sp, CAST(page_num AS VARCHAR)))
+SELECT * FROM own UNION ALL SELECT ev.doc_id, fact_key, chunk_id FROM ev JOIN ck ON ck.doc_id = ev.doc_id WHERE page_num = (SELECT min(page_num) FROM ck k WHERE k.doc_id = ev.doc_id)
+  AND NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = ev.doc_id AND o.fact_key = ev.fact_key)""")
 def catalog_match_citations(t):
     found = C.candidates(t.catalog_pages)
     ev = C.match_evidence(C.match_target(found, t.catalog_targets), found)
@@ -141,7 +144,26 @@ def page_offsets(t):
     return C.page_offsets(t.catalog_pages)
 
 
-@query("selected_pages", "T11 W8 J12 J15 W13")
+SELECTED_SQL = """WITH n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS total FROM @catalog_pages GROUP BY 1),
+h AS (SELECT p.doc_id, t.target_code, p.page_num FROM @catalog_pages p JOIN @catalog_targets t ON t.doc_id = p.doc_id
+  WHERE contains(upper(regexp_replace(p.text, '\\s+', '', 'g')), upper(replace(t.target_code, ' ', '')))),
+dr AS (SELECT DISTINCT h.doc_id, h.target_code, p.page_num FROM h JOIN @catalog_pages p ON p.doc_id = h.doc_id AND p.page_num BETWEEN h.page_num - 2 AND h.page_num + 2),
+l1 AS (SELECT t.*, regexp_extract(target_code, '\\b([A-Z]{2,6})\\s*([0-9]{3,4}[A-Z]?)\\b', 1) AS subject FROM @catalog_targets t WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.doc_id = t.doc_id AND dr.target_code = t.target_code)),
+po AS (SELECT doc_id, coalesce(arg_min(s, page_num) FILTER (WHERE s <> 0), 0) AS o FROM (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS s FROM @catalog_pages WHERE page_num <= 20) GROUP BY 1),
+tc AS (SELECT l1.doc_id, target_code, greatest(1, 10 + o - 2) AS a, least(total, 12 + o + 5 + o) AS b, total FROM l1 JOIN po ON po.doc_id = l1.doc_id JOIN n ON n.doc_id = l1.doc_id
+  WHERE subject = 'BIOL' AND l1.doc_id IN (SELECT doc_id FROM @catalog_pages WHERE contains(text, 'Table of Contents'))),
+t2 AS (SELECT doc_id, target_code, a, CASE WHEN b - a < 20 THEN least(total, a + 30) ELSE b END AS b FROM tc),
+l2 AS (SELECT * FROM l1 WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.doc_id = l1.doc_id AND tc.target_code = l1.target_code)),
+ix AS (SELECT l2.doc_id, target_code, min(page_num) AS i FROM l2 JOIN @catalog_pages p ON p.doc_id = l2.doc_id WHERE subject <> '' AND page_num <= 100 AND length(text) > 200 AND contains(text, subject)
+  AND regexp_matches(text, '[A-Z]\\s+[A-Z]\\s+[A-Z]') GROUP BY 1, 2),
+l3 AS (SELECT * FROM l2 WHERE NOT EXISTS (SELECT 1 FROM ix WHERE ix.doc_id = l2.doc_id AND ix.target_code = l2.target_code))
+SELECT doc_id, target_code, page_num, 'direct_text_search' AS strategy FROM dr
+UNION ALL SELECT doc_id, target_code, CAST(unnest(range(a, b + 1)) AS INTEGER), 'toc_section:Biology' FROM t2
+UNION ALL SELECT ix.doc_id, target_code, CAST(unnest(range(greatest(1, i - 6), least(total, i + 49))) AS INTEGER), 'alphabetical_search' FROM ix JOIN n ON n.doc_id = ix.doc_id
+UNION ALL SELECT l3.doc_id, target_code, page_num, 'fallback_full_scan' FROM l3 JOIN @catalog_pages p ON p.doc_id = l3.doc_id"""
+
+
+@query("selected_pages", "T11 W8 J12 J15 W13", SELECTED_SQL)
 def selected_pages(t):
     return C.select_pages(t.catalog_pages, t.catalog_targets)
 

@@ -1,6 +1,6 @@
 """Case tables derived from the driver tables.
 
-The reference domain ships no bulk data, so each case table is a projection of a driver table and grows with it.
+The domain ships no bulk data, so each case table is a projection of a driver table and grows with it.
 Each definition is one SQL text that Spark and DuckDB both read; ``@name`` marks a table, ``@array(`` an array.
 """
 
@@ -51,7 +51,7 @@ FROM @part
 """
 
 DEFS["reviewers"] = """
-SELECT s_suppkey AS reviewer_id, s_name AS reviewer_name, 'u' || CAST(s_suppkey AS STRING) AS utc_id,
+SELECT s_suppkey AS reviewer_id, s_name AS reviewer_name, 'u' || CAST(s_suppkey AS STRING) AS login_id,
        CASE s_nationkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'reviewer' ELSE 'committee' END AS role,
        CASE s_suppkey % 3 WHEN 0 THEN CAST('2020-01-01' AS DATE) WHEN 1 THEN NULL
             ELSE CAST('2035-01-01' AS DATE) END AS expires_at,
