@@ -180,9 +180,9 @@ def with_outcomes(courses: DataFrame, outcomes: DataFrame, order: str) -> DataFr
 def round_robin(cases: DataFrame, reviewers: DataFrame, key: str = "request_id", reviewer: str = "reviewer_id") -> DataFrame:
     """Case i goes to reviewer i mod n, both in key order."""
     ranked = dense_index(reviewers.select(reviewer), reviewer, "_slot")
-    n = reviewers.agg(F.count(F.lit(1)).alias("_n"))
-    numbered = dense_index(cases.select(key), key, "_i").join(F.broadcast(n))  # one row
-    return numbered.withColumn("_slot", F.col("_i") % F.col("_n")).join(ranked, "_slot").select(key, reviewer)
+    n = reviewers.agg(F.count(F.lit(1))).scalar()
+    numbered = dense_index(cases.select(key), key, "_i")
+    return numbered.withColumn("_slot", F.col("_i") % n).join(ranked, "_slot").select(key, reviewer)
 
 
 def delete_cases(doomed: DataFrame, children: dict[str, DataFrame], key: str = "request_id") -> dict[str, DataFrame]:

@@ -352,5 +352,4 @@ def corpus_metrics(courses: DataFrame, chunks: DataFrame) -> DataFrame:
     """Files, courses and chunks of a bulk run."""
     a = courses.agg(F.countDistinct("doc_id").alias("n_files"), F.count(F.lit(1)).alias("n_courses"),
                     F.count("warning").alias("n_warnings"))
-    b = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
-    return a.join(F.broadcast(b))  # one row each
+    return a.withColumn("n_chunks", chunks.agg(F.count(F.lit(1))).scalar())

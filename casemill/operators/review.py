@@ -102,9 +102,9 @@ def draw_committee(cases: DataFrame, reviewers: DataFrame, seed: str = "0", size
 
     ring = reviewers.select("reviewer_id", spot("r", "reviewer_id").alias("_spot"))
     seats = dense_index(ring, "_spot", "_seat", width=1 << 38).select("reviewer_id", "_seat")
-    n = F.broadcast(reviewers.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    n = reviewers.agg(F.count(F.lit(1))).scalar()
     wanted = (
-        cases.select("request_id", "assigned_reviewer_id").join(n)
+        cases.select("request_id", "assigned_reviewer_id", n.alias("_n"))
         .withColumn("_start", spot("c", "request_id") % F.col("_n"))
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.least(F.lit(size), F.col("_n") - 1).cast("int"))))
         .withColumn("_seat", (F.col("_start") + F.col("_k")) % F.col("_n"))
