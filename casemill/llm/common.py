@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.session import shared_dir
+from casemill.session import shared_dir, ship_package
 
 BLANKS = r"[\x20\x09-\x0D]+"
 ROWS_PER_CHUNK = 256
@@ -33,6 +33,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are; other names cannot clash."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
