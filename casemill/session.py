@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def build_session(master: str | None = None, app: str = "casemill", **conf: str) -> SparkSession:
@@ -40,3 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="casemill-", dir="/tmp")
     spark.conf.set(CHECKPOINT_CONF, path)
     return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors the package, once per application, so that its functions load there whatever their path is.
+
+    A few hundred kB of source; Spark itself sends the archive to every executor, late ones included.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_casemill_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="casemill-"), "casemill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    context._casemill_shipped = True
