@@ -399,6 +399,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     return whole.select("doc_id", "n_shingles", empty).unionByName(nameless)
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows whose doc_id is the smallest of its component, and those without doc_id or words."""
+    gone = near_duplicates(docs, percent, width).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the sets at a crowded signature that are still in different components, until none is left to compare."""
     both = stars.select("sig", F.explode(F.array("a", "b")).alias("node"))

@@ -6,18 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casemill.llm.common import saved, table
 from casemill.llm.exact_dedup import drop_copies
+from casemill.llm.jaccard import keep_one_of_each
+from casemill.llm.langid import keep_known
 from casemill.llm.packing import pack_documents
+from casemill.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base test or that a learned rule rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or without a likely language go."""
+    return keep_known(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
     return drop_copies(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    return keep_one_of_each(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
     return pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("best-fit packing", best_fit_packing),
+]
 #: The stages learn from labels, tokenize and solve a linear program: SQL cannot express them.
 ORACLE_SQL = None
 
