@@ -197,7 +197,7 @@ def write_files(docs: DataFrame, folder: str, vocab: str = DOCUMENT_VOCAB, end_i
                 [pa.array([part], pa.int32()), pa.array([f"{folder}/{path}"]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.total], pa.int64())],
                 names=["part", "path", "documents", "ids"])
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return saved(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
