@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from casemill.session import shared_dir, ship_package
 
-BLANKS = r"[\x20\x09-\x0D]+"
 ROWS_PER_CHUNK = 256
 
 
@@ -24,8 +24,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans nobody holds any more; it does so when the driver collects garbage,
+    which a driver with little to do would put off while the executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the folder that all executors share: later readers neither recompute nor lose them."""
+    release(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -37,8 +45,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def by_batch(df: DataFrame, rows: Callable[[list, list], dict], schema: str) -> DataFrame:
-    """mapInArrow over (doc_id, text) in chunks of few rows; `rows` gives the columns of a chunk as lists or arrays.
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row as `_row`, so that no working column can clash with one of the table."""
+    ship_package(docs.sparkSession)
+    return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def rows_of(held: DataFrame) -> DataFrame:
+    return held.select("_row.*")
+
+
+def by_batch(df: DataFrame, rows: Callable[..., dict], schema: str) -> DataFrame:
+    """mapInArrow in chunks of few rows; `rows` takes the columns of a chunk as lists and gives the new ones.
 
     Chunks are small so that a run of very long texts does not pile up.
     """
@@ -51,7 +69,7 @@ def by_batch(df: DataFrame, rows: Callable[[list, list], dict], schema: str) ->
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_PER_CHUNK):
                 part = batch.slice(low, ROWS_PER_CHUNK)
-                out = rows(part.column(0).to_pylist(), part.column(1).to_pylist())
+                out = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -64,7 +82,3 @@ def spread_mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
-
-
-def flat(lists: Iterable[list]) -> list:
-    return [x for one in lists for x in one]

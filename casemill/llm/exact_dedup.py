@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import saved, spread_mix, texts_of
+from casemill.llm.common import carried, rows_of, saved, spread_mix, texts_of
 
 PROBES = 4
 CELLS_PER_ROW = 16
@@ -138,8 +138,8 @@ def drop_copies(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """One row of each text: that with the smallest doc_id. Rows that cannot repeat are neither joined nor shuffled."""
     hashes, maybe = _tested(docs, max_cells)
     keep = _groups(hashes.where(maybe("sha"))).select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"))
-    own = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col("text").cast("string")), 256)))
+    own = carried(docs).withColumn("_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
     own = own.withColumn("_maybe", maybe("_sha"))
     repeats = own.where("_maybe").join(keep, "_sha").where(F.col("doc_id").eqNullSafe(F.col("_keep")))
     one = repeats.dropDuplicates(["_sha"])
-    return own.where("NOT _maybe").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return rows_of(own.where("NOT _maybe")).unionByName(rows_of(one))

@@ -43,7 +43,8 @@ PERCENT = 75
 #: More sets than this at one signature are not paired off inside the bucket.
 CROWD = 16
 SIGNATURES_PER_BUCKET = 3_000_000
-SKETCH_BITS = 1024
+#: Bits of a sketch for each feature at least, and of a sketch at least and at most.
+SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 2, 512, 1 << 14
 #: Documents whose signatures are packed together.
 DOCUMENTS_PER_PACK = 4096
 WORDS_PER_PACK = 1_500_000
@@ -71,9 +72,26 @@ def set_key(features: np.ndarray) -> int:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """Parities of the features by bit: two sets differ in no more bits than features."""
-    places = (features & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(places, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parities of the features by their low bits: two sets differ in no more bits than features.
+
+    The size follows the set's and is a power of two, so the longer of two sketches can be folded onto the shorter.
+    """
+    bits = SKETCH_LEAST
+    while bits < min(SKETCH_MOST, SKETCH_RATE * len(features)):
+        bits *= 2
+    places = (features & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, on the size of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, size = int.from_bytes(x, "little"), len(x)
+    while size > len(y):
+        size //= 2
+        a = (a >> 8 * size) ^ (a & ((1 << 8 * size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
 
 
 # ---- signatures ----
@@ -109,7 +127,7 @@ class Scheme:
         return np.array([math.comb(max(0, self.parts - d), kept) for d in range(self.parts + 2)], np.int64)
 
 
-SCHEMES = (Scheme(2, 1), Scheme(6, 3))
+SCHEMES = (Scheme(2, 1), Scheme(5, 2))
 
 
 @lru_cache(maxsize=4096)
@@ -213,7 +231,11 @@ PACKS = "bucket int, kind byte, x binary, y binary, z binary"
 
 
 def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: int, crowd: int) -> DataFrame:
-    """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2)."""
+    """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2).
+
+    `docs` has doc_id and either text or features.
+    """
+    whole = "text" in docs.columns
 
     def packs(held: list[tuple[int, np.ndarray]]) -> Iterator[tuple]:
         ids = np.array([d for d, _ in held], np.int64)
@@ -250,8 +272,8 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
         held: list[tuple[int, np.ndarray]] = []
         weight = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                features = shingles(text.as_py(), width)
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                features = shingles(value.as_py(), width) if whole else np.frombuffer(value.as_py(), np.uint64)
                 held.append((doc_id, features))
                 weight += len(features)
                 if len(held) >= DOCUMENTS_PER_PACK or weight >= WORDS_PER_PACK:
@@ -292,31 +314,27 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
 # ---- verification ----
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def rows(doc_ids: list, texts: list) -> dict:
+    """doc_id, features, n, bits and crowded of doc_id, text, crowded."""
+    def rows(doc_ids: list, texts: list, crowded: list) -> dict:
         own = [shingles(t, width) for t in texts]
-        return {"doc_id": doc_ids, "n": [len(f) for f in own], "bits": [sketch(f) for f in own], "features": [f.tobytes() for f in own]}
+        return {"doc_id": doc_ids, "features": [f.tobytes() for f in own], "n": [len(f) for f in own],
+                "bits": [sketch(f) for f in own], "crowded": crowded}
 
-    return by_batch(docs, rows, "doc_id long, n long, bits binary, features binary")
+    return by_batch(docs, rows, "doc_id long, features binary, n long, bits binary, crowded boolean")
 
 
 def _close(percent: int):
-    """Whether two sketches leave room for the similarity."""
+    """Whether sizes and sketches leave room for the similarity."""
 
-    @F.pandas_udf("boolean")
     def close(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(n):
-            return pd.Series([], dtype=bool)
-        bits = np.frombuffer(b"".join(x), np.uint64) ^ np.frombuffer(b"".join(y), np.uint64)
-        apart = np.bitwise_count(bits.reshape(len(n), -1)).sum(axis=1, dtype=np.int64)
-        both = n.to_numpy() + m.to_numpy()
-        least = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-        return pd.Series((apart * (100 + percent) <= (100 - percent) * both) & least)
+        return pd.Series([
+            100 * min(a, b) >= percent * max(a, b) and bits_apart(p, q) * (100 + percent) <= (100 - percent) * (a + b)
+            for a, b, p, q in zip(n.tolist(), m.tolist(), x, y)], dtype=bool)
 
-    return close
+    return F.pandas_udf(close, "boolean")
 
 
 def _similar(percent: int):
-    @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
@@ -325,7 +343,7 @@ def _similar(percent: int):
             out.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
-    return similar
+    return F.pandas_udf(similar, "boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +351,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bits = sets.select("doc_id", "n", "bits")
     left, right = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     near = saved(pairs.join(left, "a").join(right, "b").where(_close(percent)("na", "nb", "xa", "xb")).select("a", "b"), "close-pairs")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
+    # Only the sets of close pairs move.
+    ends = saved(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "close-ends")
+    wanted = saved(sets.select("doc_id", "features").join(ends, "doc_id", "left_semi"), "close-sets")
+    left, right = (wanted.select(F.col("doc_id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
     return saved(near.join(left, "a").join(right, "b").where(_similar(percent)("fa", "fb")).select("a", "b"), "links")
 
 
@@ -368,20 +389,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         named = _relabelled(rows, heads_of, ("a", "b")).where("la <> lb")
         return named.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
 
-    stars = found.where("kind = 2").select("a", "b", "sig")
-    candidates = found.where("kind > 0").select("a", "b")
-    finer = None
-    crowded = saved(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(
-        heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi"), "crowded-sets")
-    n_crowded = crowded.count()
-    if n_crowded:
-        again = known.join(crowded, "doc_id", "left_semi")
-        buckets = max(16, math.ceil(chars / 2 / SIGNATURES_PER_BUCKET))
-        finer = saved(share_signatures(again, SCHEMES[1], buckets, percent, width, crowd), "signature-pairs")
+    met = found.where("kind > 0").select("a", "b", "kind")
+    # Of every set that shares a signature: whether one of them was crowded.
+    ends = _relabelled(met.select(F.explode(F.array("a", "b")).alias("node"), "kind"), heads_of, ("node",)).groupBy(
+        F.col("lnode").alias("doc_id")).agg(F.bool_or(F.col("kind") == 2).alias("crowded"))
+    ends = saved(ends, "candidate-ends")
+    sets = saved(_sets(known.join(ends, "doc_id").select("doc_id", "text", "crowded"), width), "candidate-sets")
+    candidates, finer = met.select("a", "b"), None
+    crowded = sets.where("crowded")
+    words = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if words:
+        again = crowded.select("doc_id", "features")
+        finer = saved(share_signatures(again, SCHEMES[1], max(16, math.ceil(3 * words / SIGNATURES_PER_BUCKET)), percent, width, crowd), "signature-pairs")
         candidates = candidates.unionByName(finer.where("kind > 0").select("a", "b"))
     candidates = saved(between_heads(candidates).distinct(), "candidate-pairs")
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(_sets(known.join(ends, "doc_id", "left_semi"), width), "candidate-sets")
     first = _verified(candidates.groupBy("b").agg(F.min("a").alias("a")), sets, percent)
     # Two steps down the first links: a label is only ever that of a set that is linked.
     one = first.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import saved, texts_of
+from casemill.llm.common import carried, rows_of, saved, texts_of
 from casemill.session import ship_package
 
 PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
@@ -289,4 +289,5 @@ MIN_SCORE = 0.5
 
 def keep_known(docs: DataFrame, path: str = PIECE_VOCAB, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose text has a language, with a score of `min_score` at least."""
-    return predicted(docs, fit(docs, path)).where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*docs.columns)
+    known = (F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)
+    return rows_of(predicted(carried(docs), fit(docs, path)).where(known))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import spread_mix, texts_of
+from casemill.llm.common import carried, rows_of, spread_mix, texts_of
 from casemill.session import ship_package
 
 #: Labelled rows that rules are learned from, at most.
@@ -230,4 +230,4 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The kept rows with their own columns."""
-    return judged(docs, fit(docs, labels, max_labelled)).where("_kept").select(*docs.columns)
+    return rows_of(judged(carried(docs), fit(docs, labels, max_labelled)).where("_kept"))
