@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, packing, quality, token_files
+from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, licenses, line_dedup, packing, quality, token_files, url_filter
 from casemill.llm.common import table
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -21,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.coding_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -44,13 +60,97 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+#: Hosts, paths and edges as the operator takes them; aliases are reached by recursion over the edges in both directions.
+OP1_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '(?s)^.*?://([^#]*)', 1), '') AS rest FROM pages),
+u AS (SELECT page_id, url, html, translate(regexp_extract(rest, '(?s)^([^/?]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+  regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1) AS tail FROM p),
+h AS (SELECT url, host || tail AS a, unnest([regexp_extract(regexp_extract(html, '{url_filter.CANONICAL_TAG.replace("'", "''")}'), '{url_filter.CANONICAL_HREF.replace("'", "''")}', 1),
+  regexp_extract(regexp_extract(html, '{url_filter.REFRESH_TAG.replace("'", "''")}'), '{url_filter.REFRESH_URL.replace("'", "''")}', 1)]) AS href FROM u),
+t AS (SELECT a, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || href
+  ELSE coalesce(nullif(regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1), ''), regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/') || href END AS target
+  FROM h WHERE href <> ''),
+e AS (SELECT DISTINCT a, translate(regexp_extract(rest, '(?s)^([^/?]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') || regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1) AS b
+  FROM (SELECT a, coalesce(regexp_extract(target, '(?s)^.*?://([^#]*)', 1), '') AS rest FROM t)),
+links AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' UNION SELECT b, a FROM e WHERE a <> '' AND b <> ''),
+reach(a, b) AS (SELECT a, a FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+rules(rule, host, path, verdict) AS (VALUES {", ".join("('" + "', '".join((r, r.partition('/')[0], ''.join(r.partition('/')[1:]), v)) + "')" for r, v in URL_RULES)}),
+addresses AS (SELECT DISTINCT host || tail AS address FROM u WHERE host || tail <> '' UNION SELECT b FROM reach),
+parts AS (SELECT address, regexp_extract(address, '(?s)^([^/?]*)', 1) AS host, regexp_extract(address, '(?s)^[^/?]*([^?]*)', 1) AS path FROM addresses),
+m AS (SELECT address, rule, verdict FROM parts JOIN rules ON (parts.host = rules.host OR ends_with(parts.host, '.' || rules.host)) AND starts_with(parts.path, rules.path)
+  QUALIFY row_number() OVER (PARTITION BY address ORDER BY length(rule) DESC, verdict, rule DESC) = 1),
+alias AS (SELECT a FROM reach JOIN m ON m.address = reach.b GROUP BY a HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow'))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN alias.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN verdict IS NOT NULL THEN 'rule' WHEN alias.a IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
+FROM u LEFT JOIN m ON m.address = u.host || u.tail LEFT JOIN alias ON alias.a = u.host || u.tail
+"""
+
+
+def _run_sql(k: int) -> str:
+    low, high = (f"(({i} * (n - {line_dedup.DEPTH})) // {line_dedup.SEGMENTS})" for i in (k, k + 1))
+    return f"list_slice(w, {line_dedup.DEPTH} + 1 + {low}, {line_dedup.DEPTH} + {high})"
+
+
+def _open_sql(k: int) -> str:
+    rest = " || ".join([f"list_slice(w, 1, {line_dedup.DEPTH})", *(_run_sql(i) for i in range(line_dedup.SEGMENTS) if i != k)])
+    return (f"CASE WHEN n - {line_dedup.DEPTH} >= {line_dedup.SEGMENTS} AND n - len({_run_sql(k)}) >= {line_dedup.MIN_FIXED} "
+            f"THEN '{k} ' || n || ' ' || array_to_string({rest}, ' ') END")
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+raw AS (SELECT row_id, doc_id, text, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
+l AS (SELECT row_id, doc_id, text, unnest(lines) AS line_text, unnest(range(len(lines))) AS line FROM raw),
+m AS (SELECT row_id, doc_id, text, line, string_split(trim(regexp_replace(regexp_replace(line_text, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{line_dedup.FIELD_MARK}', 'g'),
+  '{line_dedup.LINE_BLANKS}', ' ', 'g'), ' '), ' ') AS w FROM l),
+n AS (SELECT *, len(w) AS n FROM m WHERE len(w) >= {line_dedup.MIN_WORDS}),
+k AS (SELECT row_id, doc_id, text, line, unnest(['* ' || array_to_string(w, ' '), {", ".join(_open_sql(k) for k in range(line_dedup.SEGMENTS))}]) AS key FROM n),
+often AS (SELECT key FROM (SELECT DISTINCT key, doc_id, text FROM k WHERE key IS NOT NULL) GROUP BY key HAVING count(*) >= {line_dedup.MIN_DOCUMENTS}),
+hits AS (SELECT row_id, list_distinct(list(line)) AS gone FROM k WHERE key IN (SELECT key FROM often) GROUP BY row_id),
+kept AS (SELECT row_id, coalesce(string_agg(line_text, chr(10) ORDER BY line) FILTER (WHERE gone IS NULL OR NOT list_contains(gone, line)), '') AS body
+  FROM l LEFT JOIN hits USING (row_id) GROUP BY row_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
+  sha256(CASE WHEN text IS NULL THEN NULL ELSE body END) AS text_sha256
+FROM d LEFT JOIN hits USING (row_id) LEFT JOIN kept USING (row_id)
+"""
+
+
+def _ids_sql(cut: str) -> str:
+    norm = f"trim(regexp_replace(translate(s, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    return (f"',' || array_to_string(list_filter(list_transform(string_split({cut}, chr(10)), lambda s: "
+            f"(known[{norm}])), lambda i: i IS NOT NULL), ',') || ','")
+
+
+def _licences_sql() -> str:
+    families: dict[str, str] = {}
+    for family, licence, sentences in licenses.RULES:
+        pattern = licenses.rule_pattern(sentences)
+        families[family] = families.get(family, "") + (
+            f" WHEN regexp_matches(line_ids, '{pattern}') OR regexp_matches(joined_ids, '{pattern}') THEN '{licence}'")
+    return "list_filter([" + ", ".join(f"CASE{whens} END" for whens in families.values()) + "], lambda x: x IS NOT NULL)"
+
+
+OP6_SQL = rf"""
+WITH k AS (SELECT MAP {{{", ".join(f"'{s}': '{i}'" for i, s in licenses.SENTENCES.items())}}} AS known),
+d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS folded FROM documents),
+c AS (SELECT doc_id, {" OR ".join(f"contains(folded, '{a}')" for a in licenses.ANCHORS)} AS possible,
+  regexp_replace(text, '{licenses.SENTENCE_END}', chr(10), 'g') AS by_line,
+  replace(regexp_replace(replace(regexp_replace(text, '{licenses.BLANK_LINE}', chr(1), 'g'), chr(10), ' '), '{licenses.SENTENCE_END}', chr(1), 'g'), chr(1), chr(10)) AS by_sentence FROM d),
+i AS (SELECT doc_id, CASE WHEN possible THEN {_ids_sql("by_line")} ELSE ',' END AS line_ids, CASE WHEN possible THEN {_ids_sql("by_sentence")} ELSE ',' END AS joined_ids FROM c, k)
+SELECT doc_id, line_ids, joined_ids, {_licences_sql()} AS licences FROM i
+"""
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL}
