@@ -2,7 +2,7 @@
 
 A configuration says how many pieces of each length one sequence holds. The covering program over all configurations is
 solved by multiplicative weights: every length has a price, a knapsack dynamic program finds the configuration of the
-highest price, a share of it is added, and the prices of the lengths it covers fall. The fractional solution is rounded
+highest price, it is used as far as it goes, and prices are multiplied by what the lengths have cost. The fractional solution is rounded
 down to whole sequences, then up as far as pieces are left, and what remains is packed largest first into the tightest
 room. All of this sees only the histogram: at most `width` numbers, however many documents there are.
 
@@ -29,8 +29,9 @@ from casemill.llm.vocab import DOCUMENT_VOCAB, document_encoder
 
 WIDTH = 1024
 END_ID = 2
-#: Every round covers at least one length, so this many rounds cover all.
-ROUNDS = WIDTH
+#: Rounds of prices, and the share above the volume of all pieces at which a cover is good enough.
+PASSES = 8
+GAP = 0.002
 RATE = 0.25
 PIECES_PER_PART = 50_000
 
@@ -79,34 +80,59 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, width: int) -> n
     return counts
 
 
-def fractional_cover(lengths: np.ndarray, demand: np.ndarray, width: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used so that the demand is nearly covered.
+def priced_cover(lengths: np.ndarray, demand: np.ndarray, width: int, prices: np.ndarray, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used so that the demand is covered, found by the prices.
 
-    A length starts at its share of the width, the price at which a full sequence is worth one. In a round the found
-    configuration is used until one of its lengths is covered; the prices of its lengths fall by the share covered.
+    In a round the best configuration is used until one of its lengths is covered, so there are at most as many rounds
+    as lengths; the prices of its lengths fall by the share covered.
     """
     left = demand.astype(float)
     weights = np.ones(len(lengths))
     used = []
-    for _ in range(rounds):
+    while True:
         open_ = np.flatnonzero(left > 1e-9)
         if not len(open_):
-            break
+            return used
         counts = np.zeros(len(lengths), np.int64)
-        counts[open_] = best_configuration(lengths[open_], lengths[open_] / width * weights[open_], width)
+        counts[open_] = best_configuration(lengths[open_], (prices * weights)[open_], width)
         taken = np.flatnonzero(counts)
         step = (left[taken] / counts[taken]).min()
         used.append((counts, step))
         left[taken] = np.maximum(0, left[taken] - step * counts[taken])
         weights[taken] *= np.exp(-rate * step * counts[taken] / demand[taken])
-    return used
 
 
-def whole_plan(lengths: np.ndarray, demand: np.ndarray, width: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+def fractional_cover(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES) -> list[tuple[np.ndarray, float]]:
+    """The cover of the least sequences that `passes` rounds of prices lead to.
+
+    Prices start at the share of the width, at which a full sequence is worth one. After a pass every price is multiplied
+    by what a piece of the length has cost, a sequence being charged to its pieces by their prices: lengths that leave
+    room no other piece fills become dear, and are combined first. A cover close to the volume of the pieces is not
+    worked on.
+    """
+    share = lengths / width
+    volume = float((share * demand).sum())
+    prices, best, least = share.copy(), [], math.inf
+    for _ in range(passes):
+        used = priced_cover(lengths, demand, width, prices)
+        total = sum(step for _, step in used)
+        if total < least:
+            best, least = used, total
+        if least <= volume * (1 + GAP):
+            break
+        cost = np.zeros(len(lengths))
+        for counts, step in used:
+            cost += step * counts / (counts * prices).sum()
+        prices = prices * cost / demand
+        prices *= volume / (prices * demand).sum()
+    return best
+
+
+def whole_plan(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES) -> list[tuple[np.ndarray, int]]:
     """Configurations with whole multiplicities that hold every piece exactly once."""
     left = demand.copy()
     shares: dict[bytes, float] = {}
-    for counts, step in fractional_cover(lengths, demand, width, rounds):
+    for counts, step in fractional_cover(lengths, demand, width, passes):
         shares[counts.tobytes()] = shares.get(counts.tobytes(), 0.0) + step
     plan: dict[bytes, int] = {}
 
@@ -147,7 +173,7 @@ def slots(lengths: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> np.ndarray
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
 
-def packed(cut: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, pieces_per_part: int = PIECES_PER_PART) -> DataFrame:
+def packed(cut: DataFrame, width: int = WIDTH, passes: int = PASSES, pieces_per_part: int = PIECES_PER_PART) -> DataFrame:
     """The pieces with sequence_id and offset. `cut` has doc_id, piece, start, length, ids_crc32 and must be stored rows."""
     total = cut.count()
     parts = max(1, math.ceil(total / pieces_per_part))
@@ -157,7 +183,7 @@ def packed(cut: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, pieces_per_
     # The histogram: at most `width` rows.
     histogram = sorted((r["length"], r["n"]) for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect())
     lengths, demand = (np.array(x, np.int64) for x in (zip(*histogram) if histogram else ((), ())))
-    table = slots(lengths, whole_plan(lengths, demand, width, rounds)) if len(lengths) else np.zeros((0, 4), np.int64)
+    table = slots(lengths, whole_plan(lengths, demand, width, passes)) if len(lengths) else np.zeros((0, 4), np.int64)
     shared = cut.sparkSession.sparkContext.broadcast(table)
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
@@ -179,5 +205,5 @@ def packed(cut: DataFrame, width: int = WIDTH, rounds: int = ROUNDS, pieces_per_
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocab: str = DOCUMENT_VOCAB, width: int = WIDTH, end_id: int = END_ID, rounds: int = ROUNDS) -> DataFrame:
-    return packed(saved(pieces(docs, vocab, width, end_id), "pieces"), width, rounds)
+def pack_documents(docs: DataFrame, vocab: str = DOCUMENT_VOCAB, width: int = WIDTH, end_id: int = END_ID, passes: int = PASSES) -> DataFrame:
+    return packed(saved(pieces(docs, vocab, width, end_id), "pieces"), width, passes)
