@@ -18,6 +18,7 @@ DOTTED_HEADER = r"^(\d{1,2}\.\d{2,4}[A-Z]?)\s+([A-Z][A-Za-z,\s&\-]+?)(?:\s*,|\s*
 STARTS = r"(?=\b[A-Z]{2,6}\s*\d{3,4}[A-Z]?\.)"
 DOTTED_STARTS = r"(?=\b\d{1,2}\.\d{2,4}[A-Z]?\s+[A-Z])"
 EXPECTED = r"(?i)Expected(?: background)?:\s*(.+)$"
+#: The domain's own limits; nothing is cut unless one is given.
 BODY_LINE_LIMIT = 350
 TOC_ENTRY = r"^(.+?)\s*[\.·…]+\s*(\d{1,4})\s*$"
 TOC_ENTRY_PLAIN = r"^([A-Z][A-Za-z\s,&\-\(\)]+)\s+(\d{1,4})\s*$"
@@ -42,6 +43,7 @@ SECTION_KEYWORDS = {
     "8": ("physics",),
     "18": ("mathematics",),
 }
+#: The domain's own limits; nothing is cut unless one is given.
 TOC_PAGES, OFFSET_PAGES, INDEX_PAGES = 20, 20, 100
 # ----------------------------------------------------------------------------
 
@@ -82,7 +84,7 @@ def _header() -> Column:
     )
 
 
-def candidates(pages: DataFrame) -> DataFrame:
+def candidates(pages: DataFrame, body_line_limit: int | None = None) -> DataFrame:
     """Course blocks of each catalog in document order.
 
     A block is keyed by the place of its header, carried forward over the lines after it; lines before the first
@@ -101,7 +103,7 @@ def candidates(pages: DataFrame) -> DataFrame:
         F.min_by(X.strip(expected), F.when(expected.isNotNull(), at)).alias("prerequisites"),
         F.min(F.when(expected.isNotNull(), at)).alias("_taken"),
         F.array_sort(F.collect_set("page_num")).alias("source_pages"),
-        F.array_sort(F.collect_list(F.when(body & (F.length("line") <= BODY_LINE_LIMIT),
+        F.array_sort(F.collect_list(F.when(body & (F.lit(True) if body_line_limit is None else F.length("line") <= body_line_limit),
                                            F.struct(at.alias("at"), "line")))).alias("_body"))
     kept = F.filter("_body", lambda b: F.col("_taken").isNull() | (b["at"] != F.col("_taken")))
     text = F.array_join(F.transform(kept, lambda b: b["line"]), " ")
@@ -167,20 +169,24 @@ def direct_pages(pages: DataFrame, targets: DataFrame, context: int = 2) -> Data
     return around.distinct().join(pages.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
 
 
-def toc_flags(pages: DataFrame, max_pages: int = TOC_PAGES) -> DataFrame:
-    """Per early page: contents heading, dotted lines, page-number lines, and the verdict."""
+def _first_pages(pages: DataFrame, n: int | None) -> DataFrame:
+    return pages if n is None else pages.filter(F.col("page_num") <= n)
+
+
+def toc_flags(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Per page (the first ``max_pages`` if given): contents heading, dotted lines, page-number lines, and the verdict."""
     low = F.lower("text")
     head = low.contains("table of contents") | F.substring(low, 1, 200).contains("contents")
     dotted = F.regexp_count("text", F.lit(r"\.{3,}|…+"))
     numbered = F.regexp_count("text", F.lit(r"(?m)" + TOC_ENTRY))
-    early = pages.filter(F.col("page_num") <= max_pages)
+    early = _first_pages(pages, max_pages)
     return early.select("doc_id", "page_num", head.alias("has_header"), dotted.alias("dotted_count"), numbered.alias("page_num_count"),
                         (head | ((dotted > 5) & (numbered > 3))).alias("is_toc"))
 
 
-def toc_entries(pages: DataFrame) -> DataFrame:
+def toc_entries(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Section → page of each table of contents; the last line of a section wins, its first line keeps the order."""
-    toc = pages.join(toc_flags(pages).filter("is_toc").select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
+    toc = pages.join(toc_flags(pages, max_pages).filter("is_toc").select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
     lines = page_lines(toc.select("doc_id", "page_num", "text"), keep_blank=False)
     line = F.col("line")
     dotted = line.rlike(TOC_ENTRY)
@@ -204,11 +210,11 @@ def section_of_subject(targets: DataFrame, entries: DataFrame) -> DataFrame:
                       ["doc_id", "target_code"], ["place"], oldest=True)
 
 
-def page_offsets(pages: DataFrame, max_check: int = OFFSET_PAGES) -> DataFrame:
-    """Page index less printed number, from the first early page where they differ; else 0."""
+def page_offsets(pages: DataFrame, max_check: int | None = None) -> DataFrame:
+    """Page index less printed number, from the first page (of ``max_check`` if given) where they differ; else 0."""
     printed = X.found(F.col("text"), r"^\s*(\d{1,3})\s+[A-Z]", 1).cast("int")
     shift = F.nullif(F.col("page_num") - printed, F.lit(0))
-    early = pages.filter(F.col("page_num") <= max_check)
+    early = _first_pages(pages, max_check)
     return early.groupBy("doc_id").agg(F.coalesce(
         F.min_by(shift, F.when(shift.isNotNull(), F.col("page_num"))), F.lit(0)).alias("page_offset"))
 
@@ -231,7 +237,8 @@ def section_ranges(sections: DataFrame, entries: DataFrame, offsets: DataFrame,
     return base.select("doc_id", "target_code", "section", start.cast("int").alias("first_page"), wide.cast("int").alias("last_page"))
 
 
-def select_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
+def select_pages(pages: DataFrame, targets: DataFrame, toc_pages: int | None = None, offset_pages: int | None = None,
+                 index_pages: int | None = None) -> DataFrame:
     """Page range or pages to parse per target, with the strategy that chose them.
 
     Direct hits come first, then the contents section, then a page that looks like an index, then every page.
@@ -241,14 +248,14 @@ def select_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
     totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
     direct = direct_pages(pages, targets).select(*key, "page_num", F.lit("direct_text_search").alias("strategy"))
     left = targets.join(direct.select(*key).distinct(), key, "left_anti")
-    entries = toc_entries(pages)
-    ranges = section_ranges(section_of_subject(left, entries), entries, page_offsets(pages), totals)
+    entries = toc_entries(pages, toc_pages)
+    ranges = section_ranges(section_of_subject(left, entries), entries, page_offsets(pages, offset_pages), totals)
     span = lambda df: df.select(*key, F.explode(F.when(F.col("first_page") <= F.col("last_page"),
                                                        F.sequence("first_page", "last_page"))).alias("page_num"), "strategy")
     by_toc = span(ranges.withColumn("strategy", F.concat(F.lit("toc_section:"), "section")))
     left = left.join(ranges.select(*key), key, "left_anti")
     subject = F.coalesce(X.found(F.col("target_code"), CODE, 1), X.found(F.col("target_code"), DOTTED_CODE, 1))
-    index_like = pages.filter((F.col("page_num") <= INDEX_PAGES) & (n > 200) & F.col("text").rlike(r"[A-Z]\s+[A-Z]\s+[A-Z]"))
+    index_like = _first_pages(pages, index_pages).filter((n > 200) & F.col("text").rlike(r"[A-Z]\s+[A-Z]\s+[A-Z]"))
     near = left.withColumn("_s", subject).join(index_like, "doc_id").filter(F.col("text").contains(F.col("_s")))
     near = near.groupBy(*key).agg(F.min("page_num").alias("_p")).join(totals, "doc_id")
     by_index = span(near.select(
@@ -279,6 +286,7 @@ CREDIT_LINES = (
     r"(?i)^\s*(\d+)\s*\(\s*\d+\s*\)\s*$",
     r"(?i)^\s*(\d+)\s*-\s*\d+\s*-\s*\d+\s*$",
 )
+#: The domain's own limit; nothing is cut unless one is given.
 CREDIT_SCAN_LINES = 12
 # ----------------------------------------------------------------------------
 
@@ -291,7 +299,7 @@ def clean_lines(pages: DataFrame) -> DataFrame:
     return page_lines(pages.select("doc_id", "page_num", "text"), keep_blank=False).filter(~noise).drop("next_line")
 
 
-def parsed_courses(pages: DataFrame) -> DataFrame:
+def parsed_courses(pages: DataFrame, credit_scan_lines: int | None = None) -> DataFrame:
     """Course rows of a bulk catalog: header, credits, description and what the description says."""
     lines = clean_lines(pages)
     is_header = F.col("line").rlike(COURSE_HEADER)
@@ -302,7 +310,7 @@ def parsed_courses(pages: DataFrame) -> DataFrame:
     header = F.get("b", F.lit(0))
     credit = lambda line: F.coalesce(*[X.found(line, p) for p in CREDIT_LINES])
     # Place of the first credits line among the lines that may hold it; 0 when there is none.
-    flags = F.transform(F.slice("b", 2, CREDIT_SCAN_LINES), lambda r: credit(r["line"]).isNotNull())
+    flags = F.transform(F.slice("b", 2, F.greatest(F.size("b"), F.lit(1)) if credit_scan_lines is None else F.lit(credit_scan_lines)), lambda r: credit(r["line"]).isNotNull())
     df = blocks.withColumns({"_header": header["line"], "header_page": header["page_num"],
                              "_k": F.coalesce(F.array_position(flags, True), F.lit(0)).cast("int")})
     df = df.withColumn("_credit", F.when(F.col("_k") > 0, F.get("b", F.col("_k"))))
@@ -344,7 +352,7 @@ def course_chunks(courses: DataFrame) -> DataFrame:
     return (
         chunk("header", col("header_page").cast("string"), col("header_line"), col("header_line"), F.lit(True))
         .unionByName(chunk("credits", col("credit_page").cast("string"), col("credit_line"), col("credit_line"), col("credit_line").isNotNull()))
-        .unionByName(chunk("description", F.array_join("desc_pages", ","), F.substring("description", 1, 200), col("description"), F.lit(True)))
+        .unionByName(chunk("description", F.array_join("desc_pages", ","), col("description"), col("description"), F.lit(True)))
     )
 
 

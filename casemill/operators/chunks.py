@@ -17,7 +17,6 @@ FACT_KEYWORDS = {
     "description": ("description", "objective", "about this course", "overview"),
     "prerequisites": ("prerequisite", "prerequisites", "expected background", "enrollment policy"),
 }
-SCANNED_PAGES = 3
 # ----------------------------------------------------------------------------
 
 
@@ -93,13 +92,16 @@ def with_placeholders(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.unionByName(rows.select(*[c for c in chunks.columns]))
 
 
-def cite_facts(facts: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks for each fact (doc_id, fact_key, fact_value): from early pages that mention it, else page 1."""
+def cite_facts(facts: DataFrame, pages: DataFrame, chunks: DataFrame, scanned_pages: int | None = None) -> DataFrame:
+    """Chunks for each fact (doc_id, fact_key, fact_value): from pages that mention it, else page 1.
+
+    All pages are looked at, or the first ``scanned_pages``; the domain's own limit is 3.
+    """
     keys = F.create_map(*[x for k, ws in FACT_KEYWORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in ws]))])
     wanted = F.coalesce(F.try_element_at(keys, F.col("fact_key")), F.array().cast("array<string>"))
     short = (F.length("fact_value") <= 40) & (X.strip(F.col("fact_value")) != "")
     value = F.when(short, F.array(F.lower(X.squeeze(F.col("fact_value"))))).otherwise(F.array().cast("array<string>"))
-    early = pages.filter(F.col("page_num") <= SCANNED_PAGES).select(
+    early = (pages if scanned_pages is None else pages.filter(F.col("page_num") <= scanned_pages)).select(
         "doc_id", "page_num", F.lower(X.squeeze(F.coalesce("text", F.lit("")))).alias("_hay"))
     asked = facts.withColumn("_keys", F.concat(wanted, F.coalesce(value, F.array().cast("array<string>"))))
     hit = asked.join(early, "doc_id").filter(F.exists("_keys", lambda k: F.col("_hay").contains(k)))

@@ -39,6 +39,20 @@ def api_action(stored: Column) -> Column:
     return F.coalesce(lookup(API_OF_ACTION, stored), stored)
 
 
+def admitted_votes(votes: DataFrame, committee: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """The first vote of each member in a cycle; votes of others and second votes are refused (Q3, A1–A3).
+
+    With ``requests``, only votes in the present cycle of cases that wait for their committee are let in.
+    """
+    seats = committee.select(*CYCLE, F.col("reviewer_id").alias("voter_id")).distinct()
+    inside = votes.join(seats, [*CYCLE, "voter_id"], "left_semi")
+    if requests is not None:
+        waiting = requests.filter("status = 'pending_committee'").select(*CYCLE)
+        inside = inside.join(waiting, CYCLE, "left_semi")
+    first = F.min_by(F.struct(*[c for c in votes.columns if c not in (*CYCLE, "voter_id")]), F.struct("created_at", "vote_id"))
+    return inside.groupBy(*CYCLE, "voter_id").agg(first.alias("_v")).select(*CYCLE, "voter_id", "_v.*")
+
+
 def _tally(votes: DataFrame) -> DataFrame:
     count = lambda a: F.count_if(F.col("action") == a).alias(a)
     return votes.groupBy(*CYCLE).agg(*[count(a) for a in VOTE_PRIORITY], F.count(F.lit(1)).alias("n_votes"))
@@ -51,22 +65,25 @@ def plurality_decision(votes: DataFrame) -> DataFrame:
     return _tally(votes).select(*CYCLE, "n_votes", pick.alias("committee_decision"))
 
 
-def final_decision(votes: DataFrame) -> DataFrame:
-    """Committee result by count inequalities, approve and bridge pooled (A2)."""
+def final_pick() -> Column:
+    """Committee result from the counts of the four actions, approve and bridge pooled (A2)."""
     a, b, d, n = (F.col(x) for x in ("approve", "approve_with_bridge", "deny", "needs_more_info"))
     pooled = a + b
-    pick = (
+    return (
         F.when((n > pooled) & (n > d), "needs_more_info")
         .when((b > a) & (b > d) & (b > n), "approve_with_bridge")
         .when((pooled > d) & (pooled > n), "approve")
         .otherwise("deny")
     )
-    return _tally(votes).select(*CYCLE, "n_votes", pick.alias("final_decision"))
+
+
+def final_decision(votes: DataFrame) -> DataFrame:
+    return _tally(votes).select(*CYCLE, "n_votes", final_pick().alias("final_decision"))
 
 
 def completed_votes(committee: DataFrame, votes: DataFrame) -> DataFrame:
-    """Cycles in which at least as many votes as members exist (A3)."""
-    members = committee.groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("n_members"))
+    """Cycles in which every member has voted (A3); give it the admitted votes."""
+    members = committee.select(*CYCLE, "reviewer_id").distinct().groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("n_members"))
     cast = votes.groupBy(*CYCLE).agg(F.count(F.lit(1)).alias("n_votes"))
     return members.join(cast, CYCLE).filter(F.col("n_votes") >= F.col("n_members"))
 

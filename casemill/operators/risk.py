@@ -43,12 +43,16 @@ COURSE = r"\b([A-Z]{2,6}\s*\d{3,4})\b"
 EDGE = 96  # characters of each page edge that a match across a page end may use
 
 
-def findings(pages: DataFrame, text: str = "text", window: int | None = None) -> DataFrame:
-    """Pages with their findings in scan order: patterns, trigger words, misspellings, coded text, bonus."""
+def findings(pages: DataFrame, text: str = "text", window: int | None = None, max_triggers: int | None = None) -> DataFrame:
+    """Pages with their findings in scan order: patterns, trigger words, misspellings, coded text, bonus.
+
+    All trigger words of a page count unless ``max_triggers`` is given; the domain's own limit is 10.
+    """
     prepared = pages.withColumn("_scan", S.scan_form(F.col(text), window)).withColumn(
         "_coded", S.scan_form_each(S.decoded_runs(F.coalesce(F.col(text), F.lit("")))))
     prepared = prepared.withColumn("_low", F.lower("_scan")).withColumn("_words", S.words(F.col("_low")))
-    triggers = F.transform(F.slice(S.trigger_words(F.col("_words")), 1, S.MAX_TRIGGERS),
+    spoken = S.trigger_words(F.col("_words"))
+    triggers = F.transform(spoken if max_triggers is None else F.slice(spoken, 1, max_triggers),
                            lambda w: S.finding(1, "trigger_word", "low", S.POINTS["trigger_word"], w))
     typos = F.transform(S.misspelled(F.col("_words")),
                         lambda m: S.finding(2, "typoglycemia", "low", S.POINTS["typoglycemia"], m))

@@ -13,7 +13,6 @@ from casemill.operators.risk import edges
 CODE = r"\b([A-Z]{2,6})\s*([0-9]{3,4}[A-Z]?)\b"
 DOTTED_CODE = r"\b(\d{1,2}\.\d{3,4})\b"
 TITLE_LEADS = (r"^[A-Z]{2,6}\s*\d{3,4}[A-Z]?\s*[–—-]\s*", r"^\d{1,2}\.\d{3,4}\s*[–—-]\s*")
-TITLE_LIMIT = 140
 CREDIT_FORMS = (
     r"(?i)\b(\d+)\s*Credit Hour",
     r"(?i)Credit Hours?\s+(\d+)",
@@ -28,7 +27,6 @@ SECTIONS = {
     "learning_outcomes": "Student Learning Outcomes|Learning Outcomes|Course Learning Outcomes|Learning Objectives|Course Objectives",
 }
 NEXT_HEADING = r"\n[A-Z][A-Za-z /&]{3,}\n"
-FIRST_PARAGRAPH_LIMIT = 1200
 FACT_KEYS = ("course_code", "title", "credits_or_units", "description", "prerequisites", "learning_outcomes")
 # ----------------------------------------------------------------------------
 
@@ -98,15 +96,20 @@ def _first_matches(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
         *[F.min_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in patterns])
 
 
-def syllabus_facts(pages: DataFrame) -> DataFrame:
-    """Code, title, credits, description, prerequisites and outcomes of each syllabus."""
+def syllabus_facts(pages: DataFrame, title_limit: int | None = None, paragraph_limit: int | None = None) -> DataFrame:
+    """Code, title, credits, description, prerequisites and outcomes of each syllabus.
+
+    Titles over ``title_limit`` characters are none and a description taken from the second paragraph is cut at
+    ``paragraph_limit``, where these are given; the domain's own limits are 140 and 1200.
+    """
     text = F.col("text")
     line0 = F.get(F.filter(F.transform(X.split_lines(text), X.strip), lambda x: x != ""), F.lit(0))
     for lead in TITLE_LEADS:
         line0 = X.strip(F.regexp_replace(line0, lead, ""))
-    title = F.when((line0 != "") & (F.length(line0) <= TITLE_LIMIT), line0)
+    title = F.when((line0 != "") & (F.lit(True) if title_limit is None else F.length(line0) <= title_limit), line0)
     paras = F.filter(F.transform(F.split(X.strip(text), r"\n\s*\n"), X.strip), lambda x: x != "")
-    second = F.when(F.size(paras) >= 2, X.strip(F.substring(F.get(paras, F.lit(1)), 1, FIRST_PARAGRAPH_LIMIT)))
+    para = F.get(paras, F.lit(1))
+    second = F.when(F.size(paras) >= 2, X.strip(para if paragraph_limit is None else F.substring(para, 1, paragraph_limit)))
     firsts = pages.groupBy("doc_id").agg(_on_first_page(title).alias("title"), _on_first_page(second).alias("_second"))
     heads = firsts.join(_first_matches(pages, {"_l": CODE, "_dotted": DOTTED_CODE,
                                                **{f"_c{i}": c for i, c in enumerate(CREDIT_FORMS)}}), "doc_id")

@@ -27,10 +27,10 @@ LOOK_BACK = 10
 PAGE_RUN = 64
 
 
-def layout(pages: DataFrame) -> DataFrame:
-    """tabular, grouped_by_term, linear or unknown, from the first three pages."""
+def layout(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """tabular, grouped_by_term, linear or unknown, from all pages, or the first ``max_pages``."""
     text = F.col("text")
-    first = pages.filter(F.col("page_num") <= 3).groupBy("doc_id").agg(
+    first = (pages if max_pages is None else pages.filter(F.col("page_num") <= max_pages)).groupBy("doc_id").agg(
         F.sum(F.regexp_count(text, F.lit("\t"))).alias("tabs"),
         F.bool_or(F.lower(text).contains("course")).alias("c"), F.bool_or(F.lower(text).contains("grade")).alias("g"),
         F.sum(F.regexp_count(text, F.lit(r"(?i)(Fall|Spring|Summer|Winter)\s+\d{4}"))).alias("terms"),

@@ -150,12 +150,12 @@ def usable_reviewers(t):
     return C.usable_accounts(t.reviewers, F.lit("2024-06-01").cast("date")).select("reviewer_id", "reviewer_name", "role")
 
 
-LINKS_SQL = """links AS (SELECT evidence_id, p_partkey AS chunk_uuid FROM @facts f JOIN @part ON f.request_id % 2000 = p_partkey WHERE ordinal % 3 <> 0),
+LINKS_SQL = """links AS (SELECT evidence_id, p_partkey AS chunk_uuid FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
 chunks AS (SELECT p_partkey AS chunk_uuid, p_size AS page_num, p_name AS snippet_text FROM @part)"""
 
 
 def links(t):
-    return t.facts.filter("ordinal % 3 <> 0").join(t.part, F.col("request_id") % 2000 == F.col("p_partkey")).select(
+    return t.facts.filter("ordinal % 3 <> 0").join(t.part, F.col("request_id") % t.part.agg(F.count(F.lit(1))).scalar() == F.col("p_partkey")).select(
         "evidence_id", F.col("p_partkey").alias("chunk_uuid"))
 
 

@@ -37,7 +37,7 @@ FACTS_SQL = f"""f0 AS (SELECT *, CASE WHEN items_text IS NULL THEN NULL ELSE str
 f1 AS (SELECT *, CASE WHEN items IS NOT NULL THEN '[' || array_to_string(items, ', ') || ']'
                       WHEN trim(fact_value) <> '' THEN fact_value END AS txt,
                  CASE WHEN items IS NOT NULL THEN items WHEN trim(fact_value) <> '' THEN [fact_value] END AS lst FROM f0),
-last AS (SELECT request_id, {', '.join(f'{last_sql(f)} AS {f}_v' for f in E.FIELDS)} FROM f1 GROUP BY request_id),
+last AS MATERIALIZED (SELECT request_id, {', '.join(f'{last_sql(f)} AS {f}_v' for f in E.FIELDS)} FROM f1 GROUP BY request_id),
 wide AS (SELECT request_id, {', '.join(f'{f}_v.{"l" if f in E.LIST_FIELDS else "t"} AS {f}, coalesce({f}_v.u, true) AS {f}_unknown' for f in E.FIELDS)} FROM last)
 """
 
@@ -47,7 +47,7 @@ CODE_SQL = r"""CASE WHEN regexp_matches(upper(trim(course_requested)), '^[A-Z]+[
 
 CASES_SQL = f"""profiles AS (SELECT course_code, credits AS tc, lab_required AS tl, {clean_sql("string_split(topics_text, ',')")} AS rt,
   {clean_sql("string_split(outcomes_text, ',')")} AS ro FROM @courses),
-cases AS (SELECT r.request_id, code, coalesce(tc, 3) AS target_credits, coalesce(tl, false) AS target_lab_required,
+cases AS MATERIALIZED (SELECT r.request_id, code, coalesce(tc, 3) AS target_credits, coalesce(tl, false) AS target_lab_required,
   coalesce(rt, []) AS required_topics, coalesce(ro, []) AS required_outcomes, w.* EXCLUDE (request_id)
   FROM (SELECT *, {CODE_SQL} AS code FROM @requests) r JOIN wide w ON w.request_id = r.request_id
   LEFT JOIN profiles p ON p.course_code = r.code)
@@ -63,14 +63,14 @@ def overlap_sql(must: tuple[str, ...] = ()) -> str:
 cand AS (SELECT *, {tokens_sql('item')} AS toks, lower(item) AS low FROM (
   SELECT request_id, 'topics' AS side, unnest({clean_sql('topics')}) AS item FROM cases WHERE topics IS NOT NULL
   UNION ALL SELECT request_id, 'outcomes', unnest({clean_sql('outcomes')}) FROM cases WHERE outcomes IS NOT NULL)),
-hits AS (SELECT r.request_id, r.kind, r.i, any_value(r.item) AS item,
+hits AS MATERIALIZED (SELECT r.request_id, r.kind, r.i, any_value(r.item) AS item,
   bool_or(coalesce(len(r.toks) > 0 AND (contains(c.low, r.low) OR contains(r.low, c.low)
     OR (len(c.toks) > 0 AND len(list_intersect(r.toks, c.toks)) / len(r.toks) >= 0.6)), false)) AS hit
   FROM req r LEFT JOIN cand c ON c.request_id = r.request_id AND c.side = r.side GROUP BY r.request_id, r.kind, r.i),
-ov AS (SELECT request_id, kind, count(*) AS n_req, count(*) FILTER (WHERE hit) AS n_hit,
-  coalesce(list(item ORDER BY i) FILTER (WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.request_id = hits.request_id
-    AND h.kind = hits.kind AND h.item = hits.item AND h.hit)), []) AS missing FROM hits GROUP BY request_id, kind),
-cases2 AS (SELECT c.*, coalesce(t.n_req, 0) AS n_rt, coalesce(t.n_hit, 0) AS n_ht, coalesce(t.missing, []) AS miss_t,
+ov AS MATERIALIZED (SELECT request_id, kind, count(*) AS n_req, count(*) FILTER (WHERE hit) AS n_hit,
+  coalesce(list(item ORDER BY i) FILTER (WHERE NOT item_hit), []) AS missing
+  FROM (SELECT *, bool_or(hit) OVER (PARTITION BY request_id, kind, item) AS item_hit FROM hits) GROUP BY request_id, kind),
+cases2 AS MATERIALIZED (SELECT c.*, coalesce(t.n_req, 0) AS n_rt, coalesce(t.n_hit, 0) AS n_ht, coalesce(t.missing, []) AS miss_t,
   coalesce(o.n_req, 0) AS n_ro, coalesce(o.n_hit, 0) AS n_ho, coalesce(o.missing, []) AS miss_o,
   coalesce(m.missing, []) AS miss_m
   FROM cases c LEFT JOIN ov t ON t.request_id = c.request_id AND t.kind = 'topics'
@@ -103,12 +103,12 @@ s2 AS (SELECT *, {b(p.require_topics_or_outcomes)} AND tu AND ou AS no_content,
   NOT (contact_hours_lecture_unknown OR contact_hours_lecture IS NULL) OR NOT (contact_hours_lab_unknown OR contact_hours_lab IS NULL) AS hk,
   ({hours('contact_hours_lecture')}) + ({hours('contact_hours_lab')}) AS hours,
   CAST(floor(({quality}) / {n_quality}) AS INTEGER) AS evidence_quality_score FROM s1),
-s3 AS (SELECT *, CASE WHEN cu OR cv IS NULL THEN 0 WHEN off = 0 THEN 20 WHEN off = 1 THEN 10 ELSE 0 END AS credit_points,
+s3 AS MATERIALIZED (SELECT *, CASE WHEN cu OR cv IS NULL THEN 0 WHEN off = 0 THEN 20 WHEN off = 1 THEN 10 ELSE 0 END AS credit_points,
   CASE WHEN NOT needed THEN 10 WHEN lu THEN 0 WHEN has_lab THEN 10 ELSE 0 END AS lab_points,
   CASE WHEN no_content THEN 0 WHEN n_rt = 0 THEN 40 ELSE CAST(round_even(40 * (n_ht / n_rt), 0) AS INTEGER) END AS topic_points,
   CASE WHEN no_content THEN 0 WHEN n_ro = 0 THEN 30 ELSE CAST(round_even(30 * (n_ho / n_ro), 0) AS INTEGER) END AS outcome_points
   FROM s2),
-s4 AS (SELECT *, credit_points + lab_points + topic_points + outcome_points AS score,
+s4 AS MATERIALIZED (SELECT *, credit_points + lab_points + topic_points + outcome_points AS score,
   list_filter([
     CASE WHEN cu AND {b(p.require_credits_known)} THEN 'INFO_MISSING: Source course credits are unknown.' END,
     CASE WHEN NOT cu AND cv IS NULL THEN 'INFO_MISSING: Source course credits could not be parsed as a number.' END,
@@ -136,7 +136,7 @@ s4 AS (SELECT *, credit_points + lab_points + topic_points + outcome_points AS s
     CASE WHEN NOT no_content AND n_ht > 0 THEN list_transform(miss_t, lambda x: 'self_study:Cover the missing topic ''' || x || ''' (self-study, module, or short course).') ELSE [] END),
     CASE WHEN NOT no_content AND n_ho > 0 THEN list_transform(miss_o, lambda x: 'project:Demonstrate the missing learning outcome: ''' || x || ''' (project or exam).') ELSE [] END) AS bridges
   FROM s3),
-s5 AS (SELECT *, CAST(len(list_filter(gaps, lambda x: x LIKE 'HARD%')) AS INTEGER) AS hard_gaps,
+s5 AS MATERIALIZED (SELECT *, CAST(len(list_filter(gaps, lambda x: x LIKE 'HARD%')) AS INTEGER) AS hard_gaps,
   CAST(len(list_filter(gaps, lambda x: x LIKE 'FIXABLE%')) AS INTEGER) AS fixable_gaps,
   CAST(len(list_filter(gaps, lambda x: x LIKE 'INFO%')) AS INTEGER) AS info_missing_gaps,
   CAST(len(bridges) AS INTEGER) AS bridge_items FROM s4),

@@ -24,8 +24,8 @@ l0 AS (SELECT *, list_filter(list_transform(string_split(p1, chr(10)), lambda x:
 l1 AS (SELECT *, trim(regexp_replace(trim(regexp_replace(line0, '^[A-Z]{{2,6}}\\s*\\d{{3,4}}[A-Z]?\\s*[–—-]\\s*', '')), '^\\d{{1,2}}\\.\\d{{3,4}}\\s*[–—-]\\s*', '')) AS cleaned FROM l0),
 sf AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\\b([A-Z]{{2,6}})\\s*([0-9]{{3,4}}[A-Z]?)\\b') THEN regexp_extract(t, '\\b([A-Z]{{2,6}})\\s*([0-9]{{3,4}}[A-Z]?)\\b', 1) || ' ' || regexp_extract(t, '\\b([A-Z]{{2,6}})\\s*([0-9]{{3,4}}[A-Z]?)\\b', 2)
     ELSE nullif(regexp_extract(t, '\\b(\\d{{1,2}}\\.\\d{{3,4}})\\b', 1), '') END AS course_code,
-  CASE WHEN cleaned <> '' AND length(cleaned) <= 140 THEN cleaned END AS title, {CREDIT_SQL} AS credits_or_units,
-  coalesce({section_sql('description')}, CASE WHEN len(paras) >= 2 THEN trim(paras[2][1:1200]) END) AS description,
+  CASE WHEN cleaned <> '' THEN cleaned END AS title, {CREDIT_SQL} AS credits_or_units,
+  coalesce({section_sql('description')}, CASE WHEN len(paras) >= 2 THEN trim(paras[2]) END) AS description,
   {section_sql('prerequisites')} AS prerequisites, {section_sql('learning_outcomes')} AS learning_outcomes FROM l1)"""
 
 
@@ -65,7 +65,7 @@ cy AS (SELECT *, ex IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, b, e
 cand AS (SELECT doc_id, b, min(page_num) AS page_num, max(CASE WHEN h1 OR (h2 AND h) THEN regexp_extract(line, '^([A-Z]{2,6})', 1) || ' ' || regexp_extract(line, '^[A-Z]{2,6}\s*(\d{3,4}[A-Z]?)', 1) WHEN h3 THEN regexp_extract(line, '^(\S+)', 1) END) AS course_code,
   max(CASE WHEN h1 THEN regexp_extract(line, '^[A-Z]{2,6}\s*\d{3,4}[A-Z]?\.\s*(.+?)\.\s*\d+\s*Credit\s*Hours?\.?\s*$', 1) WHEN h2 THEN regexp_extract(line, '^[A-Z]{2,6}\s*\d{3,4}[A-Z]?\.\s*(.+?)\.?\s*$', 1)
     WHEN h3 THEN trim(regexp_extract(line, '^\S+\s+([A-Z][A-Za-z,\s&\-]+?)(?:\s*,|\s*$)', 1)) END) AS title, max(CASE WHEN h1 THEN regexp_extract(line, '(\d+)\s*Credit\s*Hours?\.?\s*$', 1) END) AS credits_or_units,
-  nullif(coalesce(string_agg(line, ' ' ORDER BY page_num, i) FILTER (WHERE NOT h AND NOT taken AND length(line) <= 350), ''), '') AS description, max(ex) FILTER (WHERE taken) AS prerequisites,
+  nullif(coalesce(string_agg(line, ' ' ORDER BY page_num, i) FILTER (WHERE NOT h AND NOT taken), ''), '') AS description, max(ex) FILTER (WHERE taken) AS prerequisites,
   array_to_string(list_sort(list_distinct(list(page_num))), ',') AS source_pages FROM cy GROUP BY doc_id, b)"""
 
 
@@ -120,7 +120,7 @@ def direct_pages(t):
 
 @query("toc_pages", "A20", """SELECT doc_id, page_num, contains(lower(text), 'table of contents') OR contains(substr(lower(text), 1, 200), 'contents') AS has_header,
   CAST(len(regexp_extract_all(text, '\\.{3,}|…+')) AS INTEGER) AS dotted_count, CAST(len(regexp_extract_all(text, '(?m)^(.+?)\\s*[\\.·…]+\\s*(\\d{1,4})\\s*$')) AS INTEGER) AS page_num_count
-FROM @catalog_pages WHERE page_num <= 20""")
+FROM @catalog_pages""")
 def toc_pages(t):
     return C.toc_flags(t.catalog_pages).drop("is_toc")
 
@@ -138,7 +138,7 @@ def subject_sections(t):
     return C.section_of_subject(t.catalog_targets, C.toc_entries(t.catalog_pages)).select("doc_id", "target_code", "section", "start_page")
 
 
-@query("page_offsets", "W13", """WITH p AS (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS shift FROM @catalog_pages WHERE page_num <= 20)
+@query("page_offsets", "W13", """WITH p AS (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS shift FROM @catalog_pages)
 SELECT doc_id, coalesce(arg_min(shift, page_num) FILTER (WHERE shift <> 0), 0) AS page_offset FROM p GROUP BY doc_id""")
 def page_offsets(t):
     return C.page_offsets(t.catalog_pages)
@@ -149,12 +149,12 @@ h AS (SELECT p.doc_id, t.target_code, p.page_num FROM @catalog_pages p JOIN @cat
   WHERE contains(upper(regexp_replace(p.text, '\\s+', '', 'g')), upper(replace(t.target_code, ' ', '')))),
 dr AS (SELECT DISTINCT h.doc_id, h.target_code, p.page_num FROM h JOIN @catalog_pages p ON p.doc_id = h.doc_id AND p.page_num BETWEEN h.page_num - 2 AND h.page_num + 2),
 l1 AS (SELECT t.*, regexp_extract(target_code, '\\b([A-Z]{2,6})\\s*([0-9]{3,4}[A-Z]?)\\b', 1) AS subject FROM @catalog_targets t WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.doc_id = t.doc_id AND dr.target_code = t.target_code)),
-po AS (SELECT doc_id, coalesce(arg_min(s, page_num) FILTER (WHERE s <> 0), 0) AS o FROM (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS s FROM @catalog_pages WHERE page_num <= 20) GROUP BY 1),
+po AS (SELECT doc_id, coalesce(arg_min(s, page_num) FILTER (WHERE s <> 0), 0) AS o FROM (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS s FROM @catalog_pages) GROUP BY 1),
 tc AS (SELECT l1.doc_id, target_code, greatest(1, 10 + o - 2) AS a, least(total, 12 + o + 5 + o) AS b, total FROM l1 JOIN po ON po.doc_id = l1.doc_id JOIN n ON n.doc_id = l1.doc_id
   WHERE subject = 'BIOL' AND l1.doc_id IN (SELECT doc_id FROM @catalog_pages WHERE contains(text, 'Table of Contents'))),
 t2 AS (SELECT doc_id, target_code, a, CASE WHEN b - a < 20 THEN least(total, a + 30) ELSE b END AS b FROM tc),
 l2 AS (SELECT * FROM l1 WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.doc_id = l1.doc_id AND tc.target_code = l1.target_code)),
-ix AS (SELECT l2.doc_id, target_code, min(page_num) AS i FROM l2 JOIN @catalog_pages p ON p.doc_id = l2.doc_id WHERE subject <> '' AND page_num <= 100 AND length(text) > 200 AND contains(text, subject)
+ix AS (SELECT l2.doc_id, target_code, min(page_num) AS i FROM l2 JOIN @catalog_pages p ON p.doc_id = l2.doc_id WHERE subject <> '' AND length(text) > 200 AND contains(text, subject)
   AND regexp_matches(text, '[A-Z]\\s+[A-Z]\\s+[A-Z]') GROUP BY 1, 2),
 l3 AS (SELECT * FROM l2 WHERE NOT EXISTS (SELECT 1 FROM ix WHERE ix.doc_id = l2.doc_id AND ix.target_code = l2.target_code))
 SELECT doc_id, target_code, page_num, 'direct_text_search' AS strategy FROM dr
@@ -178,7 +178,7 @@ ps AS (SELECT *, row_number() OVER (PARTITION BY doc_id, b ORDER BY page_num, li
 cr AS (SELECT *, coalesce(nullif(regexp_extract(line, '(?i)^\\(([\\d.]+(?:\\s*-\\s*[\\d.]+)?)\\)\\s+Credit Hours$', 1), ''), nullif(regexp_extract(line, '(?i)^\\s*Credit\\s*Hours?\\s*:\\s*(.+?)\\s*$', 1), ''),
   nullif(regexp_extract(line, '(?i)^\\s*Credits?\\s*:\\s*(.+?)\\s*$', 1), ''), nullif(regexp_extract(line, '(?i)^\\s*(\\d+(?:\\.\\d+)?)\\s*(?:credit\\s*hours?|credits?|hours?)\\b.*$', 1), ''),
   nullif(regexp_extract(line, '(?i)^\\s*(\\d+)\\s*\\(\\s*\\d+\\s*\\)\\s*$', 1), ''), nullif(regexp_extract(line, '(?i)^\\s*(\\d+)\\s*-\\s*\\d+\\s*-\\s*\\d+\\s*$', 1), '')) AS credit FROM ps),
-kk AS (SELECT doc_id, b, min(pos) FILTER (WHERE pos BETWEEN 1 AND 12 AND credit IS NOT NULL) AS k FROM cr GROUP BY 1, 2),
+kk AS (SELECT doc_id, b, min(pos) FILTER (WHERE pos >= 1 AND credit IS NOT NULL) AS k FROM cr GROUP BY 1, 2),
 bk AS (SELECT c.doc_id, c.b, any_value(k) AS k, max(line) FILTER (WHERE pos = 0) AS header, max(c.page_num) FILTER (WHERE pos = 0) AS header_page, max(line) FILTER (WHERE pos = k) AS credit_line,
   max(c.page_num) FILTER (WHERE pos = k) AS credit_page, max(credit) FILTER (WHERE pos = k) AS raw,
   trim(regexp_replace(coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (WHERE pos > coalesce(k, 0)), ''), '\\s+', ' ', 'g')) AS description,
@@ -209,7 +209,7 @@ def parsed_courses(t):
 
 CHUNK_ROWS = """SELECT 'header' AS chunk_type, doc_id, course_code, CAST(header_page AS VARCHAR) AS pg, header AS k, header AS chunk_text FROM co
   UNION ALL SELECT 'credits', doc_id, course_code, CAST(credit_page AS VARCHAR), credit_line, credit_line FROM co WHERE credit_line IS NOT NULL
-  UNION ALL SELECT 'description', doc_id, course_code, array_to_string(desc_pages, ','), substr(description, 1, 200), description FROM co"""
+  UNION ALL SELECT 'description', doc_id, course_code, array_to_string(desc_pages, ','), description, description FROM co"""
 
 
 @query("course_chunks", "T15", f"""WITH {BLOCKS_SQL}, ck AS ({CHUNK_ROWS})
@@ -225,7 +225,7 @@ def corpus_metrics(t):
     return C.corpus_metrics(courses, C.course_chunks(courses))
 
 
-@query("transcript_layouts", "T10", """WITH d AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS t FROM @transcript_pages WHERE page_num <= 3 GROUP BY 1)
+@query("transcript_layouts", "T10", """WITH d AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS t FROM @transcript_pages GROUP BY 1)
 SELECT doc_id, CASE WHEN contains(lower(t), 'course') AND contains(lower(t), 'grade') THEN 'tabular'
   WHEN len(regexp_extract_all(t, '(?i)(Fall|Spring|Summer|Winter)\\s+\\d{4}')) >= 2 THEN 'grouped_by_term'
   WHEN len(regexp_extract_all(t, '\\b([A-Z]{2,6})\\s*(\\d{3,4}[A-Z]?)\\b')) > 5 THEN 'linear' ELSE 'unknown' END AS layout FROM d""")
@@ -243,7 +243,7 @@ GRADE_RE2 = "([A-DF][+-]|[A-DF]|CR|NC|P|NP|W|WP|WF|IP|AU)"
 GRADE_OF = lambda c: f"nullif(regexp_extract({c}, '(?:^|[^A-Za-z]){GRADE_RE2}(?:[^A-Za-z]|$)', 1), '')"
 LEAD_OF = lambda c: f"regexp_extract({c}, '(?s)^((?:.*?[^A-Za-z])??){GRADE_RE2}(?:[^A-Za-z]|$)', 1)"
 TRANSCRIPT_SQL = r"""tx AS (SELECT doc_id, page_num, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS x FROM @transcript_pages),
-ld AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS t FROM @transcript_pages WHERE page_num <= 3 GROUP BY 1),
+ld AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS t FROM @transcript_pages GROUP BY 1),
 lay AS (SELECT doc_id, contains(lower(t), 'course') AND contains(lower(t), 'grade') AS tab FROM ld),
 l1 AS (SELECT tx.doc_id, page_num, tab, generate_subscripts(x, 1) AS line_no, unnest(x) AS line, unnest(list_append(x[2:], NULL)) AS nxt FROM
   (SELECT tx.doc_id, page_num, tab, CASE WHEN tab THEN x ELSE list_filter(x, lambda y: y <> '') END AS x FROM tx JOIN lay ON lay.doc_id = tx.doc_id) tx),

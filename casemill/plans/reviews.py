@@ -9,28 +9,41 @@ from casemill.plans.cases import ACTIONS_SQL, actions
 from casemill.plans.registry import query
 
 
-@query("committee_plurality", "A1", """WITH tally AS (SELECT request_id, review_cycle, action, count(*) AS n FROM @votes GROUP BY ALL)
+ADMITTED_SQL = """adm AS (SELECT v.* FROM @votes v WHERE EXISTS (SELECT 1 FROM @committee c WHERE c.request_id = v.request_id AND c.review_cycle = v.review_cycle
+  AND c.reviewer_id = v.voter_id) QUALIFY row_number() OVER (PARTITION BY request_id, review_cycle, voter_id ORDER BY created_at, vote_id) = 1)"""
+
+
+def admitted(t):
+    return R.admitted_votes(t.votes, t.committee)
+
+
+@query("admitted_votes", "Q3 ST4", f"WITH {ADMITTED_SQL} SELECT vote_id, request_id, review_cycle, voter_id, action FROM adm")
+def admitted_votes(t):
+    return admitted(t).select("vote_id", "request_id", "review_cycle", "voter_id", "action")
+
+
+@query("committee_plurality", "A1", f"""WITH {ADMITTED_SQL}, tally AS (SELECT request_id, review_cycle, action, count(*) AS n FROM adm GROUP BY ALL)
 SELECT request_id, review_cycle, CAST(sum(n) OVER (PARTITION BY request_id, review_cycle) AS BIGINT) AS n_votes, action AS committee_decision FROM tally
 QUALIFY row_number() OVER (PARTITION BY request_id, review_cycle ORDER BY n DESC,
   list_position(['deny', 'needs_more_info', 'approve_with_bridge', 'approve'], action)) = 1""")
 def committee_plurality(t):
-    return R.plurality_decision(t.votes)
+    return R.plurality_decision(admitted(t))
 
 
-@query("committee_final", "A2", """WITH c AS (SELECT request_id, review_cycle, count(*) AS n_votes, count(*) FILTER (WHERE action = 'approve') AS a,
+@query("committee_final", "A2", f"""WITH {ADMITTED_SQL}, c AS (SELECT request_id, review_cycle, count(*) AS n_votes, count(*) FILTER (WHERE action = 'approve') AS a,
   count(*) FILTER (WHERE action = 'approve_with_bridge') AS b, count(*) FILTER (WHERE action = 'deny') AS d,
-  count(*) FILTER (WHERE action = 'needs_more_info') AS n FROM @votes GROUP BY 1, 2)
+  count(*) FILTER (WHERE action = 'needs_more_info') AS n FROM adm GROUP BY 1, 2)
 SELECT request_id, review_cycle, n_votes, CASE WHEN n > a + b AND n > d THEN 'needs_more_info' WHEN b > a AND b > d AND b > n THEN 'approve_with_bridge'
   WHEN a + b > d AND a + b > n THEN 'approve' ELSE 'deny' END AS final_decision FROM c""")
 def committee_final(t):
-    return R.final_decision(t.votes)
+    return R.final_decision(admitted(t))
 
 
-@query("completed_votes", "A3", """WITH m AS (SELECT request_id, review_cycle, count(*) AS n_members FROM @committee GROUP BY 1, 2),
-v AS (SELECT request_id, review_cycle, count(*) AS n_votes FROM @votes GROUP BY 1, 2)
+@query("completed_votes", "A3", f"""WITH {ADMITTED_SQL}, m AS (SELECT request_id, review_cycle, count(*) AS n_members FROM @committee GROUP BY 1, 2),
+v AS (SELECT request_id, review_cycle, count(*) AS n_votes FROM adm GROUP BY 1, 2)
 SELECT m.request_id, m.review_cycle, n_members, n_votes FROM m JOIN v ON m.request_id = v.request_id AND m.review_cycle = v.review_cycle WHERE n_votes >= n_members""")
 def completed_votes(t):
-    return R.completed_votes(t.committee, t.votes)
+    return R.completed_votes(t.committee, admitted(t))
 
 
 @query("committee_members", "J13", """SELECT c.request_id, c.review_cycle, c.reviewer_id, s.reviewer_name, EXISTS (SELECT 1 FROM @votes v WHERE v.request_id = c.request_id

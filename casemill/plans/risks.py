@@ -34,21 +34,28 @@ def patterns_sql() -> str:
 
 WORDS = "'[\\p{L}\\p{N}\\p{M}_]+'"
 KEYS = ", ".join(f"('{k}', '{k[0]}' || '{''.join(sorted(k[1:-1]))}' || '{k[-1]}')" for k in S.FUZZY_KEYWORDS)
-FINDINGS_SQL = f"""sc AS (SELECT doc_id, page_num, text, {scan_sql('text')} AS s FROM @scan_pages),
+def findings_sql(source: str) -> str:
+    return f"""sc AS MATERIALIZED (SELECT doc_id, page_num, text, {scan_sql('text')} AS s FROM {source}),
 pats(i, severity, points, match, pat) AS (VALUES {patterns_sql()}),
 rx AS (SELECT doc_id, page_num, 0 AS rank, i AS ord, 'regex' AS detector, severity, points, match FROM sc JOIN pats ON regexp_matches(s, pat)),
 wd AS (SELECT doc_id, page_num, unnest(regexp_extract_all(lower(s), {WORDS})) AS w, generate_subscripts(regexp_extract_all(lower(s), {WORDS}), 1) AS pos FROM sc),
 tr AS (SELECT doc_id, page_num, 1 AS rank, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY w) AS ord, 'trigger_word' AS detector, 'low' AS severity, 1 AS points, w AS match
-  FROM (SELECT DISTINCT doc_id, page_num, w FROM wd WHERE w IN ({', '.join(q(w) for w in S.TRIGGER_WORDS)})) QUALIFY ord <= 10),
+  FROM (SELECT DISTINCT doc_id, page_num, w FROM wd WHERE w IN ({', '.join(q(w) for w in S.TRIGGER_WORDS)}))),
 keys(k, mk) AS (VALUES {KEYS}),
 ty AS (SELECT doc_id, page_num, 2 AS rank, pos AS ord, 'typoglycemia' AS detector, 'low' AS severity, 2 AS points, w || '~' || k AS match FROM wd JOIN keys
   ON length(w) = length(k) AND length(w) >= 4 AND w <> k AND w[1] = k[1] AND w[-1] = k[-1]
   AND array_to_string(list_sort(string_split(w[2:-2], '')), '') = array_to_string(list_sort(string_split(k[2:-2], '')), '')),
-b64 AS (SELECT doc_id, page_num, 3 AS rank, generate_subscripts(x, 1) AS ord, 'base64_decode' AS detector, 'high' AS severity, 6 AS points, 'base64_encoded_injection' AS match, unnest(x) AS run
-  FROM (SELECT doc_id, page_num, regexp_extract_all(text, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AS x FROM @scan_pages)),
-bs AS (SELECT * EXCLUDE (run) FROM b64 WHERE run = 'aWdub3JlIHByZXZpb3VzIGluc3RydWN0aW9ucyBub3c='),
+b64 AS (SELECT doc_id, page_num, generate_subscripts(x, 1) AS ord, regexp_replace(unnest(x), '=+$', '') AS run
+  FROM (SELECT doc_id, page_num, regexp_extract_all(text, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AS x FROM sc)),
+told AS (SELECT doc_id, page_num, ord, TRY(decode(from_base64(rpad(run, CAST(ceil(length(run) / 4.0) * 4 AS INTEGER), '=')))) AS said FROM b64 WHERE length(run) % 4 <> 1),
+spoken AS (SELECT doc_id, page_num, ord, {scan_sql('said')} AS said FROM told WHERE length(said) >= 10 AND NOT regexp_matches(said, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}]')),
+bs AS (SELECT doc_id, page_num, 3 AS rank, ord, 'base64_decode' AS detector, 'high' AS severity, 6 AS points, 'base64_encoded_injection' AS match FROM spoken
+  WHERE EXISTS (SELECT 1 FROM pats WHERE regexp_matches(said, pat)) OR list_has_any(regexp_extract_all(lower(said), {WORDS}), [{', '.join(q(w) for w in S.TRIGGER_WORDS)}])),
 sig AS (SELECT * FROM rx UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM ty UNION ALL SELECT * FROM bs),
 fnd AS (SELECT * FROM sig UNION ALL SELECT doc_id, page_num, 4, 0, 'bonus', 'medium', 2, 'multi_signal_bonus' FROM sig GROUP BY doc_id, page_num HAVING count(*) >= 2)"""
+
+
+FINDINGS_SQL = findings_sql("@scan_pages")
 # ----------------------------------------------------------------------------
 
 
@@ -80,14 +87,16 @@ def quarantined_pages(t):
     return ok.withColumn("quarantined", F.lit(False)).unionByName(held.withColumn("quarantined", F.lit(True)))
 
 
-@query("metadata_findings", "X7", """SELECT event_id AS doc_id, 0 AS page_num, CASE WHEN event_id % 50 = 0 THEN 2 * (5 + 1) + 2 - 7 ELSE 0 END AS points FROM @events""")
+AUTHOR_SQL = "CASE event_id % 50 WHEN 0 THEN 'jailbreak' WHEN 1 THEN 'ignore all previous instructions' WHEN 2 THEN 'the committee score' END"
+
+
+@query("metadata_findings", "X7", f"""WITH meta AS (SELECT event_id AS doc_id, 0 AS page_num, concat_ws(' ', props, {AUTHOR_SQL}) AS text FROM @events), {findings_sql("meta")}
+SELECT m.doc_id, m.page_num, CAST(coalesce(sum(points), 0) AS INTEGER) AS points FROM meta m LEFT JOIN fnd ON fnd.doc_id = m.doc_id GROUP BY ALL""")
 def metadata_findings(t):
-    # Title and author of an upload; some authors write an instruction: one pattern and one trigger word, or none.
-    rows = t.events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("title"),
-                           F.when(F.col("event_id") % 50 == 0, "jailbreak").alias("author"))
-    found = R.metadata_findings(rows, ["title", "author"])
-    bonus = F.when(F.col("doc_id") % 50 == 0, 2).otherwise(0)
-    return found.select("doc_id", "page_num", (R.page_points() + bonus).alias("points"))
+    # Title and author of an upload; some authors write an instruction or words of one.
+    author = F.expr(AUTHOR_SQL)
+    rows = t.events.select(F.col("event_id").alias("doc_id"), F.col("props").alias("title"), author.alias("author"))
+    return R.metadata_findings(rows, ["title", "author"]).select("doc_id", "page_num", R.page_points().alias("points"))
 
 
 @query("file_type_checks", "X8 F23", """SELECT doc_id, ext AS extension, seen AS detected_type, coalesce(ok = seen, false) AS is_valid FROM (
@@ -133,6 +142,7 @@ def repeated_sentences(t):
     return R.repeated_sentences(t.doc_pages)
 
 
+TALLIES = ", ".join(f"{{'i': {i}, 'k': {q(k)}, 'n': len(list_filter(ws, lambda x: x = {q(k)}))}}" for i, k in enumerate([k for k in R.KEYWORDS if " " not in k]))
 SINGLE = ", ".join(q(k) for k in R.KEYWORDS if " " not in k)
 MULTI = " + ".join(f"len(regexp_extract_all(full_text, '(?i){k}'))" for k in R.KEYWORDS if " " in k)
 FREQUENT = " + ".join(f"(len(regexp_extract_all(full_text, '(?i){k}')) >= 3)::INT" for k in R.KEYWORDS if " " in k)
@@ -142,15 +152,17 @@ FREQUENT = " + ".join(f"(len(regexp_extract_all(full_text, '(?i){k}')) >= 3)::IN
     ' outcome ' ORDER BY page_num) AS full_text FROM @doc_pages GROUP BY doc_id), {SENTENCES},
 w AS (SELECT doc_id, regexp_extract_all(lower(full_text), {WORDS}) AS ws, {MULTI} AS n_multi, {FREQUENT} AS n_frequent FROM d),
 c AS (SELECT doc_id, len(ws) AS n_words, n_frequent, len(list_filter(ws, lambda x: x IN ({SINGLE}))) + n_multi AS n_flagged FROM w),
-r AS (SELECT doc_id, count(*) AS n FROM reps GROUP BY doc_id)
-SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_flagged AS BIGINT) AS n_flagged, round(n_flagged / greatest(n_words, 1), 4) AS density, CAST(n_frequent + coalesce(r.n, 0) AS BIGINT) AS n_repeated,
-  n_flagged / greatest(n_words, 1) >= 0.04 OR n_frequent + coalesce(r.n, 0) > 0 AS is_suspicious FROM c LEFT JOIN r ON r.doc_id = c.doc_id""")
+r AS (SELECT doc_id, count(*) AS n FROM reps GROUP BY doc_id),
+o AS (SELECT doc_id, unnest([{TALLIES}], recursive := true) FROM w),
+tops AS (SELECT doc_id, list(k || ' x' || n ORDER BY n DESC, i)[1:10] AS tops FROM o WHERE n > 0 GROUP BY doc_id)
+SELECT c.doc_id, coalesce(array_to_string(tops.tops, ', '), '') AS top_offenders, CAST(n_words AS BIGINT) AS n_words, CAST(n_flagged AS BIGINT) AS n_flagged, round(n_flagged / greatest(n_words, 1), 4) AS density, CAST(n_frequent + coalesce(r.n, 0) AS BIGINT) AS n_repeated,
+  n_flagged / greatest(n_words, 1) >= 0.04 OR n_frequent + coalesce(r.n, 0) > 0 AS is_suspicious FROM c LEFT JOIN r ON r.doc_id = c.doc_id LEFT JOIN tops ON tops.doc_id = c.doc_id""")
 def keyword_density(t):
     # Pages of every third document end in "learning" and the next begins with "outcome": a phrase across the page end.
     first = F.when(F.col("page_num") > 1, F.lit("outcome ")).otherwise("")
     tail = F.when(F.col("doc_id") % 3 == 0, " approved Genetics, equivalent; genetics learning").otherwise(" end")
     pages = t.doc_pages.withColumn("text", F.concat(first, "text", tail))
-    return R.keyword_density(pages).drop("top_offenders")
+    return R.keyword_density(pages).withColumn("top_offenders", F.array_join("top_offenders", ", "))
 
 
 @query("field_consistency", "X12", """WITH d AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_num) AS full_text FROM @syllabus_pages GROUP BY doc_id),

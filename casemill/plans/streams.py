@@ -56,28 +56,29 @@ def packet_stream(t):
     return t.spark.read.parquet(f"{path}/data").select("request_id", "inputs_hash")
 
 
-@query("vote_stream", "ST4 A2 A3", """WITH m AS (SELECT user_id AS request_id, CAST(1 + event_id % 2 AS INT) AS review_cycle, count(*) AS n_members FROM @events WHERE event_type = 'signup' GROUP BY 1, 2),
-v AS (SELECT * FROM @votes QUALIFY row_number() OVER (PARTITION BY request_id, review_cycle, voter_id ORDER BY created_at, vote_id) = 1),
-c AS (SELECT request_id, review_cycle, count(*) AS n_votes, count(*) FILTER (WHERE action = 'approve') AS a, count(*) FILTER (WHERE action = 'approve_with_bridge') AS b,
-  count(*) FILTER (WHERE action = 'deny') AS d, count(*) FILTER (WHERE action = 'needs_more_info') AS n FROM v GROUP BY 1, 2),
+@query("vote_stream", "ST4 A2 A3", """WITH v AS (SELECT * FROM @votes QUALIFY row_number() OVER (PARTITION BY request_id, review_cycle, voter_id ORDER BY created_at, vote_id) = 1),
+c AS (SELECT v.request_id, v.review_cycle, count(*) AS n_votes, count(*) FILTER (WHERE action = 'approve') AS a, count(*) FILTER (WHERE action = 'approve_with_bridge') AS b,
+  count(*) FILTER (WHERE action = 'deny') AS d, count(*) FILTER (WHERE action = 'needs_more_info') AS n FROM v JOIN @committee k
+  ON k.request_id = v.request_id AND k.review_cycle = v.review_cycle AND k.reviewer_id = v.voter_id GROUP BY 1, 2),
+m AS (SELECT request_id, review_cycle, count(*) AS n_members FROM @committee GROUP BY 1, 2),
 r AS (SELECT request_id, review_cycle, count(*) AS n_all FROM @votes GROUP BY 1, 2),
-k AS (SELECT request_id, review_cycle FROM m UNION SELECT request_id, review_cycle FROM r)
-SELECT k.request_id, k.review_cycle, coalesce(c.n_votes, 0) AS n_votes, coalesce(n_all - c.n_votes, 0) AS n_rejected, coalesce(n_members, 0) AS n_members,
-  coalesce(c.n_votes, 0) >= coalesce(n_members, 0) AND coalesce(n_members, 0) > 0 AS complete,
-  CASE WHEN coalesce(c.n_votes, 0) >= coalesce(n_members, 0) AND coalesce(n_members, 0) > 0 THEN CASE WHEN n > a + b AND n > d THEN 'needs_more_info' WHEN b > a AND b > d AND b > n THEN 'approve_with_bridge'
-    WHEN a + b > d AND a + b > n THEN 'approve' ELSE 'deny' END END AS final_decision
-FROM k LEFT JOIN m ON m.request_id = k.request_id AND m.review_cycle = k.review_cycle LEFT JOIN c ON c.request_id = k.request_id AND c.review_cycle = k.review_cycle
-LEFT JOIN r ON r.request_id = k.request_id AND r.review_cycle = k.review_cycle""")
+k AS (SELECT request_id, review_cycle FROM m UNION SELECT request_id, review_cycle FROM r),
+x AS (SELECT k.request_id, k.review_cycle, coalesce(c.n_votes, 0) AS n_votes, coalesce(n_all, 0) - coalesce(c.n_votes, 0) AS n_rejected, coalesce(n_members, 0) AS n_members,
+  coalesce(c.n_votes, 0) >= coalesce(n_members, 0) AND coalesce(n_members, 0) > 0 AS complete, a, b, d, n
+  FROM k LEFT JOIN m ON m.request_id = k.request_id AND m.review_cycle = k.review_cycle LEFT JOIN c ON c.request_id = k.request_id AND c.review_cycle = k.review_cycle
+  LEFT JOIN r ON r.request_id = k.request_id AND r.review_cycle = k.review_cycle)
+SELECT request_id, review_cycle, n_votes, n_rejected, n_members, complete, CASE WHEN complete THEN CASE WHEN n > a + b AND n > d THEN 'needs_more_info'
+  WHEN b > a AND b > d AND b > n THEN 'approve_with_bridge' WHEN a + b > d AND a + b > n THEN 'approve' ELSE 'deny' END END AS final_decision FROM x""")
 def vote_stream(t):
     path = out(t, "votes")
-    e = events(t).filter(F.col("event_type").isin("signup", "error"))
+    e = events(t).filter("event_type = 'error' OR event_type = 'signup' AND event_id % 3 = 0")
     action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "approve_with_bridge", "deny", "needs_more_info")]),
                           (F.floor(F.col("value") * 100) % 4 + 1).cast("int"))
     rows = e.select(F.col("user_id").alias("request_id"), (F.col("event_id") % 2 + 1).cast("int").alias("review_cycle"),
                     F.when(F.col("event_type") == "signup", "member").otherwise("vote").alias("kind"),
-                    (F.col("event_id") % 25).alias("person"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("ref_id"))
-    J.run_updates(J.count_votes(rows), path).awaitTermination()
-    return J.latest_updates(t.spark, path, ["request_id", "review_cycle"])
+                    (F.col("event_id") % 10).alias("person"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("ref_id"))
+    J.run_updates(J.seat_votes(rows), path).awaitTermination()
+    return J.vote_results(J.latest_updates(t.spark, path, ["request_id", "review_cycle", "person"]))
 
 
 @query("event_log_stream", "ST1 S11", """SELECT event_id AS request_id, event_type AS event, ts FROM @events""")

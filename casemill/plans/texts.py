@@ -113,14 +113,16 @@ def ranked_grades(t):
         "evidence_id", X.grade_text(F.col("fact_value")).alias("grade"), X.grade_rank(F.col("fact_value")).alias("rank"))
 
 
-@query("distinct_items", "U4 F10", """SELECT evidence_id, array_to_string(list_transform(list_filter(list_transform(string_split(items_text, '|'), lambda x: trim(x)), lambda x: x <> ''), lambda x: x), ' / ') AS items
-FROM @facts WHERE items_text IS NOT NULL""")
+@query("distinct_items", "U4 F10", """WITH l AS (SELECT evidence_id, list_filter(list_transform(string_split(items_text || '| ' || items_text || '|x|x ', '|'), lambda x: trim(x)), lambda x: x <> '') AS l
+FROM @facts WHERE items_text IS NOT NULL) SELECT evidence_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' / ') AS items FROM l""")
 def distinct_items(t):
-    return facts(t).filter("items IS NOT NULL").select(
-        "evidence_id", F.array_join(F.array_distinct(X.norm_list(F.col("items"))), " / ").alias("items"))
+    # Every list is given twice over, with blanks, so that there are repeats to drop.
+    twice = F.split(F.concat("items_text", F.lit("| "), "items_text", F.lit("|x|x ")), r"\|")
+    return facts(t).filter("items_text IS NOT NULL").select(
+        "evidence_id", F.array_join(F.array_distinct(X.norm_list(twice)), " / ").alias("items"))
 
 
-@query("decision_prompts", "T17", """WITH links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % 2000 = p_partkey WHERE ordinal % 3 <> 0),
+@query("decision_prompts", "T17", """WITH links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
 b AS (SELECT f.request_id, f.ordinal, f.evidence_id, '- Fact: ' || coalesce(fact_key, 'None') || ' = ' || CASE WHEN trim(fact_value) <> '' THEN fact_value WHEN items_text IS NOT NULL
     THEN CAST(to_json({'items': string_split(items_text, '|')}) AS VARCHAR) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
     || coalesce('    [chunk_id: ' || chunk_uuid || ', page: ' || p_size || ']' || chr(10) || '    "' || p_name || '"', '    (no citation chunks linked)') || chr(10) AS block

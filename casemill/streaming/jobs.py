@@ -6,22 +6,16 @@ output on the shared file system. Batch twins live in the operators they reuse.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casemill import schemas
 from casemill.operators import review as R
 from casemill.operators.common import newest_per
 
-VOTE_RESULT = ("request_id LONG, review_cycle INT, n_votes LONG, n_rejected LONG, n_members LONG, complete BOOLEAN, "
-               "final_decision STRING")
-VOTE_STATE = "n_members LONG, n_rejected LONG, voters ARRAY<LONG>, actions ARRAY<STRING>"
-
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Log events as they arrive (ST1)."""
@@ -76,39 +70,25 @@ def decide_on_arrival(arrivals: DataFrame, path: str, decide_cases: Callable[[Da
             .trigger(availableNow=True).start())
 
 
-def _final(actions: list[str]) -> str:
-    """The count rule of ``review.final_decision`` for one committee."""
-    a, b, d, n = (actions.count(x) for x in ("approve", "approve_with_bridge", "deny", "needs_more_info"))
-    if n > a + b and n > d:
-        return "needs_more_info"
-    if b > a and b > d and b > n:
-        return "approve_with_bridge"
-    return "approve" if a + b > d and a + b > n else "deny"
-
-
-def _collect_votes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    members, rejected, voters, actions = state.get if state.exists else (0, 0, [], [])
-    voters, actions = list(voters), list(actions)
-    for frame in frames:
-        for row in frame.sort_values(["at", "ref_id"]).itertuples():
-            if row.kind == "member":
-                members += 1
-            elif row.person in voters:
-                rejected += 1
-            else:
-                voters.append(row.person)
-                actions.append(row.action)
-    state.update((members, rejected, voters, actions))
-    complete = members > 0 and len(actions) >= members
-    yield pd.DataFrame({
-        "request_id": [key[0]], "review_cycle": [key[1]], "n_votes": [len(actions)], "n_rejected": [rejected],
-        "n_members": [members], "complete": [complete], "final_decision": [_final(actions) if complete else None]})
-
-
-def count_votes(seats_and_votes: DataFrame) -> DataFrame:
-    """Votes per case and cycle with a second vote of a member refused; decides when all have voted (ST4).
-
-    Rows: request_id, review_cycle, kind ('member' or 'vote'), person, action, at, ref_id.
+def seat_votes(seats_and_votes: DataFrame) -> DataFrame:
+    """Per case, cycle and person: whether they have a seat, their first vote, and how many votes they sent (ST4).
+
+    Rows: request_id, review_cycle, kind ('member' or 'vote'), person, action, at, ref_id. One row of state per person.
     """
-    return seats_and_votes.groupBy("request_id", "review_cycle").applyInPandasWithState(
-        _collect_votes, VOTE_RESULT, VOTE_STATE, "update", GroupStateTimeout.NoTimeout)
+    is_vote = F.col("kind") == "vote"
+    return seats_and_votes.groupBy("request_id", "review_cycle", "person").agg(
+        F.bool_or(F.col("kind") == "member").alias("seated"), F.count_if(is_vote).alias("n_sent"),
+        F.min_by(F.when(is_vote, F.col("action")), F.when(is_vote, F.struct("at", "ref_id"))).alias("action"))
+
+
+def vote_results(people: DataFrame) -> DataFrame:
+    """Per case and cycle, from the newest row of each person: votes of members count once, all others are refused, and
+    the decision falls when every member has voted (ST4)."""
+    counted = F.col("seated") & (F.col("n_sent") > 0)
+    tally = people.groupBy(*R.CYCLE).agg(
+        F.count_if(counted).alias("n_votes"), (F.sum("n_sent") - F.count_if(counted)).alias("n_rejected"),
+        F.count_if("seated").alias("n_members"),
+        *[F.count_if(counted & (F.col("action") == a)).alias(a) for a in R.VOTE_PRIORITY])
+    complete = (F.col("n_members") > 0) & (F.col("n_votes") >= F.col("n_members"))
+    return tally.select(*R.CYCLE, "n_votes", "n_rejected", "n_members", complete.alias("complete"),
+                        F.when(complete, R.final_pick()).alias("final_decision"))

@@ -77,15 +77,16 @@ def test_event_log_appends_and_streams(spark, tmp_path):
 def test_second_vote_is_refused_over_batches(spark, tmp_path):
     schema = "request_id LONG, review_cycle INT, kind STRING, person LONG, action STRING, at LONG, ref_id LONG"
     batches = [[(1, 1, "member", p, None, 0, p) for p in (5, 6)] + [(1, 1, "vote", 5, "deny", 1, 10)],
-               [(1, 1, "vote", 5, "approve", 2, 11)], [(1, 1, "vote", 6, "deny", 3, 12)]]
+               [(1, 1, "vote", 5, "approve", 2, 11), (1, 1, "vote", 9, "approve", 2, 13)], [(1, 1, "vote", 6, "deny", 3, 12)]]
     seen = []
     for rows in batches:
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        J.run_updates(J.count_votes(stream), str(tmp_path / "out")).awaitTermination()
-        r = J.latest_updates(spark, str(tmp_path / "out"), ["request_id", "review_cycle"]).first()
+        J.run_updates(J.seat_votes(stream), str(tmp_path / "out")).awaitTermination()
+        r = J.vote_results(J.latest_updates(spark, str(tmp_path / "out"), ["request_id", "review_cycle", "person"])).first()
         seen.append((r.n_votes, r.n_rejected, r.complete, r.final_decision))
-    assert seen == [(1, 0, False, None), (1, 1, False, None), (2, 1, True, "deny")]
+    # The second vote of 5 and the vote of 9, who has no seat, are refused.
+    assert seen == [(1, 0, False, None), (1, 2, False, None), (2, 2, True, "deny")]
 
 
 def test_repeated_packets_are_dropped(spark, tmp_path):
