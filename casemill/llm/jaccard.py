@@ -127,7 +127,7 @@ class Scheme:
         return np.array([math.comb(max(0, self.parts - d), kept) for d in range(self.parts + 2)], np.int64)
 
 
-SCHEMES = (Scheme(2, 1), Scheme(5, 2))
+SCHEMES = (Scheme(4, 1), Scheme(12, 1))
 
 
 @lru_cache(maxsize=4096)
@@ -426,16 +426,65 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHING
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the size of the shortest."""
+    size = min(map(len, bits))
+    out = np.empty((len(bits), size // 8), np.uint64)
+    for k, x in enumerate(bits):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def _close_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose sketches are close, from rows of sig, i, j, rest, node, component, n, bits.
+
+    A block of sets outside a signature's main component meets a block of all its sets; only close pairs leave the task.
+    """
+    def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, block in frame.groupby(["sig", "i", "j"], sort=False):
+            words, n, part, node = _folded(block["bits"].tolist()), *(block[c].to_numpy() for c in ("n", "component", "node"))
+            rest = block["rest"].to_numpy(bool)
+            mine, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
+            for low in range(0, len(mine), 32):
+                at = mine[low:low + 32]
+                apart = np.bitwise_count(words[at][:, None, :] ^ words[all_][None, :, :]).sum(axis=2, dtype=np.int64)
+                both, less, more = n[at][:, None] + n[all_], np.minimum(n[at][:, None], n[all_]), np.maximum(n[at][:, None], n[all_])
+                good = (apart * (100 + percent) <= (100 - percent) * both) & (100 * less >= percent * more) & (part[at][:, None] != part[all_])
+                x, y = np.nonzero(good)
+                found.append(np.sort(np.stack([node[at[x]], node[all_[y]]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+
+
+BLOCK_SETS = 1024
+BLOCK_ROWS_PER_BUCKET = 20_000
+
+
 def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares the sets at a crowded signature that are still in different components, until none is left to compare."""
+    """Compares the sets at a crowded signature that are still in different components.
+
+    Sets outside the signature's largest component are compared with all of its sets, block by block, so a signature of
+    any size is spread over tasks of bounded size.
+    """
     both = stars.select("sig", F.explode(F.array("a", "b")).alias("node"))
     rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
     rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
     sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    open_ = saved(sizes.groupBy("sig").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("main")).where("k > 1"), "open-signatures")
-    if open_.isEmpty():
-        return labels
-    rest = rows.join(open_, "sig").where("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("cx"))
-    pairs = rest.join(rows, "sig").where("component <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-    more = _verified(saved(pairs.distinct(), "open-pairs"), sets, percent)
+    open_ = sizes.groupBy("sig").agg(F.count("*").alias("k"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"),
+                                     F.max_by("component", F.struct("n", "component")).alias("main")).where("k > 1")
+    open_ = saved(open_.select("sig", "main", F.ceil(F.col("n_all") / BLOCK_SETS).cast("int").alias("n_j"),
+                               F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK_SETS).cast("int").alias("n_i")), "open-signatures")
+    known = rows.join(open_, "sig").join(sets.select(F.col("doc_id").alias("node"), "n", "bits"), "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["sig", "node", "component", "n", "bits"]
+    rest = known.where("component <> main").select(*columns, F.lit(True).alias("rest"), place("n_i").alias("i"), upto("n_j").alias("j"))
+    all_ = known.select(*columns, F.lit(False).alias("rest"), place("n_j").alias("j"), upto("n_i").alias("i"))
+    blocks = rest.unionByName(all_)
+    buckets = max(16, math.ceil(rows.count() / BLOCK_ROWS_PER_BUCKET))
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)).cast("int"))
+    more = _verified(saved(_close_in_blocks(blocks, percent), "open-pairs"), sets, percent)
     return labels if more.isEmpty() else saved(components(links.unionByName(more)), "component-labels")
