@@ -64,7 +64,8 @@ def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **shape:
     # A key counts once for each document, so equal rows count as one.
     counted = keyed.select("row_key", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
     often = saved(counted.where(F.col("n") >= min_documents).select("key"), "recurring-templates")
-    hits = keyed.join(often, "key", "left_semi")
+    # Recurring templates grow with the corpus: merged, not broadcast, at every size.
+    hits = keyed.join(often.hint("merge"), "key", "left_semi")
     return saved(hits.groupBy("row_key", "doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "dropped-lines")
 
 
@@ -72,7 +73,7 @@ def without_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **shape:
     """doc_id, text without its recurring lines, n_lines, n_dropped for every row."""
     gone = dropped_lines(docs, min_documents, **shape).select("row_key", F.col("doc_id").alias("_doc_id"), "lines")
     rows = texts_of(docs).withColumn("row_key", _row_key())
-    rows = rows.join(gone, (rows["row_key"] == gone["row_key"]) & rows["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
+    rows = rows.join(gone.hint("merge"), (rows["row_key"] == gone["row_key"]) & rows["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
     kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
