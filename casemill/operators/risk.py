@@ -6,11 +6,14 @@ may cross a page end, the two page edges are joined by themselves.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import scan as S
 from casemill.operators.common import carry_forward, in_order
+from casemill.session import ship_package
 
 # ---- fixed values ----------------------------------------------------------
 REJECT_AT = 7
@@ -48,6 +51,7 @@ def findings(pages: DataFrame, text: str = "text", window: int | None = None, ma
 
     All trigger words of a page count unless ``max_triggers`` is given; the domain's own limit is 10.
     """
+    ship_package(pages.sparkSession)
     prepared = pages.withColumn("_scan", S.scan_form(F.col(text), window)).withColumn(
         "_coded", S.scan_form_each(S.decoded_runs(F.coalesce(F.col(text), F.lit("")))))
     prepared = prepared.withColumn("_low", F.lower("_scan")).withColumn("_words", S.words(F.col("_low")))
@@ -210,26 +214,38 @@ def keyword_density(pages: DataFrame) -> DataFrame:
                       ((share >= DENSITY_AT) | (F.col("n_repeated") > 0)).alias("is_suspicious"))
 
 
-def _values(pages: DataFrame, pattern: str, kind: str) -> DataFrame:
-    """Every number a pattern finds, inside pages and across page ends (doc_id, kind, value, n)."""
-    inside = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("v"), F.lit(1).alias("n"))
-    rim = edges(pages).filter(_across(pattern) > 0)
-    get = lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    both = rim.select("doc_id", F.explode(get(_joined())).alias("v"), F.lit(1).alias("n"))
-    less = rim.select("doc_id", F.explode(F.concat(get(F.col("tail")), get(F.col("head")))).alias("v"), F.lit(-1).alias("n"))
-    every = inside.unionByName(both).unionByName(less)
-    return every.groupBy("doc_id", F.lit(kind).alias("kind"), F.col("v").cast("double").alias("value")).agg(
-        F.sum("n").alias("n")).filter("n > 0")
+def _page_values(pages: DataFrame, patterns: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every value a pattern finds, inside pages and across page ends (doc_id, kept columns, kind, value, n).
+
+    One projection reduces a page to its values and its edges, cut at word starts; the edge of the last page with text is
+    carried on to the next one. What the joined edges hold beyond each edge alone runs over the page end. An edge is
+    `EDGE` characters long, so a match that needs more of a page, or all of a third page, is not seen.
+    """
+    def named(kind: str, sign: int):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sign).alias("n"))
+
+    def found(text: Column, sign: int) -> Column:
+        return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(kind, sign)) for kind, p in patterns.items()])
+
+    text = F.coalesce("text", F.lit(""))
+    long, blank = F.length(text) > EDGE, F.trim(text) == ""
+    tail = F.when(~blank, F.when(long, F.regexp_replace(F.substring(text, -EDGE, EDGE), r"^\S*\s", "")).otherwise(text))
+    head = F.when(~blank, F.when(long, F.regexp_replace(F.substring(text, 1, EDGE), r"\s\S*$", "")).otherwise(text))
+    cut = pages.select("doc_id", *keep, "page_num", found(text, 1).alias("_inside"), tail.alias("tail"), head.alias("head"))
+    joined = carry_forward(cut, ["doc_id"], F.floor(F.col("page_num") / 64), ["page_num"], "tail", "_before", include_current=False)
+    edge = F.concat(found(F.concat("_before", F.lit(" "), "head"), 1), found(F.col("_before"), -1), found(F.col("head"), -1))
+    every = joined.select("doc_id", *keep, F.explode(F.concat("_inside", F.coalesce(edge, F.array_except("_inside", "_inside")))).alias("v"))
+    return every.groupBy("doc_id", *keep, "v.kind", "v.value").agg(F.sum("v.n").alias("n")).filter("n > 0")
 
 
 def field_consistency(pages: DataFrame) -> DataFrame:
     """Credit and contact-hour values that are out of range or disagree within a document."""
-    credit, contact = _values(pages, CREDIT, "credit"), _values(pages, CONTACT + r"(?:\s+per\s+week)?", "contact")
+    found = _page_values(pages, {"credit": CREDIT, "contact": CONTACT + r"(?:\s+per\s+week)?"})
+    every = found.withColumn("value", F.col("value").cast("double"))
     low, high = (F.when(F.col("kind") == "credit", F.lit(a)).otherwise(F.lit(b))
                  for a, b in zip(CREDIT_RANGE, CONTACT_RANGE))
-    every = credit.unionByName(contact)
     per_kind = every.groupBy("doc_id", "kind").agg(
-        F.count(F.lit(1)).alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.countDistinct("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.sum(F.when(~F.col("value").between(low, high), F.col("n")).otherwise(0)).alias("n_out_of_range"))
     issues = F.col("n_out_of_range") + F.when(F.col("n_values") > 1, 1).otherwise(0)
     return per_kind.withColumn("n_issues", issues)
@@ -237,33 +253,62 @@ def field_consistency(pages: DataFrame) -> DataFrame:
 
 def document_values(pages: DataFrame, request: str = "request_id") -> DataFrame:
     """Distinct credits, hours, years and course codes of each document (request, doc_id, kind, value)."""
-    owner = pages.select("doc_id", request).distinct()
-    number = lambda df: df.select("doc_id", "kind", F.col("value").cast("string").alias("value"))
-    found = number(_values(pages, CREDIT, "credits")).unionByName(number(_values(pages, CONTACT, "contact_hours")))
-    for kind, pattern in (("years", f"(?U){YEAR}"), ("course_codes", f"(?U){COURSE}")):
-        inside = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("value"))
-        rim = edges(pages).filter(_across(pattern) > 0).select(
-            "doc_id", F.explode(F.regexp_extract_all(_joined(), F.lit(pattern), F.lit(1))).alias("value"))
-        found = found.unionByName(inside.unionByName(rim).select("doc_id", F.lit(kind).alias("kind"), "value").distinct())
-    return found.join(owner, "doc_id").select(request, "doc_id", "kind", "value").distinct()
+    found = _page_values(pages, {"credits": CREDIT, "contact_hours": CONTACT, "years": f"(?U){YEAR}", "course_codes": f"(?U){COURSE}"}, (request,))
+    number = F.col("kind").isin("credits", "contact_hours")
+    value = F.when(number, F.col("value").cast("double").cast("string")).otherwise(F.col("value"))
+    return found.select(request, "doc_id", "kind", value.alias("value")).distinct()
+
+
+PAIR_BLOCK = 512
+
+
+def _sharing_pairs(sets: DataFrame, key: list[str]) -> DataFrame:
+    """Per key: the weight of all pairs of sets that share a value (key, met); `sets` has key, sig, w.
+
+    Sets are dealt to blocks of bounded size, and a block meets a block inside a task, where a product of membership
+    matrices counts the pairs: only counts leave it, and the hottest key is spread over its block pairs.
+    """
+    sized = sets.join(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), key)
+    n = F.ceil(F.col("_n") / PAIR_BLOCK).cast("int")
+    placed = sized.withColumn("_b", F.pmod(F.xxhash64("sig"), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    pairs = placed.withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")})
+    where = F.pmod(F.xxhash64(*key, "_i", "_j"), F.lit(256)).cast("int")
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, block in frame.groupby([*key, "_i", "_j"], sort=False):
+            values: dict[str, int] = {}
+            rows = [[values.setdefault(v, len(values)) for v in sig.split("|")] for sig in block["sig"]]
+            held = np.zeros((len(rows), len(values)), np.float32)
+            for k, row in enumerate(rows):
+                held[k, row] = 1
+            w, left = block["w"].to_numpy(np.int64), (block["_b"] == name[-2]).to_numpy()
+            if name[-2] == name[-1]:
+                met = np.triu(held @ held.T > 0, 1)
+                out.append((*name[:-2], int(w @ met @ w)))
+            else:
+                met = held[left] @ held[~left].T > 0
+                out.append((*name[:-2], int(w[left] @ met @ w[~left])))
+        return pd.DataFrame(out, columns=[*key, "met"])
+
+    ship_package(sets.sparkSession)
+    types = ", ".join(f"{c} {dict(sets.dtypes)[c]}" for c in key)
+    dealt = pairs.select(*key, "sig", "w", "_b", "_i", "_j", where.alias("_where"))
+    return dealt.groupBy("_where").applyInPandas(count, f"{types}, met long").groupBy(*key).agg(F.sum("met").alias("met"))
 
 
 def contradictions(values: DataFrame, request: str = "request_id") -> DataFrame:
     """Per case and kind: documents with values, their pairs, and the pairs that share no value.
 
-    Documents with equal value sets are folded into one weighted set, and only sets that share a value meet, through
-    an equality join on that value. Conflicting pairs are all pairs less those, so no pair list is formed.
+    Documents with equal value sets are folded into one weighted set. Conflicting pairs are all pairs less those that
+    share a value, which are counted block by block; no pair list is formed.
     """
     key = [request, "kind"]
     sets = values.groupBy(*key, "doc_id").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("sig"))
     weights = sets.groupBy(*key, "sig").agg(F.count(F.lit(1)).alias("w"))
     totals = weights.groupBy(*key).agg(F.sum("w").alias("n_docs"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("same"))
-    exploded = weights.withColumn("value", F.explode(F.split("sig", r"\|")))
-    other = exploded.select(*key, "value", F.col("sig").alias("sig2"), F.col("w").alias("w2"))
-    meet = exploded.join(other, [*key, "value"]).filter("sig < sig2").select(*key, "sig", "sig2", "w", "w2").distinct()
-    shared = meet.groupBy(*key).agg(F.sum(F.col("w") * F.col("w2")).alias("met"))
     pairs = F.col("n_docs") * (F.col("n_docs") - 1) / 2
-    out = totals.join(shared, key, "left")
+    out = totals.join(_sharing_pairs(weights, key), key, "left")
     return out.select(*key, "n_docs", pairs.cast("long").alias("n_pairs"),
                       (pairs - F.col("same") - F.coalesce("met", F.lit(0))).cast("long").alias("n_conflicts"))
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from casemill.functions import scan as S
 from casemill.operators import common, quality
 from casemill.operators import review as V
 from casemill.operators import risk as R
@@ -120,3 +121,30 @@ def test_integrity_checks(spark):
     assert [(r.voter_id, r.n) for r in quality.double_votes(votes).collect()] == [(7, 2)]
     seats = spark.createDataFrame([(1, 1, 7)], "request_id LONG, review_cycle INT, voter_id LONG")
     assert [r.vote_id for r in quality.orphans(votes, seats, ["request_id", "review_cycle", "voter_id"]).collect()] == [3]
+
+
+def test_edge_matches_invent_no_values(spark):
+    rows = [(1, 1, 1, "CPSC 1100 " + "x" * 200 + " MATH"), (1, 1, 2, "2010 rest"), (1, 2, 1, "see 4"), (1, 2, 2, "  "), (1, 2, 3, "credit hours here"),
+            (1, 3, 1, "MATH 2010 and " + "y" * 300), (1, 4, 1, "2010 alone")]
+    found = R.document_values(spark.createDataFrame(rows, "request_id LONG, doc_id LONG, page_num INT, text STRING")).collect()
+    assert {(r.doc_id, r.value) for r in found if r.kind == "course_codes"} == {(1, "CPSC 1100"), (1, "MATH 2010"), (3, "MATH 2010")}
+    assert {(r.doc_id, r.value) for r in found if r.kind == "credits"} == {(2, "4.0")}
+
+
+def test_shared_values_are_counted_in_blocks(spark, monkeypatch):
+    rnd = random.Random(4)
+    sets = {d: {f"v{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 4))} for d in range(150)}
+    values = [(d % 2, d, "years", v) for d, own in sets.items() for v in own]
+    monkeypatch.setattr(R, "PAIR_BLOCK", 7)
+    got = {r.request_id: (r.n_docs, r.n_pairs, r.n_conflicts) for r in R.contradictions(
+        spark.createDataFrame(values, "request_id LONG, doc_id LONG, kind STRING, value STRING")).collect()}
+    for case in (0, 1):
+        mine = [s for d, s in sets.items() if d % 2 == case]
+        pairs = [(a, b) for i, a in enumerate(mine) for b in mine[i + 1:]]
+        assert got[case] == (len(mine), len(pairs), sum(not a & b for a, b in pairs))
+
+
+def test_all_trigger_words_count(spark):
+    pages = spark.createDataFrame([(1, 1, " ".join(S.TRIGGER_WORDS))], "doc_id LONG, page_num INT, text STRING")
+    n = lambda df: df.selectExpr("size(filter(findings, f -> f.detector = 'trigger_word')) AS n").first().n
+    assert n(R.findings(pages)) == len(set(S.TRIGGER_WORDS)) and n(R.findings(pages, max_triggers=10)) == 10
