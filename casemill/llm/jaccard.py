@@ -42,12 +42,12 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 #: More sets than this at one signature are not paired off inside the bucket.
 CROWD = 16
-SIGNATURES_PER_BUCKET = 3_000_000
+SIGNATURES_PER_BUCKET = 1_500_000
 #: Bits of a sketch for each feature at least, and of a sketch at least and at most.
 SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 2, 512, 1 << 14
 #: Documents whose signatures are packed together.
 DOCUMENTS_PER_PACK = 4096
-WORDS_PER_PACK = 1_500_000
+WORDS_PER_PACK = 500_000
 
 
 # ---- features ----
@@ -375,9 +375,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     """doc_id, n_shingles, component_id for every row."""
     texts = texts_of(docs)
     known = texts.where("doc_id IS NOT NULL")
-    # About 0.7 signatures come from a word, and a word with its blank has some six bytes.
+    # About 1.3 signatures come from a word of the first scheme and 4 of the second; a word and its blank have some six characters.
     chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(16, math.ceil(chars / 9 / SIGNATURES_PER_BUCKET))
+    buckets = max(16, math.ceil(chars / 4.6 / SIGNATURES_PER_BUCKET))
     found = saved(share_signatures(known, SCHEMES[0], buckets, percent, width, crowd), "signature-pairs")
     own = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
     # The smallest document of equal sets stands for them.
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     words = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if words:
         again = crowded.select("doc_id", "features")
-        finer = saved(share_signatures(again, SCHEMES[1], max(16, math.ceil(3 * words / SIGNATURES_PER_BUCKET)), percent, width, crowd), "signature-pairs")
+        finer = saved(share_signatures(again, SCHEMES[1], max(16, math.ceil(4 * words / SIGNATURES_PER_BUCKET)), percent, width, crowd), "signature-pairs")
         candidates = candidates.unionByName(finer.where("kind > 0").select("a", "b"))
     candidates = saved(between_heads(candidates).distinct(), "candidate-pairs")
     first = _verified(candidates.groupBy("b").agg(F.min("a").alias("a")), sets, percent)
