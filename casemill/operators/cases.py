@@ -33,6 +33,17 @@ ACTION_DISPLAY = {
 # ----------------------------------------------------------------------------
 
 
+# ---- fixed values ----------------------------------------------------------
+WORKLISTS = {"pending": ("ai_recommendation", "ready_for_decision"), "reviewed": ("reviewed",), "all": None}
+# ----------------------------------------------------------------------------
+
+
+def reviewer_worklist(requests: DataFrame, reviewer_id: int, which: str = "pending") -> DataFrame:
+    """Cases that are nobody's or the reviewer's: those pending, those reviewed, or all."""
+    mine = requests.filter(F.col("assigned_reviewer_id").isNull() | (F.col("assigned_reviewer_id") == reviewer_id))
+    return mine if WORKLISTS[which] is None else mine.filter(F.col("status").isin(*WORKLISTS[which]))
+
+
 def lookup(table: dict[str, str], c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
 

@@ -462,6 +462,17 @@ def changed_only(packets: DataFrame, runs: DataFrame) -> DataFrame:
                         ["request_id", "inputs_hash", "extraction_run_id"], "left_anti")
 
 
+def evaluation_report(decided: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per case: expected and actual decision, agreement, score, confidence, quality and gap counts.
+
+    ``decided`` comes from :func:`decide`; ``expected`` has request_id and expected, null where nobody labeled the case.
+    """
+    rows = decided.join(expected.select("request_id", "expected"), "request_id", "left")
+    return rows.select(
+        "request_id", "expected", F.col("decision").alias("actual"), (F.col("expected") == F.col("decision")).alias("agrees"),
+        "equivalency_score", "confidence", "evidence_quality_score", "hard_gaps", "fixable_gaps", "info_missing_gaps", "bridge_items")
+
+
 def agreement(results: DataFrame, expected: str = "expected", actual: str = "actual") -> DataFrame:
     """Labeled cases, agreements and the share of agreement; unlabeled cases do not count."""
     labeled = F.col(expected).isNotNull()

@@ -57,6 +57,18 @@ def illegal_votes(votes: DataFrame, requests: DataFrame) -> DataFrame:
     return votes.join(closed, "request_id", "left_semi")
 
 
+def undecidable(requests: DataFrame) -> DataFrame:
+    """Cases that a decision run is refused for: only those ready for a decision or with one may be decided (Q4)."""
+    return requests.filter(~F.coalesce(F.col("status").isin(*DECIDABLE_STATUSES), F.lit(False)))
+
+
+def parse_checks(pages: DataFrame, case: str, least: int = 100, empty: int = 50) -> DataFrame:
+    """Per case: documents whose text could be read, those that could not, and those that need OCR."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    docs = pages.groupBy(case, "doc_id").agg((F.sum(n) >= least).alias("ok"), F.bool_and(n < empty).alias("ocr"))
+    return docs.groupBy(case).agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("ocr").alias("needs_ocr"))
+
+
 def run_validation(runs: DataFrame, chunks: DataFrame, evidence: DataFrame, citations: DataFrame) -> DataFrame:
     """Counts and verdict of the newest extraction run of each case (A4)."""
     run = "extraction_run_id"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as X
 from casemill.operators.common import in_order
+from casemill.operators.decision import Policy
 from casemill.operators.risk import edges
 
 # ---- fixed values ----------------------------------------------------------
@@ -131,6 +132,35 @@ def fact_rows(facts: DataFrame) -> DataFrame:
         F.when(missing, F.concat(F.lit("Missing "), "fact_key", F.lit(" in syllabus"))).alias("notes"))
 
 
+def target_block(policy: Policy) -> Column:
+    """Requirements of the target course and the policy in force, as the prompt states them."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, "; ")).otherwise("None specified")
+    flag = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    rules = [(name, getattr(policy, name)) for name in (
+        "approve_threshold", "bridge_threshold", "require_lab_parity", "require_credits_known", "require_topics_or_outcomes",
+        "min_grade", "min_contact_hours", "max_course_age_years", "must_include_topics")]
+    # Rules that are off are not named.
+    on = [f"  {name}: {'; '.join(value) if isinstance(value, tuple) else value}" for name, value in rules if value or isinstance(value, bool)]
+    return F.concat(
+        F.lit("Target credits: "), F.col("target_credits").cast("string"), F.lit("\nLab required: "), flag("target_lab_required"),
+        F.lit("\nRequired topics: "), listed(F.col("required_topics")), F.lit("\nRequired outcomes: "), listed(F.col("required_outcomes")),
+        F.lit("\nPolicy:\n" + "\n".join(on)))
+
+
+INSTRUCTIONS = "Weigh the evidence against the requirements, cite a chunk id for every reason and gap, and reply with one JSON object."
+
+
+def messages(evidence: DataFrame, targets: DataFrame, policy: Policy, instructions: str = INSTRUCTIONS) -> DataFrame:
+    """The whole message per case (request_id, message): case, target requirements, evidence, instructions.
+
+    ``evidence`` is that of :func:`prompts`; cases without evidence say so.
+    """
+    rows = targets.join(evidence, "request_id", "left")
+    return rows.select("request_id", F.concat(
+        F.lit("Case "), F.col("request_id").cast("string"), F.lit("\n\nRequirements\n"), target_block(policy), F.lit("\n\nEvidence\n"),
+        F.coalesce("evidence_text", F.lit("(none)")), F.lit("\n\nInstructions\n" + instructions)).alias("message"))
+
+
 def prompts(facts: DataFrame, citations: DataFrame, chunks: DataFrame, order: list[str]) -> DataFrame:
     """Evidence block of the decision prompt per case, snippets cut at 500 characters."""
     snippet = X.clip(F.coalesce(X.non_blank(F.col("snippet_text")), F.lit("(no text)")), 500, "...")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("decisions", "cases", "reviews", "checks", "risks", "texts", "parsers", "streams")
+AREAS = ("decisions", "cases", "reviews", "checks", "risks", "texts", "parsers", "streams", "files")
 
 
 def load_all() -> None:

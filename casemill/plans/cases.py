@@ -54,12 +54,17 @@ def prerequisite_search(t):
     return C.search_courses(t.courses, "PROMO", has_prerequisites=True, in_prerequisites=True).select("course_id", "prerequisites")
 
 
-@query("reviewer_worklist", "P6", """SELECT request_id, status, assigned_reviewer_id IS NULL AS unassigned FROM @requests
-WHERE (assigned_reviewer_id IS NULL OR assigned_reviewer_id = 3) AND status IN ('ai_recommendation', 'ready_for_decision')""")
+@query("reviewer_worklist", "P6", """SELECT v.reviewer_id, w.list, r.request_id, r.status, assigned_reviewer_id IS NULL AS unassigned FROM @requests r,
+  (VALUES (3), (7)) v(reviewer_id), (VALUES ('pending'), ('reviewed'), ('all')) w(list) WHERE (assigned_reviewer_id IS NULL OR assigned_reviewer_id = v.reviewer_id)
+  AND (list = 'all' OR list = 'pending' AND status IN ('ai_recommendation', 'ready_for_decision') OR list = 'reviewed' AND status = 'reviewed')""")
 def reviewer_worklist(t):
-    mine = F.col("assigned_reviewer_id").isNull() | (F.col("assigned_reviewer_id") == 3)
-    return t.requests.filter(mine & F.col("status").isin("ai_recommendation", "ready_for_decision")).select(
-        "request_id", "status", F.col("assigned_reviewer_id").isNull().alias("unassigned"))
+    out = None
+    for reviewer in (3, 7):
+        for which in C.WORKLISTS:
+            part = C.reviewer_worklist(t.requests, reviewer, which).select(
+                F.lit(reviewer).alias("reviewer_id"), F.lit(which).alias("list"), "request_id", "status", F.col("assigned_reviewer_id").isNull().alias("unassigned"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("committee_worklist", "P7", """SELECT c.request_id, c.review_cycle, c.reviewer_id, r.status, NOT EXISTS (SELECT 1 FROM @votes v

@@ -47,11 +47,13 @@ def conflicted_voters(t):
 
 
 @query("illegal_states", "Q4", """SELECT request_id, 'status' AS problem FROM @requests WHERE status = 'archived'
-UNION ALL SELECT vote_id, 'vote' FROM @votes v JOIN @requests r ON r.request_id = v.request_id WHERE r.status <> 'pending_committee'""")
+UNION ALL SELECT vote_id, 'vote' FROM @votes v JOIN @requests r ON r.request_id = v.request_id WHERE r.status <> 'pending_committee'
+UNION ALL SELECT request_id, 'decide' FROM @requests WHERE coalesce(status NOT IN ('ready_for_decision', 'ai_recommendation'), true)""")
 def illegal_states(t):
     bad = Q.outside_domain(t.requests, "status", Q.CASE_STATUSES).select("request_id", F.lit("status").alias("problem"))
     votes = Q.illegal_votes(t.votes, t.requests).select(F.col("vote_id").alias("request_id"), F.lit("vote").alias("problem"))
-    return bad.unionByName(votes)
+    closed = Q.undecidable(t.requests).select("request_id", F.lit("decide").alias("problem"))
+    return bad.unionByName(votes).unionByName(closed)
 
 
 @query("run_validation", "A4 Q5", """WITH latest AS (SELECT request_id, extraction_run_id, status FROM @extraction_runs

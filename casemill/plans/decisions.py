@@ -296,6 +296,26 @@ def decision_summary(t):
         F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("equivalency_score"), 4).alias("avg_score"))
 
 
+EXPECTED_SQL = "CASE l.quality WHEN 1 THEN 'APPROVE' WHEN 0 THEN 'DENY' END"
+
+
+@query("evaluation_report", "D16 A6", WITH + "," + scored_sql(D.SHIPPED_POLICY) + f""",
+lab AS (SELECT doc_id, any_value({EXPECTED_SQL}) AS expected FROM @labels l GROUP BY doc_id)
+SELECT request_id, expected, decision AS actual, expected = decision AS agrees, equivalency_score, confidence, evidence_quality_score, hard_gaps,
+  fixable_gaps, info_missing_gaps, bridge_items FROM result LEFT JOIN lab ON lab.doc_id = request_id""")
+def evaluation_report(t):
+    expected = t.labels.select(F.col("doc_id").alias("request_id"), F.when(F.col("quality") == 1, "APPROVE").when(F.col("quality") == 0, "DENY").alias("expected"))
+    return D.evaluation_report(D.decide(cases(t), D.SHIPPED_POLICY, YEAR), expected.distinct())
+
+
+@query("evaluation_agreement", "D16 A6", WITH + "," + scored_sql(D.SHIPPED_POLICY) + f""",
+lab AS (SELECT doc_id, any_value({EXPECTED_SQL}) AS expected FROM @labels l GROUP BY doc_id)
+SELECT count(*) AS n_cases, count(expected) AS n_labeled, count(*) FILTER (WHERE expected = decision) AS n_agree,
+  round(count(*) FILTER (WHERE expected = decision) / nullif(count(expected), 0), 4) AS agreement FROM result LEFT JOIN lab ON lab.doc_id = request_id""")
+def evaluation_agreement(t):
+    return D.agreement(evaluation_report(t))
+
+
 CHECKED = D.Policy()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.operators import catalog as C
 from casemill.operators import syllabus as S
+from casemill.operators import quality as Q
 from casemill.operators import transcript as T
 from casemill.plans.registry import query
 
@@ -311,6 +312,4 @@ def transcript_results(t):
 @query("page_parse_checks", "A17", """WITH p AS (SELECT doc_id, sum(length(text)) >= 100 AS ok, bool_and(length(text) < 50) AS ocr FROM @catalog_pages GROUP BY 1)
 SELECT doc_id % 5 AS case_no, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ocr) AS needs_ocr FROM p GROUP BY 1""")
 def page_parse_checks(t):
-    docs = t.catalog_pages.groupBy("doc_id").agg((F.sum(F.length("text")) >= 100).alias("ok"), F.bool_and(F.length("text") < 50).alias("ocr"))
-    return docs.groupBy((F.col("doc_id") % 5).alias("case_no")).agg(
-        F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if("ocr").alias("needs_ocr"))
+    return Q.parse_checks(t.catalog_pages.withColumn("case_no", F.col("doc_id") % 5), "case_no")

@@ -9,6 +9,7 @@ from casemill.operators import chunks as K
 from casemill.operators import replies as P
 from casemill.operators import syllabus as S
 from casemill.operators.decision import Policy
+from casemill.plans import decisions as Q
 from casemill.plans.cases import links
 from casemill.plans.decisions import facts
 from casemill.plans.registry import query
@@ -133,6 +134,28 @@ def decision_prompts(t):
     return S.prompts(facts(t), links(t), chunks, ["ordinal", "evidence_id"]).select("request_id", F.md5("evidence_text").alias("digest"))
 
 
+MESSAGES_SQL = f"""{Q.WITH}, links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
+b AS (SELECT f.request_id, f.ordinal, f.evidence_id, '- Fact: ' || coalesce(fact_key, 'None') || ' = ' || CASE WHEN trim(fact_value) <> '' THEN fact_value WHEN items_text IS NOT NULL
+    THEN CAST(to_json({{'items': string_split(items_text, '|')}}) AS VARCHAR) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
+    || coalesce('    [chunk_id: ' || chunk_uuid || ', page: ' || p_size || ']' || chr(10) || '    "' || p_name || '"', '    (no citation chunks linked)') || chr(10) AS block
+  FROM @facts f LEFT JOIN links l ON l.evidence_id = f.evidence_id),
+e AS (SELECT request_id, string_agg(block, chr(10) ORDER BY ordinal, evidence_id) AS evidence FROM b GROUP BY request_id)
+SELECT c.request_id, md5('Case ' || c.request_id || chr(10) || chr(10) || 'Requirements' || chr(10) || 'Target credits: ' || target_credits || chr(10) || 'Lab required: ' || CASE WHEN target_lab_required THEN 'yes' ELSE 'no' END
+  || chr(10) || 'Required topics: ' || CASE WHEN len(required_topics) > 0 THEN array_to_string(required_topics, '; ') ELSE 'None specified' END
+  || chr(10) || 'Required outcomes: ' || CASE WHEN len(required_outcomes) > 0 THEN array_to_string(required_outcomes, '; ') ELSE 'None specified' END
+  || chr(10) || 'Policy:' || chr(10) || '  approve_threshold: 90' || chr(10) || '  bridge_threshold: 80' || chr(10) || '  require_lab_parity: True' || chr(10) || '  require_credits_known: True' || chr(10)
+  || '  require_topics_or_outcomes: True' || chr(10) || '  min_grade: C' || chr(10) || '  min_contact_hours: 60' || chr(10) || '  max_course_age_years: 10' || chr(10) || '  must_include_topics: ring; part'
+  || chr(10) || chr(10) || 'Evidence' || chr(10) || coalesce(evidence, '(none)') || chr(10) || chr(10) || 'Instructions' || chr(10) || '{S.INSTRUCTIONS}') AS digest
+FROM cases c LEFT JOIN e ON e.request_id = c.request_id"""
+
+
+@query("decision_messages", "T17", MESSAGES_SQL)
+def decision_messages(t):
+    chunks = t.part.select(F.col("p_partkey").alias("chunk_uuid"), F.col("p_size").alias("page_num"), F.col("p_name").alias("snippet_text"))
+    evidence = S.prompts(facts(t), links(t), chunks, ["ordinal", "evidence_id"])
+    return S.messages(evidence, Q.cases(t), Q.STRICT).select("request_id", F.md5("message").alias("digest"))
+
+
 @query("finished_replies", "T18", """WITH r AS (SELECT event_id, least(CAST(floor(value * 3) AS INTEGER) % 130, 100 - CASE WHEN event_id % 2 = 0 THEN 20 ELSE 0 END) AS s, event_id % 3 AS m FROM @events),
 g AS (SELECT event_id, greatest(0, least(100, s)) AS s, m FROM r)
 SELECT event_id, s AS equivalency_score, CASE WHEN s >= 90 THEN 'APPROVE' WHEN s >= 80 THEN 'APPROVE_WITH_BRIDGE' WHEN s >= 70 THEN 'NEEDS_MORE_INFO' ELSE 'DENY' END AS decision,

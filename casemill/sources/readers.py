@@ -28,12 +28,15 @@ def read_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A quoted, possibly multi-line CSV with a header, matched to ``schema`` by name."""
+    """A quoted, possibly multi-line CSV with a header, matched to ``schema`` by name.
+
+    ``place`` orders rows as the files have them: by file name, then by the position in the file, which one task reads.
+    """
     every = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     wanted = [part.split()[0] for part in schema.split(", ")]
     missing = F.lit(None).cast("string")
     return every.select(*[F.col(c) if c in every.columns else missing.alias(c) for c in wanted],
-                        F.monotonically_increasing_id().alias("place"))
+                        F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row")).alias("place"))
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +67,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size, time and sha256 of every file below a folder."""
+    """Name, size, time and sha256 of every file below a folder.
+
+    A file is one binary value, so files of 2 GB and more cannot be hashed this way; filter them out by name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"),
                         "modificationTime", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 16).alias("head"))

@@ -8,8 +8,8 @@ from casemill.plans.registry import QUERIES
 
 load_all()
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-# File readers and writers: no table to run over; covered by tests/test_sources_and_streams.py and tests/test_decisions.py.
-BY_TEST = {"S1", "S8", "S9"}
+# Payload files and case folders come one file to a case; covered by tests/test_decisions.py and tests/test_sources_and_streams.py.
+BY_TEST = {"S1", "S8"}
 
 
 def survey_ids():
