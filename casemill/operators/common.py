@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.session import shared_dir
+
 
 def newest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], oldest: bool = False) -> DataFrame:
     """One row per key, the greatest (or least) by ``order``.
@@ -55,14 +58,18 @@ def carry_forward(
     )
 
 
-def dense_index(df: DataFrame, key: str, out: str, width: int = 65536) -> DataFrame:
-    """0-based position of each row by a unique whole-number ``key``, without one global sort task.
+def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
+    """0-based position of each row by a unique ``key``, without one global sort task.
 
-    Rows are ranked inside fixed key ranges and shifted by the count of all earlier ranges.
+    Rows are dealt to ranges of about equal size, whatever the spread of the keys, and written to the shared folder, so
+    that the ranges stay as they are; inside a range rows are ranked, and the counts of all earlier ranges, one number
+    each, are added.
     """
-    cut = df.withColumn("_range", F.floor(F.col(key) / width))
+    path = f"{shared_dir(df.sparkSession)}/dense-index-{uuid.uuid4().hex}"
+    df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    cut = df.sparkSession.read.parquet(path)
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
     return (

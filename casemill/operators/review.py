@@ -118,7 +118,7 @@ def draw_committee(cases: DataFrame, reviewers: DataFrame, seed: str = "0", size
         return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
     ring = reviewers.select("reviewer_id", spot("r", "reviewer_id").alias("_spot"))
-    seats = dense_index(ring, "_spot", "_seat", width=1 << 38).select("reviewer_id", "_seat")
+    seats = dense_index(ring, "_spot", "_seat").select("reviewer_id", "_seat")
     n = reviewers.agg(F.count(F.lit(1))).scalar()
     wanted = (
         cases.select("request_id", "assigned_reviewer_id", n.alias("_n"))

@@ -94,7 +94,7 @@ def test_carry_forward_with_one_hot_key(spark):
 def test_dense_index(spark):
     keys = random.Random(2).sample(range(-500, 5000), 700)
     df = spark.createDataFrame([(k,) for k in keys], "k LONG")
-    got = {r.k: r.i for r in common.dense_index(df, "k", "i", width=100).collect()}
+    got = {r.k: r.i for r in common.dense_index(df, "k", "i").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
 
 
