@@ -126,15 +126,29 @@ def toc_pages(t):
     return C.toc_flags(t.catalog_pages).drop("is_toc")
 
 
-@query("toc_entries", "T12 W2", """WITH toc AS (SELECT DISTINCT doc_id FROM @catalog_pages WHERE contains(text, 'Table of Contents'))
-SELECT doc_id, section, start_page FROM toc, (VALUES ('Biology', 10), ('Chemistry', 12), ('Mathematics and Statistics', 20)) v(section, start_page)""")
+ENTRY, PLAIN = C.TOC_ENTRY, C.TOC_ENTRY_PLAIN
+TOC_SQL = f"""tf AS (SELECT doc_id, page_num, text FROM @catalog_pages WHERE contains(lower(text), 'table of contents') OR contains(substr(lower(text), 1, 200), 'contents')
+  OR len(regexp_extract_all(text, '\\.{{3,}}|…+')) > 5 AND len(regexp_extract_all(text, '(?m){ENTRY}')) > 3),
+tl AS (SELECT doc_id, page_num, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, page_num,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM tf)),
+tr AS (SELECT doc_id, page_num * 100000 + line_no AS spot, regexp_matches(line, '{ENTRY}') AS d,
+  trim(CASE WHEN regexp_matches(line, '{ENTRY}') THEN regexp_extract(line, '{ENTRY}', 1) WHEN regexp_matches(line, '{PLAIN}') THEN regexp_extract(line, '{PLAIN}', 1) END) AS section,
+  TRY_CAST(CASE WHEN regexp_matches(line, '{ENTRY}') THEN regexp_extract(line, '{ENTRY}', 2) ELSE regexp_extract(line, '{PLAIN}', 2) END AS INTEGER) AS start_page FROM tl),
+te AS (SELECT doc_id, section, arg_max(start_page, spot) AS start_page, min(spot) AS place FROM tr WHERE section <> '' AND start_page > 0 AND (d OR length(section) > 3) GROUP BY 1, 2),
+sk(subject, word) AS (VALUES {', '.join(f"('{k}', '{w}')" for k, ws in C.SECTION_KEYWORDS.items() for w in ws)}),
+asked AS (SELECT doc_id, target_code, upper(coalesce(nullif(regexp_extract(target_code, '\\b([A-Z]{{2,6}})\\s*([0-9]{{3,4}}[A-Z]?)\\b', 1), ''), nullif(regexp_extract(target_code, '\\b(\\d{{1,2}})\\.(\\d{{2,4}}[A-Z]?)\\b', 1), ''))) AS subject
+  FROM @catalog_targets),
+ss AS (SELECT a.doc_id, target_code, a.subject, te.section, te.start_page FROM asked a JOIN te ON te.doc_id = a.doc_id
+  WHERE contains(lower(te.section), lower(a.subject)) OR EXISTS (SELECT 1 FROM sk WHERE sk.subject = a.subject AND contains(lower(te.section), word))
+  QUALIFY row_number() OVER (PARTITION BY a.doc_id, target_code ORDER BY place) = 1)"""
+
+
+@query("toc_entries", "T12 W2", f"WITH {TOC_SQL} SELECT doc_id, section, start_page FROM te")
 def toc_entries(t):
     return C.toc_entries(t.catalog_pages).select("doc_id", "section", "start_page")
 
 
-@query("subject_sections", "J12", """WITH toc AS (SELECT DISTINCT doc_id FROM @catalog_pages WHERE contains(text, 'Table of Contents')),
-k(subject, section, start_page) AS (VALUES ('BIOL', 'Biology', 10))
-SELECT t.doc_id, t.target_code, k.section, k.start_page FROM @catalog_targets t JOIN toc ON toc.doc_id = t.doc_id JOIN k ON k.subject = regexp_extract(target_code, '^[A-Z]+')""")
+@query("subject_sections", "J12", f"WITH {TOC_SQL} SELECT doc_id, target_code, section, start_page FROM ss")
 def subject_sections(t):
     return C.section_of_subject(t.catalog_targets, C.toc_entries(t.catalog_pages)).select("doc_id", "target_code", "section", "start_page")
 
@@ -145,21 +159,24 @@ def page_offsets(t):
     return C.page_offsets(t.catalog_pages)
 
 
-SELECTED_SQL = """WITH n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS total FROM @catalog_pages GROUP BY 1),
+SELECTED_SQL = "WITH " + TOC_SQL + """, n AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS total FROM @catalog_pages GROUP BY 1),
 h AS (SELECT p.doc_id, t.target_code, p.page_num FROM @catalog_pages p JOIN @catalog_targets t ON t.doc_id = p.doc_id
   WHERE contains(upper(regexp_replace(p.text, '\\s+', '', 'g')), upper(replace(t.target_code, ' ', '')))),
 dr AS (SELECT DISTINCT h.doc_id, h.target_code, p.page_num FROM h JOIN @catalog_pages p ON p.doc_id = h.doc_id AND p.page_num BETWEEN h.page_num - 2 AND h.page_num + 2),
 l1 AS (SELECT t.*, regexp_extract(target_code, '\\b([A-Z]{2,6})\\s*([0-9]{3,4}[A-Z]?)\\b', 1) AS subject FROM @catalog_targets t WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.doc_id = t.doc_id AND dr.target_code = t.target_code)),
 po AS (SELECT doc_id, coalesce(arg_min(s, page_num) FILTER (WHERE s <> 0), 0) AS o FROM (SELECT doc_id, page_num, page_num - TRY_CAST(nullif(regexp_extract(text, '^\\s*(\\d{1,3})\\s+[A-Z]', 1), '') AS INTEGER) AS s FROM @catalog_pages) GROUP BY 1),
-tc AS (SELECT l1.doc_id, target_code, greatest(1, 10 + o - 2) AS a, least(total, 12 + o + 5 + o) AS b, total FROM l1 JOIN po ON po.doc_id = l1.doc_id JOIN n ON n.doc_id = l1.doc_id
-  WHERE subject = 'BIOL' AND l1.doc_id IN (SELECT doc_id FROM @catalog_pages WHERE contains(text, 'Table of Contents'))),
-t2 AS (SELECT doc_id, target_code, a, CASE WHEN b - a < 20 THEN least(total, a + 30) ELSE b END AS b FROM tc),
+nx AS (SELECT doc_id, start_page, lead(start_page) OVER (PARTITION BY doc_id ORDER BY start_page, place) AS next_page, place FROM te),
+n1 AS (SELECT * FROM nx QUALIFY row_number() OVER (PARTITION BY doc_id, start_page ORDER BY place) = 1),
+tc AS (SELECT l1.doc_id, l1.target_code, ss.section, greatest(1, ss.start_page + o - 2) AS a, least(total, coalesce(next_page + o + 5, total) + o) AS b, total
+  FROM l1 JOIN ss ON ss.doc_id = l1.doc_id AND ss.target_code = l1.target_code JOIN po ON po.doc_id = l1.doc_id JOIN n ON n.doc_id = l1.doc_id
+  LEFT JOIN n1 ON n1.doc_id = l1.doc_id AND n1.start_page = ss.start_page),
+t2 AS (SELECT doc_id, target_code, section, a, CASE WHEN b - a < 20 THEN least(total, a + 30) ELSE b END AS b FROM tc),
 l2 AS (SELECT * FROM l1 WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.doc_id = l1.doc_id AND tc.target_code = l1.target_code)),
 ix AS (SELECT l2.doc_id, target_code, min(page_num) AS i FROM l2 JOIN @catalog_pages p ON p.doc_id = l2.doc_id WHERE subject <> '' AND length(text) > 200 AND contains(text, subject)
   AND regexp_matches(text, '[A-Z]\\s+[A-Z]\\s+[A-Z]') GROUP BY 1, 2),
 l3 AS (SELECT * FROM l2 WHERE NOT EXISTS (SELECT 1 FROM ix WHERE ix.doc_id = l2.doc_id AND ix.target_code = l2.target_code))
 SELECT doc_id, target_code, page_num, 'direct_text_search' AS strategy FROM dr
-UNION ALL SELECT doc_id, target_code, CAST(unnest(range(a, b + 1)) AS INTEGER), 'toc_section:Biology' FROM t2
+UNION ALL SELECT doc_id, target_code, CAST(unnest(range(a, b + 1)) AS INTEGER), 'toc_section:' || section FROM t2
 UNION ALL SELECT ix.doc_id, target_code, CAST(unnest(range(greatest(1, i - 6), least(total, i + 49))) AS INTEGER), 'alphabetical_search' FROM ix JOIN n ON n.doc_id = ix.doc_id
 UNION ALL SELECT l3.doc_id, target_code, page_num, 'fallback_full_scan' FROM l3 JOIN @catalog_pages p ON p.doc_id = l3.doc_id"""
 

@@ -201,8 +201,9 @@ FROM @part
 # One course or page of front matter per page: contents table, headers in three forms, mid-line headers, body pages.
 DEFS["catalog_pages"] = """
 SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, CAST(p_partkey % 40 + 1 AS INT) AS page_num,
-       CASE WHEN p_partkey % 40 = 0 AND p_partkey % 80 = 0 THEN 'Table of Contents' || chr(10) || 'Biology ..... 44' || chr(10) || 'Chemistry 12' || chr(10)
-              || 'Mathematics and Statistics … 20' || chr(10) || 'Biology ... 10' || chr(10) || 'Art 3'
+       CASE WHEN p_partkey % 40 = 0 AND p_partkey % 80 = 0 THEN 'Table of Contents' || chr(10) || 'Biology ..... ' || CAST(30 + CAST(floor(p_partkey / 80) AS BIGINT) % 9 AS STRING) || chr(10) || 'Chemistry ' || CAST(12 + CAST(floor(p_partkey / 80) AS BIGINT) % 7 AS STRING) || chr(10)
+              || 'Mathematics and Statistics … ' || CAST(20 + CAST(floor(p_partkey / 80) AS BIGINT) % 11 AS STRING) || chr(10) || CASE CAST(floor(p_partkey / 80) AS BIGINT) % 3 WHEN 0 THEN 'Biological Sciences' ELSE 'Biology' END
+              || ' ... ' || CAST(6 + CAST(floor(p_partkey / 80) AS BIGINT) % 13 AS STRING) || chr(10) || 'Art 3'
             WHEN p_partkey % 7 = 0 THEN 'MED ' || CAST(1000 + p_partkey AS STRING) || '. ' || p_name || '. 4 Credit Hours.' || chr(10)
               || 'Body about ' || p_name || '. Expected background: algebra' || chr(10) || 'more body'
             WHEN p_partkey % 7 = 1 THEN 'BIOL' || CAST(100 + p_partkey % 900 AS STRING) || 'L. ' || p_name || '.' || chr(10) || 'Expected: none'
