@@ -193,7 +193,20 @@ def text_coverage(t):
     return R.text_coverage(t.syllabus_pages)
 
 
-@query("scan_forms", "F18 F19")
+def runs_sql(text: str) -> str:
+    """Runs of four and more of one character cut to one, character by character: RE2 has no back-references."""
+    for c in [chr(i) for i in range(0x21, 0x7F)] + list("äöüßéèêçñóíáúàâîôûÄÖÜÉÈÇÑÓÍ"):
+        one = c if c.isalnum() else "\\" + c
+        text = f"regexp_replace({text}, {q(f'{one}{{4,}}')}, {q(c * 2 if c == chr(92) else c)}, 'g')"
+    return text
+
+
+FORM_TEXT = "text || CASE doc_id % 4 WHEN 0 THEN ' sooooo yesssss!!!!!! ------ 77777 ' WHEN 1 THEN ' \uff21\uff22\uff23 \ufb01ne \u2460 ' ELSE '' END"
+
+
+# NFKC is pinned by the characters planted here: full-width letters, a ligature and a circled digit.
+@query("scan_forms", "F18 F19", f"""WITH f AS (SELECT doc_id, page_num, {runs_sql(scan_sql("translate(replace(" + FORM_TEXT + ", chr(64257), 'fi'), chr(65313) || chr(65314) || chr(65315) || chr(9312), 'ABC1')"))} AS form FROM @scan_pages)
+SELECT doc_id, page_num, CAST(length(form) AS INTEGER) AS n_chars, md5(form) AS digest FROM f""")
 def scan_forms(t):
-    form = S.scan_form(F.col("text"))
+    form = S.scan_form(F.expr(FORM_TEXT))
     return t.scan_pages.select("doc_id", "page_num", F.length(form).alias("n_chars"), F.md5(form).alias("digest"))

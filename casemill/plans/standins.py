@@ -310,12 +310,12 @@ def oracle_text(sql: str) -> str:
     bound = _bind(body, own, "list_value(")
     if not ctes:
         return bound
-    if bound[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + bound[5:]
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if bound.upper().startswith(lead):
+            return lead + ",\n".join(ctes) + ",\n" + bound[len(lead):]
     return "WITH " + ",\n".join(ctes) + "\n" + bound
 
 
-# Tables whose rows get costly work (parsing, scanning, pivoting) right after the scan.
 class Tables:
     """Attribute access to driver tables and stand-ins as DataFrames of one data folder."""
 

@@ -31,7 +31,17 @@ def page_chunks(t):
     return chunked(t).select("doc_id", "page_num", "span_start", "span_end", "snippet_text", "chunk_id")
 
 
-@query("packed_chunks", "T1")
+@query("packed_chunks", "T1", r"""WITH RECURSIVE t AS (SELECT doc_id, page_num, replace(text, chr(10), chr(10) || chr(10)) AS text FROM @doc_pages WHERE coalesce(text, '') <> ''),
+ps AS (SELECT doc_id, page_num, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM t),
+p AS (SELECT doc_id, page_num, generate_subscripts(l, 1) AS i, unnest(l) AS para FROM ps WHERE len(l) > 1),
+q AS MATERIALIZED (SELECT *, length(para) AS n, coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id, page_num ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM p),
+r AS (SELECT doc_id, page_num, i, n AS size, 1 AS c FROM q WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.page_num, q.i, CASE WHEN r.size + q.n + 2 <= 900 THEN r.size + q.n + 2 ELSE q.n END, CASE WHEN r.size + q.n + 2 <= 900 THEN r.c ELSE r.c + 1 END
+  FROM r JOIN q ON q.doc_id = r.doc_id AND q.page_num = r.page_num AND q.i = r.i + 1),
+k AS (SELECT r.doc_id, r.page_num, c, min(place) AS a, string_agg(para, chr(10) || chr(10) ORDER BY r.i) AS body FROM r JOIN q ON q.doc_id = r.doc_id AND q.page_num = r.page_num AND q.i = r.i GROUP BY 1, 2, 3)
+SELECT doc_id, page_num, CAST(a AS INTEGER) AS span_start, CAST(a + length(body) AS INTEGER) AS span_end, md5(body) AS digest FROM k
+UNION ALL SELECT doc_id, page_num, CAST(a AS INTEGER), CAST(least(a + 900, length(text)) AS INTEGER), md5(substr(text, a + 1, 900)) FROM (
+  SELECT doc_id, page_num, text, unnest(range(0, length(text), 900)) AS a FROM ps WHERE len(l) <= 1)""")
 def packed_chunks(t):
     # Lines become paragraphs: packed chunks of the same texts.
     pages = t.doc_pages.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
