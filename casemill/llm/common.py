@@ -39,15 +39,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends the package, and has whole texts handed to Python a thousand at a time unless the session says otherwise:
+    at the usual ten thousand, a batch of long texts would fill the memory beside an executor's heap."""
+    ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are; other names cannot clash."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def carried(docs: DataFrame) -> DataFrame:
     """doc_id and text, and the whole row as `_row`, so that no working column can clash with one of the table."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -26,8 +26,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import carried, rows_of, saved, texts_of
-from casemill.session import ship_package
+from casemill.llm.common import carried, ready, rows_of, saved, texts_of
 
 PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MARK = "▁"
@@ -221,7 +220,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, path: str = PIECE_VOCAB, per_language: int = DOCUMENTS_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Piece probabilities from a bounded sample of the rows that may teach."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(learnable())
     n_languages = max(1, known.select("lang").distinct().count())
     per = max(1, min(per_language, SAMPLE_DOCUMENTS // n_languages))
@@ -267,7 +266,7 @@ def fit(docs: DataFrame, path: str = PIECE_VOCAB, per_language: int = DOCUMENTS_
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with `_lang` and `_score`."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(text: pd.Series) -> pd.DataFrame:

@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import carried, rows_of, spread_mix, texts_of
-from casemill.session import ship_package
+from casemill.llm.common import carried, ready, rows_of, spread_mix, texts_of
 
 #: Labelled rows that rules are learned from, at most.
 MAX_LABELLED = 20_000
@@ -94,7 +93,7 @@ MEASURES = {
 
 def measured(docs: DataFrame) -> DataFrame:
     """The rows with a struct `_counts` and a struct `_measures`."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     counted = docs.withColumn("_counts", F.pandas_udf(text_counts, COUNTS)(F.col("text").cast("string")))
     return counted.withColumn("_measures", F.struct(*[
         (F.col(f"_counts.{a}") / F.greatest(F.col(f"_counts.{b}"), F.lit(1))).alias(name) for name, (a, b) in MEASURES.items()]))

@@ -87,6 +87,21 @@ FROM u LEFT JOIN m ON m.address = u.host || u.tail LEFT JOIN alias ON alias.a =
 """
 
 
+OP2_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+g AS (SELECT doc_id, i, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM u WHERE n >= 5 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM g WHERE i <= n - 4 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN c m ON m.doc_id = a JOIN c n ON n.doc_id = b WHERE 100 * k >= 75 * (m.n + n.n - k)),
+links AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, r.b AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""
+
+
 def _run_sql(k: int) -> str:
     low, high = (f"(({i} * (n - {line_dedup.DEPTH})) // {line_dedup.SEGMENTS})" for i in (k, k + 1))
     return f"list_slice(w, {line_dedup.DEPTH} + 1 + {low}, {line_dedup.DEPTH} + {high})"
@@ -153,4 +168,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL}
