@@ -160,3 +160,28 @@ def test_file_type_check(spark):
     df = spark.createDataFrame([("a.pdf", b"%PDF-1.7"), ("b.PDF", b"PK\x03\x04zz"), ("c.txt", b"hello")], "f STRING, c BINARY")
     got = [tuple(r.o)[1:3] for r in df.select(S.type_check(F.col("f"), F.col("c")).alias("o")).collect()]
     assert got == [("pdf", True), ("zip", False), ("unknown", False)]
+
+
+def test_no_limit_unless_one_is_given(spark):
+    late = pages(spark, *["plain words"] * 24, "Contents\nBiology ..... 4\nChemistry ..... 30")
+    assert {r.section for r in C.toc_entries(late).collect()} == {"Biology", "Chemistry"}
+    assert C.toc_entries(late, max_pages=C.TOC_PAGES).count() == 0
+    line = "long body " * 40
+    block = pages(spark, "MED 1001. Title. 4 Credit Hours.\n" + line)
+    assert C.candidates(block).first().description == line.strip()
+    assert C.candidates(block, body_line_limit=C.BODY_LINE_LIMIT).first().description is None
+    bulk = pages(spark, "ABC 1234 - A Course\n" + "words of the text\n" * 20 + "Credits: 3\nend")
+    assert C.parsed_courses(bulk).first().credits_raw == "3"
+    assert C.parsed_courses(bulk, credit_scan_lines=C.CREDIT_SCAN_LINES).first().credits_raw is None
+    title = "T" * 200
+    assert Y.syllabus_facts(pages(spark, title + "\n\nfirst\n\n" + "d" * 1500)).first().title == title
+    assert Y.syllabus_facts(pages(spark, title + "\n\nfirst"), title_limit=140).first().title is None
+
+
+def test_whole_message(spark):
+    evidence = spark.createDataFrame([(1, "- Fact: x")], "request_id LONG, evidence_text STRING")
+    targets = spark.createDataFrame([(1, 3, True, ["a", "b"], []), (2, 4, False, [], ["c"])],
+                                    "request_id LONG, target_credits INT, target_lab_required BOOLEAN, required_topics ARRAY<STRING>, required_outcomes ARRAY<STRING>")
+    got = {r.request_id: r.message for r in Y.messages(evidence, targets, Y.Policy(min_grade="C"), "Reply.").collect()}
+    assert "Required topics: a; b\nRequired outcomes: None specified" in got[1] and "min_grade: C" in got[1] and got[1].endswith("Instructions\nReply.")
+    assert "(none)" in got[2] and "max_course_age_years" not in got[2]
