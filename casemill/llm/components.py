@@ -4,7 +4,8 @@ A large step moves the larger neighbours of every node to its smallest one, a sm
 number of rounds that grows with the logarithm of the longest path every node hangs on the smallest of its component
 (Kiveris and others, "Connected Components in MapReduce and Beyond"). Edges and minima are written between the steps, so
 lineage stays short, a lost executor costs one step, and both sides of each join are plain exchanges that a hot node can
-be split out of. Links and components never reach the driver; it sees a count and a checksum.
+be split out of. Links and components never reach the driver; it only asks whether a node is left that does
+not hang on a smallest one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _large_step(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both, F.least(F.min("v"), F.first("u")))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return saved(moved.where("u <> v").distinct(), "component-edges")
+    return saved(moved.where("u <> v"), "component-edges")
 
 
 def _small_step(edges: DataFrame) -> DataFrame:
@@ -34,17 +35,21 @@ def _small_step(edges: DataFrame) -> DataFrame:
     return saved(moved.unionByName(hung).distinct(), "component-edges")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger node hangs on one smaller node that itself hangs on none."""
+    ends = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("top")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("top")))
+    nodes = ends.groupBy("u").agg(F.sum("down").alias("down"), F.max("top").alias("top"))
+    return nodes.where("down > 1 OR (down = 1 AND top = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """`links` (a, b), longs -> (node, component) for every node that is not the smallest of its component.
+    """`links` (a, b) of one type -> (node, component) for every node that is not the smallest of its component.
 
     Nulls and loops link nothing; repeated links count once; no links give no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = saved(edges.distinct(), "component-edges")
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if mark == seen or mark[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = mark
+    while not _settled(edges):
         edges = _small_step(_large_step(edges))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

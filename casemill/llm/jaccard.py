@@ -352,7 +352,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     near = saved(pairs.join(left, "a").join(right, "b").where(_close(percent)("na", "nb", "xa", "xb")).select("a", "b"), "close-pairs")
     # Only the sets of close pairs move.
-    ends = saved(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "close-ends")
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = saved(sets.select("doc_id", "features").join(ends, "doc_id", "left_semi"), "close-sets")
     left, right = (wanted.select(F.col("doc_id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
     return saved(near.join(left, "a").join(right, "b").where(_similar(percent)("fa", "fb")).select("a", "b"), "links")
@@ -408,10 +408,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     one = first.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component"))
     up = one.select(F.col("node").alias("component"), F.col("component").alias("_up"))
     two = saved(one.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component")), "first-labels")
-    links = first.unionByName(_verified(_apart(candidates, two), sets, percent))
+    # Texts of rows with one doc_id are one node: their sets are linked.
+    least = members.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a <> z").select("doc_id", "a")
+    same = members.join(least, "doc_id").where("head <> a").select("a", F.col("head").alias("b"))
+    links = first.unionByName(_verified(_apart(candidates, two), sets, percent)).unionByName(same)
     labels = saved(components(links), "component-labels")
     if finer is not None:
-        labels = _settle(finer.where("kind = 2").select("sig", "a", "b"), heads_of, labels, links, sets, percent)
+        labels = _settle(finer.where("kind = 2").select("sig", "a", "b"), heads_of, labels, sets, percent)
     whole = members.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
     nameless = by_batch(texts.where("doc_id IS NULL"), lambda ids, t: {
@@ -463,7 +466,7 @@ BLOCK_SETS = 1024
 BLOCK_ROWS_PER_BUCKET = 20_000
 
 
-def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the sets at a crowded signature that are still in different components.
 
     Sets outside the signature's largest component are compared with all of its sets, block by block, so a signature of
@@ -487,4 +490,10 @@ def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, links: Dat
     buckets = max(16, math.ceil(rows.count() / BLOCK_ROWS_PER_BUCKET))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)).cast("int"))
     more = _verified(saved(_close_in_blocks(blocks, percent), "open-pairs"), sets, percent)
-    return labels if more.isEmpty() else saved(components(links.unionByName(more)), "component-labels")
+    if more.isEmpty():
+        return labels
+    # The components found so far are the nodes that the new links join.
+    top = saved(components(_relabelled(more, labels, ("a", "b")).select(F.col("la").alias("a"), F.col("lb").alias("b"))), "component-labels")
+    up = top.select(F.col("node").alias("component"), F.col("component").alias("_up"))
+    moved = labels.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"))
+    return saved(moved.unionByName(top), "component-labels")

@@ -84,6 +84,14 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_rows_with_one_id_are_one_node(spark):
+    texts = ["a b c d e f", "a b c d e f", "p q r s t u", "p q r s t u", "only here today is this text"]
+    rows = [row(i, t) for i, t in zip((3, 7, 7, 9, 9), texts)] + [row(20, None), row(20, "p q r s t u"), row(21, "")]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.doc_id, r.component_id) for r in out.where("n_shingles > 0").collect()} == {(3, 3), (7, 3), (9, 3), (20, 3)}
+    assert {(r.doc_id, r.component_id) for r in out.where("n_shingles = 0").collect()} == {(20, 20), (21, 21)}
+
+
 @pytest.mark.parametrize("crowd", [2, 16])
 def test_near_duplicates_in_crowds(spark, crowd):
     rows = crowd_rows()
