@@ -353,7 +353,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = saved(pairs.join(left, "a").join(right, "b").where(_close(percent)("na", "nb", "xa", "xb")).select("a", "b"), "close-pairs")
     # Only the sets of close pairs move.
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = saved(sets.select("doc_id", "features").join(ends, "doc_id", "left_semi"), "close-sets")
+    wanted = saved(sets.select("doc_id", "features").join(ends.hint("merge"), "doc_id", "left_semi"), "close-sets")
     left, right = (wanted.select(F.col("doc_id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
     return saved(near.join(left, "a").join(right, "b").where(_similar(percent)("fa", "fb")).select("a", "b"), "links")
 
@@ -391,10 +391,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
 
     met = found.where("kind > 0").select("a", "b", "kind")
     # Of every set that shares a signature: whether one of them was crowded.
-    ends = _relabelled(met.select(F.explode(F.array("a", "b")).alias("node"), "kind"), heads_of, ("node",)).groupBy(
-        F.col("lnode").alias("doc_id")).agg(F.bool_or(F.col("kind") == 2).alias("crowded"))
+    # Summed up before it is joined: a pair is found in many buckets.
+    nodes = met.select(F.explode(F.array("a", "b")).alias("node"), "kind").groupBy("node").agg(F.bool_or(F.col("kind") == 2).alias("crowded"))
+    ends = _relabelled(nodes, heads_of, ("node",)).groupBy(F.col("lnode").alias("doc_id")).agg(F.bool_or("crowded").alias("crowded"))
     ends = saved(ends, "candidate-ends")
-    sets = saved(_sets(known.join(ends, "doc_id").select("doc_id", "text", "crowded"), width), "candidate-sets")
+    sets = saved(_sets(known.join(ends.hint("merge"), "doc_id").select("doc_id", "text", "crowded"), width), "candidate-sets")
     candidates, finer = met.select("a", "b"), None
     crowded = sets.where("crowded")
     words = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -402,7 +403,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         again = crowded.select("doc_id", "features")
         finer = saved(share_signatures(again, SCHEMES[1], max(16, math.ceil(4 * words / SIGNATURES_PER_BUCKET)), percent, width, crowd), "signature-pairs")
         candidates = candidates.unionByName(finer.where("kind > 0").select("a", "b"))
-    candidates = saved(between_heads(candidates).distinct(), "candidate-pairs")
+    candidates = saved(between_heads(candidates.distinct()).distinct(), "candidate-pairs")
     first = _verified(candidates.groupBy("b").agg(F.min("a").alias("a")), sets, percent)
     # Two steps down the first links: a label is only ever that of a set that is linked.
     one = first.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component"))
@@ -472,7 +473,7 @@ def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: Data
     Sets outside the signature's largest component are compared with all of its sets, block by block, so a signature of
     any size is spread over tasks of bounded size.
     """
-    both = stars.select("sig", F.explode(F.array("a", "b")).alias("node"))
+    both = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
     rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
     sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("n"))
