@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,6 +67,16 @@ def rows_of(held: DataFrame) -> DataFrame:
     return held.select("_row.*")
 
 
+def trim_memory() -> None:
+    """Gives what numpy and Arrow have freed back to the system: Python workers live on between tasks, and several of
+    them share an executor's memory with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which trims by itself
+        pass
+
+
 def by_batch(df: DataFrame, rows: Callable[..., dict], schema: str) -> DataFrame:
     """mapInArrow in chunks of few rows; `rows` takes the columns of a chunk as lists and gives the new ones.
 
@@ -82,6 +93,7 @@ def by_batch(df: DataFrame, rows: Callable[..., dict], schema: str) -> DataFrame
                 part = batch.slice(low, ROWS_PER_CHUNK)
                 out = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        trim_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import by_batch, saved, spread_mix, texts_of
+from casemill.llm.common import by_batch, saved, spread_mix, texts_of, trim_memory
 from casemill.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -47,7 +47,7 @@ SIGNATURES_PER_BUCKET = 1_500_000
 SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 2, 512, 1 << 14
 #: Documents whose signatures are packed together.
 DOCUMENTS_PER_PACK = 4096
-WORDS_PER_PACK = 500_000
+WORDS_PER_PACK = 300_000
 
 
 # ---- features ----
@@ -280,9 +280,11 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
                     for pack in packs(held):
                         yield rows([pack])
                     held, weight = [], 0
+                    trim_memory()
         if held:
             for pack in packs(held):
                 yield rows([pack])
+        trim_memory()
 
     return docs.mapInArrow(run, PACKS)
 
@@ -306,6 +308,8 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
             ids, sizes, keys = (_unpack(c).view(np.int64) for c in (x, y, z))
             more = {"kind": np.zeros(len(ids), np.int8), "a": ids, "b": keys, "n": sizes, "sig": np.zeros(len(ids), np.int64)}
             out = {c: np.concatenate([out[c], more[c]]) for c in out}
+        del sigs, nodes, order, own, sent
+        trim_memory()
         return pd.DataFrame(out)
 
     return _deal(docs, scheme, buckets, percent, width, crowd).groupBy("bucket").applyInPandas(meet, FOUND)

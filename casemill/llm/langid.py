@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import carried, ready, rows_of, saved, texts_of
+from casemill.llm.common import carried, ready, rows_of, saved, texts_of, trim_memory
 
 PIECE_VOCAB = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MARK = "▁"
@@ -40,7 +40,7 @@ MAX_PIECE = 10
 #: Of a character that no piece has, in any language; and the pseudo-count of every piece.
 FLOOR = 1e-7
 SMOOTHING = 0.05
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _SLOTS = 20
 
@@ -271,6 +271,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(text: pd.Series) -> pd.DataFrame:
         names, scores = shared.value.predict(text.tolist())
+        trim_memory()
         return pd.DataFrame({"lang": names, "score": scores}, columns=["lang", "score"])
 
     said = F.pandas_udf(predict, "lang string, score double")(F.col("text").cast("string"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import carried, ready, rows_of, spread_mix, texts_of
+from casemill.llm.common import carried, ready, rows_of, spread_mix, texts_of, trim_memory
 
 #: Labelled rows that rules are learned from, at most.
 MAX_LABELLED = 20_000
@@ -76,7 +76,9 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 def text_counts(text: pd.Series) -> pd.DataFrame:
     names = [part.split()[0] for part in COUNTS.split(", ")]
-    return pd.DataFrame([counts_of(t) for t in text], columns=names, dtype="int64")
+    rows = [counts_of(t) for t in text]
+    trim_memory()
+    return pd.DataFrame(rows, columns=names, dtype="int64")
 
 
 #: Shares that rules test: a count over another one.
