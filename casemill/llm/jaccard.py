@@ -189,16 +189,20 @@ def _unpack(data: bytes, size: int = 8) -> np.ndarray:
 SIGNATURE_BYTES = 6
 
 
-def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows ordered by signature and node: pairs of rows that share a signature; (smallest, other) rows of crowded
-    signatures; and a mask of the rows left when the others of crowded ones go."""
+    signatures; and a mask of the rows left when the others of crowded ones go. Signatures in `sent` are crowded at any
+    number of rows: others of them have gone before."""
     if not len(sigs):
         return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool)
     new = np.append(True, sigs[1:] != sigs[:-1])
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     length = np.diff(np.append(first, len(sigs)))[run]
-    small = np.flatnonzero((length > 1) & (length <= crowd))
+    crowded = length > crowd
+    if sent is not None and len(sent):
+        crowded |= np.isin(sigs, sent)
+    small = np.flatnonzero((length > 1) & ~crowded)
     pairs = []
     for step in range(1, crowd):
         low = small[small + step < len(sigs)]
@@ -206,7 +210,6 @@ def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int) -> tuple[np.ndarray,
         if not len(low):
             break
         pairs.append(np.stack([low, low + step], axis=1))
-    crowded = length > crowd
     others = np.flatnonzero(crowded & ~new)
     stars = np.stack([first[run[others]], others], axis=1)
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), stars, ~(crowded & ~new)
@@ -298,8 +301,9 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
         nodes = np.concatenate([_unpack(y) for y in own["y"]] or [np.zeros(0, np.uint64)]).view(np.int64)
         order = np.lexsort((nodes, sigs))
         sigs, nodes = sigs[order], nodes[order]
-        pairs, stars, _ = shared(sigs, nodes, crowd)
         sent = packs[packs["kind"] == 2]
+        # What a pack found crowded is crowded for all packs, however few rows they left.
+        pairs, stars, _ = shared(sigs, nodes, crowd, np.concatenate([np.zeros(0, np.uint64), *map(_unpack, sent["z"])]))
         star_ends = np.concatenate([nodes[stars], *[np.stack([_unpack(x), _unpack(y)], axis=1).view(np.int64) for x, y in zip(sent["x"], sent["y"])]])
         star_sigs = np.concatenate([sigs[stars[:, 1]], *[_unpack(z) for z in sent["z"]]]).view(np.int64)
         # Signatures are told apart across buckets by the bucket number on top.

@@ -99,6 +99,34 @@ def test_near_duplicates_in_crowds(spark, crowd):
     assert got(out) == near_duplicate_classes(rows)
 
 
+def crowd_in_one_pack():
+    """Sixty sets of one pack that are only similar to a set of another pack, by a passage that all of them hold."""
+    passage = " ".join(f"p{i}" for i in range(104))
+    own = [row(i, passage + " " + " ".join(f"o{i}x{k}" for k in range(20))) for i in range(1, 61)]
+    other = [row(70, passage + " " + " ".join(f"q{k}" for k in range(10))), row(71, "a few words that stand in no other text")]
+    return own, other
+
+
+@pytest.mark.parametrize("scheme", jaccard.SCHEMES)
+def test_crowd_of_one_pack_is_a_crowd_of_its_bucket(spark, scheme, monkeypatch):
+    own, other = crowd_in_one_pack()
+    monkeypatch.setattr(jaccard, "DOCUMENTS_PER_PACK", len(own))
+    docs = spark.createDataFrame(own + other, SCHEMA).select("doc_id", "text").coalesce(1)
+    found = jaccard.share_signatures(docs, scheme, 16).where("kind > 0").select("kind", "sig", "a", "b").collect()
+    held = {}
+    for kind, sig, a, b in found:
+        held.setdefault((kind, sig) if kind == 2 else (a, b), set()).update((a, b))
+    assert {x for nodes in held.values() if 70 in nodes for x in nodes} == {*range(1, 61), 70}
+
+
+def test_links_to_a_crowd_of_another_pack(spark, monkeypatch):
+    own, other = crowd_in_one_pack()
+    monkeypatch.setattr(jaccard, "DOCUMENTS_PER_PACK", len(own))
+    out = jaccard.near_duplicates(spark.createDataFrame(own + other, SCHEMA).coalesce(1))
+    assert got(out) == near_duplicate_classes(own + other)
+    assert {r.component_id for r in out.collect()} == {1, 71}
+
+
 def test_one_of_each_near_copy(spark):
     rows = crowd_rows()
     left = jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA))
