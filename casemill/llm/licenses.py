@@ -65,7 +65,22 @@ SENTENCES = {
     40: "licensed under the gnu general public license version 2",
     41: "this work is licensed under the gnu lesser general public license version 3",
     42: "licensed under the mozilla public license version 2 0",
+    # The pieces of 16, 17, 18 and 34 as their usual punctuation cuts them. The last wording is that of version 2.0 alone.
+    43: "this program is free software",
+    44: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    45: "either version 3 of the license or at your option any later version",
+    46: "either version 2 of the license or at your option any later version",
+    47: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    48: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    49: "this program is distributed in the hope that it will be useful but without any warranty",
+    50: "without even the implied warranty of merchantability or fitness for a particular purpose",
+    51: "this source code form is subject to the terms of the mozilla public license v",
+    52: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
 }
+# Ways in which the two sentences of the GNU notice are cut.
+GPL_3_OPENINGS = ((16,), (43, 47), (43, 44, 45))
+GPL_2_OPENINGS = ((17,), (43, 48), (43, 44, 46))
+NO_WARRANTY = ((18,), (49, 50))
 # Rules in the order they are tried: family, licence, sentences in their order.
 RULES = (
     ("apache", "Apache-2.0", (2, 3, 5, 6)),
@@ -79,8 +94,8 @@ RULES = (
     ("bsd", "BSD-3-Clause", (29, 30, 31, 32)),
     ("bsd", "BSD-2-Clause", (29, 30, 31)),
     ("bsd", "BSD", (38,)),
-    ("gpl", "GPL-3.0-or-later", (16, 18, 19)),
-    ("gpl", "GPL-2.0-or-later", (17, 18, 19)),
+    *(("gpl", "GPL-3.0-or-later", (*x, *y, 19)) for x in GPL_3_OPENINGS for y in NO_WARRANTY),
+    *(("gpl", "GPL-2.0-or-later", (*x, *y, 19)) for x in GPL_2_OPENINGS for y in NO_WARRANTY),
     ("gpl", "GPL-3.0", (14,)),
     ("gpl", "GPL-3.0", (39,)),
     ("gpl", "GPL-2.0", (15,)),
@@ -97,13 +112,17 @@ RULES = (
     ("cc0", "CC0-1.0", (25,)),
     ("mpl", "MPL-2.0", (34, 35)),
     ("mpl", "MPL-2.0", (34,)),
+    ("mpl", "MPL-2.0", (51, 35)),
+    ("mpl", "MPL-2.0", (51, 52)),
+    ("mpl", "MPL-2.0", (51,)),
     ("mpl", "MPL-2.0", (42,)),
     ("unlicense", "Unlicense", (36,)),
     ("isc", "ISC", (37,)),
     ("reserved", "All-Rights-Reserved", (33,)),
 )
 #: Every known sentence has one of these; tests hold the list against it.
-ANCHORS = ("licens", "copyright", "copies", "all rights reserved", "redistribution", "redistribute", "without warranty", "mpl", "unencumbered software")
+ANCHORS = ("licens", "copyright", "copies", "all rights reserved", "redistribution", "redistribute", "without warranty", "mpl", "unencumbered software",
+           "free software", "without any warranty", "implied warranty")
 SENTENCE_END = r"[.!?;:]+([\x09-\x0D\x20]|$)"
 BLANK_LINE = r"\n[\x09\x0B-\x0D\x20]*\n"
 

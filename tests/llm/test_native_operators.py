@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import defaultdict
 
 import duckdb
@@ -176,6 +177,41 @@ def test_licences(spark):
     assert licenses.scanned(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+NOTICES = [
+    (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"),
+    (GPL.format(":", ",", 2), "GPL-2.0-or-later"), (MPL.format("http"), "MPL-2.0"), (MPL.format("https"), "MPL-2.0"), (APACHE, "Apache-2.0"),
+]
+
+
+def test_notices_as_they_are_printed(spark):
+    rows = []
+    for text, _ in NOTICES:
+        blocks = text.split("\n\n")
+        for width in (50, 72, 10_000):
+            wrapped = "\n\n".join(textwrap.fill(b, width) for b in blocks)
+            rows += [row(len(rows), wrapped), row(len(rows) + 1, " * " + wrapped.replace("\n", "\n * ").replace(" * \n", "\n"))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = licenses.scanned(docs)
+    assert [r["licences"] for r in out.orderBy("doc_id").collect()] == [[licence] for _, licence in NOTICES for _ in range(6)]
+    names, want = by_sql("op6_license_scan", documents=docs.select("doc_id", "text"))
+    assert got(out.select(*names)) == want
+
+
 @pytest.mark.parametrize("sentence", licenses.SENTENCES.values())
 def test_every_sentence_has_an_anchor(sentence):
     assert any(a in sentence for a in licenses.ANCHORS)
