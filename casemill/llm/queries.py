@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, licenses, line_dedup, packing, quality, token_files, url_filter
+from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, licenses, line_dedup, packing, quality, rank_bpe, token_files, url_filter
 from casemill.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.coding_digests(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -167,5 +171,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op12_rank_bpe": op12_rank_bpe,
 }
 ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL}
