@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, licenses, line_dedup, packing, quality, rank_bpe, token_files, url_filter
+from casemill.llm import bpe_tree, exact_dedup, jaccard, langid, lexical, licenses, line_dedup, packing, quality, rank_bpe, spelling, token_files, url_filter
 from casemill.llm.common import table
 
 
@@ -54,10 +54,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.coding_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
@@ -160,6 +168,20 @@ i AS (SELECT doc_id, CASE WHEN possible THEN {_ids_sql("by_line")} ELSE ',' END
 SELECT doc_id, line_ids, joined_ids, {_licences_sql()} AS licences FROM i
 """
 
+LEXICAL_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{LEXICAL_TERM}') AS t FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{LEXICAL_TERM}')) AS term FROM benchmark),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_words FROM d),
+u AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_words)))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, r)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM s WHERE score > 0 AND doc_id IS NOT NULL) WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_jaccard_join": op2_jaccard_join,
@@ -171,6 +193,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_lexical_search": op11_lexical_search,
     "op12_rank_bpe": op12_rank_bpe,
+    "op13_spelling_groups": op13_spelling_groups,
 }
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op7_exact_dedup": OP7_SQL,
+              "op11_lexical_search": OP11_SQL}
