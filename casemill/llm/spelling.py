@@ -36,13 +36,14 @@ MIN_LETTERS, MIN_COUNT, RATIO = 6, 5, 5
 #: One (document, run) in so many loses a letter.
 DELETED = 199
 #: Words in the sample for the top tree, words planned for a box, words of a block, words of a leaf in a task.
-SAMPLE_WORDS, BOX_WORDS, BLOCK_WORDS, LEAF_WORDS = 50_000, 20_000, 40_000, 64
+SAMPLE_WORDS, BOX_WORDS, BLOCK_WORDS, LEAF_WORDS = 50_000, 20_000, 40_000, 256
 #: Distinct words that a task counts before it hands them on.
 TALLY_WORDS = 200_000
 
-#: Of each code point below U+0100, its place in the vector; others share the places of the upper half.
-PLACES = 26 + 64
-PLACE_OF = np.array([c - 97 if 97 <= c < 123 else 26 + c % 64 for c in range(256)], np.int64)
+#: Of each code point below U+0100, its place in the vector. Letters that are not a-z share eight places: adding counts up
+#: never makes a distance larger.
+PLACES = 26 + 8
+PLACE_OF = np.array([c - 97 if 97 <= c < 123 else 26 + c % 8 for c in range(256)], np.int64)
 
 
 # ---- words ----
@@ -94,6 +95,15 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return np.minimum(np.bincount(places, minlength=len(words) * PLACES), 255).astype(np.int16).reshape(len(words), PLACES)
 
 
+def marks(vectors: np.ndarray) -> np.ndarray:
+    """Which places have a count of one or more, and which of a-z of two or more, as bits: two vectors are at least as far
+    apart as the number of bits in which they differ."""
+    bits = np.zeros((len(vectors), 64), bool)
+    bits[:, :PLACES] = vectors > 0
+    bits[:, PLACES:PLACES + 26] = vectors[:, :26] > 1
+    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+
+
 def halves(vectors: np.ndarray) -> tuple[int, int] | None:
     """The place whose counts spread most and a cut that leaves words on both sides; None if all are equal."""
     spread = vectors.astype(np.float32).var(axis=0)
@@ -204,6 +214,7 @@ def dealt(words: DataFrame, tree, min_letters: int) -> DataFrame:
 
 def in_range(targets: np.ndarray, visitors: np.ndarray, radius: int, leaf: int = LEAF_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(visitor, target) rows with an L1 distance of at most `radius`, leaf by leaf of a k-d tree over the targets."""
+    target_marks, visitor_marks = marks(targets), marks(visitors)
     work = [(np.arange(len(targets)), np.arange(len(visitors)))]
     while work:
         own, guests = work.pop()
@@ -223,12 +234,14 @@ def in_range(targets: np.ndarray, visitors: np.ndarray, radius: int, leaf: int =
             work += [(own[side], guests), (own[~side], guests)]
             continue
         for first in range(0, len(own), leaf):
-            some = held[first:first + leaf]
-            for low in range(0, len(guests), 256):
-                at = guests[low:low + 256]
-                x, y = np.nonzero(np.abs(visitors[at][:, None, :] - some[None, :, :]).sum(axis=2) <= radius)
-                if len(x):
-                    yield at[x], own[first + y]
+            some = own[first:first + leaf]
+            for low in range(0, len(guests), 1024):
+                at = guests[low:low + 1024]
+                x, y = np.nonzero(np.bitwise_count(visitor_marks[at][:, None] ^ target_marks[some][None, :]) <= radius)
+                x, y = at[x], some[y]
+                good = np.abs(visitors[x] - targets[y]).sum(axis=1) <= radius
+                if good.any():
+                    yield x[good], y[good]
 
 
 def one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
