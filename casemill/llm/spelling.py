@@ -36,7 +36,7 @@ MIN_LETTERS, MIN_COUNT, RATIO = 6, 5, 5
 #: One (document, run) in so many loses a letter.
 DELETED = 199
 #: Words in the sample for the top tree, words planned for a box, words of a block, words of a leaf in a task.
-SAMPLE_WORDS, BOX_WORDS, BLOCK_WORDS, LEAF_WORDS = 50_000, 20_000, 40_000, 256
+SAMPLE_WORDS, BOX_WORDS, BLOCK_WORDS, LEAF_WORDS = 50_000, 8_000, 16_000, 256
 #: Distinct words that a task counts before it hands them on.
 TALLY_WORDS = 200_000
 
@@ -291,11 +291,13 @@ def searched(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
 
 def near_words(words: DataFrame, min_letters: int = MIN_LETTERS, box_words: int = BOX_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """word, n_near, best_n, best for each word with near words; `words` has distinct words and n, and is read more than once."""
-    boxes = math.ceil(words.count() / box_words)
+    total = words.count()
+    boxes = math.ceil(total / box_words)
     tree = 0
     if boxes > 1:
-        sample = words.select("word", F.xxhash64("word").alias("h")).orderBy("h").limit(max(SAMPLE_WORDS, 8)).select("word").collect()
-        tree = top_tree(letter_counts([r["word"] for r in sample]), min(boxes, len(sample) // 4))
+        # About SAMPLE_WORDS rows, chosen by hash.
+        sample = sorted(r["word"] for r in words.where(F.pmod(F.xxhash64("word"), F.lit(total)) < SAMPLE_WORDS).select("word").collect())
+        tree = top_tree(letter_counts(sample), max(1, min(boxes, len(sample) // 4)))
     rows = saved(dealt(words, tree, min_letters), "spelling-boxes")
     # Blocks of a box by the words that live in it: both sides are dealt out, and every block of one meets every block of the other.
     sizes = rows.where("home").groupBy("length", "box").agg(F.ceil(F.count("*") / block_words).cast("int").alias("blocks"))
