@@ -2,8 +2,9 @@
 
 A text is cut into sentences, which are normalised to lower-case words and looked up among known ones. What is left of a
 text is a short sequence of identifiers, and a licence is recognised where the sentences of one of its rules stand in
-their order, others between them or not. Rules are ordered: of rules of one family only the first that matches counts, so
-the long form of a licence hides the short one that is part of it.
+their order and near one another: at most `BETWEEN` other known ones and less than `FAR` unknown sentences in a row come between. Rules of
+a family are tried in turn, longer ones first, and what a rule has matched is no longer there for the next: every licence
+of a text is named, and a short rule does not match inside the notice of a longer one.
 
 A text is cut twice: at line ends, which finds notices without a full stop, and with lines joined, which finds sentences
 that are wrapped. Texts without a word that every known sentence has one of are not cut at all. Everything is built-in
@@ -123,6 +124,10 @@ RULES = (
 #: Every known sentence has one of these; tests hold the list against it.
 ANCHORS = ("licens", "copyright", "copies", "all rights reserved", "redistribution", "redistribute", "without warranty", "mpl", "unencumbered software",
            "free software", "without any warranty", "implied warranty")
+#: Known sentences that may stand between two of a rule, and unknown ones in a row that keep them apart.
+BETWEEN, FAR = 12, 20
+FAR_APART = f"(?:u,){{{FAR},}}"
+OUTER_MARKS = "(?:_,)+$|(?<=^,)(?:_,)+"
 SENTENCE_END = r"[.!?;:]+([\x09-\x0D\x20]|$)"
 BLANK_LINE = r"\n[\x09\x0B-\x0D\x20]*\n"
 
@@ -132,15 +137,49 @@ def normalised(sentence: Column) -> Column:
 
 
 def _identified(cut: Column) -> Column:
-    """Identifiers of the known sentences of a text that is cut by line feeds, as `,1,3,`."""
+    """Identifiers of the known sentences of a text that is cut by line feeds, as `,1,3,`; `_` stands where many unknown ones do."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, str(i))])
-    ids = F.filter(F.transform(F.split(cut, "\n"), lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
-    return F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
+    ids = F.transform(F.split(cut, "\n"), lambda s: F.coalesce(F.try_element_at(known, normalised(s)), F.lit("u")))
+    marked = F.regexp_replace(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")), FAR_APART, "_,")
+    return F.regexp_replace(F.replace(marked, F.lit("u,"), F.lit("")), OUTER_MARKS, "")
 
 
 def rule_pattern(sentences: tuple[int, ...]) -> str:
-    """Finds the identifiers in their order, others between them or not."""
-    return "(.*,)?".join(f"{i}," for i in sentences).join((",", ""))
+    """Finds the identifiers in their order, in a text of them in which each has commas of its own on both sides."""
+    return f"(?:,[0-9]+,){{0,{BETWEEN}}}?".join(f",{i}," for i in sentences)
+
+
+def families() -> dict[str, list[tuple[str, tuple[int, ...]]]]:
+    out: dict[str, list[tuple[str, tuple[int, ...]]]] = {}
+    for family, licence, sentences in RULES:
+        out.setdefault(family, []).append((licence, sentences))
+    return out
+
+
+def longer_rules(rules: list[tuple[str, tuple[int, ...]]], k: int) -> list[int]:
+    """Earlier rules that hold all sentences of rule `k`."""
+    return [j for j in range(k) if set(rules[k][1]) <= set(rules[j][1])]
+
+
+def _hits(ids: Column, rules: list[tuple[str, tuple[int, ...]]]) -> list[Column]:
+    """Whether each rule matches what the rules before it have left."""
+    left, out = F.replace(ids, F.lit(","), F.lit(",,")), []
+    for _, sentences in rules:
+        out.append(left.rlike(rule_pattern(sentences)))
+        left = F.regexp_replace(left, rule_pattern(sentences), ",_,")
+    return out
+
+
+def _named(rules: list[tuple[str, tuple[int, ...]]]) -> list[Column]:
+    """Licences of a family. A hit of one cut is part of a longer rule's notice if only the other cut shows that one whole."""
+    line, joined = _hits(F.col("line_ids"), rules), _hits(F.col("joined_ids"), rules)
+    out = []
+    for k, (licence, _) in enumerate(rules):
+        here, there = joined[k], line[k]
+        for j in longer_rules(rules, k):
+            here, there = here & ~(line[j] & ~joined[j]), there & ~(joined[j] & ~line[j])
+        out.append(F.when(here | there, licence))
+    return out
 
 
 def sentence_ids(text: Column) -> tuple[Column, Column]:
@@ -160,10 +199,6 @@ def scanned(docs: DataFrame) -> DataFrame:
     by_line, by_sentence = sentence_ids(text)
     found = texts_of(docs).withColumns({
         "line_ids": F.when(possible, by_line).otherwise(","), "joined_ids": F.when(possible, by_sentence).otherwise(",")})
-    families: dict[str, Column] = {}
-    for family, licence, sentences in RULES:
-        hit = F.col("line_ids").rlike(rule_pattern(sentences)) | F.col("joined_ids").rlike(rule_pattern(sentences))
-        families[family] = F.when(hit, licence) if family not in families else families[family].when(hit, licence)
-    named = F.array_compact(F.array(*families.values()))
+    named = F.array_distinct(F.array_compact(F.array(*[c for rules in families().values() for c in _named(rules)])))
     known = (F.col("line_ids") != ",") & (F.col("line_ids") != ",,") | (F.col("joined_ids") != ",") & (F.col("joined_ids") != ",,")
     return found.select("doc_id", "line_ids", "joined_ids", F.when(known, named).otherwise(F.array().cast("array<string>")).alias("licences"))

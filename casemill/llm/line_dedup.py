@@ -1,16 +1,20 @@
-"""Line dedup by a log-template tree of fixed depth.
+"""Line dedup by a log-template tree of fixed depth that learns which words of a line vary.
 
-Words with a digit count as a variable field. The path of a line in the tree is its number of words and its first
-`DEPTH` words; a leaf holds templates. The words behind the path are cut into `SEGMENTS` runs, and a template is a line
-as it is, or with one of the runs open, so a field that varies by more than digits is generalised as well. A template
-that stands in `MIN_DOCUMENTS` or more documents recurs, and every line of it is dropped, in whatever document.
+Runs of digits count as one field, blanks as one blank. The path of a line in the tree is its number of words and its first
+`DEPTH` words, one of which, at any of the places, may be a wild card: a line hangs on `DEPTH` leaves, so a field among the
+first words does not part the lines of a template. In a leaf with different lines the documents of every word are counted
+at every place behind it; a place where no word has half of the leaf's documents is open, however many there are. A
+template is what is left of a line: its words at the other places. It counts if at least `FIXED_SHARE` of the words, and
+`MIN_FIXED`, are fixed.
 
-Lines of fewer than `MIN_WORDS` words are left alone, and a run is only open where `MIN_FIXED` words stay. All of it is
-built-in functions, joins and grouped counts: keys are counted before they are shuffled, and lines meet recurring keys
-without their text; what moves with its text is a document that loses lines.
+A template that stands in `MIN_DOCUMENTS` documents recurs, and every line of it is dropped, in whatever document. So does a
+line of any length that stands as it is in so many documents; for a line of `LONG_WORDS` words, two documents are enough.
 
-Rows with equal doc_id and text count as one document and lose the same lines. Null text has no lines and stays null; a text that loses all
-lines is empty; a null doc_id is kept. Empty tables give no rows.
+All of it is built-in functions, joins and grouped counts. Keys are counted in tasks before they are shuffled; only leaves
+that recur are looked into, and of these every different line once, with the number of its documents.
+
+Rows with equal doc_id and text count as one document and lose the same lines. Null text has no lines and stays null; a text
+that loses all lines is empty; a line without words stays; a null doc_id is kept. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,58 +24,116 @@ from pyspark.sql import functions as F
 
 from casemill.llm.common import saved, texts_of
 
-DEPTH = 3
-SEGMENTS = 3
-MIN_WORDS = 4
-MIN_FIXED = 8
+DEPTH = 4
+MIN_FIXED = 3
+FIXED_SHARE = (2, 3)
 MIN_DOCUMENTS = 3
-# A word with a digit, the mark that stands for it, and blanks inside a line.
-FIELD = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]+"
-FIELD_MARK = "<*>"
+LONG_WORDS, LONG_DOCUMENTS = 50, 2
+# A field of digits and what stands for it, and blanks inside a line.
+DIGITS, DIGITS_MARK = "[0-9]+", "0"
 LINE_BLANKS = r"[\x20\x09\x0B-\x0D]+"
+OTHER_BLANKS = r"[\x09\x0B-\x0D]|\x20\x20"
+
+
+def plain_lines(text: Column) -> Column:
+    """The lines of a text in the form in which they are compared."""
+    fields = F.regexp_replace(text, DIGITS, DIGITS_MARK)
+    single = F.when(fields.rlike(OTHER_BLANKS), F.regexp_replace(fields, LINE_BLANKS, " ")).otherwise(fields)
+    return F.transform(F.split(single, "\n"), lambda x: F.trim(x))
 
 
-def _templates(words: Column, depth: int, segments: int, min_fixed: int) -> Column:
-    """Hashes of the line itself and of its templates with one run open; null where too little stays."""
+def _leaves(words: Column, depth: int) -> Column:
+    """A hash for each place of the path that is a wild card; none for lines that are no longer than the path."""
     n = F.size(words)
-    head, rest = F.slice(words, 1, depth), n - depth
-    runs = [F.slice(words, depth + 1 + F.floor(rest * k / segments).cast("int"),
-                    (F.floor(rest * (k + 1) / segments) - F.floor(rest * k / segments)).cast("int")) for k in range(segments)]
-    whole = F.xxhash64(F.lit(-1), n, F.array_join(words, " "))
-    opened = [F.when((rest >= segments) & (n - F.size(run) >= min_fixed),
-                     F.xxhash64(F.lit(k), n, F.array_join(F.concat(head, *[r for i, r in enumerate(runs) if i != k]), " ")))
-              for k, run in enumerate(runs)]
-    return F.array_compact(F.array(whole, *opened))
+    first = [F.get(words, k) for k in range(depth)]
+    paths = [F.xxhash64(F.lit(k), n, *[w for i, w in enumerate(first) if i != k]) for k in range(depth)]
+    return F.when(n >= depth, F.array(*paths)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _row_key() -> Column:
     return F.xxhash64("doc_id", "text").alias("row_key")
 
 
-def line_keys(docs: DataFrame, depth: int = DEPTH, segments: int = SEGMENTS, min_words: int = MIN_WORDS, min_fixed: int = MIN_FIXED) -> DataFrame:
-    """row_key, doc_id, line (from 0), keys: the templates of every line that has `min_words` words."""
-    masked = F.regexp_replace("text", FIELD, FIELD_MARK)
-    lines = texts_of(docs).select(_row_key(), "doc_id", F.posexplode(F.split(masked, "\n")).alias("line", "_text"))
-    words = lines.select("row_key", "doc_id", "line", F.split(F.trim(F.regexp_replace("_text", LINE_BLANKS, " ")), " ").alias("_words"))
-    return words.where(F.size("_words") >= min_words).select(
-        "row_key", "doc_id", "line", _templates(F.col("_words"), depth, segments, min_fixed).alias("keys"))
-
-
-def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **shape: int) -> DataFrame:
+def line_keys(docs: DataFrame, depth: int = DEPTH, long_words: int = LONG_WORDS) -> DataFrame:
+    """row_key, doc_id, lines: for each line its key as it is (null without words), whether it is long, and its leaves."""
+    def keys(line: Column) -> Column:
+        words = F.split(line, " ")
+        return F.struct(F.when(line != "", F.xxhash64(F.lit(-1), line)).alias("exact"), (F.size(words) >= long_words).alias("long"),
+                        _leaves(words, depth).alias("leaves"))
+
+    return texts_of(docs).where("text IS NOT NULL").select(_row_key(), "doc_id", F.transform(plain_lines(F.col("text")), keys).alias("lines"))
+
+
+def _weighted(line: Column, weights: tuple[int, int, int]) -> Column:
+    """(key, weight) of a line and of its leaves: a key recurs if its documents weigh enough."""
+    usual, long, _ = weights
+    exact = F.struct(line["exact"].alias("key"), F.when(line["long"], long).otherwise(usual).alias("weight"))
+    return F.filter(F.concat(F.array(exact), F.transform(line["leaves"], lambda k: F.struct(k.alias("key"), F.lit(usual).alias("weight")))),
+                    lambda x: x["key"].isNotNull())
+
+
+def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth: int = DEPTH, long_words: int = LONG_WORDS,
+                    long_documents: int = LONG_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """Lines that recur as they are (row_key, doc_id, line), and lines in recurring leaves (the same, leaf, exact). Stored."""
+    weights = (long_documents, min_documents, min_documents * long_documents)
+    lines = saved(line_keys(docs, depth, long_words), "line-keys")
+    every = F.array_distinct(F.flatten(F.transform("lines", lambda x: _weighted(x, weights))))
+    # A first count in which equal rows count as often as they stand: nothing that recurs is below it.
+    counted = lines.select(F.inline(every)).groupBy("key").agg(F.sum("weight").alias("w"))
+    likely = saved(counted.where(F.col("w") >= weights[2]).select("key"), "likely-keys")
+    placed = lines.select("row_key", "doc_id", F.posexplode("lines").alias("line", "x"))
+    keyed = placed.select("row_key", "doc_id", "line", F.col("x.exact").alias("exact"), F.explode(_weighted(F.col("x"), weights)).alias("k"))
+    # What recurs grows with the corpus: merged, not broadcast, at every size.
+    hits = saved(keyed.select("row_key", "doc_id", "line", "exact", "k.key", "k.weight").join(likely.hint("merge"), "key", "left_semi"), "likely-lines")
+    often = hits.select("key", "weight", "row_key", "doc_id").distinct().groupBy("key").agg(F.sum("weight").alias("w"))
+    often = often.where(F.col("w") >= weights[2]).select("key")
+    found = saved(hits.join(often.hint("merge"), "key", "left_semi"), "recurring-lines")
+    return (found.where("key = exact").select("row_key", "doc_id", "line"),
+            found.where("key <> exact").select("row_key", "doc_id", "line", F.col("key").alias("leaf"), "exact"))
+
+
+def different_lines(in_leaves: DataFrame, docs: DataFrame) -> DataFrame:
+    """leaf, exact, n, words: of leaves with more than one line, every different line once, with the number of its documents
+    and its words as hashes."""
+    # Equal rows count once.
+    same = in_leaves.distinct().groupBy("leaf", "exact").agg(
+        F.count("*").alias("n"), F.min(F.struct("row_key", "line")).alias("at"))
+    several = in_leaves.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).where("a <> z").select("leaf")
+    kept = saved(same.join(several.hint("merge"), "leaf", "left_semi").select("leaf", "exact", "n", "at.row_key", "at.line"), "different-lines")
+    wanted = kept.groupBy("row_key").agg(F.collect_set("line").alias("_lines"))
+    rows = texts_of(docs).select(_row_key(), "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"])
+    lines = rows.select("row_key", plain_lines(F.col("text")).alias("_all"), F.explode("_lines").alias("line"))
+    words = lines.select("row_key", "line", F.transform(F.split(F.get("_all", F.col("line")), " "), lambda w: F.xxhash64(w)).alias("words"))
+    return saved(kept.join(words.hint("merge"), ["row_key", "line"]).select("leaf", "exact", "n", "words"), "line-words")
+
+
+def learned_templates(different: DataFrame, min_fixed: int = MIN_FIXED, share: tuple[int, int] = FIXED_SHARE) -> DataFrame:
+    """leaf, exact, template: the words of each line that do not vary in its leaf, where enough are left."""
+    each = different.select("leaf", "n", F.posexplode("words").alias("place", "word"))
+    words = each.groupBy("leaf", "place", "word").agg(F.sum("n").alias("n"))
+    places = words.groupBy("leaf", "place").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    fixed = places.groupBy("leaf").agg(F.count("*").alias("n_words"), F.sort_array(F.collect_list(F.when(2 * F.col("top") >= F.col("n"), F.col("place")))).alias("fixed"))
+    left = F.size("fixed")
+    known = fixed.where((left < F.col("n_words")) & (left >= min_fixed) & (share[1] * left >= share[0] * F.col("n_words")))
+    met = different.join(known.hint("merge"), "leaf")
+    return met.select("leaf", "exact", F.xxhash64("leaf", F.transform("fixed", lambda p: F.get("words", p))).alias("template"))
+
+
+def dropped_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth: int = DEPTH, long_words: int = LONG_WORDS,
+                  long_documents: int = LONG_DOCUMENTS, min_fixed: int = MIN_FIXED, share: tuple[int, int] = FIXED_SHARE) -> DataFrame:
     """row_key, doc_id, lines: the numbers of the lines that go, for documents that lose any. Stored."""
-    lines = saved(line_keys(docs, **shape), "line-keys")
-    keyed = lines.select("row_key", "doc_id", "line", F.explode("keys").alias("key"))
-    # A key counts once for each document, so equal rows count as one.
-    counted = keyed.select("row_key", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    often = saved(counted.where(F.col("n") >= min_documents).select("key"), "recurring-templates")
-    # Recurring templates grow with the corpus: merged, not broadcast, at every size.
-    hits = keyed.join(often.hint("merge"), "key", "left_semi")
-    return saved(hits.groupBy("row_key", "doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "dropped-lines")
+    as_they_are, in_leaves = recurring_lines(docs, min_documents, depth, long_words, long_documents)
+    templates = learned_templates(different_lines(in_leaves, docs), min_fixed, share)
+    fitted = saved(in_leaves.join(templates.hint("merge"), ["leaf", "exact"]).select("row_key", "doc_id", "line", "template"), "template-lines")
+    often = fitted.select("template", "row_key", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n"))
+    often = often.where(F.col("n") >= min_documents).select("template")
+    gone = as_they_are.unionByName(fitted.join(often.hint("merge"), "template", "left_semi").select("row_key", "doc_id", "line"))
+    return saved(gone.groupBy("row_key", "doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "dropped-lines")
 
 
-def without_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, **shape: int) -> DataFrame:
+def without_lines(docs: DataFrame, **shape) -> DataFrame:
     """doc_id, text without its recurring lines, n_lines, n_dropped for every row."""
-    gone = dropped_lines(docs, min_documents, **shape).select("row_key", F.col("doc_id").alias("_doc_id"), "lines")
+    gone = dropped_lines(docs, **shape).select("row_key", F.col("doc_id").alias("_doc_id"), "lines")
     rows = texts_of(docs).withColumn("row_key", _row_key())
     rows = rows.join(gone.hint("merge"), (rows["row_key"] == gone["row_key"]) & rows["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
     lines = F.split("text", "\n")

@@ -114,48 +114,67 @@ JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
 
-def _run_sql(k: int) -> str:
-    low, high = (f"(({i} * (n - {line_dedup.DEPTH})) // {line_dedup.SEGMENTS})" for i in (k, k + 1))
-    return f"list_slice(w, {line_dedup.DEPTH} + 1 + {low}, {line_dedup.DEPTH} + {high})"
-
-
-def _open_sql(k: int) -> str:
-    rest = " || ".join([f"list_slice(w, 1, {line_dedup.DEPTH})", *(_run_sql(i) for i in range(line_dedup.SEGMENTS) if i != k)])
-    return (f"CASE WHEN n - {line_dedup.DEPTH} >= {line_dedup.SEGMENTS} AND n - len({_run_sql(k)}) >= {line_dedup.MIN_FIXED} "
-            f"THEN '{k} ' || n || ' ' || array_to_string({rest}, ' ') END")
+def _path_sql(k: int) -> str:
+    first = ", ".join(f"w[{i + 1}]" for i in range(line_dedup.DEPTH) if i != k)
+    return f"'{k} ' || len(w) || ' ' || concat_ws(' ', {first})"
 
 
 OP3_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
-raw AS (SELECT row_id, doc_id, text, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
-l AS (SELECT row_id, doc_id, text, unnest(lines) AS line_text, unnest(range(len(lines))) AS line FROM raw),
-m AS (SELECT row_id, doc_id, text, line, string_split(trim(regexp_replace(regexp_replace(line_text, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '{line_dedup.FIELD_MARK}', 'g'),
-  '{line_dedup.LINE_BLANKS}', ' ', 'g'), ' '), ' ') AS w FROM l),
-n AS (SELECT *, len(w) AS n FROM m WHERE len(w) >= {line_dedup.MIN_WORDS}),
-k AS (SELECT row_id, doc_id, text, line, unnest(['* ' || array_to_string(w, ' '), {", ".join(_open_sql(k) for k in range(line_dedup.SEGMENTS))}]) AS key FROM n),
-often AS (SELECT key FROM (SELECT DISTINCT key, doc_id, text FROM k WHERE key IS NOT NULL) GROUP BY key HAVING count(*) >= {line_dedup.MIN_DOCUMENTS}),
-hits AS (SELECT row_id, list_distinct(list(line)) AS gone FROM k WHERE key IN (SELECT key FROM often) GROUP BY row_id),
-kept AS (SELECT row_id, coalesce(string_agg(line_text, chr(10) ORDER BY line) FILTER (WHERE gone IS NULL OR NOT list_contains(gone, line)), '') AS body
-  FROM l LEFT JOIN hits USING (row_id) GROUP BY row_id)
-SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
-  sha256(CASE WHEN text IS NULL THEN NULL ELSE body END) AS text_sha256
-FROM d LEFT JOIN hits USING (row_id) LEFT JOIN kept USING (row_id)
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS doc FROM documents),
+raw AS (SELECT row_id, doc, text, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
+l AS (SELECT row_id, doc, unnest(lines) AS line_text, unnest(range(len(lines))) AS line FROM raw),
+m AS (SELECT row_id, doc, line, line_text, trim(regexp_replace(regexp_replace(line_text, '{line_dedup.DIGITS}', '{line_dedup.DIGITS_MARK}', 'g'), '{line_dedup.LINE_BLANKS}', ' ', 'g')) AS plain FROM l),
+n AS MATERIALIZED (SELECT *, string_split(plain, ' ') AS w FROM m WHERE plain <> ''),
+as_is AS (SELECT plain FROM n GROUP BY plain HAVING count(DISTINCT doc) >= CASE WHEN any_value(len(w)) >= {line_dedup.LONG_WORDS} THEN {line_dedup.LONG_DOCUMENTS} ELSE {line_dedup.MIN_DOCUMENTS} END),
+k AS MATERIALIZED (SELECT doc, line, plain, w, unnest([{", ".join(_path_sql(k) for k in range(line_dedup.DEPTH))}]) AS leaf FROM n WHERE len(w) >= {line_dedup.DEPTH}),
+tree AS (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc) >= {line_dedup.MIN_DOCUMENTS} AND count(DISTINCT plain) > 1),
+v AS (SELECT leaf, plain, any_value(w) AS w, count(DISTINCT (doc, line)) AS n FROM k WHERE leaf IN (SELECT leaf FROM tree) GROUP BY leaf, plain),
+p AS (SELECT leaf, unnest(w) AS word, generate_subscripts(w, 1) AS place, n FROM v),
+c AS (SELECT leaf, place, word, sum(n) AS n FROM p GROUP BY ALL),
+o AS (SELECT leaf, place, max(n) AS top, sum(n) AS n FROM c GROUP BY leaf, place),
+f AS (SELECT leaf, count(*) AS n_words, list(place ORDER BY place) FILTER (WHERE 2 * top >= n) AS fixed FROM o GROUP BY leaf),
+g AS (SELECT leaf, fixed FROM f WHERE len(fixed) < n_words AND len(fixed) >= {line_dedup.MIN_FIXED} AND {line_dedup.FIXED_SHARE[1]} * len(fixed) >= {line_dedup.FIXED_SHARE[0]} * n_words),
+t AS (SELECT v.leaf, plain, v.leaf || '|' || array_to_string(list_transform(fixed, lambda i: w[i]), ' ') AS template FROM v JOIN g ON g.leaf = v.leaf),
+z AS MATERIALIZED (SELECT doc, line, template FROM k JOIN t ON t.leaf = k.leaf AND t.plain = k.plain),
+often AS (SELECT template FROM z GROUP BY template HAVING count(DISTINCT doc) >= {line_dedup.MIN_DOCUMENTS}),
+gone AS (SELECT doc, line FROM n WHERE plain IN (SELECT plain FROM as_is) UNION SELECT doc, line FROM z WHERE template IN (SELECT template FROM often)),
+kept AS (SELECT l.row_id, coalesce(string_agg(line_text, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL), '') AS body, count(gone.line) AS n_dropped, count(*) AS n_lines
+  FROM l LEFT JOIN gone ON gone.doc = l.doc AND gone.line = l.line GROUP BY l.row_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(CASE WHEN text IS NULL THEN NULL ELSE body END) AS text_sha256
+FROM d LEFT JOIN kept USING (row_id)
 """
 
 
 def _ids_sql(cut: str) -> str:
     norm = f"trim(regexp_replace(translate(s, '{licenses.UPPER}', '{licenses.LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
-    return (f"',' || array_to_string(list_filter(list_transform(string_split({cut}, chr(10)), lambda s: "
-            f"(known[{norm}])), lambda i: i IS NOT NULL), ',') || ','")
+    ids = f"',' || array_to_string(list_transform(string_split({cut}, chr(10)), lambda s: coalesce(known[{norm}], 'u')), ',') || ','"
+    marked = f"replace(regexp_replace({ids}, '{licenses.FAR_APART}', '_,', 'g'), 'u,', '')"
+    return f"regexp_replace(regexp_replace({marked}, '^,(?:_,)+', ','), '(?:_,)+$', '')"
+
+
+def _hit_columns() -> str:
+    """Columns j<family>_<rule> and l<family>_<rule>: what each rule finds in what the rules before it have left."""
+    out = []
+    for f, rules in enumerate(licenses.families().values()):
+        for cut, ids in (("l", "line_ids"), ("j", "joined_ids")):
+            left = f"replace({ids}, ',', ',,')"
+            for k, (_, sentences) in enumerate(rules):
+                pattern = licenses.rule_pattern(sentences)
+                out.append(f"regexp_matches({left}, '{pattern}') AS {cut}{f}_{k}")
+                left = f"regexp_replace({left}, '{pattern}', ',_,', 'g')"
+    return ", ".join(out)
 
 
 def _licences_sql() -> str:
-    families: dict[str, str] = {}
-    for family, licence, sentences in licenses.RULES:
-        pattern = licenses.rule_pattern(sentences)
-        families[family] = families.get(family, "") + (
-            f" WHEN regexp_matches(line_ids, '{pattern}') OR regexp_matches(joined_ids, '{pattern}') THEN '{licence}'")
-    return "list_filter([" + ", ".join(f"CASE{whens} END" for whens in families.values()) + "], lambda x: x IS NOT NULL)"
+    names = []
+    for f, rules in enumerate(licenses.families().values()):
+        for k, (licence, _) in enumerate(rules):
+            longer = licenses.longer_rules(rules, k)
+            here = " AND ".join([f"j{f}_{k}", *(f"NOT (l{f}_{j} AND NOT j{f}_{j})" for j in longer)])
+            there = " AND ".join([f"l{f}_{k}", *(f"NOT (j{f}_{j} AND NOT l{f}_{j})" for j in longer)])
+            names.append(f"CASE WHEN ({here}) OR ({there}) THEN '{licence}' END")
+    every = ", ".join(names)
+    return f"list_filter(list_transform([{every}], lambda x, i: CASE WHEN x IS NOT NULL AND list_position([{every}], x) = i THEN x END), lambda x: x IS NOT NULL)"
 
 
 OP6_SQL = rf"""
@@ -164,8 +183,9 @@ d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), '
 c AS (SELECT doc_id, {" OR ".join(f"contains(folded, '{a}')" for a in licenses.ANCHORS)} AS possible,
   regexp_replace(text, '{licenses.SENTENCE_END}', chr(10), 'g') AS by_line,
   replace(regexp_replace(replace(regexp_replace(text, '{licenses.BLANK_LINE}', chr(1), 'g'), chr(10), ' '), '{licenses.SENTENCE_END}', chr(1), 'g'), chr(1), chr(10)) AS by_sentence FROM d),
-i AS (SELECT doc_id, CASE WHEN possible THEN {_ids_sql("by_line")} ELSE ',' END AS line_ids, CASE WHEN possible THEN {_ids_sql("by_sentence")} ELSE ',' END AS joined_ids FROM c, k)
-SELECT doc_id, line_ids, joined_ids, {_licences_sql()} AS licences FROM i
+i AS (SELECT doc_id, CASE WHEN possible THEN {_ids_sql("by_line")} ELSE ',' END AS line_ids, CASE WHEN possible THEN {_ids_sql("by_sentence")} ELSE ',' END AS joined_ids FROM c, k),
+h AS MATERIALIZED (SELECT *, {_hit_columns()} FROM i)
+SELECT doc_id, line_ids, joined_ids, {_licences_sql()} AS licences FROM h
 """
 
 LEXICAL_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

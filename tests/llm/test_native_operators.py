@@ -1,6 +1,7 @@
+import random
 import re
 import textwrap
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -81,32 +82,38 @@ def test_redirect_table_and_sql(spark):
 
 # ---- line dedup ----
 
+def plain(line):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[0-9]+", "0", line)))
+
+
 def brute_lines(rows):
-    """Templates as tuples, counted over distinct documents."""
-    def keys(line):
-        words = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
-        n, rest = len(words), len(words) - line_dedup.DEPTH
-        if n < line_dedup.MIN_WORDS:
-            return set()
-        out = {("*", *words)}
-        cuts = [line_dedup.DEPTH + rest * k // line_dedup.SEGMENTS for k in range(line_dedup.SEGMENTS + 1)]
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if rest >= line_dedup.SEGMENTS and n - (b - a) >= line_dedup.MIN_FIXED:
-                out.add((k, n, *words[:a], None, *words[b:]))
-        return out
-
-    documents = defaultdict(set)
-    for r in rows:
-        for line in (r[1] or "").split("\n") if r[1] is not None else []:
-            for key in keys(line):
-                documents[key].add(r[:2])
-    often = {k for k, d in documents.items() if len(d) >= line_dedup.MIN_DOCUMENTS}
+    """Lines are dropped that recur as they are, or whose fixed words recur, word by word and leaf by leaf."""
+    lines = [(r[:2], k, plain(x)) for r in set((r[0], r[1]) for r in rows if r[1] is not None) for k, x in enumerate(r[1].split("\n"))]
+    by_line, by_leaf = defaultdict(set), defaultdict(list)
+    for doc, k, x in lines:
+        words = x.split(" ") if x else []
+        if words:
+            by_line[x].add(doc)
+        if len(words) >= 4:
+            for wild in range(4):
+                by_leaf[wild, len(words), tuple(w for i, w in enumerate(words[:4]) if i != wild)].append((doc, k, words))
+    gone = {(doc, k) for doc, k, x in lines if x and len(by_line[x]) >= (2 if len(x.split(" ")) >= 50 else 3)}
+    for held in by_leaf.values():
+        if len({doc for doc, _, _ in held}) < 3:
+            continue
+        fixed = [p for p, column in enumerate(zip(*(w for _, _, w in held))) if 2 * max(Counter(column).values()) >= len(held)]
+        n = len(held[0][2])
+        if not (3 <= len(fixed) < n and 3 * len(fixed) >= 2 * n):
+            continue
+        templates = defaultdict(set)
+        for doc, _, words in held:
+            templates[tuple(words[p] for p in fixed)].add(doc)
+        gone |= {(doc, k) for doc, k, words in held if len(templates[tuple(words[p] for p in fixed)]) >= 3}
     out = []
     for r in rows:
-        lines = r[1].split("\n") if r[1] is not None else []
-        kept = [line for line in lines if not keys(line) & often]
-        text = None if r[1] is None else "\n".join(kept)
-        out.append((r[0], text, len(lines), len(lines) - len(kept)))
+        own = r[1].split("\n") if r[1] is not None else []
+        kept = [x for k, x in enumerate(own) if (r[:2], k) not in gone]
+        out.append((r[0], None if r[1] is None else "\n".join(kept), len(own), len(own) - len(kept)))
     return sorted(out, key=repr)
 
 
@@ -120,20 +127,49 @@ def line_rows():
     return rows + odd_rows()
 
 
-def test_lines(spark):
-    rows = line_rows()
+def checked_lines(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     out = line_dedup.without_lines(docs)
     want = brute_lines(rows)
     assert got(out) == want
-    by_id = {r[0]: r for r in want}
-    assert by_id[3][3] == 2 and by_id[24][3] == 1 and by_id[20][3] == 0 and by_id[27][3] == 0
     names, sql = by_sql("op3_line_dedup", documents=docs.select("doc_id", "text"))
     hashed = out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256")).select(*names)
     assert got(hashed) == sql
+    return {r[0]: r for r in want}
+
+
+def test_lines(spark):
+    by_id = checked_lines(spark, line_rows())
+    assert by_id[3][3] == 2 and by_id[24][3] == 1 and by_id[20][3] == 1 and by_id[27][3] == 0
     assert line_dedup.without_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_learned_fields(spark):
+    names, towns = "alice bob carol dave erin".split(), "Berlin Paris Rome Oslo Bern".split()
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [row(i, "\n".join([f"Posted by {names[i]} in Travel", "All rights reserved.", f"{names[i]} has joined the group today", "Thanks",
+                              f"the user {names[i]} has logged in at noon from {towns[i]} by the old client", f"{names[i]} {towns[i]} alone {i * 'x'} own{names[i]}",
+                              f"own line {names[i]} of {towns[i]} number {'y' * i}"])) for i in range(5)]
+    rows += [row(10, "lead\n" + long), row(11, long + "\ntail"), row(12, "short of fifty words shared by two"), row(13, "short of fifty words shared by two")]
+    by_id = checked_lines(spark, rows)
+    for i in range(5):
+        left = by_id[i][1].split("\n")
+        assert len(left) == 2 and left[0].endswith(f"own{names[i]}") and left[1].startswith("own line"), left
+    assert by_id[10][1] == "lead" and by_id[11][1] == "tail" and by_id[12][3] == 0
+
+
+def test_lines_of_random_templates(spark):
+    rnd = random.Random(21)
+    words = [f"t{chr(97 + i)}" for i in range(20)]
+    shapes = [[rnd.choice(words) if rnd.random() < 0.75 else None for _ in range(rnd.randrange(3, 12))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(w or rnd.choice(words) for w in rnd.choice(shapes)) for _ in range(rnd.randrange(0, 6))]
+        lines += [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 9))) for _ in range(3)]
+        rows.append(row(i, "\n".join(lines)))
+    checked_lines(spark, rows + rows[:5] + odd_rows())
+
+
 # ---- licences ----
 
 MIT = """MIT License
@@ -212,6 +248,25 @@ def test_notices_as_they_are_printed(spark):
     assert got(out.select(*names)) == want
 
 
+def test_every_licence_of_a_text_and_none_of_strewn_sentences(spark):
+    bsd = [licenses.SENTENCES[i] for i in (29, 30, 31)]
+    far = "\n".join(f"line {i} of other words" for i in range(2000))
+    near = "\n".join(f"line {i} of other words" for i in range(5))
+    texts = [GPL.format(":", ",", 3) + "\n\nOther files:\n\n" + GPL.format(";", ";", 2),
+             "This work is licensed under the GNU General Public License, version 3.\nreleased under the mit license\nThis work is licensed under the GNU General Public License, version 3.",
+             f"{bsd[0]}.\n{bsd[1]}.\n{far}\n{bsd[2]}.", f"{bsd[0]}.\n{bsd[1]}.\n{near}\n{bsd[2]}.", far + "\nAll rights reserved.\n" + far,
+             BSD2 + " " + licenses.SENTENCES[32] + ".\n\n" + BSD2 + " " + licenses.SENTENCES[32] + ".", BSD2 + " " + licenses.SENTENCES[32] + ".\n\n" + far + "\n\n" + BSD2,
+             "All rights reserved.\n" * 20_000]
+    docs = spark.createDataFrame([row(i, t) for i, t in enumerate(texts)], SCHEMA)
+    out = licenses.scanned(docs)
+    said = {r["doc_id"]: r["licences"] for r in out.collect()}
+    assert said[0] == ["GPL-3.0-or-later", "GPL-2.0-or-later"] and said[1] == ["MIT", "GPL-3.0"]
+    assert said[2] == [] and said[3] == ["BSD-2-Clause"] and said[4] == ["All-Rights-Reserved"] == said[7]
+    assert said[5] == ["BSD-3-Clause"] and said[6] == ["BSD-3-Clause", "BSD-2-Clause"]
+    names, want = by_sql("op6_license_scan", documents=docs.select("doc_id", "text"))
+    assert got(out.select(*names)) == want
+
+
 @pytest.mark.parametrize("sentence", licenses.SENTENCES.values())
 def test_every_sentence_has_an_anchor(sentence):
     assert any(a in sentence for a in licenses.ANCHORS)
