@@ -35,8 +35,6 @@ UNKNOWN = "und"
 DOCUMENTS_PER_LANGUAGE = 200
 SAMPLE_DOCUMENTS = 20_000
 ROUNDS = 3
-#: Longest piece in characters; longer ones of the vocabulary are left out.
-MAX_PIECE = 10
 #: Of a character that no piece has, in any language; and the pseudo-count of every piece.
 FLOOR = 1e-7
 SMOOTHING = 0.05
@@ -58,7 +56,7 @@ def pieces(path: str = PIECE_VOCAB) -> tuple[str, ...]:
     """The pieces that words can have: lower-case letters, with or without the mark of a word's start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return tuple(sorted({p for p in own if len(p) <= MAX_PIECE and (p == WORD_MARK or WORDS.fullmatch(p.removeprefix(WORD_MARK))) and p == p.lower()}))
+    return tuple(sorted({p for p in own if (p == WORD_MARK or WORDS.fullmatch(p.removeprefix(WORD_MARK))) and p == p.lower()}))
 
 
 def _prefix_hash(codes: np.ndarray) -> np.ndarray:
@@ -73,11 +71,11 @@ class Pieces:
     """Finds pieces by the hash of their characters."""
 
     def __init__(self, own: tuple[str, ...]):
-        self.size = len(own)
+        self.size, self.longest = len(own), max(map(len, own))
         keys = np.array([_prefix_hash(np.array([[ord(c) for c in p]], np.uint64))[0, -1] for p in own], np.uint64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
-        self.powers = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(MAX_PIECE + 1)]
+        self.powers = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(self.longest + 1)]
         # Open addressing with a bounded number of steps, so that a lookup is a few array reads.
         self.keys = np.zeros(1 << _SLOTS, np.uint64)
         self.ids = np.full(1 << _SLOTS, -1, np.int64)
@@ -123,7 +121,7 @@ def forward(codes: np.ndarray, table: np.ndarray, finder: Pieces) -> np.ndarray:
     scale = np.zeros((n, 1))
     for i in range(1, size + 1):
         total = np.zeros((n, table.shape[1]))
-        for k in range(1, min(MAX_PIECE, i) + 1):
+        for k in range(1, min(finder.longest, i) + 1):
             found = finder.find(hashes[:, i] - hashes[:, i - k] * finder.powers[k])
             hit = np.flatnonzero(found >= 0)
             if len(hit):
@@ -132,7 +130,7 @@ def forward(codes: np.ndarray, table: np.ndarray, finder: Pieces) -> np.ndarray:
                 lone = np.flatnonzero(found < 0)
                 total[lone] += alpha[i - 1][lone] * FLOOR
         alpha[i] = np.maximum(total, 1e-290)
-        alpha.pop(i - MAX_PIECE, None)
+        alpha.pop(i - finder.longest, None)
         if i % 8 == 0:
             top = alpha[i].max(axis=1, keepdims=True)
             scale += np.log(top)
@@ -141,33 +139,35 @@ def forward(codes: np.ndarray, table: np.ndarray, finder: Pieces) -> np.ndarray:
     return np.log(alpha[size]) + scale
 
 
-def expected_uses(word: str, probability: dict[str, float]) -> dict[str, float]:
-    """How often each piece is used in a word, over all segmentations by their probability."""
+def expected_uses(word: str, probability: dict[str, float], longest: int) -> dict[str, float]:
+    """How often each piece is used in a word, over all segmentations by their probability.
+
+    At every place the forward sum is divided out, so that it stands at one; the backward sums are kept by the same
+    factors, and a word of any length stays within the range of numbers.
+    """
     text, n = WORD_MARK + word, len(word) + 1
-    edges = []
-    for i in range(n):
-        for k in range(1, min(MAX_PIECE, n - i) + 1):
-            p = probability.get(text[i:i + k], FLOOR if k == 1 else 0.0)
+    factor = [1.0] * (n + 1)
+    edges: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: where a piece begins, and its scaled probability
+    for j in range(1, n + 1):
+        between, total = 1.0, 0.0
+        for k in range(1, min(longest, j) + 1):
+            p = probability.get(text[j - k:j], FLOOR if k == 1 else 0.0) * between
             if p:
-                edges.append((i, i + k, p))
-    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-    ahead[0] = behind[n] = 1.0
-    for i, j, p in edges:
-        ahead[j] += ahead[i] * p
-    for i, j, p in reversed(edges):
-        behind[i] += behind[j] * p
+                edges[j].append((j - k, p))
+                total += p
+            between *= factor[j - k]
+        factor[j] = 1.0 / total
+    behind = [0.0] * n + [1.0]
     out: dict[str, float] = {}
-    if ahead[n] > 0:
-        for i, j, p in edges:
+    for j in range(n, 0, -1):
+        for i, p in edges[j]:
+            share = p * factor[j] * behind[j]
+            behind[i] += share
             if text[i:j] in probability:
-                out[text[i:j]] = out.get(text[i:j], 0.0) + ahead[i] * p * behind[j] / ahead[n]
+                out[text[i:j]] = out.get(text[i:j], 0.0) + share
     return out
 
 
-#: Longer words teach nothing: their probability would leave the range of numbers.
-MAX_LEARNED_WORD = 30
-
-
 class Model:
     """Languages in sorted order and the log-free piece table, a row for each piece."""
 
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, path: str = PIECE_VOCAB, per_language: int = DOCUMENTS_
         for batch in batches:
             held: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.update((lang, w) for w in words_of(text) if len(w) <= MAX_LEARNED_WORD)
+                held.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[i] for k in held], pa.string()) for i in (0, 1)] + [pa.array(list(held.values()), pa.int64())], names=["lang", "word", "n"])
 
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, path: str = PIECE_VOCAB, per_language: int = DOCUMENTS_
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     own = pieces(path)
     table = np.full((len(own) + 1, len(languages)), 1.0 / len(own))
-    number = {p: i for i, p in enumerate(own)}
+    number, longest = {p: i for i, p in enumerate(own)}, max(map(len, own))
     for _ in range(rounds if languages else 0):
         shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, path: str = PIECE_VOCAB, per_language: int = DOCUMENTS_
             sums: dict[tuple[str, str], float] = {}
             for batch in batches:
                 for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    for piece, uses in expected_uses(word, now[lang]).items():
+                    for piece, uses in expected_uses(word, now[lang], longest).items():
                         sums[lang, piece] = sums.get((lang, piece), 0.0) + n * uses
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[i] for k in sums], pa.string()) for i in (0, 1)] + [pa.array(list(sums.values()), pa.float64())], names=["lang", "piece", "n"])

@@ -2,9 +2,12 @@
 
 A configuration says how many pieces of each length one sequence holds. The covering program over all configurations is
 solved by multiplicative weights: every length has a price, a knapsack dynamic program finds the configuration of the
-highest price, it is used as far as it goes, and prices are multiplied by what the lengths have cost. The fractional solution is rounded
-down to whole sequences, then up as far as pieces are left, and what remains is packed largest first into the tightest
-room. All of this sees only the histogram: at most `width` numbers, however many documents there are.
+highest price, it is used as far as it goes, and prices are multiplied by what the lengths have cost. Prices of which no
+configuration is worth more than one are a solution of the dual program, so every round also gives a bound that no packing
+can go below, and the search ends where the cover has reached it. The fractional solution is rounded down to whole
+sequences, then up as far as pieces are left, and what remains is packed largest first into the tightest room. A plain
+best-fit decreasing plan of the same histogram is kept instead where it needs fewer sequences. All of this sees only the
+histogram: at most `width` numbers, however many documents there are.
 
 The plan is a table of slots: pieces number `first` to `first + times` of a length go to sequences `sequence` onward at
 `offset`. Pieces are numbered inside a length by Spark, in parts of bounded size, so no length is gathered in one task.
@@ -29,9 +32,8 @@ from casemill.llm.vocab import DOCUMENT_VOCAB, document_encoder
 
 WIDTH = 1024
 END_ID = 2
-#: Rounds of prices, and the share above the volume of all pieces at which a cover is good enough.
-PASSES = 8
-GAP = 0.002
+#: Rounds of prices at most, rounds without a better cover that end them, and how their steps shrink.
+PASSES, IDLE = 8, 2
 RATE = 0.25
 PIECES_PER_PART = 50_000
 
@@ -80,21 +82,26 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, width: int) -> n
     return counts
 
 
-def priced_cover(lengths: np.ndarray, demand: np.ndarray, width: int, prices: np.ndarray, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is used so that the demand is covered, found by the prices.
+def priced_cover(lengths: np.ndarray, demand: np.ndarray, width: int, prices: np.ndarray, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations and how often each is used so that the demand is covered, found by the prices, and the dual bound.
+
+    The first configuration is the dearest of all at the given prices: divided by its worth, they are feasible, and
+    what the whole demand is then worth is a lower bound of the number of sequences.
 
     In a round the best configuration is used until one of its lengths is covered, so there are at most as many rounds
     as lengths; the prices of its lengths fall by the share covered.
     """
     left = demand.astype(float)
     weights = np.ones(len(lengths))
-    used = []
+    used, bound = [], 0.0
     while True:
         open_ = np.flatnonzero(left > 1e-9)
         if not len(open_):
-            return used
+            return used, bound
         counts = np.zeros(len(lengths), np.int64)
         counts[open_] = best_configuration(lengths[open_], (prices * weights)[open_], width)
+        if not used:
+            bound = float((prices * demand).sum() / (prices * counts).sum())
         taken = np.flatnonzero(counts)
         step = (left[taken] / counts[taken]).min()
         used.append((counts, step))
@@ -102,37 +109,85 @@ def priced_cover(lengths: np.ndarray, demand: np.ndarray, width: int, prices: np
         weights[taken] *= np.exp(-rate * step * counts[taken] / demand[taken])
 
 
-def fractional_cover(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES) -> list[tuple[np.ndarray, float]]:
-    """The cover of the least sequences that `passes` rounds of prices lead to.
+def fractional_cover(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES, known: float = math.inf) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """The cover of the least sequences that rounds of prices lead to, and the highest dual bound seen.
 
     Prices start at the share of the width, at which a full sequence is worth one. After a pass every price is multiplied
     by what a piece of the length has cost, a sequence being charged to its pieces by their prices: lengths that leave
-    room no other piece fills become dear, and are combined first. A cover close to the volume of the pieces is not
-    worked on.
+    room no other piece fills become dear, and are combined first. Rounds end when no whole number of sequences lies
+    between the bound and the cover or a plan of `known` sequences, or when they bring nothing better.
     """
     share = lengths / width
     volume = float((share * demand).sum())
-    prices, best, least = share.copy(), [], math.inf
+    prices, best, least, bound, idle = share.copy(), [], math.inf, volume, 0
     for _ in range(passes):
-        used = priced_cover(lengths, demand, width, prices)
-        total = sum(step for _, step in used)
+        used, dual = priced_cover(lengths, demand, width, prices)
+        total, bound = sum(step for _, step in used), max(bound, dual)
+        idle = 0 if total < least else idle + 1
         if total < least:
             best, least = used, total
-        if least <= volume * (1 + GAP):
+        if math.ceil(min(least, known) - 1e-6) <= math.ceil(bound - 1e-6) or idle >= IDLE:
             break
         cost = np.zeros(len(lengths))
         for counts, step in used:
             cost += step * counts / (counts * prices).sum()
         prices = prices * cost / demand
         prices *= volume / (prices * demand).sum()
-    return best
+    return best, bound
+
+
+def best_fit_decreasing(lengths: np.ndarray, demand: np.ndarray, width: int) -> list[tuple[np.ndarray, int]]:
+    """Largest pieces first, each into the tightest room that takes it; sequences alike are handled as one."""
+    rooms: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(width + 1)]
+
+    def put(counts: np.ndarray, k: int, n: int, times: int, room: int) -> None:
+        counts = counts.copy()
+        counts[k] += n
+        rooms[room - n * lengths[k]].append((counts, times))
+
+    for k in range(len(lengths) - 1, -1, -1):
+        left, size = int(demand[k]), int(lengths[k])
+        room = size
+        while left:
+            while room <= width and not rooms[room]:
+                room += 1
+            if room > width:
+                whole, rest = divmod(left, width // size)
+                empty = np.zeros(len(lengths), np.int64)
+                if whole:
+                    put(empty, k, width // size, whole, width)
+                if rest:
+                    put(empty, k, rest, 1, width)
+                break
+            counts, times = rooms[room].pop()
+            # The room left over is the tightest now, if it takes another one.
+            each = room // size
+            full, rest = divmod(min(left, each * times), each)
+            if full:
+                put(counts, k, each, full, room)
+            if rest:
+                put(counts, k, rest, 1, room)
+            if full + (rest > 0) < times:
+                rooms[room].append((counts, times - full - (rest > 0)))
+            left -= full * each + rest
+    return [x for held in rooms for x in held]
+
+
+def sequences(plan: list[tuple[np.ndarray, int]]) -> int:
+    return sum(times for _, times in plan)
 
 
 def whole_plan(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES) -> list[tuple[np.ndarray, int]]:
-    """Configurations with whole multiplicities that hold every piece exactly once."""
+    """Configurations with whole multiplicities that hold every piece exactly once: the better of two plans."""
+    plain = best_fit_decreasing(lengths, demand, width)
+    return min(rounded_plan(lengths, demand, width, passes, sequences(plain)), plain, key=sequences)
+
+
+def rounded_plan(lengths: np.ndarray, demand: np.ndarray, width: int, passes: int = PASSES, known: float = math.inf) -> list[tuple[np.ndarray, int]]:
+    """The fractional cover in whole sequences."""
     left = demand.copy()
     shares: dict[bytes, float] = {}
-    for counts, step in fractional_cover(lengths, demand, width, passes):
+    for counts, step in fractional_cover(lengths, demand, width, passes, known)[0]:
         shares[counts.tobytes()] = shares.get(counts.tobytes(), 0.0) + step
     plan: dict[bytes, int] = {}
 

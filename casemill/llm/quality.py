@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import carried, ready, rows_of, spread_mix, texts_of, trim_memory
+from casemill.llm.common import carried, ready, rows_of, saved, spread_mix, texts_of, trim_memory
 
 #: Labelled rows that rules are learned from, at most.
 MAX_LABELLED = 20_000
@@ -207,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         "doc_id IS NOT NULL AND _quality IS NOT NULL")
     order = F.xxhash64("doc_id")
     sample = known.orderBy(order, "doc_id", "_quality").limit(max_labelled)
-    # At most max_labelled rows of two numbers.
-    rows = measured(texts_of(docs).join(F.broadcast(sample), "doc_id")).where(~base_failed()).select(
+    # At most max_labelled rows of two numbers. Stored before they are measured: no filter can then have all texts measured first.
+    labelled = saved(texts_of(docs).join(F.broadcast(sample), "doc_id"), "labelled-texts")
+    rows = measured(labelled).where(~base_failed()).select(
         "_quality", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)) > 0).alias("_grow"), "doc_id", "_measures.*").toPandas()
     rows = rows.sort_values(["doc_id", "_quality", *MEASURES], kind="stable")
     table = {name: rows[name].to_numpy(float) for name in MEASURES}

@@ -170,7 +170,7 @@ def least_sequences(lengths, demand, width):
 
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(1)
-    lengths = np.unique(rng.integers(1, 1025, 700))
+    lengths = np.unique(rng.integers(1, 1025, 200))
     demand = rng.integers(1, 60, len(lengths))
     plan = packing.whole_plan(lengths, demand, 1024)
     assert (sum(c * t for c, t in plan) == demand).all()
@@ -180,6 +180,35 @@ def test_plan_is_near_the_bound():
     assert sum(t for _, t in exact) == 1
 
 
+def test_bound_holds_and_no_plan_is_worse_than_best_fit():
+    rng = np.random.default_rng(6)
+    for width, high, n in ((1024, 1025, 40), (100, 60, 30), (50, 51, 12), (300, 120, 20)):
+        lengths = np.unique(rng.integers(1, high, n))
+        demand = rng.integers(1, 40, len(lengths))
+        used, bound = packing.fractional_cover(lengths, demand, width)
+        total = sum(step for _, step in used)
+        assert (lengths * demand).sum() / width - 1e-6 <= bound <= total + 1e-6
+        plain = packing.best_fit_decreasing(lengths, demand, width)
+        assert (sum(c * t for c, t in plain) == demand).all() and all((c * lengths).sum() <= width for c, _ in plain)
+        plan = packing.whole_plan(lengths, demand, width)
+        assert math.ceil(bound - 1e-6) <= packing.sequences(plan) <= packing.sequences(plain)
+
+
+def test_best_fit_is_the_usual_one():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        width = int(rng.integers(5, 40))
+        pieces = sorted(rng.integers(1, width + 1, 25).tolist(), reverse=True)
+        rooms = []
+        for x in pieces:
+            room = min((r for r in rooms if r >= x), default=None)
+            if room is not None:
+                rooms.remove(room)
+            rooms.append((width if room is None else room) - x)
+        lengths, demand = np.unique(pieces, return_counts=True)
+        assert packing.sequences(packing.best_fit_decreasing(lengths, demand, width)) == len(rooms)
+
+
 def test_pricing_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -269,8 +298,28 @@ def test_forward_sums_all_segmentations():
 
 def test_expected_uses_cover_the_word():
     probability = dict.fromkeys(langid.pieces(), 1e-4)
-    uses = langid.expected_uses("nations", probability)
-    assert math.isclose(sum(len(p) * n for p, n in uses.items()), len("nations") + 1)
+    longest = max(map(len, langid.pieces()))
+    assert longest > 10
+    for word in ("nations", "nation" * 5000):
+        uses = langid.expected_uses(word, probability, longest)
+        assert math.isclose(sum(len(p) * n for p, n in uses.items()), len(word) + 1)
+
+
+def test_expected_uses_equal_the_sum_over_segmentations():
+    rnd = random.Random(8)
+    word = "banana"
+    text = langid.WORD_MARK + word
+    probability = {text[i:j]: rnd.random() * 10.0 ** -rnd.randrange(0, 9) for i in range(7) for j in range(i + 1, 8)}
+    want, total = Counter(), 0.0
+    for cuts in itertools.product([0, 1], repeat=6):
+        ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), 7]
+        own = [text[a:b] for a, b in zip(ends, ends[1:])]
+        p = math.prod(probability[x] for x in own)
+        total += p
+        for x in own:
+            want[x] += p
+    uses = langid.expected_uses(word, probability, 7)
+    assert all(math.isclose(uses.get(x, 0.0), n / total, rel_tol=1e-9, abs_tol=1e-12) for x, n in want.items())
 
 
 def language_rows():
