@@ -58,6 +58,68 @@ def carry_forward(
     )
 
 
+def spanned_words(*patterns: str) -> int:
+    """The most words, parted by white space, that a match of one of the patterns can run over.
+
+    Holds for patterns in which white space is only named as ``\\s`` or a blank and never repeated as part of a group.
+    """
+    return max(p.count(r"\s") + p.count(" ") for p in patterns) + 1
+
+
+def first_words(text: Column, n: int) -> Column:
+    """The first ``n`` words of a text with the white space before and between them; all of a text that has fewer."""
+    return F.when(text.rlike(r"^\s*+(?:\S++\s++){%d}" % n), F.regexp_extract(text, r"^\s*+(?:\S++\s++){%d}\S++" % (n - 1), 0)).otherwise(text)
+
+
+def last_words(text: Column, n: int) -> Column:
+    """The last ``n`` words, likewise."""
+    return F.reverse(first_words(F.reverse(text), n))
+
+
+def words_before(rows: DataFrame, keys: Sequence[str], order: str, tail: str, n: int, out: str, sep: str = " ",
+                 size: int = 1024, levels: int = 1) -> DataFrame:
+    """``out``: the last ``n`` words of ``tail`` over all earlier rows of a key, joined by ``sep``; null for its first row.
+
+    Every ``tail`` holds a word, so the ``n`` rows before a row are enough, and a frame never holds more. Rows are windowed
+    inside runs of ``size`` values of ``order``; what a run inherits comes from the last rows of the runs before it, one
+    summary for each run, so a key with any number of rows is spread over tasks.
+    """
+    seg, near, inherited = f"_seg{levels}", f"_near{levels}", f"_inherited{levels}"
+    joined = lambda c: F.when(F.size(c) > 0, last_words(F.array_join(c, sep), n))
+    if levels == 0:
+        span = Window.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
+        return rows.withColumn(out, joined(F.collect_list(tail).over(span)))
+    cut = rows.withColumn(seg, F.floor(F.col(order) / size))
+    span = Window.partitionBy(*keys, seg).orderBy(order).rowsBetween(-n, -1)
+    local = cut.withColumn(near, F.collect_list(tail).over(span))
+    ends = F.slice(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tail).alias("t"))), asc=False), 1, n)
+    runs = cut.groupBy(*keys, seg).agg(ends.alias("_ends"))
+    runs = runs.select(*keys, seg, joined(F.transform(F.reverse("_ends"), lambda e: e["t"])).alias("_tail"))
+    carried = words_before(runs, keys, seg, "_tail", n, inherited, sep, size, levels - 1).select(*keys, seg, inherited)
+    whole = F.concat(F.array_compact(F.array(inherited)), near)
+    return local.join(carried, [*keys, seg], "left").withColumn(out, joined(whole)).drop(seg, near, inherited)
+
+
+def page_seams(pages: DataFrame, words: int, keep: Sequence[str] = (), text: str = "text", sep: str = " ") -> DataFrame:
+    """For each page with text but the first of its document: the last words before it and its own first ones.
+
+    (doc_id, kept columns, page_num, tail, head.) ``words`` is how many words a match can run over, so ``tail`` and ``head``
+    have one less each. Pages without text are passed over, and the tail of a short page grows by those before it: a
+    match is seen over any number of short or empty pages.
+    """
+    n = max(words - 1, 1)
+    held = pages.filter(F.col(text).rlike(r"\S")).select(
+        "doc_id", *keep, "page_num", last_words(F.col(text), n).alias("_own"), first_words(F.col(text), n).alias("head"))
+    return words_before(held, ["doc_id"], "page_num", "_own", n, "tail", sep).filter("tail IS NOT NULL").drop("_own")
+
+
+def saved_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows dealt to ranges of ``order`` of about equal size and written to the shared folder, with ``_range``."""
+    path = f"{shared_dir(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     """0-based position of each row by a unique ``key``, without one global sort task.
 
@@ -65,9 +127,7 @@ def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     that the ranges stay as they are; inside a range rows are ranked, and the counts of all earlier ranges, one number
     each, are added.
     """
-    path = f"{shared_dir(df.sparkSession)}/dense-index-{uuid.uuid4().hex}"
-    df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    cut = df.sparkSession.read.parquet(path)
+    cut = saved_ranges(df, [key])
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -80,6 +140,17 @@ def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     )
 
 
+def in_loads(items: DataFrame, order: Sequence[str], weight: str, limit: int, out: str, runs: int) -> DataFrame:
+    """``out``: a task number such that rows of one number weigh ``limit`` together, or less, or one row more.
+
+    Rows are dealt to ``runs`` runs by a hash of ``order``, which must name a row, and summed up inside each.
+    """
+    run = F.pmod(F.xxhash64(*order), F.lit(runs))
+    before = Window.partitionBy("_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    load = F.floor(F.coalesce(F.sum(weight).over(before), F.lit(0)) / limit)
+    return items.withColumn("_run", run).withColumn(out, F.xxhash64("_run", load)).drop("_run")
+
+
 def in_order(order: str | Sequence[str], item: str | Column, sep: str) -> Column:
     """Aggregate: items of a group joined by ``sep`` in ``order`` (collected order alone is not fixed)."""
     order = [order] if isinstance(order, str) else list(order)

@@ -1,7 +1,7 @@
 """Document-risk detectors over page rows (doc_id, page_num, text).
 
-Page text is read once and never shuffled: each detector reduces a page to a few narrow values first. Where a match
-may cross a page end, the two page edges are joined by themselves.
+Page text is never shuffled: each detector reduces a page to a few narrow values first. Where a match may cross page
+ends, the words around them are joined by themselves, as many as a match can run over.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import scan as S
-from casemill.operators.common import carry_forward, in_order
+from casemill.operators.common import carry_forward, in_loads, in_order, page_seams, spanned_words
 from casemill.session import ship_package
 
 # ---- fixed values ----------------------------------------------------------
@@ -43,8 +43,6 @@ CREDIT_RANGE, CONTACT_RANGE = (1.0, 6.0), (1.0, 10.0)
 COURSE = r"\b([A-Z]{2,6}\s*\d{3,4})\b"
 # ----------------------------------------------------------------------------
 
-EDGE = 96  # characters of each page edge that a match across a page end may use
-
 
 def findings(pages: DataFrame, text: str = "text", window: int | None = None, max_triggers: int | None = None) -> DataFrame:
     """Pages with their findings in scan order: patterns, trigger words, misspellings, coded text, bonus.
@@ -106,14 +104,7 @@ def metadata_findings(rows: DataFrame, columns: list[str]) -> DataFrame:
     return findings(pages).withColumn("source", F.lit("metadata"))
 
 
-# ---- page edges ------------------------------------------------------------
-
-def edges(pages: DataFrame, text: str = "text") -> DataFrame:
-    """For each page end inside a document: the last and first characters around it (doc_id, page_num, tail, head)."""
-    tails = pages.select("doc_id", "page_num", F.substring(text, -EDGE, EDGE).alias("tail"))
-    heads = pages.select("doc_id", (F.col("page_num") - 1).alias("page_num"), F.substring(text, 1, EDGE).alias("head"))
-    return tails.join(heads, ["doc_id", "page_num"])
-
+# ---- page ends -------------------------------------------------------------
 
 def _joined() -> Column:
     return F.concat("tail", F.lit(" "), "head")
@@ -134,7 +125,7 @@ def completeness(pages: DataFrame) -> DataFrame:
         return [low.rlike(f"(?iU){p}").alias(name) for name, p in REQUIRED_FIELDS]
 
     inside = pages.select("doc_id", *flags(F.col("text")))
-    across = edges(pages).select("doc_id", *flags(_joined()))
+    across = page_seams(pages, spanned_words(*(p for _, p in REQUIRED_FIELDS))).select("doc_id", *flags(_joined()))
     names = [n for n, _ in REQUIRED_FIELDS]
     per_doc = inside.unionByName(across).groupBy("doc_id").agg(*[F.bool_or(n).alias(n) for n in names])
     missing = F.array_compact(F.array(*[F.when(~F.col(n), F.lit(n)) for n in names]))
@@ -196,9 +187,9 @@ def keyword_density(pages: DataFrame) -> DataFrame:
         "doc_id", F.size("_w").alias("n_words"),
         *[times(k).alias(k) for k in single],
         *[F.regexp_count("text", phrase(k)).alias(k) for k in multi])
-    per_edge = edges(pages).select("doc_id", F.lit(0).alias("n_words"), *[F.lit(0).alias(k) for k in single],
+    per_seam = page_seams(pages, spanned_words(*multi)).select("doc_id", F.lit(0).alias("n_words"), *[F.lit(0).alias(k) for k in single],
                                    *[_across("(?iu)" + k).alias(k) for k in multi])
-    doc = per_page.unionByName(per_edge).groupBy("doc_id").agg(
+    doc = per_page.unionByName(per_seam).groupBy("doc_id").agg(
         F.sum("n_words").alias("n_words"), *[F.sum(k).alias(k) for k in (*single, *multi)])
     flagged = sum((F.col(k) for k in KEYWORDS), F.lit(0))
     ranked = F.array_sort(F.array_compact(F.array(*[
@@ -217,9 +208,8 @@ def keyword_density(pages: DataFrame) -> DataFrame:
 def _page_values(pages: DataFrame, patterns: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Every value a pattern finds, inside pages and across page ends (doc_id, kept columns, kind, value, n).
 
-    One projection reduces a page to its values and its edges, cut at word starts; the edge of the last page with text is
-    carried on to the next one. What the joined edges hold beyond each edge alone runs over the page end. An edge is
-    `EDGE` characters long, so a match that needs more of a page, or all of a third page, is not seen.
+    One projection reduces a page to its values, another to its first and last words, as many as a match can run over.
+    What those of two pages hold together beyond what each holds alone runs over the page end.
     """
     def named(kind: str, sign: int):
         return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(sign).alias("n"))
@@ -227,14 +217,10 @@ def _page_values(pages: DataFrame, patterns: dict[str, str], keep: tuple[str, ..
     def found(text: Column, sign: int) -> Column:
         return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), named(kind, sign)) for kind, p in patterns.items()])
 
-    text = F.coalesce("text", F.lit(""))
-    long, blank = F.length(text) > EDGE, F.trim(text) == ""
-    tail = F.when(~blank, F.when(long, F.regexp_replace(F.substring(text, -EDGE, EDGE), r"^\S*\s", "")).otherwise(text))
-    head = F.when(~blank, F.when(long, F.regexp_replace(F.substring(text, 1, EDGE), r"\s\S*$", "")).otherwise(text))
-    cut = pages.select("doc_id", *keep, "page_num", found(text, 1).alias("_inside"), tail.alias("tail"), head.alias("head"))
-    joined = carry_forward(cut, ["doc_id"], F.floor(F.col("page_num") / 64), ["page_num"], "tail", "_before", include_current=False)
-    edge = F.concat(found(F.concat("_before", F.lit(" "), "head"), 1), found(F.col("_before"), -1), found(F.col("head"), -1))
-    every = joined.select("doc_id", *keep, F.explode(F.concat("_inside", F.coalesce(edge, F.array_except("_inside", "_inside")))).alias("v"))
+    inside = pages.select("doc_id", *keep, F.explode(found(F.col("text"), 1)).alias("v"))
+    seams = page_seams(pages, spanned_words(*patterns.values()), keep)
+    seam = F.concat(found(_joined(), 1), found(F.col("tail"), -1), found(F.col("head"), -1))
+    every = inside.unionByName(seams.select("doc_id", *keep, F.explode(seam).alias("v")))
     return every.groupBy("doc_id", *keep, "v.kind", "v.value").agg(F.sum("v.n").alias("n")).filter("n > 0")
 
 
@@ -259,20 +245,46 @@ def document_values(pages: DataFrame, request: str = "request_id") -> DataFrame:
     return found.select(request, "doc_id", "kind", value.alias("value")).distinct()
 
 
+#: Sets of a block, and rows that the block pairs of one task have together.
 PAIR_BLOCK = 512
+ROWS_PER_TASK = 16_384
+LOAD_RUNS = 512
+
+
+def block_pairs(sets: DataFrame, key: list[str], block: int = PAIR_BLOCK, load: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows of `sets` (key, sig, ...) once for each pair of blocks they belong to, with the pair (_i, _j) and its task (_task).
+
+    A key's sets are ranked and cut into blocks of exactly ``block``; the pairs of blocks are numbered by the running sum of
+    their rows, so a task holds about ``load`` rows whatever the size of a key, and small keys share one.
+    """
+    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("sig")) - 1
+    # Ranks inside parts of a key by hash: a key of any size is ranked in many tasks.
+    counts = sets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    parts = F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * block))).cast("int")
+    parted = sets.join(counts, key).withColumn("_part", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    sized = parted.groupBy(*key, "_part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_own"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.withColumn("_start", F.coalesce(F.sum("_own").over(before), F.lit(0)).cast("int"))
+    blocks = starts.groupBy(*key).agg(F.sum("_own").cast("int").alias("_blocks"))
+    ranked = parted.withColumn("_b", F.floor(place / block).cast("int")).join(starts.drop("_own"), [*key, "_part"])
+    ranked = ranked.withColumn("_b", F.col("_b") + F.col("_start")).join(blocks, key)
+    placed = ranked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pairs = placed.withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")}).drop(
+        "_part", "_start", "_blocks", "_other", "_n")
+    first = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    every = blocks.join(counts, key).select(*key, "_blocks", "_n", first.alias("_i"))
+    every = every.select(*key, "_n", "_i", F.explode(F.sequence("_i", F.col("_blocks") - 1)).alias("_j"))
+    rows = F.least(F.col("_n"), F.when(F.col("_i") == F.col("_j"), F.lit(block)).otherwise(2 * block))
+    tasks = in_loads(every.withColumn("_rows", rows), [*key, "_i", "_j"], "_rows", load, "_task", LOAD_RUNS)
+    return pairs.join(tasks.drop("_n", "_rows"), [*key, "_i", "_j"])
 
 
 def _sharing_pairs(sets: DataFrame, key: list[str]) -> DataFrame:
     """Per key: the weight of all pairs of sets that share a value (key, met); `sets` has key, sig, w.
 
-    Sets are dealt to blocks of bounded size, and a block meets a block inside a task, where a product of membership
-    matrices counts the pairs: only counts leave it, and the hottest key is spread over its block pairs.
+    A block meets a block inside a task, where a product of membership matrices counts the pairs: only counts leave it,
+    and the hottest key is spread over its block pairs.
     """
-    sized = sets.join(sets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), key)
-    n = F.ceil(F.col("_n") / PAIR_BLOCK).cast("int")
-    placed = sized.withColumn("_b", F.pmod(F.xxhash64("sig"), n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
-    pairs = placed.withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")})
-    where = F.pmod(F.xxhash64(*key, "_i", "_j"), F.lit(256)).cast("int")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -293,8 +305,8 @@ def _sharing_pairs(sets: DataFrame, key: list[str]) -> DataFrame:
 
     ship_package(sets.sparkSession)
     types = ", ".join(f"{c} {dict(sets.dtypes)[c]}" for c in key)
-    dealt = pairs.select(*key, "sig", "w", "_b", "_i", "_j", where.alias("_where"))
-    return dealt.groupBy("_where").applyInPandas(count, f"{types}, met long").groupBy(*key).agg(F.sum("met").alias("met"))
+    dealt = block_pairs(sets, key, PAIR_BLOCK, ROWS_PER_TASK).select(*key, "sig", "w", "_b", "_i", "_j", "_task")
+    return dealt.groupBy("_task").applyInPandas(count, f"{types}, met long").groupBy(*key).agg(F.sum("met").alias("met"))
 
 
 def contradictions(values: DataFrame, request: str = "request_id") -> DataFrame:

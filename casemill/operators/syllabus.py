@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as X
-from casemill.operators.common import in_order
+from casemill.operators.common import in_order, page_seams, spanned_words
 from casemill.operators.decision import Policy
-from casemill.operators.risk import edges
 
 # ---- fixed values ----------------------------------------------------------
 CODE = r"\b([A-Z]{2,6})\s*([0-9]{3,4}[A-Z]?)\b"
@@ -82,16 +81,17 @@ def _sections(pages: DataFrame) -> DataFrame:
 def _first_matches(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """First match of each pattern in a document's text, its pages joined by line ends.
 
-    A match is looked for inside each page and, on short texts around each page end, across it.
+    A match is looked for inside each page and, among the last words before it and its first ones, across its beginning.
     """
-    inside = pages.select("doc_id", "page_num", F.lit(0).alias("_o"), *[X.found(F.col("text"), p, 0).alias(n) for n, p in patterns.items()])
+    inside = pages.select("doc_id", "page_num", F.lit(1).alias("_o"), *[X.found(F.col("text"), p, 0).alias(n) for n, p in patterns.items()])
 
     def across(p: str) -> Column:
         every = F.regexp_extract_all(F.concat("tail", F.lit("\n"), "head"), F.lit(p), F.lit(0))
         n, m = F.regexp_count("tail", F.lit(p)), F.regexp_count("head", F.lit(p))
         return F.when(F.size(every) > n + m, F.get(every, n))
 
-    rim = edges(pages).select("doc_id", "page_num", F.lit(1).alias("_o"), *[across(p).alias(n) for n, p in patterns.items()])
+    rim = page_seams(pages, spanned_words(*patterns.values()), sep="\n").select(
+        "doc_id", "page_num", F.lit(0).alias("_o"), *[across(p).alias(n) for n, p in patterns.items()])
     at = F.struct("page_num", "_o")
     return inside.unionByName(rim).groupBy("doc_id").agg(
         *[F.min_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in patterns])

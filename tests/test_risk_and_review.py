@@ -8,6 +8,7 @@ from casemill.functions import scan as S
 from casemill.operators import common, quality
 from casemill.operators import review as V
 from casemill.operators import risk as R
+from casemill.operators import syllabus as S2
 
 PAGES = "doc_id LONG, page_num INT, request_id LONG, text STRING"
 VOTES = "vote_id LONG, request_id LONG, review_cycle INT, voter_id LONG, action STRING"
@@ -131,11 +132,58 @@ def test_edge_matches_invent_no_values(spark):
     assert {(r.doc_id, r.value) for r in found if r.kind == "credits"} == {(2, "4.0")}
 
 
+def test_matches_over_three_pages_and_empty_ones(spark):
+    """Every detector and the syllabus facts see a match that runs over a short page, an empty one and one of blanks."""
+    texts = ["Intro to maths. In all 3", "\t semester ", "", "  \n", "credit", "hours. Then student", "learning", "outcomes of Prof.", "", "Lee; BIOL", "1010 rest"]
+    rows = [(1, p, t) for p, t in enumerate(texts, 1)]
+    df = pages(spark, rows)
+    whole = pages(spark, [(1, 1, " ".join(t for t in texts if t.strip()))])
+    for job in (R.completeness, R.field_consistency, R.document_values):
+        assert [tuple(r) for r in job(df).sort(*job(df).columns).collect()] == [tuple(r) for r in job(whole).sort(*job(df).columns).collect()]
+    assert {(r.kind, r.value) for r in R.document_values(df).collect()} == {("credits", "3.0"), ("course_codes", "BIOL 1010")}
+    assert not {"credit_hours", "learning_outcomes", "instructor"} & set(R.completeness(df).first().missing_fields)
+    density = {r.doc_id: r for r in R.keyword_density(pages(spark, [(1, 1, "learning"), (1, 2, ""), (1, 3, "outcome"), (2, 1, "cell"), (2, 2, " biology")])).collect()}
+    assert density[1].n_flagged == 1 and density[2].n_flagged == 0, "a phrase has one blank; a page of blanks or a page end is one"
+    facts = S2.syllabus_facts(pages(spark, [(1, 1, "Title\n\nUnits"), (1, 2, ":"), (1, 3, ""), (1, 4, "4 rest"), (1, 5, "MATH"), (1, 6, "2010")]).drop("request_id")).first()
+    assert (facts.credits_or_units, facts.course_code) == ("4", "MATH 2010")
+
+
+def test_words_before_equal_the_joined_text(spark):
+    rnd = random.Random(11)
+    rows = [(k, p, " ".join(rnd.choice("ab c d  e".split(" ")) for _ in range(rnd.randrange(0, 4)))) for k in range(3) for p in range(1, 400)]
+    held = [r for r in rows if r[2].strip()]
+    df = spark.createDataFrame(held, "doc_id LONG, page_num INT, t STRING")
+    got = {(r.doc_id, r.page_num): r.o for r in common.words_before(df, ["doc_id"], "page_num", "t", 3, "o", size=16, levels=2).collect()}
+    for k in range(3):
+        seen = []
+        for _, p, t in (r for r in held if r[0] == k):
+            assert (got[k, p] or "").split() == seen[-3:]
+            seen += t.split()
+
+
+def test_matches_at_any_cut_of_a_text(spark):
+    """Values of a text cut into pages at random places between words are those of the whole text."""
+    rnd = random.Random(12)
+    words = "3 4.5 12 credit credits semester hour hours contact CS MATH 101 2010 1999 x (".split()
+    rows, whole = [], []
+    for d in range(60):
+        text = [rnd.choice(words) for _ in range(40)]
+        whole.append((d, 1, " ".join(text)))
+        cuts = sorted(rnd.sample(range(1, 40), rnd.randrange(0, 25)))
+        for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, 40])):
+            rows.append((d, 2 * p + 1, " ".join(text[a:b])))
+            rows.append((d, 2 * p + 2, rnd.choice(["", " ", "\n\n"])))
+    for job in (R.field_consistency, R.document_values, R.completeness):
+        key = lambda df: sorted(map(repr, job(df.drop("request_id").withColumn("request_id", F.lit(1))).collect()))
+        assert key(pages(spark, rows)) == key(pages(spark, whole))
+
+
 def test_shared_values_are_counted_in_blocks(spark, monkeypatch):
     rnd = random.Random(4)
     sets = {d: {f"v{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 4))} for d in range(150)}
     values = [(d % 2, d, "years", v) for d, own in sets.items() for v in own]
     monkeypatch.setattr(R, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(R, "ROWS_PER_TASK", 30)
     got = {r.request_id: (r.n_docs, r.n_pairs, r.n_conflicts) for r in R.contradictions(
         spark.createDataFrame(values, "request_id LONG, doc_id LONG, kind STRING, value STRING")).collect()}
     for case in (0, 1):
@@ -144,6 +192,21 @@ def test_shared_values_are_counted_in_blocks(spark, monkeypatch):
         assert got[case] == (len(mine), len(pairs), sum(not a & b for a, b in pairs))
 
 
+def test_block_pairs_of_a_hot_key_are_dealt_in_bounded_loads(spark):
+    """20 000 distinct sets of one key beside many small ones: no task gets more than its load and one block pair."""
+    hot = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").cast("string").alias("sig"))
+    small = spark.range(900).select((F.col("id") % 300 + 2).cast("int").alias("k"), F.col("id").cast("string").alias("sig"))
+    dealt = R.block_pairs(hot.unionByName(small), ["k"]).persist()
+    per_task = dealt.groupBy("_task").count().agg(F.max("count"), F.count("*")).first()
+    assert per_task[0] <= R.ROWS_PER_TASK + 2 * R.PAIR_BLOCK and per_task[1] >= 40
+    per_pair = dealt.groupBy("k", "_i", "_j").agg(F.count("*").alias("n"), F.countDistinct("_task").alias("t"))
+    assert per_pair.filter(f"n > {2 * R.PAIR_BLOCK} OR t > 1").isEmpty()
+    blocks = dealt.filter("k = 1").agg(F.max("_j")).first()[0] + 1
+    assert per_pair.filter("k = 1").count() == blocks * (blocks + 1) // 2 and blocks <= 50
+    assert dealt.filter("k = 1").select("sig").distinct().count() == 20_000
+    dealt.unpersist()
+
+
 def test_all_trigger_words_count(spark):
     pages = spark.createDataFrame([(1, 1, " ".join(S.TRIGGER_WORDS))], "doc_id LONG, page_num INT, text STRING")
     n = lambda df: df.selectExpr("size(filter(findings, f -> f.detector = 'trigger_word')) AS n").first().n
