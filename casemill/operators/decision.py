@@ -87,15 +87,17 @@ def _keyed(items: Column) -> Column:
         s.alias("item"), F.lower(X.strip(s)).alias("low"), X.tokens(s).alias("toks")))
 
 
-def split_matches(required: Column, candidates: Column) -> Column:
-    """(matched, missing) required items; a match is containment either way or 60 % shared tokens."""
-    def same(r: Column, c: Column) -> Column:
-        share = F.size(F.array_intersect(r["toks"], c["toks"])) / F.size(r["toks"])
-        return c["low"].contains(r["low"]) | r["low"].contains(c["low"]) | (
-            (F.size(c["toks"]) > 0) & (share >= TOKEN_SHARE))
+def same_item(r: Column, c: Column) -> Column:
+    """Whether a found item matches a required one: containment either way or 60 % shared tokens."""
+    share = F.size(F.array_intersect(r["toks"], c["toks"])) / F.size(r["toks"])
+    return c["low"].contains(r["low"]) | r["low"].contains(c["low"]) | (
+        (F.size(c["toks"]) > 0) & (share >= TOKEN_SHARE))
+
 
+def split_matches(required: Column, candidates: Column) -> Column:
+    """(matched, missing) required items, compared row by row (J9, U3); :mod:`matching` compares distinct pairs once."""
     def hit(r: Column) -> Column:
-        return (F.size(r["toks"]) > 0) & F.exists(candidates, lambda c: same(r, c))
+        return (F.size(r["toks"]) > 0) & F.exists(candidates, lambda c: same_item(r, c))
 
     flagged = F.transform(required, lambda r: F.struct(r["item"].alias("item"), hit(r).alias("hit")))
     return flagged
@@ -151,8 +153,8 @@ def decide(cases: DataFrame, policy: Policy, current_year: int) -> DataFrame:
            if n not in cases.columns},
     })
     df = df.withColumns({
-        "_topic_hits": split_matches(F.col("_req_topics"), F.col("_found_topics")),
-        "_outcome_hits": split_matches(F.col("_req_outcomes"), F.col("_found_outcomes")),
+        **{f"_{kind}_hits": split_matches(F.col(f"_req_{kind}s"), F.col(f"_found_{kind}s")) for kind in ("topic", "outcome")
+           if f"_{kind}_hits" not in cases.columns},
         "_content_missing": (F.col("_topics_unknown") & F.col("_outcomes_unknown"))
         if p.require_topics_or_outcomes else no,
     })

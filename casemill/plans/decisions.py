@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from casemill.functions import text as X
 from casemill.operators import decision as D
 from casemill.operators import evidence as E
+from casemill.operators import matching as M
 from casemill.plans.registry import query
 
 YEAR = 2024
@@ -237,8 +238,11 @@ def target_profiles(t):
                            joined("required_topics").alias("required_topics"), joined("required_outcomes").alias("required_outcomes"))
 
 
+KINDS = {"topic": ("required_topics", "topics"), "outcome": ("required_outcomes", "outcomes")}
+
+
 def component_points(t, policy):
-    return D.decide(cases(t), policy, YEAR).select("request_id", "credit_points", "lab_points", "topic_points", "outcome_points")
+    return D.decide(M.with_hits(cases(t), KINDS), policy, YEAR).select("request_id", "credit_points", "lab_points", "topic_points", "outcome_points")
 
 
 @query("component_points", "D1 D2 D3 D4 D5 J9", WITH + "," + scored_sql(STRICT) +
@@ -254,13 +258,10 @@ SELECT request_id, CAST(n_ht AS INTEGER) AS topics_matched, CAST(n_ho AS INTEGER
 
 @query("required_item_matches", "J9 U3 F9 F10", MISSING_SQL)
 def required_item_matches(t):
-    df = cases(t)
-    for kind in ("topics", "outcomes"):
-        df = df.withColumn(f"_{kind}", D.split_matches(F.col(f"_req_{kind}"),
-                                                       D._keyed(X.norm_list(F.col(kind)))))
-    return df.select("request_id", *[c for k in ("topics", "outcomes") for c in (
-        F.size(D._items(F.col(f"_{k}"), True)).alias(f"{k}_matched"),
-        joined(D._missing(F.col(f"_{k}"))).alias(f"{k}_missing"))])
+    df = M.with_hits(cases(t), KINDS)
+    return df.select("request_id", *[c for k in KINDS for c in (
+        F.size(D._items(F.col(f"_{k}_hits"), True)).alias(f"{k}s_matched"),
+        joined(D._missing(F.col(f"_{k}_hits"))).alias(f"{k}s_missing"))])
 
 
 REPORT_SQL = """SELECT request_id, decision, equivalency_score, confidence, evidence_quality_score, hard_gaps, fixable_gaps,

@@ -114,3 +114,21 @@ def test_packet_hash_writes_nulls_and_sorts_keys(spark):
 def test_agreement_counts_labeled_only(spark):
     df = spark.createDataFrame([("APPROVE", "APPROVE"), ("DENY", "APPROVE"), (None, "DENY")], "expected STRING, actual STRING")
     assert tuple(D.agreement(df).first()) == (3, 2, 1, 0.5)
+
+
+def test_dictionary_of_pairs_equals_the_row_rule(spark):
+    import random
+
+    rnd = random.Random(13)
+    parts = ["graph", "graphs", "sorting", "of", "the", "c", "ab", "trees", "class", "hash", "tables", "data", "x1", "É", ""]
+    item = lambda: " ".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6))).strip() + rnd.choice(["", " ", "."])
+    rows = [(i, [item() for _ in range(rnd.randrange(0, 5))], [item() for _ in range(rnd.randrange(0, 5))] if i % 9 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "request_id LONG, need ARRAY<STRING>, have ARRAY<STRING>")
+    from casemill.functions import text as X
+    from casemill.operators import matching as M
+
+    want = df.select("request_id", D.split_matches(D._keyed(F.col("need")), D._keyed(X.norm_list(F.col("have")))).alias("h"))
+    key = lambda out, c: {r.request_id: [tuple(x) for x in r[c]] for r in out.collect()}
+    got = key(M.with_hits(df, {"topic": ("need", "have")}), "_topic_hits")
+    assert got == key(want, "h") and any(h for hits in got.values() for _, h in hits)
+    assert M.with_hits(df.filter("request_id < 0"), {"topic": ("need", "have")}).count() == 0
