@@ -173,10 +173,14 @@ def _first_pages(pages: DataFrame, n: int | None) -> DataFrame:
     return pages if n is None else pages.filter(F.col("page_num") <= n)
 
 
-def toc_flags(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Per page (the first ``max_pages`` if given): contents heading, dotted lines, page-number lines, and the verdict."""
+def toc_flags(pages: DataFrame, max_pages: int | None = None, heading_chars: int | None = None) -> DataFrame:
+    """Per page (the first ``max_pages`` if given): contents heading, dotted lines, page-number lines, and the verdict.
+
+    The word "contents" counts anywhere on a page, or only in its first ``heading_chars`` characters; the domain's limit is 200.
+    """
     low = F.lower("text")
-    head = low.contains("table of contents") | F.substring(low, 1, 200).contains("contents")
+    top = low if heading_chars is None else F.substring(low, 1, heading_chars)
+    head = low.contains("table of contents") | top.contains("contents")
     dotted = F.regexp_count("text", F.lit(r"\.{3,}|…+"))
     numbered = F.regexp_count("text", F.lit(r"(?m)" + TOC_ENTRY))
     early = _first_pages(pages, max_pages)
@@ -184,9 +188,9 @@ def toc_flags(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
                         (head | ((dotted > 5) & (numbered > 3))).alias("is_toc"))
 
 
-def toc_entries(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+def toc_entries(pages: DataFrame, max_pages: int | None = None, heading_chars: int | None = None) -> DataFrame:
     """Section → page of each table of contents; the last line of a section wins, its first line keeps the order."""
-    toc = pages.join(toc_flags(pages, max_pages).filter("is_toc").select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
+    toc = pages.join(toc_flags(pages, max_pages, heading_chars).filter("is_toc").select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
     lines = page_lines(toc.select("doc_id", "page_num", "text"), keep_blank=False)
     line = F.col("line")
     dotted = line.rlike(TOC_ENTRY)

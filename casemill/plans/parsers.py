@@ -119,7 +119,7 @@ def direct_pages(t):
     return C.direct_pages(t.catalog_pages, t.catalog_targets).select("doc_id", "target_code", "page_num")
 
 
-@query("toc_pages", "A20", """SELECT doc_id, page_num, contains(lower(text), 'table of contents') OR contains(substr(lower(text), 1, 200), 'contents') AS has_header,
+@query("toc_pages", "A20", """SELECT doc_id, page_num, contains(lower(text), 'contents') AS has_header,
   CAST(len(regexp_extract_all(text, '\\.{3,}|…+')) AS INTEGER) AS dotted_count, CAST(len(regexp_extract_all(text, '(?m)^(.+?)\\s*[\\.·…]+\\s*(\\d{1,4})\\s*$')) AS INTEGER) AS page_num_count
 FROM @catalog_pages""")
 def toc_pages(t):
@@ -127,7 +127,7 @@ def toc_pages(t):
 
 
 ENTRY, PLAIN = C.TOC_ENTRY, C.TOC_ENTRY_PLAIN
-TOC_SQL = f"""tf AS (SELECT doc_id, page_num, text FROM @catalog_pages WHERE contains(lower(text), 'table of contents') OR contains(substr(lower(text), 1, 200), 'contents')
+TOC_SQL = f"""tf AS (SELECT doc_id, page_num, text FROM @catalog_pages WHERE contains(lower(text), 'contents')
   OR len(regexp_extract_all(text, '\\.{{3,}}|…+')) > 5 AND len(regexp_extract_all(text, '(?m){ENTRY}')) > 3),
 tl AS (SELECT doc_id, page_num, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, page_num,
   list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM tf)),

@@ -123,11 +123,11 @@ FROM @events WHERE event_type = 'purchase'
 
 DEFS["committee"] = """
 SELECT DISTINCT user_id AS request_id, event_id % 10 AS reviewer_id, CAST(1 + event_id % 2 AS INT) AS review_cycle
-FROM @events WHERE event_type = 'signup' AND event_id % 3 = 0
+FROM @events WHERE event_type = 'signup'
 """
 
 DEFS["votes"] = """
-SELECT event_id AS vote_id, user_id AS request_id, event_id % 10 AS voter_id,
+SELECT event_id AS vote_id, user_id AS request_id, (event_id + CAST(floor(value * 10) AS BIGINT)) % 12 AS voter_id,
        CAST(1 + event_id % 2 AS INT) AS review_cycle,
        CASE CAST(floor(value * 100) AS BIGINT) % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'approve_with_bridge'
             WHEN 2 THEN 'deny' ELSE 'needs_more_info' END AS action,

@@ -133,7 +133,7 @@ def distinct_items(t):
         "evidence_id", F.array_join(F.array_distinct(X.norm_list(twice)), " / ").alias("items"))
 
 
-@query("decision_prompts", "T17", """WITH links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
+@query("decision_prompts", "T17", """WITH links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey AND NOT is_unknown),
 b AS (SELECT f.request_id, f.ordinal, f.evidence_id, '- Fact: ' || coalesce(fact_key, 'None') || ' = ' || CASE WHEN trim(fact_value) <> '' THEN fact_value WHEN items_text IS NOT NULL
     THEN CAST(to_json({'items': string_split(items_text, '|')}) AS VARCHAR) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
     || coalesce('    [chunk_id: ' || chunk_uuid || ', page: ' || p_size || ']' || chr(10) || '    "' || p_name || '"', '    (no citation chunks linked)') || chr(10) AS block
@@ -144,7 +144,7 @@ def decision_prompts(t):
     return S.prompts(facts(t), links(t), chunks, ["ordinal", "evidence_id"]).select("request_id", F.md5("evidence_text").alias("digest"))
 
 
-MESSAGES_SQL = f"""{Q.WITH}, links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
+MESSAGES_SQL = f"""{Q.WITH}, links AS (SELECT evidence_id, p_partkey AS chunk_uuid, p_size, p_name FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey AND NOT is_unknown),
 b AS (SELECT f.request_id, f.ordinal, f.evidence_id, '- Fact: ' || coalesce(fact_key, 'None') || ' = ' || CASE WHEN trim(fact_value) <> '' THEN fact_value WHEN items_text IS NOT NULL
     THEN CAST(to_json({{'items': string_split(items_text, '|')}}) AS VARCHAR) ELSE 'N/A' END || CASE WHEN is_unknown THEN ' [UNKNOWN]' ELSE ' [KNOWN]' END || chr(10) || '  fact_type: ' || fact_type || chr(10)
     || coalesce('    [chunk_id: ' || chunk_uuid || ', page: ' || p_size || ']' || chr(10) || '    "' || p_name || '"', '    (no citation chunks linked)') || chr(10) AS block
