@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as X
-from casemill.operators.common import dense_index, newest_per
+from casemill.operators.common import dense_index, newest_per, saved_ranges
 
 # ---- fixed values ----------------------------------------------------------
 DISPLAY_STATUS = {
@@ -101,9 +103,41 @@ def search_courses(courses: DataFrame, text: str = "", department: str | None =
     return out
 
 
-def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """One page of an ordered listing (L2)."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+def write_listing(df: DataFrame, order: Sequence[str], path: str, rows_per_range: int = 100_000) -> None:
+    """An ordered listing cut into ranges of about ``rows_per_range`` rows, one folder each, with the size of each range (L2).
+
+    ``order`` must name a row.
+    """
+    ranges = max(1, -(-df.count() // rows_per_range))
+    cut = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    cut.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+    sizes = df.sparkSession.read.parquet(f"{path}/rows").groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def page(spark: SparkSession, path: str, order: Sequence[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` of a listing (L2): the sizes of the ranges tell which one or two hold it, and only those are read."""
+    first, last, seen, wanted = (number - 1) * size, number * size, 0, []
+    skip = 0
+    for r in sorted(spark.read.parquet(f"{path}/sizes").collect()):
+        if seen < last and seen + r.n > first:
+            if not wanted:
+                skip = first - seen
+            wanted.append(r["_range"])
+        seen += r.n
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("_range").isin(wanted)).drop("_range")
+    return rows.orderBy(*order).offset(max(skip, 0)).limit(size)
+
+
+def page_after(df: DataFrame, order: Sequence[str], last: Sequence | None, size: int) -> DataFrame:
+    """The page behind the row whose ``order`` values are ``last``, the first page if None (L2).
+
+    The bound on the first column reaches the scan; nothing before it is sorted.
+    """
+    if last is not None:
+        low = [F.lit(v) for v in last]
+        df = df.filter((F.col(order[0]) >= low[0]) & (F.struct(*order) > F.struct(*[v.alias(c) for v, c in zip(low, order)])))
+    return df.orderBy(*order).limit(size)
 
 
 def classify_document(filename: Column) -> Column:
@@ -143,7 +177,7 @@ def usable_accounts(accounts: DataFrame, as_of: Column) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: list[str], overwrite: list[str] | None = None) -> DataFrame:
     """Insert new keys; on a known key do nothing, or take the ``overwrite`` columns from the new row.
 
-    ``new`` must hold a key at most once. The result is meant for a new snapshot path.
+    ``new`` must hold a key at most once. As the job of :func:`buckets.change_buckets` it only sees and writes touched buckets.
     """
     added = new.join(old.select(*key), key, "left_anti").select(*old.columns)
     if not overwrite:
@@ -250,3 +284,53 @@ def case_detail(requests: DataFrame, documents: DataFrame, evidence: DataFrame,
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.join(requests.select("request_id"), "request_id", "left_semi")
+
+
+#: Sections of a case in the order they are shown.
+SECTIONS = ("case", "document", "evidence", "decision", "audit")
+PARTS_PER_ROW = 1000
+
+
+def case_parts(requests: DataFrame, documents: DataFrame, evidence: DataFrame, decision: DataFrame, audit: DataFrame) -> DataFrame:
+    """The rows of :func:`case_detail` with the columns that order them: section, time, number, reference."""
+    none = F.lit(None)
+    at = lambda c: F.col(c).cast("timestamp").alias("at")
+
+    def part(df: DataFrame, name: str, at: Column, seq: Column, ref: str) -> DataFrame:
+        body = F.to_json(F.struct(*[c for c in df.columns if c != "request_id"]))
+        return df.select("request_id", F.lit(SECTIONS.index(name)).alias("place"), at.alias("at"), seq.cast("long").alias("seq"),
+                         F.col(ref).cast("string").alias("ref_id"), body.alias("body"))
+
+    rows = part(requests, "case", none.cast("timestamp"), none, "request_id")
+    for more in (part(documents, "document", at("created_at"), F.col("doc_id"), "doc_id"),
+                 part(evidence, "evidence", none.cast("timestamp"), F.col("ordinal"), "evidence_id"),
+                 part(decision, "decision", none.cast("timestamp"), none, "decision_run_id"),
+                 part(audit, "audit", at("at"), none, "ref_id")):
+        rows = rows.unionByName(more)
+    return rows.join(requests.select("request_id"), "request_id", "left_semi")
+
+
+def case_objects(parts: DataFrame, limit: int = PARTS_PER_ROW) -> DataFrame:
+    """Each case as one nested row, with its parts by section in order; a case of more than ``limit`` parts as ordered
+    chunk rows of that many (J20).
+
+    Rows: request_id, chunk (from 0), n_chunks, n_parts of the whole case, and an array of parts for each section. Parts
+    of a large case are ranked in ranges of the order, so neither its sorting nor its gathering is left to one task.
+    """
+    order = ["place", "at", "seq", "ref_id", "body"]
+    sizes = parts.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    sized = parts.join(sizes, "request_id")
+    small = sized.filter(F.col("n_parts") <= limit).withColumn("chunk", F.lit(0).cast("long"))
+    large = saved_ranges(sized.filter(F.col("n_parts") > limit), ["request_id", *order])
+    local = F.row_number().over(Window.partitionBy("_range", "request_id").orderBy(*order)) - 1
+    counts = large.groupBy("request_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("request_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("request_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = large.withColumn("_i", local).join(starts, ["request_id", "_range"])
+    ranked = ranked.withColumn("chunk", F.floor((F.col("_start") + F.col("_i")) / limit)).drop("_range", "_i", "_start")
+    rows = small.unionByName(ranked.select(*small.columns))
+    listed = F.array_sort(F.collect_list(F.struct(*order)))
+    grouped = rows.groupBy("request_id", "chunk").agg(F.max("n_parts").alias("n_parts"), listed.alias("_parts"))
+    section = lambda k: F.transform(F.filter("_parts", lambda x: x["place"] == k), lambda x: F.struct(x["ref_id"].alias("ref_id"), x["body"].alias("body")))
+    return grouped.select("request_id", "chunk", F.ceil(F.col("n_parts") / limit).alias("n_chunks"), "n_parts",
+                          *[section(k).alias(f"{name}_rows") for k, name in enumerate(SECTIONS)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from casemill.functions import text as X
@@ -10,6 +12,8 @@ from casemill.operators import evidence as E
 from casemill.operators import review as R
 from casemill.operators.common import newest_per
 from casemill.plans.registry import query
+from casemill.session import shared_dir
+from casemill.sources import buckets as B
 
 
 def actions(t):
@@ -155,12 +159,14 @@ def usable_reviewers(t):
     return C.usable_accounts(t.reviewers, F.lit("2024-06-01").cast("date")).select("reviewer_id", "reviewer_name", "role")
 
 
-LINKS_SQL = """links AS (SELECT evidence_id, p_partkey AS chunk_uuid FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey WHERE ordinal % 3 <> 0),
+LINKS_SQL = """links AS (SELECT evidence_id, p_partkey AS chunk_uuid FROM @facts f JOIN @part ON f.request_id % (SELECT count(*) FROM @part) = p_partkey AND NOT is_unknown),
 chunks AS (SELECT p_partkey AS chunk_uuid, p_size AS page_num, p_name AS snippet_text FROM @part)"""
 
 
 def links(t):
-    return t.facts.filter("ordinal % 3 <> 0").join(t.part, F.col("request_id") % t.part.agg(F.count(F.lit(1))).scalar() == F.col("p_partkey")).select(
+    """What is known cites a chunk; an unknown fact has nothing to cite."""
+    place = F.when(~F.col("is_unknown"), F.col("request_id") % t.part.agg(F.count(F.lit(1))).scalar())
+    return t.facts.join(t.part, place == F.col("p_partkey")).select(
         "evidence_id", F.col("p_partkey").alias("chunk_uuid"))
 
 
@@ -201,15 +207,15 @@ def new_courses(t):
         "course_code", F.col("description").cast("long").alias("pos"), "display_name", "department", "credits")
 
 
-@query("courses_with_outcomes", "J7 S3 W2 T16", """WITH o AS (SELECT 'CPSC-' || l_partkey AS course_code, 'Know line ' || l_linenumber || '., Use order ' || l_orderkey || '..' AS lo,
-  l_shipdate, l_orderkey, l_suppkey, l_linenumber FROM @lineitem WHERE l_partkey % 3 <> 0),
+@query("courses_with_outcomes", "J7 S3 W2 T16", """WITH o AS (SELECT 'CPSC-' || (l_partkey * 2) AS course_code, 'Know line ' || l_linenumber || '., Use order ' || l_orderkey || '..' AS lo,
+  l_shipdate, l_orderkey, l_suppkey, l_linenumber FROM @lineitem),
 latest AS (SELECT course_code, lo FROM o QUALIFY row_number() OVER (PARTITION BY course_code ORDER BY l_shipdate DESC, l_orderkey DESC, l_suppkey DESC, l_linenumber DESC) = 1)
 SELECT c.course_code, coalesce(lo, '') AS learning_outcomes, CASE WHEN lo IS NULL THEN '' ELSE
   array_to_string(list_transform(string_split(lo, '., '), lambda x: rtrim(trim(x), '.') || '.'), ' | ') END AS outcomes
 FROM @courses c LEFT JOIN latest l ON l.course_code = c.course_code""")
 def courses_with_outcomes(t):
-    rows = t.lineitem.filter("l_partkey % 3 <> 0").select(
-        F.concat(F.lit("CPSC-"), F.col("l_partkey").cast("string")).alias("course_code"),
+    rows = t.lineitem.select(
+        F.concat(F.lit("CPSC-"), (F.col("l_partkey") * 2).cast("string")).alias("course_code"),
         F.concat(F.lit("Know line "), F.col("l_linenumber").cast("string"), F.lit("., Use order "),
                  F.col("l_orderkey").cast("string"), F.lit("..")).alias("learning_outcomes"),
         F.struct("l_shipdate", "l_orderkey", "l_suppkey", "l_linenumber").alias("pos"))
@@ -255,33 +261,48 @@ def latest_run_votes(t):
     return C.latest_run_rows(t.extraction_runs, t.extraction_runs).select("request_id", "extraction_run_id", "status")
 
 
-@query("chunk_upserts", "S12", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v2 ' || source ELSE source END AS snippet_text FROM @documents WHERE doc_id % 4 < 3
-UNION ALL SELECT doc_id, 'v2 ' || source FROM @documents WHERE doc_id % 4 = 3 AND doc_id % 2 = 0
-UNION ALL SELECT doc_id + 1000000, 'v2 ' || source FROM @documents WHERE doc_id % 2 = 0""")
+BUCKETS = 64
+
+
+def bucketed(t, name: str, rows, key: list[str]) -> str:
+    path = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    B.write_buckets(rows, path, key, BUCKETS)
+    return path
+
+
+@query("chunk_upserts", "S12", """WITH n AS (SELECT doc_id + CASE WHEN n_chars % 4 = 0 THEN 1000000 ELSE 0 END AS doc_id, 'v2 ' || source AS snippet_text FROM @documents WHERE lang = 'en')
+SELECT d.doc_id, coalesce(n.snippet_text, d.source) AS snippet_text FROM @documents d LEFT JOIN n ON n.doc_id = d.doc_id
+UNION ALL SELECT doc_id, snippet_text FROM n WHERE doc_id NOT IN (SELECT doc_id FROM @documents)""")
 def chunk_upserts(t):
-    old = t.documents.filter("doc_id % 4 < 3").select("doc_id", F.col("source").alias("snippet_text"))
-    even = t.documents.filter("doc_id % 2 = 0")
-    text = F.concat(F.lit("v2 "), "source").alias("snippet_text")
-    new = even.select("doc_id", text).unionByName(even.select((F.col("doc_id") + 1000000).alias("doc_id"), text))
-    return C.upsert(old, new, ["doc_id"], ["snippet_text"])
+    """Upserts into a bucketed table; the second, repeated run changes nothing."""
+    path = bucketed(t, "chunks", t.documents.select("doc_id", F.col("source").alias("snippet_text")), ["doc_id"])
+    moved = F.when(F.col("n_chars") % 4 == 0, 1000000).otherwise(0)
+    new = t.documents.filter("lang = 'en'").select((F.col("doc_id") + moved).alias("doc_id"), F.concat(F.lit("v2 "), "source").alias("snippet_text"))
+    for _ in range(2):
+        B.change_buckets(t.spark, path, new, ["doc_id"], BUCKETS, lambda old, more: C.upsert(old, more, ["doc_id"], ["snippet_text"]))
+    return B.read_buckets(t.spark, path)
 
 
 @query("citation_inserts", "S12", """SELECT request_id, reviewer_id, 'old' AS origin FROM @committee WHERE review_cycle = 1
 UNION ALL SELECT DISTINCT request_id, reviewer_id, 'new' FROM @committee c WHERE NOT EXISTS (SELECT 1 FROM @committee o
   WHERE o.review_cycle = 1 AND o.request_id = c.request_id AND o.reviewer_id = c.reviewer_id)""")
 def citation_inserts(t):
-    seats = t.committee.filter("review_cycle = 1").select("request_id", "reviewer_id", F.lit("old").alias("origin"))
-    new = t.committee.select("request_id", "reviewer_id").distinct().withColumn("origin", F.lit("new"))
-    return C.upsert(seats, new, ["request_id", "reviewer_id"])
+    key = ["request_id", "reviewer_id"]
+    path = bucketed(t, "citations", t.committee.filter("review_cycle = 1").select(*key, F.lit("old").alias("origin")), key)
+    new = t.committee.select(*key).distinct().withColumn("origin", F.lit("new"))
+    B.change_buckets(t.spark, path, new, key, BUCKETS, lambda old, more: C.upsert(old, more, key))
+    return B.read_buckets(t.spark, path)
 
 
-@query("reuploaded_documents", "S13", """WITH incoming AS (SELECT doc_id + 1000000 AS doc_id, request_id, filename, true AS is_active FROM @case_documents WHERE request_id % 4 = 0)
+@query("reuploaded_documents", "S13", """WITH incoming AS (SELECT doc_id + 1000000 AS doc_id, request_id, filename, true AS is_active FROM @case_documents WHERE filename LIKE '%SYLLABUS%')
 SELECT doc_id, request_id, filename, is_active AND request_id NOT IN (SELECT request_id FROM incoming) AS is_active FROM @case_documents
 UNION ALL SELECT * FROM incoming""")
 def reuploaded_documents(t):
     docs = t.case_documents.select("doc_id", "request_id", "filename", "is_active")
-    incoming = docs.filter("request_id % 4 = 0").withColumns({"doc_id": F.col("doc_id") + 1000000, "is_active": F.lit(True)})
-    return C.deactivate_previous(docs, incoming)
+    path = bucketed(t, "documents", docs, ["request_id"])
+    incoming = docs.filter("filename LIKE '%SYLLABUS%'").withColumns({"doc_id": F.col("doc_id") + 1000000, "is_active": F.lit(True)})
+    B.change_buckets(t.spark, path, incoming, ["request_id"], BUCKETS, C.deactivate_previous)
+    return B.read_buckets(t.spark, path)
 
 
 @query("next_case_id", "A18", """SELECT 'CASE-' || CAST(max(request_id) + 1 AS VARCHAR) AS next_id FROM @requests""")
@@ -292,7 +313,20 @@ def next_case_id(t):
 
 @query("course_page", "L2 L4", """SELECT course_code, department FROM @courses ORDER BY department, course_code LIMIT 25 OFFSET 50""")
 def course_page(t):
-    return C.page(t.courses.select("course_code", "department"), ["department", "course_code"], 3, 25)
+    path, order = f"{shared_dir(t.spark)}/listing-{uuid.uuid4().hex}", ["department", "course_code"]
+    C.write_listing(t.courses.select("course_code", "department"), order, path)
+    return C.page(t.spark, path, order, 3, 25)
+
+
+@query("next_course_page", "L2", """SELECT course_code, department FROM @courses WHERE (department, course_code) > (SELECT (department, course_code) FROM @courses ORDER BY department, course_code LIMIT 1 OFFSET 49)
+ORDER BY department, course_code LIMIT 25""")
+def next_course_page(t):
+    rows, order = t.courses.select("course_code", "department"), ["department", "course_code"]
+    last = None
+    for _ in range(2):
+        shown = C.page_after(rows, order, last, 25).collect()
+        last = [shown[-1][c] for c in order]
+    return C.page_after(rows, order, last, 25)
 
 
 @query("course_facets", "L4", """SELECT DISTINCT 'department' AS facet, department AS value FROM @courses
@@ -336,3 +370,26 @@ def case_details(t):
                          audit.drop("decision"))
     main = F.coalesce(*[F.get_json_object("body", f"$.{k}") for k in ("status", "filename", "fact_key", "decision", "kind")])
     return rows.select("request_id", "section", "ref_id", main.alias("main"))
+
+
+PARTS_SQL = f"""{ACTIONS_SQL}, x AS (SELECT d.request_id, d.decision_run_id FROM @decision_runs d JOIN @decision_results r
+    ON r.decision_run_id = d.decision_run_id WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY d.request_id ORDER BY d.created_at DESC, d.decision_run_id DESC) = 1),
+p AS (SELECT request_id, 0 AS place, NULL::TIMESTAMP AS tm, NULL::BIGINT AS seq, CAST(request_id AS VARCHAR) AS ref_id FROM @requests UNION ALL SELECT request_id, 1, created_at, doc_id, CAST(doc_id AS VARCHAR) FROM @case_documents
+  UNION ALL SELECT request_id, 2, NULL, ordinal, evidence_id FROM @facts UNION ALL SELECT request_id, 3, NULL, NULL, CAST(decision_run_id AS VARCHAR) FROM x
+  UNION ALL SELECT request_id, 4, created_at, NULL, CAST(extraction_run_id AS VARCHAR) FROM @extraction_runs UNION ALL SELECT request_id, 4, created_at, NULL, CAST(decision_run_id AS VARCHAR) FROM @decision_runs
+  UNION ALL SELECT request_id, 4, created_at, NULL, CAST(review_action_id AS VARCHAR) FROM acts UNION ALL SELECT request_id, 4, created_at, NULL, CAST(vote_id AS VARCHAR) FROM @votes),
+k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place, tm, seq, ref_id) - 1 AS i, count(*) OVER (PARTITION BY request_id) AS n FROM p WHERE request_id IN (SELECT request_id FROM @requests))"""
+
+
+@query("case_objects", "J20", f"""WITH {PARTS_SQL} SELECT request_id, i // 40 AS chunk, CAST(ceil(any_value(n) / 40) AS BIGINT) AS n_chunks, any_value(n) AS n_parts,
+  {", ".join(f"coalesce(string_agg(ref_id, ',' ORDER BY i) FILTER (WHERE place = {k}), '') AS {name}_refs" for k, name in enumerate(C.SECTIONS))} FROM k GROUP BY request_id, i // 40""")
+def case_objects(t):
+    audit = R.audit_timeline(t.extraction_runs, t.decision_runs, t.decision_results, actions(t), t.votes)
+    parts = C.case_parts(t.requests.select("request_id", "status"),
+                         t.case_documents.select("request_id", "created_at", "doc_id", "filename"),
+                         t.facts.select("request_id", "ordinal", "evidence_id", "fact_key", "fact_value"),
+                         C.latest_completed(t.decision_runs, t.decision_results).select("request_id", "decision_run_id", "decision"),
+                         audit.drop("decision"))
+    objects = C.case_objects(parts, 40)
+    return objects.select("request_id", "chunk", "n_chunks", "n_parts", *[
+        F.array_join(F.transform(f"{name}_rows", lambda r: r["ref_id"]), ",").alias(f"{name}_refs") for name in C.SECTIONS])

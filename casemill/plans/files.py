@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from casemill.functions import text as X
-from casemill.operators import cases as C
+from casemill.operators import decision as D
+from casemill.operators import evidence as E
 from casemill.operators import review as V
+from casemill.plans import decisions as Q
 from casemill.plans.registry import query
 from casemill.session import shared_dir
 from casemill.sources import readers, writers
@@ -57,3 +59,28 @@ def log_files(t):
     writers.write_table(t.log_lines.filter("trim(line) <> ''").select("line"), path, "text")
     back = readers.read_log(t.spark, path).withColumn("line_no", F.lit(0))
     return V.mark_expired(back, "2024-05-01").groupBy("line", "expired").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("case_folders", "S8", """SELECT 'case=' || request_id AS case_name, count(*) AS n_files FROM @case_documents GROUP BY request_id HAVING count(*) >= 2""")
+def case_folders(t):
+    """One file for each document in the folder of its case; names and counts come from the file listing alone."""
+    path = folder(t, "case-files")
+    docs = t.documents.select("doc_id", "text").join(t.case_documents.select("doc_id", "request_id"), "doc_id")
+    files = docs.select(F.col("request_id").alias("case"), F.coalesce("text", F.lit("")).alias("value"))
+    files.write.partitionBy("case").option("maxRecordsPerFile", 1).text(path)
+    return readers.case_folders(t.spark, path, 2, "*.txt")
+
+
+@query("payload_decisions", "S1 D10 A6", Q.WITH + "," + Q.scored_sql(D.SHIPPED_POLICY) + """SELECT request_id, decision, equivalency_score FROM result""")
+def payload_decisions(t):
+    """The payload of every case written as one JSON file, read back and decided."""
+    path = folder(t, "payloads")
+    fact = F.struct(F.col("fact_type").alias("factType"), F.col("fact_key").alias("factKey"), F.col("fact_value").alias("factValue"),
+                    F.struct("items").alias("factJson"), F.col("is_unknown").alias("unknown"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "evidence_id", fact.alias("f")))), lambda r: r["f"])
+    cases = Q.facts(t).groupBy("request_id").agg(listed.alias("facts")).join(t.requests.select("request_id", "course_requested"), "request_id")
+    body = F.to_json(F.struct(F.col("course_requested").alias("_target_course_requested"), "facts"))
+    cases.select(F.col("request_id").alias("case"), body.alias("value")).write.partitionBy("case").option("maxRecordsPerFile", 1).text(path)
+    read, facts = readers.read_payloads(t.spark, path, F.col("case").cast("long"))
+    wide = D.with_target(E.pivot_facts(facts).join(read.select("request_id", "course_requested"), "request_id"), Q.profiles(t))
+    return D.decide(wide, D.SHIPPED_POLICY, Q.YEAR).select("request_id", "decision", "equivalency_score")

@@ -12,6 +12,7 @@ from casemill.plans import decisions as Q
 from casemill.plans.registry import query
 from casemill.plans.standins import DEFS
 from casemill.session import shared_dir
+from casemill.sources import buckets as B
 from casemill.sources import readers, writers
 from casemill.streaming import jobs as J
 
@@ -35,7 +36,8 @@ def from_stream(t, name: str):
 @query("status_stream", "ST5", """SELECT user_id AS request_id, arg_max(event_type, ts) AS status, max(ts) AS since FROM @events GROUP BY user_id""")
 def status_stream(t):
     path = out(t, "status")
-    J.run_updates(J.current_status(events(t).withColumnRenamed("user_id", "request_id"), "request_id", "event_type", "ts"), path).awaitTermination()
+    rows = events(t).withColumnRenamed("user_id", "request_id")
+    J.run_updates(J.current_status(rows, "request_id", "event_type", "ts", "400 days", "400 days"), path).awaitTermination()
     return J.latest_updates(t.spark, path, ["request_id"])
 
 
@@ -71,14 +73,14 @@ SELECT request_id, review_cycle, n_votes, n_rejected, n_members, complete, CASE
   WHEN b > a AND b > d AND b > n THEN 'approve_with_bridge' WHEN a + b > d AND a + b > n THEN 'approve' ELSE 'deny' END END AS final_decision FROM x""")
 def vote_stream(t):
     path = out(t, "votes")
-    e = events(t).filter("event_type = 'error' OR event_type = 'signup' AND event_id % 3 = 0")
+    e = events(t).filter("event_type IN ('error', 'signup')")
     action = F.element_at(F.array(*[F.lit(a) for a in ("approve", "approve_with_bridge", "deny", "needs_more_info")]),
                           (F.floor(F.col("value") * 100) % 4 + 1).cast("int"))
     rows = e.select(F.col("user_id").alias("request_id"), (F.col("event_id") % 2 + 1).cast("int").alias("review_cycle"),
                     F.when(F.col("event_type") == "signup", "member").otherwise("vote").alias("kind"),
-                    (F.col("event_id") % 10).alias("person"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("ref_id"))
-    J.run_updates(J.seat_votes(rows), path).awaitTermination()
-    return J.vote_results(J.latest_updates(t.spark, path, ["request_id", "review_cycle", "person"]))
+                    F.when(F.col("event_type") == "signup", F.col("event_id") % 10).otherwise((F.col("event_id") + F.floor(F.col("value") * 10)) % 12).alias("person"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("ref_id"))
+    J.run_updates(J.vote_results(rows, "400 days", "400 days"), path, "append").awaitTermination()
+    return J.latest_tallies(t.spark, path)
 
 
 @query("event_log_stream", "ST1 S11", """SELECT event_id AS request_id, event_type AS event, ts FROM @events""")
@@ -91,15 +93,17 @@ def event_log_stream(t):
     return log.select(F.col("request_id").cast("long").alias("request_id"), "event", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+FACT_BUCKETS = 64
 STREAMED = Q.WITH + "," + Q.scored_sql(D.SHIPPED_POLICY)
 
 
 @query("decision_stream", "ST2 D10", STREAMED + "SELECT request_id, decision, equivalency_score FROM result WHERE request_id IN (SELECT user_id FROM events)")
 def decision_stream(t):
-    path = out(t, "decisions")
+    path, stored = out(t, "decisions"), out(t, "facts")
+    B.write_buckets(Q.facts(t), stored, ["request_id"], FACT_BUCKETS)
 
     def decide_cases(ids):
-        mine = Q.facts(t).join(ids, "request_id", "left_semi")
+        mine = B.rows_of_keys(t.spark, stored, ids, ["request_id"], FACT_BUCKETS)
         asked = t.requests.select("request_id", "course_requested")
         wide = D.with_target(E.pivot_facts(mine).join(asked, "request_id"), Q.profiles(t))
         return D.decide(wide, D.SHIPPED_POLICY, Q.YEAR).select("request_id", "decision", "equivalency_score")

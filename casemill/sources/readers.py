@@ -5,17 +5,20 @@ from __future__ import annotations
 import json
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill import schemas
 from casemill.operators.decision import Policy
 
 
-def read_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cases, facts) of payload files, one JSON object per file; the place in the file orders the facts."""
-    raw = spark.read.schema(schemas.PAYLOAD).json(path, multiLine=True).withColumn(
-        "request_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+def read_payloads(spark: SparkSession, path: str, case: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cases, facts) of payload files, one JSON object per file; the place in the file orders the facts.
+
+    A case is named by its file, or by ``case``, which may use the columns of partition folders.
+    """
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "") if case is None else case
+    raw = spark.read.schema(schemas.PAYLOAD).json(path, multiLine=True).withColumn("request_id", name)
     cases = raw.select("request_id", F.col("_target_course_requested").alias("course_requested"),
                        F.upper(F.nullif(F.trim("_expected_decision"), F.lit(""))).alias("expected"),
                        F.coalesce("_description", F.lit("")).alias("description"))
@@ -76,9 +79,9 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
                         "modificationTime", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 16).alias("head"))
 
 
-def case_folders(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
-    """Folders that hold at least ``least`` PDF files: one case each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
+def case_folders(spark: SparkSession, path: str, least: int = 2, pattern: str = "*.pdf") -> DataFrame:
+    """Folders that hold at least ``least`` files of a kind: one case each (S8). No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     per_folder = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("case_name")).groupBy("case_name")
     return per_folder.agg(F.count(F.lit(1)).alias("n_files")).filter(F.col("n_files") >= least)
 
