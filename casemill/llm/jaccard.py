@@ -234,7 +234,8 @@ PACKS = "bucket int, kind byte, x binary, y binary, z binary"
 
 
 def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: int, crowd: int) -> DataFrame:
-    """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2).
+    """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2), and
+    the crowded signatures themselves (3).
 
     `docs` has doc_id and either text or features.
     """
@@ -260,7 +261,10 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
             low = keys48[stars[:, 1]] & np.uint64((1 << 48) - 1)
             for k in np.unique(where):
                 rows = where == k
-                yield int(k), 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(low[rows])
+                # The stars of a pack go to any bucket: a signature's own one gets only its number, however many sets share it.
+                spread = int(spread_mix(ids[:1].view(np.uint64) + np.uint64(k))[0] % np.uint64(buckets))
+                yield spread, 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(keys48[stars[rows, 1]])
+                yield int(k), 3, _pack(np.unique(low[rows])), b"", b""
         keys48, nodes = keys48[left], nodes[left]
         bucket = (keys48 >> np.uint64(48)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
@@ -295,7 +299,7 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
 def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int = PERCENT, width: int = SHINGLE_WORDS, crowd: int = CROWD) -> DataFrame:
     """Rows of kind 0 (doc_id a, key b, size n), 1 (a and b share a signature), 2 (a smallest, b other at crowded `sig`)."""
 
-    def meet(key, packs: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, packs: pd.DataFrame) -> pd.DataFrame:
         own = packs[packs["kind"] == 0]
         sigs = np.concatenate([_unpack(x, SIGNATURE_BYTES) for x in own["x"]] or [np.zeros(0, np.uint64)])
         nodes = np.concatenate([_unpack(y) for y in own["y"]] or [np.zeros(0, np.uint64)]).view(np.int64)
@@ -303,11 +307,12 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
         sigs, nodes = sigs[order], nodes[order]
         sent = packs[packs["kind"] == 2]
         # What a pack found crowded is crowded for all packs, however few rows they left.
-        pairs, stars, _ = shared(sigs, nodes, crowd, np.concatenate([np.zeros(0, np.uint64), *map(_unpack, sent["z"])]))
+        pairs, stars, _ = shared(sigs, nodes, crowd, np.concatenate([np.zeros(0, np.uint64), *map(_unpack, packs.loc[packs["kind"] == 3, "x"])]))
         star_ends = np.concatenate([nodes[stars], *[np.stack([_unpack(x), _unpack(y)], axis=1).view(np.int64) for x, y in zip(sent["x"], sent["y"])]])
-        star_sigs = np.concatenate([sigs[stars[:, 1]], *[_unpack(z) for z in sent["z"]]]).view(np.int64)
         # Signatures are told apart across buckets by the bucket number on top.
-        out = _found(_pairs_of(nodes, pairs), star_ends, star_sigs | (np.int64(key[0]) << np.int64(48)))
+        here = sigs[stars[:, 1]] | (np.uint64(key[0]) << np.uint64(48))
+        star_sigs = np.concatenate([here, *[_unpack(z) for z in sent["z"]]]).view(np.int64)
+        out = _found(_pairs_of(nodes, pairs), star_ends, star_sigs)
         for x, y, z in zip(*(packs.loc[packs["kind"] == 1, c] for c in "xyz")):
             ids, sizes, keys = (_unpack(c).view(np.int64) for c in (x, y, z))
             more = {"kind": np.zeros(len(ids), np.int8), "a": ids, "b": keys, "n": sizes, "sig": np.zeros(len(ids), np.int64)}
@@ -452,7 +457,7 @@ def _close_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
     A block of sets outside a signature's main component meets a block of all its sets; only close pairs leave the task.
     """
-    def meet(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, block in frame.groupby(["sig", "i", "j"], sort=False):
             words, n, part, node = _folded(block["bits"].tolist()), *(block[c].to_numpy() for c in ("n", "component", "node"))
@@ -478,25 +483,32 @@ BLOCK_ROWS_PER_BUCKET = 20_000
 def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compares the sets at a crowded signature that are still in different components.
 
-    Sets outside the signature's largest component are compared with all of its sets, block by block, so a signature of
-    any size is spread over tasks of bounded size.
+    Signatures with the same sets count as one. Sets outside a signature's largest component are compared with all of its
+    sets, block by block; the number of tasks follows the rows that all blocks have together, so a signature of any size
+    is spread over tasks of bounded size.
     """
     both = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
     rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
+    # Leaving out any sub-partition in which none of the sets has a feature gives the same sets again.
+    member = F.xxhash64("node")
+    alike = rows.groupBy("sig").agg(F.bit_xor(member).alias("x"), F.sum(F.pmod(member, F.lit(1 << 31))).alias("s"), F.count("*").alias("n"))
+    one = alike.groupBy("x", "s", "n").agg(F.min("sig").alias("sig")).select("sig")
+    rows = saved(rows.join(one.hint("merge"), "sig", "left_semi"), "crowded-rows")
     sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("sig").agg(F.count("*").alias("k"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"),
                                      F.max_by("component", F.struct("n", "component")).alias("main")).where("k > 1")
-    open_ = saved(open_.select("sig", "main", F.ceil(F.col("n_all") / BLOCK_SETS).cast("int").alias("n_j"),
+    open_ = saved(open_.select("sig", "main", "n_all", (F.col("n_all") - F.col("n_main")).alias("n_rest"), F.ceil(F.col("n_all") / BLOCK_SETS).cast("int").alias("n_j"),
                                F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK_SETS).cast("int").alias("n_i")), "open-signatures")
-    known = rows.join(open_, "sig").join(sets.select(F.col("doc_id").alias("node"), "n", "bits"), "node")
+    known = rows.join(open_.drop("n_all", "n_rest"), "sig").join(sets.select(F.col("doc_id").alias("node"), "n", "bits"), "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["sig", "node", "component", "n", "bits"]
     rest = known.where("component <> main").select(*columns, F.lit(True).alias("rest"), place("n_i").alias("i"), upto("n_j").alias("j"))
     all_ = known.select(*columns, F.lit(False).alias("rest"), place("n_j").alias("j"), upto("n_i").alias("i"))
     blocks = rest.unionByName(all_)
-    buckets = max(16, math.ceil(rows.count() / BLOCK_ROWS_PER_BUCKET))
+    weight = F.col("n_rest") * F.col("n_j") + F.col("n_all") * F.col("n_i")
+    buckets = max(16, math.ceil(open_.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] / BLOCK_ROWS_PER_BUCKET))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)).cast("int"))
     more = _verified(saved(_close_in_blocks(blocks, percent), "open-pairs"), sets, percent)
     if more.isEmpty():
