@@ -19,6 +19,8 @@ that loses all lines is empty; a line without words stays; a null doc_id is kept
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +34,25 @@ LONG_WORDS, LONG_DOCUMENTS = 50, 2
 # A field of digits and what stands for it, and blanks inside a line.
 DIGITS, DIGITS_MARK = "[0-9]+", "0"
 LINE_BLANKS = r"[\x20\x09\x0B-\x0D]+"
-OTHER_BLANKS = r"[\x09\x0B-\x0D]|\x20\x20"
+MORE_THAN_A_BLANK = ("\x20\x20", "\x09", "\x0b", "\x0c", "\x0d")
 
 
 def plain_lines(text: Column) -> Column:
     """The lines of a text in the form in which they are compared."""
-    fields = F.regexp_replace(text, DIGITS, DIGITS_MARK)
-    single = F.when(fields.rlike(OTHER_BLANKS), F.regexp_replace(fields, LINE_BLANKS, " ")).otherwise(fields)
-    return F.transform(F.split(single, "\n"), lambda x: F.trim(x))
+    wide = reduce(Column.__or__, [text.contains(b) for b in MORE_THAN_A_BLANK])
+    single = F.when(wide, F.regexp_replace(text, LINE_BLANKS, " ")).otherwise(text)
+    return F.transform(F.split(F.regexp_replace(single, DIGITS, DIGITS_MARK), "\n"), lambda x: F.trim(x))
+
 
+def _keys(first: Column, n: Column, line: Column, depth: int) -> Column:
+    """The key of a line as it is, and one for each place of the path that is a wild card; none for a line without words.
 
-def _leaves(words: Column, depth: int) -> Column:
-    """A hash for each place of the path that is a wild card; none for lines that are no longer than the path."""
-    n = F.size(words)
-    first = [F.get(words, k) for k in range(depth)]
-    paths = [F.xxhash64(F.lit(k), n, *[w for i, w in enumerate(first) if i != k]) for k in range(depth)]
-    return F.when(n >= depth, F.array(*paths)).otherwise(F.array().cast("array<bigint>"))
+    ``first`` are the first words; a line that is no longer than the path has no leaves.
+    """
+    words = [F.get(first, k) for k in range(depth)]
+    paths = [F.xxhash64(F.lit(k), n, *[w for i, w in enumerate(words) if i != k]) for k in range(depth)]
+    exact = F.xxhash64(F.lit(-1), line)
+    return F.when(line == "", F.array().cast("array<bigint>")).when(n >= depth, F.array(exact, *paths)).otherwise(F.array(exact))
 
 
 def _row_key() -> Column:
@@ -55,38 +60,35 @@ def _row_key() -> Column:
 
 
 def line_keys(docs: DataFrame, depth: int = DEPTH, long_words: int = LONG_WORDS) -> DataFrame:
-    """row_key, doc_id, lines: for each line its key as it is (null without words), whether it is long, and its leaves."""
-    def keys(line: Column) -> Column:
-        words = F.split(line, " ")
-        return F.struct(F.when(line != "", F.xxhash64(F.lit(-1), line)).alias("exact"), (F.size(words) >= long_words).alias("long"),
-                        _leaves(words, depth).alias("leaves"))
-
-    return texts_of(docs).where("text IS NOT NULL").select(_row_key(), "doc_id", F.transform(plain_lines(F.col("text")), keys).alias("lines"))
+    """row_key, doc_id, lines: for each line whether it is long, and its keys."""
+    # What a lambda names twice is worked out twice, so each step hands the next one what it has found.
+    n_words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    cut = F.transform(plain_lines(F.col("text")), lambda x: F.struct(
+        x.alias("line"), F.split(F.substring_index(x, " ", depth), " ").alias("first"), n_words(x).alias("n")))
+    keyed = F.transform(cut, lambda x: F.struct((x["n"] >= long_words).alias("long"), _keys(x["first"], x["n"], x["line"], depth).alias("keys")))
+    return texts_of(docs).where("text IS NOT NULL").select(_row_key(), "doc_id", keyed.alias("lines"))
 
 
-def _weighted(line: Column, weights: tuple[int, int, int]) -> Column:
-    """(key, weight) of a line and of its leaves: a key recurs if its documents weigh enough."""
-    usual, long, _ = weights
-    exact = F.struct(line["exact"].alias("key"), F.when(line["long"], long).otherwise(usual).alias("weight"))
-    return F.filter(F.concat(F.array(exact), F.transform(line["leaves"], lambda k: F.struct(k.alias("key"), F.lit(usual).alias("weight")))),
-                    lambda x: x["key"].isNotNull())
+def _placed(lines: DataFrame, usual: int, long: int) -> DataFrame:
+    """row_key, doc_id, line, exact, key, weight: each key of each line; a key recurs if its documents weigh enough."""
+    rows = lines.select("row_key", "doc_id", F.posexplode("lines").alias("line", "x"))
+    rows = rows.select("row_key", "doc_id", "line", "x.long", F.get("x.keys", F.lit(0)).alias("exact"), F.posexplode("x.keys").alias("place", "key"))
+    return rows.select("row_key", "doc_id", "line", "exact", "key", F.when((F.col("place") == 0) & F.col("long"), long).otherwise(usual).alias("weight"))
 
 
 def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, depth: int = DEPTH, long_words: int = LONG_WORDS,
                     long_documents: int = LONG_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """Lines that recur as they are (row_key, doc_id, line), and lines in recurring leaves (the same, leaf, exact). Stored."""
-    weights = (long_documents, min_documents, min_documents * long_documents)
+    enough = min_documents * long_documents
     lines = saved(line_keys(docs, depth, long_words), "line-keys")
-    every = F.array_distinct(F.flatten(F.transform("lines", lambda x: _weighted(x, weights))))
-    # A first count in which equal rows count as often as they stand: nothing that recurs is below it.
-    counted = lines.select(F.inline(every)).groupBy("key").agg(F.sum("weight").alias("w"))
-    likely = saved(counted.where(F.col("w") >= weights[2]).select("key"), "likely-keys")
-    placed = lines.select("row_key", "doc_id", F.posexplode("lines").alias("line", "x"))
-    keyed = placed.select("row_key", "doc_id", "line", F.col("x.exact").alias("exact"), F.explode(_weighted(F.col("x"), weights)).alias("k"))
+    keyed = _placed(lines, long_documents, min_documents)
+    # A first count in which every line of a document and every equal row counts: nothing that recurs is below it.
+    counted = keyed.groupBy("key").agg(F.sum("weight").alias("w"))
+    likely = saved(counted.where(F.col("w") >= enough).select("key"), "likely-keys")
     # What recurs grows with the corpus: merged, not broadcast, at every size.
-    hits = saved(keyed.select("row_key", "doc_id", "line", "exact", "k.key", "k.weight").join(likely.hint("merge"), "key", "left_semi"), "likely-lines")
+    hits = saved(keyed.join(likely.hint("merge"), "key", "left_semi"), "likely-lines")
     often = hits.select("key", "weight", "row_key", "doc_id").distinct().groupBy("key").agg(F.sum("weight").alias("w"))
-    often = often.where(F.col("w") >= weights[2]).select("key")
+    often = often.where(F.col("w") >= enough).select("key")
     found = saved(hits.join(often.hint("merge"), "key", "left_semi"), "recurring-lines")
     return (found.where("key = exact").select("row_key", "doc_id", "line"),
             found.where("key <> exact").select("row_key", "doc_id", "line", F.col("key").alias("leaf"), "exact"))
@@ -101,9 +103,11 @@ def different_lines(in_leaves: DataFrame, docs: DataFrame) -> DataFrame:
     several = in_leaves.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).where("a <> z").select("leaf")
     kept = saved(same.join(several.hint("merge"), "leaf", "left_semi").select("leaf", "exact", "n", "at.row_key", "at.line"), "different-lines")
     wanted = kept.groupBy("row_key").agg(F.collect_set("line").alias("_lines"))
-    rows = texts_of(docs).select(_row_key(), "text").join(wanted.hint("merge"), "row_key").dropDuplicates(["row_key"])
-    lines = rows.select("row_key", plain_lines(F.col("text")).alias("_all"), F.explode("_lines").alias("line"))
-    words = lines.select("row_key", "line", F.transform(F.split(F.get("_all", F.col("line")), " "), lambda w: F.xxhash64(w)).alias("words"))
+    rows = texts_of(docs).select(_row_key(), "text").join(wanted.hint("merge"), "row_key")
+    here = F.filter(F.transform(plain_lines(F.col("text")), lambda x, i: F.when(F.array_contains("_lines", i), F.struct(i.alias("line"), x.alias("plain")))),
+                    lambda x: x.isNotNull())
+    lines = rows.select("row_key", F.inline(here)).dropDuplicates(["row_key", "line"])
+    words = lines.select("row_key", "line", F.transform(F.split("plain", " "), lambda w: F.xxhash64(w)).alias("words"))
     return saved(kept.join(words.hint("merge"), ["row_key", "line"]).select("leaf", "exact", "n", "words"), "line-words")
 
 
@@ -136,10 +140,9 @@ def without_lines(docs: DataFrame, **shape) -> DataFrame:
     gone = dropped_lines(docs, **shape).select("row_key", F.col("doc_id").alias("_doc_id"), "lines")
     rows = texts_of(docs).withColumn("row_key", _row_key())
     rows = rows.join(gone.hint("merge"), (rows["row_key"] == gone["row_key"]) & rows["doc_id"].eqNullSafe(gone["_doc_id"]), "left")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
-    kept = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return rows.select(
         "doc_id", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"))
