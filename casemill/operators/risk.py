@@ -248,35 +248,38 @@ def document_values(pages: DataFrame, request: str = "request_id") -> DataFrame:
 #: Sets of a block, and rows that the block pairs of one task have together.
 PAIR_BLOCK = 512
 ROWS_PER_TASK = 16_384
-LOAD_RUNS = 512
+LOAD_RUNS = 64
 
 
 def block_pairs(sets: DataFrame, key: list[str], block: int = PAIR_BLOCK, load: int = ROWS_PER_TASK) -> DataFrame:
     """Rows of `sets` (key, sig, ...) once for each pair of blocks they belong to, with the pair (_i, _j) and its task (_task).
 
-    A key's sets are ranked and cut into blocks of exactly ``block``; the pairs of blocks are numbered by the running sum of
-    their rows, so a task holds about ``load`` rows whatever the size of a key, and small keys share one.
+    The sets of a key that fill more than one block are ranked and cut into blocks of exactly ``block``; pairs of blocks are
+    numbered by the running sum of their rows, so a task holds about ``load`` rows whatever the size of a key, and small
+    keys share one.
     """
-    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("sig")) - 1
-    # Ranks inside parts of a key by hash: a key of any size is ranked in many tasks.
     counts = sets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    parts = F.greatest(F.lit(1), F.floor(F.col("_n") / (4 * block))).cast("int")
-    parted = sets.join(counts, key).withColumn("_part", F.pmod(F.xxhash64("sig"), parts).cast("int"))
+    zero = F.lit(0)
+    small = in_loads(counts.filter(F.col("_n") <= block), key, "_n", load, "_task", LOAD_RUNS).drop("_n")
+    whole = sets.join(small, key).withColumns({"_b": zero, "_i": zero, "_j": zero})
+    # Ranks inside parts of a key by hash: a key of any size is ranked in many tasks.
+    large = counts.filter(F.col("_n") > block)
+    parts = F.ceil(F.col("_n") / (4 * block)).cast("int")
+    parted = sets.join(large, key).withColumn("_part", F.pmod(F.xxhash64("sig"), parts).cast("int"))
     sized = parted.groupBy(*key, "_part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_own"))
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.withColumn("_start", F.coalesce(F.sum("_own").over(before), F.lit(0)).cast("int"))
-    blocks = starts.groupBy(*key).agg(F.sum("_own").cast("int").alias("_blocks"))
-    ranked = parted.withColumn("_b", F.floor(place / block).cast("int")).join(starts.drop("_own"), [*key, "_part"])
-    ranked = ranked.withColumn("_b", F.col("_b") + F.col("_start")).join(blocks, key)
-    placed = ranked.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = placed.withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")}).drop(
-        "_part", "_start", "_blocks", "_other", "_n")
-    first = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    every = blocks.join(counts, key).select(*key, "_blocks", "_n", first.alias("_i"))
-    every = every.select(*key, "_n", "_i", F.explode(F.sequence("_i", F.col("_blocks") - 1)).alias("_j"))
-    rows = F.least(F.col("_n"), F.when(F.col("_i") == F.col("_j"), F.lit(block)).otherwise(2 * block))
-    tasks = in_loads(every.withColumn("_rows", rows), [*key, "_i", "_j"], "_rows", load, "_task", LOAD_RUNS)
-    return pairs.join(tasks.drop("_n", "_rows"), [*key, "_i", "_j"])
+    every = Window.partitionBy(*key)
+    starts = sized.select(*key, "_part", F.coalesce(F.sum("_own").over(before), zero).cast("int").alias("_start"),
+                          F.sum("_own").over(every).cast("int").alias("_blocks"))  # a row for each part
+    place = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("sig")) - 1
+    ranked = parted.withColumn("_b", F.floor(place / block).cast("int")).join(starts, [*key, "_part"])
+    ranked = ranked.withColumns({"_b": F.col("_b") + F.col("_start"), "_other": F.explode(F.sequence(zero, F.col("_blocks") - 1))})
+    met = ranked.withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")})
+    first = starts.select(*key, "_blocks").distinct().select(*key, "_blocks", F.explode(F.sequence(zero, F.col("_blocks") - 1)).alias("_i"))
+    pairs = first.select(*key, "_i", F.explode(F.sequence("_i", F.col("_blocks") - 1)).alias("_j"), F.lit(2 * block).alias("_rows"))
+    tasks = in_loads(pairs, [*key, "_i", "_j"], "_rows", load, "_task", LOAD_RUNS).drop("_rows")
+    split = met.join(tasks, [*key, "_i", "_j"]).select(*whole.columns)
+    return whole.unionByName(split)
 
 
 def _sharing_pairs(sets: DataFrame, key: list[str]) -> DataFrame:
