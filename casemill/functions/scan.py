@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,33 +131,55 @@ ALLOWED_TYPES = {
 # ----------------------------------------------------------------------------
 
 
-_HIDDEN = dict.fromkeys(int(h, 16) for h in ZERO_WIDTH[1:-1].split("\\u")[1:])
-_LOOKALIKE = str.maketrans(HOMOGLYPHS)
+_HIDDEN = [chr(int(h, 16)) for h in ZERO_WIDTH[1:-1].split("\\u")[1:]]
 
 
-def _plain(text: str | None) -> str | None:
-    if text is None:
-        return None
-    return unicodedata.normalize("NFKC", text.translate(_HIDDEN)).translate(_LOOKALIKE)
+def _plain(text: str) -> str:
+    # Looking for one character is far cheaper than mapping every one.
+    for c in _HIDDEN:
+        if c in text:
+            text = text.replace(c, "")
+    text = unicodedata.normalize("NFKC", text)
+    for c, latin in HOMOGLYPHS.items():
+        if c in text:
+            text = text.replace(c, latin)
+    return text
+
+
+def _settled(text: str) -> str:
+    """Single blanks, and runs of four or more of a character cut to one; white space is what ``SPACE`` names."""
+    words = text.split()
+    out = " ".join(words)
+    if words and text[0].isspace():
+        out = " " + out
+    if text and text[-1].isspace():
+        out += " "
+    codes = np.frombuffer(out.encode("utf-32-le"), np.uint32)
+    same = codes[1:] == codes[:-1]
+    return _LONG_RUN.sub(r"\1", out) if len(codes) > 3 and (same[2:] & same[1:-1] & same[:-2]).any() else out
+
+
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 
 
 @F.pandas_udf(StringType())
-def plain_letters(texts: pd.Series) -> pd.Series:
-    """No hidden characters, NFKC form, look-alike letters made Latin."""
-    return texts.map(_plain)
+def scan_letters(texts: pd.Series) -> pd.Series:
+    """No hidden characters, NFKC form, look-alike letters made Latin (F18), then settled."""
+    return texts.map(lambda t: None if t is None else _settled(_plain(t)))
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def plain_letters_each(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ts: None if ts is None else [_plain(t) for t in ts])
+def scan_letters_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [_settled(_plain(t)) for t in ts])
 
 
 def _other_than_ascii(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]")
+    return F.length(c) != F.octet_length(c)
 
 
 def _settle(c: Column) -> Column:
-    single = F.regexp_replace(c, rf"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
+    """As :func:`_settled`, for texts of ASCII letters."""
+    single = F.regexp_replace(c, r"[\s\x1c-\x1f]+", " ")
     return F.regexp_replace(single, r"(.)\1{3,}", "$1")
 
 
@@ -167,7 +191,7 @@ def scan_form(c: Column, window: int | None = None) -> Column:
     """
     text = F.coalesce(c, F.lit(""))
     odd = _other_than_ascii(text)
-    t = _settle(F.when(odd, plain_letters(F.when(odd, text))).otherwise(text))
+    t = F.when(odd, scan_letters(F.when(odd, text))).otherwise(_settle(text))
     return t if window is None else F.substring(t, 1, window)
 
 
@@ -180,12 +204,21 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _occurs(name: str, pattern: str, scan: str, low: str) -> str:
-    """SQL text: whether a pattern occurs in a scan form; ``low`` is its lower-case form.
+ANCHOR_WORDS = sorted({a for near in ANCHORS.values() for a in near})
+
+
+def anchors_in(low: str) -> str:
+    """SQL text: the anchors of a lower-case text, each looked for once."""
+    found = ", ".join(f"CASE WHEN contains({low}, {_quoted(a)}) THEN {_quoted(a)} END" for a in ANCHOR_WORDS)
+    return f"array_compact(array({found}))"
+
+
+def _occurs(name: str, pattern: str, scan: str, anchors: str) -> str:
+    """SQL text: whether a pattern occurs in a scan form; ``anchors`` are those of its lower-case form.
 
     The pattern tables are written out as one SQL text, parsed once, rather than as some thousand column calls.
     """
-    near = " OR ".join(f"contains({low}, {_quoted(a)})" for a in ANCHORS[name])
+    near = " OR ".join(f"array_contains({anchors}, {_quoted(a)})" for a in ANCHORS[name])
     return f"(({near}) AND {scan} RLIKE {_quoted(_regex(pattern))})"
 
 
@@ -199,12 +232,24 @@ def finding(rank: int, detector: str, severity: Column | str, points: Column | i
                     as_col(points).cast("int").alias("points"), match.alias("match"))
 
 
-def regex_findings(scan: str, low: str) -> Column:
-    """Pattern findings of a scan-form column, one per pattern, in pattern order."""
-    hits = [f"CASE WHEN {_occurs(name, p, scan, low)} THEN named_struct('rank', 0, 'detector', 'regex', 'severity', '{sev}', "
+def regex_findings(scan: str, anchors: str) -> Column:
+    """Pattern findings of a scan-form column, one per pattern, in pattern order (X1), null without any anchor; ``anchors`` as
+    by :func:`anchors_in`. Only the patterns that an anchor names are tried."""
+    hits = [f"CASE WHEN {_occurs(name, p, scan, anchors)} THEN named_struct('rank', 0, 'detector', 'regex', 'severity', '{sev}', "
             f"'points', {POINTS[sev]}, 'match', '{name}') END"
             for sev, table in (("high", HIGH_PATTERNS), ("medium", MEDIUM_PATTERNS)) for name, p in table]
-    return F.expr(f"array_compact(array({', '.join(hits)}))")
+    every = f"array_compact(array({', '.join(hits)}))"
+    return F.expr(f"CASE WHEN size({anchors}) > 0 THEN {every} END")
+
+
+def telling_words(low: Column) -> Column:
+    """The words that are a trigger word or have a keyword's first and last letter and length; all other words tell nothing."""
+    shapes = {(k[0], rf"\w{{{len(k) - 2}}}{k[-1]}") for k in FUZZY_KEYWORDS} | {(w[0], w[1:]) for w in TRIGGER_WORDS}
+    first: dict[str, list[str]] = {}
+    for c, rest in sorted(shapes):
+        first.setdefault(c, []).append(rest)
+    body = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items())
+    return F.regexp_extract_all(low, F.lit(rf"(?U)(?<!\w)((?:{body}))(?!\w)"), F.lit(1))
 
 
 def trigger_words(tokens: Column) -> Column:
@@ -238,7 +283,8 @@ def misspelled(tokens: Column) -> Column:
 
 def decoded_runs(raw: Column) -> Column:
     """Readable texts behind base64-like runs of the raw text."""
-    runs = F.regexp_extract_all(raw, F.lit(f"({BASE64_RUN})"), F.lit(1))
+    # A run begins where no character of a run stands before, so no other place is tried.
+    runs = F.regexp_extract_all(raw, F.lit(f"(?<![A-Za-z0-9+/])({BASE64_RUN})"), F.lit(1))
 
     def decode(run: Column) -> Column:
         data = F.regexp_replace(run, "=+$", "")
@@ -255,12 +301,13 @@ def decoded_runs(raw: Column) -> Column:
 
 def scan_form_each(texts: Column) -> Column:
     odd = F.exists(texts, _other_than_ascii)
-    return F.transform(F.when(odd, plain_letters_each(F.when(odd, texts))).otherwise(texts), _settle)
+    return F.when(odd, scan_letters_each(F.when(odd, texts))).otherwise(F.transform(texts, lambda t: _settle(t)))
 
 
 def speaking(texts: str) -> Column:
     """Decoded texts of an array column that hit a pattern or a trigger word."""
-    told = " OR ".join(_occurs(name, p, "t", "lower(t)") for name, p in (*HIGH_PATTERNS, *MEDIUM_PATTERNS))
+    near = lambda name: " OR ".join(f"contains(lower(t), {_quoted(a)})" for a in ANCHORS[name])
+    told = " OR ".join(f"(({near(name)}) AND t RLIKE {_quoted(_regex(p))})" for name, p in (*HIGH_PATTERNS, *MEDIUM_PATTERNS))
     listed = ", ".join(_quoted(w) for w in TRIGGER_WORDS)
     spoken = f"arrays_overlap(regexp_extract_all(lower(t), {_quoted(WORD)}, 1), array({listed}))"
     return F.expr(f"filter({texts}, t -> {spoken} OR {told})")

@@ -52,7 +52,8 @@ def findings(pages: DataFrame, text: str = "text", window: int | None = None, ma
     ship_package(pages.sparkSession)
     prepared = pages.withColumn("_scan", S.scan_form(F.col(text), window)).withColumn(
         "_coded", S.scan_form_each(S.decoded_runs(F.coalesce(F.col(text), F.lit("")))))
-    prepared = prepared.withColumn("_low", F.lower("_scan")).withColumn("_words", S.words(F.col("_low")))
+    prepared = prepared.withColumn("_low", F.lower("_scan")).withColumns({
+        "_words": S.telling_words(F.col("_low")), "_anchors": F.expr(S.anchors_in("_low"))})
     spoken = S.trigger_words(F.col("_words"))
     triggers = F.transform(spoken if max_triggers is None else F.slice(spoken, 1, max_triggers),
                            lambda w: S.finding(1, "trigger_word", "low", S.POINTS["trigger_word"], w))
@@ -60,11 +61,11 @@ def findings(pages: DataFrame, text: str = "text", window: int | None = None, ma
                         lambda m: S.finding(2, "typoglycemia", "low", S.POINTS["typoglycemia"], m))
     coded = F.transform(S.speaking("_coded"),
                         lambda _: S.finding(3, "base64_decode", "high", S.POINTS["base64_decode"], F.lit("base64_encoded_injection")))
-    out = prepared.withColumn("_signals", F.concat(S.regex_findings("_scan", "_low"), triggers, typos, coded))
+    out = prepared.withColumn("_signals", F.concat(F.coalesce(S.regex_findings("_scan", "_anchors"), F.array_except(triggers, triggers)), triggers, typos, coded))
     bonus = F.when(F.size("_signals") >= 2, F.array(
         S.finding(4, "bonus", "medium", S.POINTS["bonus"], F.lit("multi_signal_bonus"))))
     out = out.withColumn("findings", F.when(F.size("_signals") >= 2, F.concat("_signals", bonus)).otherwise(F.col("_signals")))
-    return out.drop("_scan", "_low", "_coded", "_words", "_signals")
+    return out.drop("_scan", "_low", "_coded", "_words", "_anchors", "_signals")
 
 
 def page_points() -> Column:
