@@ -368,7 +368,9 @@ def case_details(t):
                          t.facts.select("request_id", "ordinal", "evidence_id", "fact_key", "fact_value"),
                          C.latest_completed(t.decision_runs, t.decision_results).select("request_id", "decision_run_id", "decision"),
                          audit.drop("decision"))
-    main = F.coalesce(*[F.get_json_object("body", f"$.{k}") for k in ("status", "filename", "fact_key", "decision", "kind")])
+    # One field of each body is read, by its section.
+    main = F.coalesce(*[F.when(F.col("section") == name, F.get_json_object("body", f"$.{k}")) for name, k in zip(
+        C.SECTIONS, ("status", "filename", "fact_key", "decision", "kind"))])
     return rows.select("request_id", "section", "ref_id", main.alias("main"))
 
 
