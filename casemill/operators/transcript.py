@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as X
 from casemill.operators.chunks import page_lines
-from casemill.operators.common import carry_forward
+from casemill.operators.common import carry_forward, text_tasks
 
 # ---- fixed values ----------------------------------------------------------
 CODE = r"\b([A-Z]{2,6})\s*(\d{3,4}[A-Z]?)\b"
@@ -86,7 +86,7 @@ def has_table_rows(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id").distinct()
 
 
-def tabular_courses(pages: DataFrame) -> DataFrame:
+def tabular_courses(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Course rows of table-like pages, where a season may stand on an earlier line and its year on the next.
 
     Every line either sets the pending season, clears it ('') or leaves it (null); what a course line sees is the last
@@ -94,7 +94,7 @@ def tabular_courses(pages: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     seen = carry_forward(_table_lines(pages), ["doc_id"], F.floor(F.col("page_num") / PAGE_RUN), ["page_num", "line_no"],
-                         "_event", "_pending", include_current=False)
+                         "_event", "_pending", include_current=False, tasks=tasks or text_tasks(pages))
     nxt = F.coalesce("next_line", F.lit(""))
     grade = X.found(F.col("_rest"), GRADE)
     pending = F.nullif("_pending", F.lit(""))
@@ -114,9 +114,10 @@ def tabular_courses(pages: DataFrame) -> DataFrame:
                        F.try_element_at(numbers, F.lit(-1)).alias("credits"), _title(title).alias("title"))
 
 
-def free_courses(pages: DataFrame) -> DataFrame:
+def free_courses(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """Course rows of pages grouped by term or in running lines."""
-    lines = page_lines(pages.select("doc_id", "page_num", "text"), keep_blank=False)
+    tasks = tasks or text_tasks(pages)
+    lines = page_lines(pages.select("doc_id", "page_num", "text"), keep_blank=False).repartition(tasks, "doc_id", "page_num")
     line, nxt = F.col("line"), F.coalesce("next_line", F.lit(""))
     lines = _with_code(lines, table=False).withColumn("_term", X.term_in_text(line))
     header = F.col("_term").isNotNull() & ((F.length("line") < 50) | F.lower(line).startswith("term") | F.lower(line).startswith("semester"))
@@ -124,7 +125,7 @@ def free_courses(pages: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id", "page_num").orderBy("line_no").rowsBetween(-LOOK_BACK, -1)
     lines = lines.withColumn("_near", F.first("_term", ignorenulls=True).over(before))
     lines = carry_forward(lines, ["doc_id"], F.col("page_num"), ["page_num", "line_no"],
-                          "_head", "_current")
+                          "_head", "_current", tasks=tasks)
     own, other = X.found(F.col("_rest"), GRADE), X.found(nxt, GRADE)
     year = X.found(nxt, r"^(\d{4})\b")
     split_term = F.concat(F.initcap(F.lower(X.found(line, SEASON_END))), F.lit(" "), year)
@@ -143,11 +144,16 @@ def free_courses(pages: DataFrame) -> DataFrame:
 
 
 def transcript_courses(pages: DataFrame) -> DataFrame:
-    """Course rows by layout; a table-like document that gives none is read as free text."""
+    """Course rows by layout; a table-like document that gives none is read as free text.
+
+    Pages are dealt to as many tasks as their texts need, and documents are told apart there.
+    """
+    tasks = text_tasks(pages)
     kinds = layout(pages)
-    tab = pages.join(kinds.filter("layout = 'tabular'").select("doc_id"), "doc_id", "left_semi")
-    free = pages.join(has_table_rows(tab), "doc_id", "left_anti")
-    return tabular_courses(tab).unionByName(free_courses(free))
+    dealt = pages.repartition(tasks, "doc_id")
+    tab = dealt.join(kinds.filter("layout = 'tabular'").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    free = dealt.join(has_table_rows(tab).hint("merge"), "doc_id", "left_anti")
+    return tabular_courses(tab, tasks).unionByName(free_courses(free, tasks))
 
 
 def matched(courses: DataFrame, codes: DataFrame) -> DataFrame:
