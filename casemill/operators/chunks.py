@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as X
+from casemill.operators.common import text_tasks
 
 # ---- fixed values ----------------------------------------------------------
 MAX_CHARS = 900
@@ -104,11 +105,13 @@ def cite_facts(facts: DataFrame, pages: DataFrame, chunks: DataFrame, scanned_pa
     early = (pages if scanned_pages is None else pages.filter(F.col("page_num") <= scanned_pages)).select(
         "doc_id", "page_num", F.lower(X.squeeze(F.coalesce("text", F.lit("")))).alias("_hay"))
     asked = facts.withColumn("_keys", F.concat(wanted, F.coalesce(value, F.array().cast("array<string>"))))
-    hit = asked.join(early, "doc_id").filter(F.exists("_keys", lambda k: F.col("_hay").contains(k)))
+    # Facts, pages and chunks all grow with the documents: each join deals both sides out, by the size of the texts.
+    tasks = text_tasks(pages)
+    hit = asked.join(early.repartition(tasks, "doc_id").hint("merge"), "doc_id").filter(F.exists("_keys", lambda k: F.col("_hay").contains(k)))
     hit = hit.select("doc_id", "fact_key", "page_num")
-    first = asked.select("doc_id", "fact_key").join(hit.select("doc_id", "fact_key").distinct(), ["doc_id", "fact_key"], "left_anti")
+    first = asked.select("doc_id", "fact_key").join(hit.select("doc_id", "fact_key").distinct().hint("merge"), ["doc_id", "fact_key"], "left_anti")
     cited = hit.unionByName(first.withColumn("page_num", F.lit(1)))
-    return cited.join(chunks, ["doc_id", "page_num"])
+    return cited.join(chunks.repartition(tasks, "doc_id", "page_num").hint("merge"), ["doc_id", "page_num"])
 
 
 def document_manifest(documents: DataFrame, pages: DataFrame, chunks: DataFrame, evidence: DataFrame) -> DataFrame:
