@@ -5,20 +5,26 @@ from __future__ import annotations
 import json
 from dataclasses import fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill import schemas
 from casemill.operators.decision import Policy
 
 
-def read_payloads(spark: SparkSession, path: str, case: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cases, facts) of payload files, one JSON object per file; the place in the file orders the facts.
+def read_payloads(spark: SparkSession, path: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cases, facts) of payload files; the place in the payload orders the facts.
 
-    A case is named by its file, or by ``case``, which may use the columns of partition folders.
+    A file holds one JSON object, and its name names the case. With ``key``, a field and its type, files hold an object on
+    each line, and that field names the case: so many cases need few files.
     """
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "") if case is None else case
-    raw = spark.read.schema(schemas.PAYLOAD).json(path, multiLine=True).withColumn("request_id", name)
+    if key is None:
+        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+        raw = spark.read.schema(schemas.PAYLOAD).json(path, multiLine=True).withColumn("request_id", name)
+    else:
+        raw = spark.read.schema(f"{key}, {schemas.PAYLOAD}").json(path).withColumnRenamed(key.split()[0], "request_id")
     cases = raw.select("request_id", F.col("_target_course_requested").alias("course_requested"),
                        F.upper(F.nullif(F.trim("_expected_decision"), F.lit(""))).alias("expected"),
                        F.coalesce("_description", F.lit("")).alias("description"))
