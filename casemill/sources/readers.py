@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import fields
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from casemill import schemas
 from casemill.operators.decision import Policy
+from casemill.session import ship_package
 
 
 def read_payloads(spark: SparkSession, path: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -85,11 +88,40 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
                         "modificationTime", F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 16).alias("head"))
 
 
+def _shown(name: str) -> bool:
+    """Whether Spark's own readers would see a file or folder of that name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
 def case_folders(spark: SparkSession, path: str, least: int = 2, pattern: str = "*.pdf") -> DataFrame:
-    """Folders that hold at least ``least`` files of a kind: one case each (S8). No file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    per_folder = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("case_name")).groupBy("case_name")
-    return per_folder.agg(F.count(F.lit(1)).alias("n_files")).filter(F.col("n_files") >= least)
+    """Folders that hold at least ``least`` files of a kind: one case each (S8). No file is opened.
+
+    The driver lists the first level alone; each folder of it is listed by a task, and only counts leave the tasks.
+    ``pattern`` is a file name with ``*`` and ``?``.
+    """
+    ship_package(spark)
+    system, base = fs.FileSystem.from_uri(path)
+    top = [f for f in system.get_file_info(fs.FileSelector(base)) if _shown(f.base_name)]
+    folders = [f.path for f in top if f.type == fs.FileType.Directory]
+    own = sum(f.type == fs.FileType.File and fnmatchcase(f.base_name, pattern) for f in top)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files, waiting, names, counts = fs.FileSystem.from_uri(path)[0], [folder], [], []
+                while waiting:
+                    at = waiting.pop()
+                    found = [f for f in files.get_file_info(fs.FileSelector(at)) if _shown(f.base_name)]
+                    waiting.extend(f.path for f in found if f.type == fs.FileType.Directory)
+                    names.append(at.rstrip("/").rsplit("/", 1)[-1])
+                    counts.append(sum(f.type == fs.FileType.File and fnmatchcase(f.base_name, pattern) for f in found))
+                yield pa.RecordBatch.from_pydict({"case_name": names, "n": pa.array(counts, pa.int64())})
+
+    schema = "case_name string, n long"
+    rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, min(len(folders), 1000)))
+    counts = rows.mapInArrow(listed, schema).unionByName(spark.createDataFrame([(base.rstrip("/").rsplit("/", 1)[-1], own)], schema))
+    per_folder = counts.groupBy("case_name").agg(F.sum("n").alias("n_files"))
+    return per_folder.filter((F.col("n_files") >= least) & (F.col("n_files") > 0))
 
 
 def active_run_facts(facts: DataFrame, runs: DataFrame) -> DataFrame:
