@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as X
 from casemill.operators import decision as D
+from casemill.operators.common import saved
 
 #: Letters of a run; shorter texts are looked up whole.
 RUN = 3
@@ -77,6 +78,8 @@ def with_hits(cases: DataFrame, kinds: dict[str, tuple[str, str]], case: str = "
 
     ``kinds`` names the array columns of required and found items. :func:`decision.decide` takes the columns as they are.
     """
+    # Four lists are read from the cases, each of them twice, and the cases once more.
+    cases = saved(cases, "cases-with-items")
     required = found = None
     for kind, (need, have) in kinds.items():
         name = F.lit(kind).alias("kind")
