@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.session import shared_dir, ship_package
+from casemill.session import shared_dir, ship_package, small_batches
 
 ROWS_PER_CHUNK = 256
 
@@ -40,15 +40,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ready(spark: SparkSession) -> None:
-    """Sends the package, and has whole texts handed to Python a thousand at a time unless the session says otherwise:
-    at the usual ten thousand, a batch of long texts would fill the memory beside an executor's heap."""
+    """Sends the package, and has whole texts handed to Python in small batches."""
     ship_package(spark)
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+    small_batches(spark)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
