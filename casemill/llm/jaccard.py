@@ -11,7 +11,7 @@ Signatures are dealt to buckets as packed arrays, one row for each batch and buc
 number of words. A bucket yields the pairs of sets that share a signature. Where many sets share one, only the pairs
 with its smallest id are formed, and those sets are joined once more by coarser partitions with larger subsets, which
 passages that many documents share no longer fill. What shares even such a signature and is not yet in one component is
-compared pair by pair between components, so no link is lost.
+compared pair by pair between components, so no link is lost; tasks return sets and links that join components, not pairs.
 
 Pairs are verified by exact intersections, after a bit sketch whose distance never exceeds that of the sets. First each
 set is compared with its smallest partner; pairs that these links already connect need no look.
@@ -215,10 +215,14 @@ def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | N
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), stars, ~(crowded & ~new)
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
+
+
 def _pairs_of(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     ends = nodes[rows]
-    ends = ends[ends[:, 0] != ends[:, 1]]
-    return np.unique(np.sort(ends, axis=1), axis=0) if len(ends) else ends
+    return _distinct(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1))
 
 
 def _found(pairs: np.ndarray, stars: np.ndarray, star_sigs: np.ndarray) -> dict:
@@ -347,14 +351,16 @@ def _close(percent: int):
     return F.pandas_udf(close, "boolean")
 
 
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets are similar, by their whole intersection."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
+
+
 def _similar(percent: int):
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            out.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([linked(p, q, percent) for p, q in zip(x, y)], dtype=bool)
 
     return F.pandas_udf(similar, "boolean")
 
@@ -445,72 +451,148 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHING
 
 def _folded(bits: list[bytes]) -> np.ndarray:
     """Sketches as rows of 64-bit words, folded to the size of the shortest."""
-    size = min(map(len, bits))
+    lengths = np.fromiter(map(len, bits), np.int64, len(bits))
+    size = int(lengths.min())
     out = np.empty((len(bits), size // 8), np.uint64)
-    for k, x in enumerate(bits):
-        out[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        own = np.frombuffer(b"".join([bits[k] for k in at]), np.uint64)
+        out[at] = np.bitwise_xor.reduce(own.reshape(len(at), -1, size // 8), axis=1)
     return out
 
 
-def _close_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components whose sketches are close, from rows of sig, i, j, rest, node, component, n, bits.
+#: Of a set's signatures, the smallest so many go with it, by which its pairs are told from those of other signatures.
+LEAST = [f"s{k}" for k in range(8)]
+
 
-    A block of sets outside a signature's main component meets a block of all its sets; only close pairs leave the task.
+def _blocks_of(frame: pd.DataFrame) -> Iterator[tuple[int, dict]]:
+    """The signature and the columns of each block, `least` as one array."""
+    columns = {c: frame[c].to_numpy() for c in frame.columns if c not in LEAST} | {"least": frame[LEAST].to_numpy()}
+    order = np.lexsort((columns["j"], columns["i"], columns["sig"]))
+    columns = {c: v[order] for c, v in columns.items()}
+    new = np.zeros(len(order), bool)
+    for c in ("sig", "i", "j"):
+        new[1:] |= columns[c][1:] != columns[c][:-1]
+    for low, high in zip([0, *np.flatnonzero(new)], [*np.flatnonzero(new), len(order)]):
+        yield int(columns["sig"][low]), {c: v[low:high] for c, v in columns.items()}
+
+
+def _close_in_block(sig: int, block: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of sets of different components whose sketches are close, those outside the main component with all.
+
+    Pairs that share a smaller signature among their smallest ones are left to that one: at the smallest signature that
+    two sets share they always come.
     """
-    def meet(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, block in frame.groupby(["sig", "i", "j"], sort=False):
-            words, n, part, node = _folded(block["bits"].tolist()), *(block[c].to_numpy() for c in ("n", "component", "node"))
-            rest = block["rest"].to_numpy(bool)
-            mine, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
-            for low in range(0, len(mine), 32):
-                at = mine[low:low + 32]
-                apart = np.bitwise_count(words[at][:, None, :] ^ words[all_][None, :, :]).sum(axis=2, dtype=np.int64)
-                both, less, more = n[at][:, None] + n[all_], np.minimum(n[at][:, None], n[all_]), np.maximum(n[at][:, None], n[all_])
-                good = (apart * (100 + percent) <= (100 - percent) * both) & (100 * less >= percent * more) & (part[at][:, None] != part[all_])
-                x, y = np.nonzero(good)
-                found.append(np.sort(np.stack([node[at[x]], node[all_[y]]], axis=1), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return rows.groupBy("bucket").applyInPandas(meet, "a long, b long").distinct()
+    words, n, part, least = _folded(block["bits"].tolist()), block["n"], block["component"], block["least"]
+    rest = block["rest"].astype(bool)
+    mine, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
+    for low in range(0, len(mine), 32):
+        at = mine[low:low + 32]
+        apart = np.bitwise_count(words[at][:, None, :] ^ words[all_][None, :, :]).sum(axis=2, dtype=np.int64)
+        both, less, more = n[at][:, None] + n[all_], np.minimum(n[at][:, None], n[all_]), np.maximum(n[at][:, None], n[all_])
+        good = (apart * (100 + percent) <= (100 - percent) * both) & (100 * less >= percent * more) & (part[at][:, None] != part[all_])
+        x, y = np.nonzero(good)
+        x, y = at[x], all_[y]
+        elsewhere = np.zeros(len(x), bool)
+        for c in range(len(LEAST)):
+            elsewhere |= (least[x, c] < sig) & (least[y] == least[x, c][:, None]).any(axis=1)
+        yield x[~elsewhere], y[~elsewhere]
+
+
+def close_rows(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(sig, node) of the sets that are close to one of another component, at most the rows there are."""
+    sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for sig, block in _blocks_of(frame):
+        ends = [np.concatenate(found) for found in _close_in_block(sig, block, percent)]
+        nodes.append(np.unique(block["node"][np.concatenate([np.zeros(0, np.int64), *ends])]))
+        sigs.append(np.full(len(nodes[-1]), sig, np.int64))
+    pairs = _distinct(np.stack([np.concatenate(sigs), np.concatenate(nodes)], axis=1))
+    return pd.DataFrame({"sig": pairs[:, 0], "node": pairs[:, 1]})
+
+
+def joining_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join components, fewer than there are components: close pairs are compared by their whole sets unless
+    links found before have joined them."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for sig, block in _blocks_of(frame):
+        node, part, features = block["node"].tolist(), block["component"].tolist(), block["features"].tolist()
+        for found in _close_in_block(sig, block, percent):
+            for x, y in zip(*(ends.tolist() for ends in found)):
+                p, q = top(part[x]), top(part[y])
+                if p != q and linked(features[x], features[y], percent):
+                    up[max(p, q)] = min(p, q)
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 BLOCK_SETS = 1024
 BLOCK_ROWS_PER_BUCKET = 20_000
+#: Sets that go whole weigh one more for each so many features.
+FEATURES_PER_ROW = 256
 
 
-def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares the sets at a crowded signature that are still in different components.
+def _in_blocks(rows: DataFrame, traits: DataFrame, meet, schema: str, percent: int) -> DataFrame:
+    """`meet` over blocks of the sets at each signature that are not in one component.
 
-    Signatures with the same sets count as one. Sets outside a signature's largest component are compared with all of its
-    sets, block by block; the number of tasks follows the rows that all blocks have together, so a signature of any size
-    is spread over tasks of bounded size.
+    `rows` has sig, node, component and load; `traits` what goes with a node. Sets outside a signature's largest component
+    meet all of its sets, block by block; the number of tasks follows the load that all blocks have together, so a
+    signature of any size is spread over tasks of bounded size.
     """
-    both = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
-    rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
-    # Leaving out any sub-partition in which none of the sets has a feature gives the same sets again.
-    member = F.xxhash64("node")
-    alike = rows.groupBy("sig").agg(F.bit_xor(member).alias("x"), F.sum(F.pmod(member, F.lit(1 << 31))).alias("s"), F.count("*").alias("n"))
-    one = alike.groupBy("x", "s", "n").agg(F.min("sig").alias("sig")).select("sig")
-    rows = saved(rows.join(one.hint("merge"), "sig", "left_semi"), "crowded-rows")
-    sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("sig", "component").agg(F.sum("load").alias("n"))
     open_ = sizes.groupBy("sig").agg(F.count("*").alias("k"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"),
                                      F.max_by("component", F.struct("n", "component")).alias("main")).where("k > 1")
     open_ = saved(open_.select("sig", "main", "n_all", (F.col("n_all") - F.col("n_main")).alias("n_rest"), F.ceil(F.col("n_all") / BLOCK_SETS).cast("int").alias("n_j"),
                                F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK_SETS).cast("int").alias("n_i")), "open-signatures")
-    known = rows.join(open_.drop("n_all", "n_rest"), "sig").join(sets.select(F.col("doc_id").alias("node"), "n", "bits"), "node")
+    known = rows.drop("load").join(open_.drop("n_all", "n_rest"), "sig").join(traits, "node")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["sig", "node", "component", "n", "bits"]
+    columns = ["sig", "component", *traits.columns]
     rest = known.where("component <> main").select(*columns, F.lit(True).alias("rest"), place("n_i").alias("i"), upto("n_j").alias("j"))
     all_ = known.select(*columns, F.lit(False).alias("rest"), place("n_j").alias("j"), upto("n_i").alias("i"))
     blocks = rest.unionByName(all_)
     weight = F.col("n_rest") * F.col("n_j") + F.col("n_all") * F.col("n_i")
     buckets = max(16, math.ceil(open_.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] / BLOCK_ROWS_PER_BUCKET))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(buckets)).cast("int"))
-    more = _verified(saved(_close_in_blocks(blocks, percent), "open-pairs"), sets, percent)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return meet(frame, percent)
+
+    return blocks.groupBy("bucket").applyInPandas(run, schema).distinct()
+
+
+def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Compares the sets at a crowded signature that are still in different components.
+
+    Signatures with the same sets count as one. First the sets are found that are close to another one by their sketches;
+    only these are compared whole, and only links that join components leave the tasks.
+    """
+    both = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
+    rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
+    # Leaving out any sub-partition in which none of the sets has a feature gives the same sets again.
+    member = F.xxhash64("node")
+    alike = rows.groupBy("sig").agg(F.bit_xor(member).alias("x"), F.sum(F.pmod(member, F.lit(1 << 31))).alias("s"), F.count("*").alias("n"))
+    one = alike.groupBy("x", "s", "n").agg(F.min("sig").alias("sig")).select("sig")
+    rows = saved(rows.join(one.hint("merge"), "sig", "left_semi"), "crowded-rows")
+    least = rows.groupBy("node").agg(F.array_sort(F.collect_list("sig")).alias("s"))
+    least = least.select("node", *[F.coalesce(F.get("s", F.lit(k)), F.lit((1 << 63) - 1)).alias(c) for k, c in enumerate(LEAST)])
+    traits = saved(sets.select(F.col("doc_id").alias("node"), "n", "bits").join(least.hint("merge"), "node"), "set-traits")
+    close = saved(_in_blocks(rows.withColumn("load", F.lit(1)), traits, close_rows, "sig long, node long", percent), "close-rows")
+    if close.isEmpty():
+        return labels
+    load = traits.select("node", F.ceil(1 + F.col("n") / FEATURES_PER_ROW).alias("load"))
+    rows = saved(rows.join(close.hint("merge"), ["sig", "node"], "left_semi").join(load, "node"), "close-rows")
+    wanted = sets.select(F.col("doc_id").alias("node"), "features").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
+    whole = saved(traits.join(wanted.hint("merge"), "node"), "close-sets")
+    more = saved(_in_blocks(rows, whole.hint("merge"), joining_links, "a long, b long", percent), "links")
     if more.isEmpty():
         return labels
     # The components found so far are the nodes that the new links join.

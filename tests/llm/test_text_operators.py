@@ -127,6 +127,36 @@ def test_links_to_a_crowd_of_another_pack(spark, monkeypatch):
     assert {r.component_id for r in out.collect()} == {1, 71}
 
 
+def kept_tables(monkeypatch):
+    """The tables that the join stores from here on, by name."""
+    kept, plain = {}, jaccard.saved
+
+    def saved(df, name):
+        kept.setdefault(name, []).append(plain(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    return kept
+
+
+def test_settling_a_crowd_gives_no_more_rows_than_it_has(spark, monkeypatch):
+    """Sixty sets of which all are similar, and sixty that share nearly as much and are not, at five signatures."""
+    words = [f"w{k}" for k in range(200)]
+    texts = {i: " ".join(words[:i % 7] + [f"own{i}"] + words[i % 7:]) for i in range(1, 61)}
+    # Two words far apart cost ten shingles of either set: 168 of 224 is similar, 158 of 234 is not.
+    texts |= {i: " ".join(f"own{i}x{k}" if k % 33 == 16 else w for k, w in enumerate(words)) for i in range(61, 121)}
+    rows = [row(i, t) for i, t in texts.items()]
+    sets = jaccard._sets(spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "true AS crowded"), jaccard.SHINGLE_WORDS)
+    at = {-5: range(1, 121), 1: range(1, 80), 2: range(40, 121), 3: range(1, 121, 2), 4: range(2, 121, 2)}
+    stars = spark.createDataFrame([(s, min(ids), i) for s, ids in at.items() for i in ids], "sig long, a long, b long")
+    none = spark.createDataFrame([], "node long, component long")
+    kept = kept_tables(monkeypatch)
+    labels = {r.node: r.component for r in jaccard._settle(stars, none, none, sets, jaccard.PERCENT).collect()}
+    assert {(i, labels.get(i, i)) for i in texts} == {(i, c) for i, _, c in near_duplicate_classes(rows)}
+    members = sum(map(len, at.values()))
+    assert all(t.count() <= members for name, found in kept.items() for t in found)
+
+
 def test_one_of_each_near_copy(spark):
     rows = crowd_rows()
     left = jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA))
