@@ -189,6 +189,18 @@ def _unpack(data: bytes, size: int = 8) -> np.ndarray:
 SIGNATURE_BYTES = 6
 
 
+def _ordered(sigs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The order by signature and node; only rows of repeated signatures are sorted by both."""
+    order = np.argsort(sigs)
+    same = sigs[order[1:]] == sigs[order[:-1]]
+    many = np.zeros(len(order), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    held = order[many]
+    order[many] = held[np.lexsort((nodes[held], sigs[held]))]
+    return order
+
+
 def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows ordered by signature and node: pairs of rows that share a signature; (smallest, other) rows of crowded
     signatures; and a mask of the rows left when the others of crowded ones go. Signatures in `sent` are crowded at any
@@ -237,7 +249,7 @@ FOUND = "kind byte, a long, b long, n long, sig long"
 PACKS = "bucket int, kind byte, x binary, y binary, z binary"
 
 
-def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: int, crowd: int) -> DataFrame:
+def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: int, crowd: int, named: bool) -> DataFrame:
     """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2), and
     the crowded signatures themselves (3).
 
@@ -257,7 +269,7 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
         nodes = np.repeat(ids[one], [len(s) for s in own])
         bucket = (sigs >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
         keys48 = (bucket << np.uint64(48)) | (sigs & np.uint64((1 << 48) - 1))
-        order = np.lexsort((nodes, keys48))
+        order = _ordered(keys48, nodes)
         keys48, nodes = keys48[order], nodes[order]
         _, stars, left = shared(keys48, nodes, crowd)
         if len(stars):
@@ -267,8 +279,12 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
                 rows = where == k
                 # The stars of a pack go to any bucket: a signature's own one gets only its number, however many sets share it.
                 spread = int(spread_mix(ids[:1].view(np.uint64) + np.uint64(k))[0] % np.uint64(buckets))
-                yield spread, 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(keys48[stars[rows, 1]])
+                if named:
+                    yield spread, 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(keys48[stars[rows, 1]])
                 yield int(k), 3, _pack(np.unique(low[rows])), b"", b""
+            if not named:
+                a, b = _distinct(nodes[stars]).T
+                yield spread, 2, _pack(a), _pack(b), b""
         keys48, nodes = keys48[left], nodes[left]
         bucket = (keys48 >> np.uint64(48)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
@@ -300,14 +316,17 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
     return docs.mapInArrow(run, PACKS)
 
 
-def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int = PERCENT, width: int = SHINGLE_WORDS, crowd: int = CROWD) -> DataFrame:
-    """Rows of kind 0 (doc_id a, key b, size n), 1 (a and b share a signature), 2 (a smallest, b other at crowded `sig`)."""
+def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int = PERCENT, width: int = SHINGLE_WORDS, crowd: int = CROWD, named: bool = True) -> DataFrame:
+    """Rows of kind 0 (doc_id a, key b, size n), 1 (a and b share a signature), 2 (a smallest, b other at crowded `sig`).
+
+    Unless `named`, rows of kind 2 have sig 0 and come once for each pack and bucket, not for each signature.
+    """
 
     def meet(key: tuple, packs: pd.DataFrame) -> pd.DataFrame:
         own = packs[packs["kind"] == 0]
         sigs = np.concatenate([_unpack(x, SIGNATURE_BYTES) for x in own["x"]] or [np.zeros(0, np.uint64)])
         nodes = np.concatenate([_unpack(y) for y in own["y"]] or [np.zeros(0, np.uint64)]).view(np.int64)
-        order = np.lexsort((nodes, sigs))
+        order = _ordered(sigs, nodes)
         sigs, nodes = sigs[order], nodes[order]
         sent = packs[packs["kind"] == 2]
         # What a pack found crowded is crowded for all packs, however few rows they left.
@@ -316,6 +335,9 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
         # Signatures are told apart across buckets by the bucket number on top.
         here = sigs[stars[:, 1]] | (np.uint64(key[0]) << np.uint64(48))
         star_sigs = np.concatenate([here, *[_unpack(z) for z in sent["z"]]]).view(np.int64)
+        if not named:
+            star_ends = _distinct(star_ends)
+            star_sigs = np.zeros(len(star_ends), np.int64)
         out = _found(_pairs_of(nodes, pairs), star_ends, star_sigs)
         for x, y, z in zip(*(packs.loc[packs["kind"] == 1, c] for c in "xyz")):
             ids, sizes, keys = (_unpack(c).view(np.int64) for c in (x, y, z))
@@ -325,7 +347,7 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
         trim_memory()
         return pd.DataFrame(out)
 
-    return _deal(docs, scheme, buckets, percent, width, crowd).groupBy("bucket").applyInPandas(meet, FOUND)
+    return _deal(docs, scheme, buckets, percent, width, crowd, named).groupBy("bucket").applyInPandas(meet, FOUND)
 
 
 # ---- verification ----
@@ -397,7 +419,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     # About 1.3 signatures come from a word of the first scheme and 4 of the second; a word and its blank have some six characters.
     chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(chars / 4.6 / SIGNATURES_PER_BUCKET))
-    found = saved(share_signatures(known, SCHEMES[0], buckets, percent, width, crowd), "signature-pairs")
+    found = saved(share_signatures(known, SCHEMES[0], buckets, percent, width, crowd, named=False), "signature-pairs")
     own = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
     # The smallest document of equal sets stands for them.
     heads = saved(own.groupBy("key", "n").agg(F.min("doc_id").alias("head")), "set-heads")
@@ -408,9 +430,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
         named = _relabelled(rows, heads_of, ("a", "b")).where("la <> lb")
         return named.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
 
-    met = found.where("kind > 0").select("a", "b", "kind")
+    # A pair is found in many buckets, the more the more there are: from here on it comes once.
+    met = saved(found.where("kind > 0").groupBy("a", "b").agg(F.max("kind").alias("kind")), "met-pairs")
     # Of every set that shares a signature: whether one of them was crowded.
-    # Summed up before it is joined: a pair is found in many buckets.
     nodes = met.select(F.explode(F.array("a", "b")).alias("node"), "kind").groupBy("node").agg(F.bool_or(F.col("kind") == 2).alias("crowded"))
     ends = _relabelled(nodes, heads_of, ("node",)).groupBy(F.col("lnode").alias("doc_id")).agg(F.bool_or("crowded").alias("crowded"))
     ends = saved(ends, "candidate-ends")

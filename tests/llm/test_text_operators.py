@@ -157,6 +157,15 @@ def test_settling_a_crowd_gives_no_more_rows_than_it_has(spark, monkeypatch):
     assert all(t.count() <= members for name, found in kept.items() for t in found)
 
 
+def test_sets_of_one_crowd_meet_once_for_all_signatures(spark, monkeypatch):
+    own, other = crowd_in_one_pack()
+    kept = kept_tables(monkeypatch)
+    out = jaccard.near_duplicates(spark.createDataFrame(own + other, SCHEMA).coalesce(1))
+    assert got(out) == near_duplicate_classes(own + other)
+    first = kept["signature-pairs"][0]
+    assert 0 < first.where("kind = 2").count() <= 16 * len(own + other)
+
+
 def test_one_of_each_near_copy(spark):
     rows = crowd_rows()
     left = jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA))
