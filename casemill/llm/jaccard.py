@@ -8,13 +8,15 @@ needs only the first partitions, as many as its own largest possible distance ca
 projection is left out wherever the bound shows that another one is shared as well.
 
 Signatures are dealt to buckets as packed arrays, one row for each batch and bucket; the number of buckets grows with the
-number of words. A bucket yields the pairs of sets that share a signature. Where many sets share one, only the pairs
+number of words. A bucket yields the pairs of sets that share a signature, but for those of unlike size and those of two sets
+that both have the signature for the sake of larger partners: these meet in their own band as well. Where many sets share one, only the pairs
 with its smallest id are formed, and those sets are joined once more by coarser partitions with larger subsets, which
 passages that many documents share no longer fill. What shares even such a signature and is not yet in one component is
 compared pair by pair between components, so no link is lost; tasks return sets and links that join components, not pairs.
 
-Pairs are verified by exact intersections, after a bit sketch whose distance never exceeds that of the sets. First each
-set is compared with its smallest partner; pairs that these links already connect need no look.
+Pairs are verified by exact intersections, after a bit sketch whose distance never exceeds that of the sets. Sketches come
+with the first signatures; whole sets are made from the texts again, of close pairs alone, so features are never stored for
+all documents. First each set is compared with its smallest partner; pairs that these links already connect need no look.
 
 Null or empty texts have no features and link with nothing; equal sets are one node; rows with equal doc_id are one
 node; a row without doc_id links with nothing and has no component. Empty tables give no rows. All words of a text count.
@@ -23,7 +25,7 @@ node; a row without doc_id links with nothing and has no component. Empty tables
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -42,7 +44,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 #: More sets than this at one signature are not paired off inside the bucket.
 CROWD = 16
-SIGNATURES_PER_BUCKET = 1_500_000
+SIGNATURES_PER_BUCKET = 750_000
 #: Bits of a sketch for each feature at least, and of a sketch at least and at most.
 SKETCH_RATE, SKETCH_LEAST, SKETCH_MOST = 2, 512, 1 << 14
 #: Documents whose signatures are packed together.
@@ -71,14 +73,20 @@ def set_key(features: np.ndarray) -> int:
     return int(spread_mix(np.array([total + np.uint64(len(features))], np.uint64)).view(np.int64)[0])
 
 
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set of this size."""
+    bits = SKETCH_LEAST
+    while bits < min(SKETCH_MOST, SKETCH_RATE * size):
+        bits *= 2
+    return bits
+
+
 def sketch(features: np.ndarray) -> bytes:
     """Parities of the features by their low bits: two sets differ in no more bits than features.
 
     The size follows the set's and is a power of two, so the longer of two sketches can be folded onto the shorter.
     """
-    bits = SKETCH_LEAST
-    while bits < min(SKETCH_MOST, SKETCH_RATE * len(features)):
-        bits *= 2
+    bits = sketch_bits(len(features))
     places = (features & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -140,8 +148,31 @@ def _layout(scheme: Scheme, top: int, percent: int):
     return partitions, bounds, scheme.subsets(), scheme.agreeing()
 
 
-def signatures(features: np.ndarray, scheme: Scheme, percent: int = PERCENT) -> np.ndarray:
-    """64-bit signatures of a set; two sets with a Jaccard similarity of `percent` or more share one."""
+#: The low bits of a marked signature: whether it is one of the set's own band, and the set's size.
+MARK_BITS, OWN_BAND = 8, 128
+#: Steps of the size in a mark while it grows from one size to the largest that is similar; seven bits of it are kept.
+SIZE_STEPS = 32
+
+
+def marks(size: int, percent: int) -> tuple[int, int]:
+    """The marks of a set's signatures for its own band and for the next one."""
+    step = int(math.log(size) / math.log(100 / percent) * SIZE_STEPS) % OWN_BAND if percent < 100 else 0
+    return OWN_BAND | step, step
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of sets that share a signature, by its marks: whether their sizes leave room for the similarity and none of their own
+    bands is below that of the signature. Two sets of the band below share a signature of that band as well."""
+    apart = (x - y) % OWN_BAND
+    # Two steps for rounding. Sets that share a signature are at most two bands apart, which does not wrap to a small number.
+    return ((x | y) >= OWN_BAND) & (np.minimum(apart, OWN_BAND - apart) <= SIZE_STEPS + 2)
+
+
+def signatures(features: np.ndarray, scheme: Scheme, percent: int = PERCENT, marked: bool = False) -> np.ndarray:
+    """64-bit signatures of a set; two sets with a Jaccard similarity of `percent` or more share one.
+
+    If `marked`, the low bits of each are its mark.
+    """
     size = len(features)
     if not size:
         return np.zeros(0, np.uint64)
@@ -149,7 +180,7 @@ def signatures(features: np.ndarray, scheme: Scheme, percent: int = PERCENT) ->
     band = int(np.searchsorted(tops, size))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread_mix(features), dtype=np.uint64)])
     out = []
-    for tag in (band, band + 1):
+    for tag, mark in zip((band, band + 1), marks(size, percent)):
         top = int(tops[tag])
         partitions, bounds, subsets, agreeing = _layout(scheme, top, percent)
         at = np.append(np.searchsorted(features, bounds), size)
@@ -168,6 +199,8 @@ def signatures(features: np.ndarray, scheme: Scheme, percent: int = PERCENT) ->
         place = np.arange(enough * values.shape[1], dtype=np.uint64)
         salt = np.uint64(((tag << 40) + scheme.misses * 1_000_003) * 0xE7037ED1A0B428DB % (1 << 64))
         values = spread_mix(values[:enough].ravel() ^ spread_mix(place * np.uint64(0x8EBC6AF09C88C6E3) + salt))
+        if marked:
+            values = values >> np.uint64(MARK_BITS) << np.uint64(MARK_BITS) | np.uint64(mark)
         out.append(values[counts[:enough].ravel() > 0] if bound.any() else values)
     return np.concatenate(out)
 
@@ -201,10 +234,17 @@ def _ordered(sigs: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return order
 
 
-def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unmarked(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures without marks, and their marks."""
+    low = np.uint64((1 << MARK_BITS) - 1)
+    return sigs & ~low, (sigs & low).astype(np.int16)
+
+
+def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows ordered by signature and node: pairs of rows that share a signature; (smallest, other) rows of crowded
     signatures; and a mask of the rows left when the others of crowded ones go. Signatures in `sent` are crowded at any
-    number of rows: others of them have gone before."""
+    number of rows: others of them have gone before. If `own` tells the rows of sets' own bands, signatures that are in none
+    are not crowded for want of pairs."""
     if not len(sigs):
         return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool)
     new = np.append(True, sigs[1:] != sigs[:-1])
@@ -212,9 +252,11 @@ def shared(sigs: np.ndarray, nodes: np.ndarray, crowd: int, sent: np.ndarray | N
     run = np.cumsum(new) - 1
     length = np.diff(np.append(first, len(sigs)))[run]
     crowded = length > crowd
+    if own is not None:
+        crowded &= np.logical_or.reduceat(own, first)[run]
     if sent is not None and len(sent):
         crowded |= np.isin(sigs, sent)
-    small = np.flatnonzero((length > 1) & ~crowded)
+    small = np.flatnonzero((length > 1) & (length <= crowd) & ~crowded)
     pairs = []
     for step in range(1, crowd):
         low = small[small + step < len(sigs)]
@@ -242,16 +284,16 @@ def _found(pairs: np.ndarray, stars: np.ndarray, star_sigs: np.ndarray) -> dict:
     n, m = len(pairs), len(stars)
     return {"kind": np.repeat(np.array([1, 2], np.int8), [n, m]), "a": np.concatenate([pairs[:, 0], stars[:, 0]]),
             "b": np.concatenate([pairs[:, 1], stars[:, 1]]), "n": np.zeros(n + m, np.int64),
-            "sig": np.concatenate([np.zeros(n, np.int64), star_sigs])}
+            "sig": np.concatenate([np.zeros(n, np.int64), star_sigs]), "bits": np.full(n + m, None)}
 
 
-FOUND = "kind byte, a long, b long, n long, sig long"
-PACKS = "bucket int, kind byte, x binary, y binary, z binary"
+FOUND = "kind byte, a long, b long, n long, sig long, bits binary"
+PACKS = "bucket int, kind byte, x binary, y binary, z binary, bits binary"
 
 
 def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: int, crowd: int, named: bool) -> DataFrame:
-    """Packed rows by bucket: signatures with their documents (0), documents with size and key (1), crowded stars (2), and
-    the crowded signatures themselves (3).
+    """Packed rows by bucket: signatures with their documents (0), documents with size, key and sketch (1, unless
+    `named`), crowded stars (2), and the crowded signatures themselves (3).
 
     `docs` has doc_id and either text or features.
     """
@@ -261,16 +303,18 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
         ids = np.array([d for d, _ in held], np.int64)
         keys = np.array([set_key(f) for _, f in held], np.int64)
         sizes = np.array([len(f) for _, f in held], np.int64)
-        # Any bucket will do for this list; its first id spreads the lists.
-        yield int(spread_mix(ids[:1].view(np.uint64))[0] % np.uint64(buckets)), 1, _pack(ids), _pack(sizes), _pack(keys)
+        if not named:
+            # Any bucket will do for this list; its first id spreads the lists.
+            to = int(spread_mix(ids[:1].view(np.uint64))[0] % np.uint64(buckets))
+            yield to, 1, _pack(ids), _pack(sizes), _pack(keys), b"".join(sketch(f) for _, f in held)
         _, one = np.unique(keys, return_index=True)
-        own = [signatures(held[i][1], scheme, percent) for i in one]
+        own = [signatures(held[i][1], scheme, percent, marked=True) for i in one]
         sigs = np.concatenate(own)
         nodes = np.repeat(ids[one], [len(s) for s in own])
         bucket = (sigs >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)
-        keys48 = (bucket << np.uint64(48)) | (sigs & np.uint64((1 << 48) - 1))
+        keys48, marked = _unmarked((bucket << np.uint64(48)) | (sigs & np.uint64((1 << 48) - 1)))
         order = _ordered(keys48, nodes)
-        keys48, nodes = keys48[order], nodes[order]
+        keys48, nodes, marked = keys48[order], nodes[order], marked[order]
         _, stars, left = shared(keys48, nodes, crowd)
         if len(stars):
             where = (keys48[stars[:, 1]] >> np.uint64(48)).astype(np.int64)
@@ -280,20 +324,20 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
                 # The stars of a pack go to any bucket: a signature's own one gets only its number, however many sets share it.
                 spread = int(spread_mix(ids[:1].view(np.uint64) + np.uint64(k))[0] % np.uint64(buckets))
                 if named:
-                    yield spread, 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(keys48[stars[rows, 1]])
-                yield int(k), 3, _pack(np.unique(low[rows])), b"", b""
+                    yield spread, 2, _pack(nodes[stars[rows, 0]]), _pack(nodes[stars[rows, 1]]), _pack(keys48[stars[rows, 1]]), b""
+                yield int(k), 3, _pack(np.unique(low[rows])), b"", b"", b""
             if not named:
                 a, b = _distinct(nodes[stars]).T
-                yield spread, 2, _pack(a), _pack(b), b""
-        keys48, nodes = keys48[left], nodes[left]
+                yield spread, 2, _pack(a), _pack(b), b"", b""
+        keys48, nodes = keys48[left] | marked[left].astype(np.uint64), nodes[left]
         bucket = (keys48 >> np.uint64(48)).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
         for low, high in zip(cuts, cuts[1:]):
-            yield int(bucket[low]), 0, _pack(keys48[low:high], SIGNATURE_BYTES), _pack(nodes[low:high]), b""
+            yield int(bucket[low]), 0, _pack(keys48[low:high], SIGNATURE_BYTES), _pack(nodes[low:high]), b"", b""
 
     def rows(batch: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), types)], names=["bucket", "kind", "x", "y", "z"])
+        types = (pa.int32(), pa.int8(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), types)], names=["bucket", "kind", "x", "y", "z", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -302,7 +346,7 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 features = shingles(value.as_py(), width) if whole else np.frombuffer(value.as_py(), np.uint64)
                 held.append((doc_id, features))
-                weight += len(features)
+                weight += len(features) * scheme.parts // SCHEMES[0].parts
                 if len(held) >= DOCUMENTS_PER_PACK or weight >= WORDS_PER_PACK:
                     for pack in packs(held):
                         yield rows([pack])
@@ -317,20 +361,24 @@ def _deal(docs: DataFrame, scheme: Scheme, buckets: int, percent: int, width: in
 
 
 def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int = PERCENT, width: int = SHINGLE_WORDS, crowd: int = CROWD, named: bool = True) -> DataFrame:
-    """Rows of kind 0 (doc_id a, key b, size n), 1 (a and b share a signature), 2 (a smallest, b other at crowded `sig`).
+    """Rows of kind 1 (a and b share a signature), 2 (a smallest, b other at crowded `sig`).
 
-    Unless `named`, rows of kind 2 have sig 0 and come once for each pack and bucket, not for each signature.
+    Unless `named`, rows of kind 2 have sig 0 and come once for each pack and bucket, not for each signature, and there are
+    rows of kind 0 (doc_id a, key b, size n, sketch bits).
     """
 
     def meet(key: tuple, packs: pd.DataFrame) -> pd.DataFrame:
         own = packs[packs["kind"] == 0]
         sigs = np.concatenate([_unpack(x, SIGNATURE_BYTES) for x in own["x"]] or [np.zeros(0, np.uint64)])
         nodes = np.concatenate([_unpack(y) for y in own["y"]] or [np.zeros(0, np.uint64)]).view(np.int64)
+        sigs, marked = _unmarked(sigs)
         order = _ordered(sigs, nodes)
-        sigs, nodes = sigs[order], nodes[order]
+        sigs, nodes, marked = sigs[order], nodes[order], marked[order]
         sent = packs[packs["kind"] == 2]
         # What a pack found crowded is crowded for all packs, however few rows they left.
-        pairs, stars, _ = shared(sigs, nodes, crowd, np.concatenate([np.zeros(0, np.uint64), *map(_unpack, packs.loc[packs["kind"] == 3, "x"])]))
+        crowds = np.concatenate([np.zeros(0, np.uint64), *map(_unpack, packs.loc[packs["kind"] == 3, "x"])])
+        pairs, stars, _ = shared(sigs, nodes, crowd, crowds, marked >= OWN_BAND)
+        pairs = pairs[may_link(*marked[pairs].T)]
         star_ends = np.concatenate([nodes[stars], *[np.stack([_unpack(x), _unpack(y)], axis=1).view(np.int64) for x, y in zip(sent["x"], sent["y"])]])
         # Signatures are told apart across buckets by the bucket number on top.
         here = sigs[stars[:, 1]] | (np.uint64(key[0]) << np.uint64(48))
@@ -339,9 +387,12 @@ def share_signatures(docs: DataFrame, scheme: Scheme, buckets: int, percent: int
             star_ends = _distinct(star_ends)
             star_sigs = np.zeros(len(star_ends), np.int64)
         out = _found(_pairs_of(nodes, pairs), star_ends, star_sigs)
-        for x, y, z in zip(*(packs.loc[packs["kind"] == 1, c] for c in "xyz")):
+        for x, y, z, data in zip(*(packs.loc[packs["kind"] == 1, c] for c in ("x", "y", "z", "bits"))):
             ids, sizes, keys = (_unpack(c).view(np.int64) for c in (x, y, z))
-            more = {"kind": np.zeros(len(ids), np.int8), "a": ids, "b": keys, "n": sizes, "sig": np.zeros(len(ids), np.int64)}
+            ends = np.cumsum([sketch_bits(n) // 8 for n in sizes.tolist()]).tolist()
+            bits = np.empty(len(ids), object)
+            bits[:] = [data[low:high] for low, high in zip([0, *ends], ends)]
+            more = {"kind": np.zeros(len(ids), np.int8), "a": ids, "b": keys, "n": sizes, "sig": np.zeros(len(ids), np.int64), "bits": bits}
             out = {c: np.concatenate([out[c], more[c]]) for c in out}
         del sigs, nodes, order, own, sent
         trim_memory()
@@ -387,14 +438,14 @@ def _similar(percent: int):
     return F.pandas_udf(similar, "boolean")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, stored."""
+def _verified(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, stored; `whole` gives doc_id and features of the doc_ids of a table."""
     bits = sets.select("doc_id", "n", "bits")
     left, right = (bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
     near = saved(pairs.join(left, "a").join(right, "b").where(_close(percent)("na", "nb", "xa", "xb")).select("a", "b"), "close-pairs")
     # Only the sets of close pairs move.
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = saved(sets.select("doc_id", "features").join(ends.hint("merge"), "doc_id", "left_semi"), "close-sets")
+    wanted = saved(whole(ends), "close-sets")
     left, right = (wanted.select(F.col("doc_id").alias(c), F.col("features").alias(f"f{c}")) for c in "ab")
     return saved(near.join(left, "a").join(right, "b").where(_similar(percent)("fa", "fb")).select("a", "b"), "links")
 
@@ -420,10 +471,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     chars = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(16, math.ceil(chars / 4.6 / SIGNATURES_PER_BUCKET))
     found = saved(share_signatures(known, SCHEMES[0], buckets, percent, width, crowd, named=False), "signature-pairs")
-    own = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n")
+    own = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), "n", "bits")
     # The smallest document of equal sets stands for them.
     heads = saved(own.groupBy("key", "n").agg(F.min("doc_id").alias("head")), "set-heads")
-    members = saved(own.join(heads, ["key", "n"]).select("doc_id", "n", "head"), "set-members")
+    members = saved(own.drop("bits").join(heads, ["key", "n"]).select("doc_id", "n", "head"), "set-members")
     heads_of = members.where("doc_id <> head").select(F.col("doc_id").alias("node"), F.col("head").alias("component")).distinct()
 
     def between_heads(rows: DataFrame) -> DataFrame:
@@ -436,16 +487,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     nodes = met.select(F.explode(F.array("a", "b")).alias("node"), "kind").groupBy("node").agg(F.bool_or(F.col("kind") == 2).alias("crowded"))
     ends = _relabelled(nodes, heads_of, ("node",)).groupBy(F.col("lnode").alias("doc_id")).agg(F.bool_or("crowded").alias("crowded"))
     ends = saved(ends, "candidate-ends")
-    sets = saved(_sets(known.join(ends.hint("merge"), "doc_id").select("doc_id", "text", "crowded"), width), "candidate-sets")
+    sets = saved(own.drop("key").join(ends.hint("merge"), "doc_id"), "candidate-sets")
+
+    def only(ids: DataFrame) -> DataFrame:
+        # The texts are shuffled again each time, but none of these shuffles outlives its step.
+        return known.join(ids.hint("merge"), "doc_id", "left_semi")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return _sets(only(ids).withColumn("crowded", F.lit(False)), width).select("doc_id", "features")
+
     candidates, finer = met.select("a", "b"), None
     crowded = sets.where("crowded")
     words = crowded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if words:
-        again = crowded.select("doc_id", "features")
+        again = only(crowded.select("doc_id")).select("doc_id", "text")
         finer = saved(share_signatures(again, SCHEMES[1], max(16, math.ceil(4 * words / SIGNATURES_PER_BUCKET)), percent, width, crowd), "signature-pairs")
         candidates = candidates.unionByName(finer.where("kind > 0").select("a", "b"))
     candidates = saved(between_heads(candidates.distinct()).distinct(), "candidate-pairs")
-    first = _verified(candidates.groupBy("b").agg(F.min("a").alias("a")), sets, percent)
+    first = _verified(candidates.groupBy("b").agg(F.min("a").alias("a")), sets, whole, percent)
     # Two steps down the first links: a label is only ever that of a set that is linked.
     one = first.groupBy("b").agg(F.min("a").alias("a")).select(F.col("b").alias("node"), F.col("a").alias("component"))
     up = one.select(F.col("node").alias("component"), F.col("component").alias("_up"))
@@ -453,16 +512,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     # Texts of rows with one doc_id are one node: their sets are linked.
     least = members.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a <> z").select("doc_id", "a")
     same = members.join(least, "doc_id").where("head <> a").select("a", F.col("head").alias("b"))
-    links = first.unionByName(_verified(_apart(candidates, two), sets, percent)).unionByName(same)
+    links = first.unionByName(_verified(_apart(candidates, two), sets, whole, percent)).unionByName(same)
     labels = saved(components(links), "component-labels")
     if finer is not None:
-        labels = _settle(finer.where("kind = 2").select("sig", "a", "b"), heads_of, labels, sets, percent)
-    whole = members.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
+        labels = _settle(finer.where("kind = 2").select("sig", "a", "b"), heads_of, labels, sets, percent, whole)
+    placed = members.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
     nameless = by_batch(texts.where("doc_id IS NULL"), lambda ids, t: {
         "doc_id": ids, "n_shingles": [len(shingles(x, width)) for x in t], "component_id": ids}, "doc_id long, n_shingles long, component_id long")
     empty = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return whole.select("doc_id", "n_shingles", empty).unionByName(nameless)
+    return placed.select("doc_id", "n_shingles", empty).unionByName(nameless)
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -590,12 +649,17 @@ def _in_blocks(rows: DataFrame, traits: DataFrame, meet, schema: str, percent: i
     return blocks.groupBy("bucket").applyInPandas(run, schema).distinct()
 
 
-def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
+            whole: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Compares the sets at a crowded signature that are still in different components.
 
     Signatures with the same sets count as one. First the sets are found that are close to another one by their sketches;
-    only these are compared whole, and only links that join components leave the tasks.
+    only these are compared whole, and only links that join components leave the tasks. Without `whole`, `sets` has features.
     """
+    if whole is None:
+        def whole(ids: DataFrame) -> DataFrame:
+            return sets.select("doc_id", "features").join(ids.hint("merge"), "doc_id", "left_semi")
+
     both = stars.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = _relabelled(both, heads_of, ("node",)).select("sig", F.col("lnode").alias("node")).distinct()
     rows = saved(_relabelled(rows, labels, ("node",)).select("sig", "node", F.col("lnode").alias("component")), "crowded-rows")
@@ -612,9 +676,9 @@ def _settle(stars: DataFrame, heads_of: DataFrame, labels: DataFrame, sets: Data
         return labels
     load = traits.select("node", F.ceil(1 + F.col("n") / FEATURES_PER_ROW).alias("load"))
     rows = saved(rows.join(close.hint("merge"), ["sig", "node"], "left_semi").join(load, "node"), "close-rows")
-    wanted = sets.select(F.col("doc_id").alias("node"), "features").join(rows.select("node").distinct().hint("merge"), "node", "left_semi")
-    whole = saved(traits.join(wanted.hint("merge"), "node"), "close-sets")
-    more = saved(_in_blocks(rows, whole.hint("merge"), joining_links, "a long, b long", percent), "links")
+    wanted = whole(rows.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+    close_sets = saved(traits.join(wanted.hint("merge"), "node"), "close-sets")
+    more = saved(_in_blocks(rows, close_sets.hint("merge"), joining_links, "a long, b long", percent), "links")
     if more.isEmpty():
         return labels
     # The components found so far are the nodes that the new links join.

@@ -166,6 +166,41 @@ def test_sets_of_one_crowd_meet_once_for_all_signatures(spark, monkeypatch):
     assert 0 < first.where("kind = 2").count() <= 16 * len(own + other)
 
 
+def test_marks_leave_a_shared_signature_of_similar_sets():
+    rng = np.random.default_rng(5)
+    for scheme in jaccard.SCHEMES:
+        for size in [*range(1, 40), 90, 133, 134, 300, 800]:
+            for extra in {0, 1, size // 7, size // 3}:
+                a = np.unique(rng.integers(0, 2**64, size + extra, dtype=np.uint64))
+                b = rng.permutation(a)[:size]
+                if 100 * len(b) < 75 * len(a):
+                    continue
+                (x, own_x), (y, own_y) = (jaccard._unmarked(jaccard.signatures(np.sort(f), scheme, marked=True)) for f in (a, b))
+                _, i, j = np.intersect1d(x, y, return_indices=True)
+                assert jaccard.may_link(own_x[i], own_y[j]).any()
+
+
+def test_sets_of_one_band_meet_in_it_alone():
+    low, own = jaccard.marks(100, 75)[1], jaccard.marks(100, 75)[0]
+    assert jaccard.may_link(np.array([own, own, low, own]), np.array([own, low, low, jaccard.marks(170, 75)[0]])).tolist() == [True, True, False, False]
+    sigs, nodes = np.zeros(5, np.uint64), np.arange(5)
+    pairs, stars, left = jaccard.shared(sigs, nodes, 3, None, np.zeros(5, bool))
+    assert not len(pairs) and not len(stars) and left.all()
+    assert len(jaccard.shared(sigs, nodes, 3, None, np.arange(5) == 2)[1]) == 4
+
+
+def test_only_close_sets_are_stored_whole(spark, monkeypatch):
+    """Ten texts share half of their words, one of them has a near copy."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [row(i, passage + " " + " ".join(f"o{i}x{k}" for k in range(30))) for i in range(1, 11)]
+    rows.append(row(11, rows[0][1] + " more"))
+    kept = kept_tables(monkeypatch)
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert got(out) == near_duplicate_classes(rows)
+    assert {name for name, tables in kept.items() if any("features" in t.columns for t in tables)} == {"close-sets"}
+    assert {r.doc_id for t in kept["close-sets"] for r in t.collect()} == {1, 11}
+
+
 def test_one_of_each_near_copy(spark):
     rows = crowd_rows()
     left = jaccard.keep_one_of_each(spark.createDataFrame(rows, SCHEMA))
